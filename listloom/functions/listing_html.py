@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from listloom.functions.sql import each, fill
 
 # The markup of a listing body.  {x} marks what is filled in.
 TOP_IMAGE = '<img src="{x}" width="400" style="max-width: 100%; height: auto;">\n\t'
@@ -31,32 +30,15 @@ FRAME = (
 )
 
 
-def fill(template: str, **parts: Column) -> Column:
-    """Concatenate a template with its ``{name}`` marks replaced by columns."""
-    out, rest = [], template
-    while "{" in rest:
-        text, rest = rest.split("{", 1)
-        name, rest = rest.split("}", 1)
-        out += [F.lit(text), parts[name]]
-    return F.concat(*out, F.lit(rest))
-
-
-def tags(items: Column, template: str, **parts: Column) -> Column:
+def tags(items: str, template: str, **parts: str) -> str:
     """One tag per list item, joined; a missing list gives an empty string."""
-    filled = F.transform(items, lambda x: fill(template, x=F.coalesce(x, F.lit("None")), **parts))
-    return F.coalesce(F.array_join(filled, ""), F.lit(""))
+    filled = each(items, lambda x: fill(template, x=f"coalesce({x}, 'None')", **parts))
+    return f"coalesce(array_join({filled}, ''), '')"
 
 
 def listing_html(
-    brand_ko: Column,
-    images: Column,
-    titles: Column,
-    bullets: Column,
-    detail_images: Column,
-    top: Column,
-    middle: Column,
-    end: Column,
-) -> Column:
+    brand_ko: str, images: str, titles: str, bullets: str, detail_images: str, top: str, middle: str, end: str
+) -> str:
     """The listing body in its fixed order of parts."""
     return fill(
         FRAME,

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from listloom.functions.sql import case, each, keep, q, some
 from listloom.functions.text import parses_as_number, piece, remove, strip, swap, to_number
 
 # Foot length in mm is 10 x US size + offset, over these ranges.
@@ -40,94 +38,79 @@ def size_rows() -> list[tuple[str, str, float, int]]:
     return rows
 
 
-def _table(group: str) -> Column:
-    pairs = [r for r in size_rows() if r[0] == group]
+def _table(group: str) -> str:
     numeric = group in NUMERIC_GROUPS
-    keys = F.array(*[F.lit(float(r[2]) if numeric else r[1]) for r in pairs])
-    return F.map_from_arrays(keys, F.array(*[F.lit(str(r[3])) for r in pairs]))
+    pairs = [f"{f'{us}D' if numeric else q(key)}, '{mm}'" for g, key, us, mm in size_rows() if g == group]
+    return f"map({', '.join(pairs)})"
 
 
-def any_unparsable(sizes: Column) -> Column:
-    return F.exists(sizes, lambda s: ~F.coalesce(parses_as_number(s), F.lit(False)))
+def any_unparsable(sizes: str) -> str:
+    return some(sizes, lambda s: f"NOT {parses_as_number(s)}")
 
 
-def convert_sizes(sizes: Column, group: str) -> Column:
+def convert_sizes(sizes: str, group: str) -> str:
     """US sizes to mm texts, in order.
 
     Unknown sizes are dropped.  In a numeric group one size that is no number
     returns the whole list unchanged; text groups never fail.  The table is a
     constant map, so no join and no shuffle are needed.
     """
-    table = _table(group)
-    if group not in NUMERIC_GROUPS:
-        return F.filter(F.transform(sizes, lambda s: F.try_element_at(table, s)), lambda mm: mm.isNotNull())
-    found = F.filter(
-        F.transform(sizes, lambda s: F.try_element_at(table, to_number(s))), lambda mm: mm.isNotNull()
-    )
-    return F.when(any_unparsable(sizes), sizes).otherwise(found)
+    numeric = group in NUMERIC_GROUPS
+    looked_up = each(sizes, lambda s: f"try_element_at({_table(group)}, {to_number(s) if numeric else s})")
+    found = keep(looked_up, lambda mm: f"{mm} IS NOT NULL")
+    return f"if({any_unparsable(sizes)}, {sizes}, {found})" if numeric else found
 
 
 # Numbers of the size types.
 MEN, WOMEN, KIDS, UNCHANGED, AUTO = 1, 2, 3, 4, 5
 
 
-def resolve_size_type(size_type: Column, audience: Column) -> Column:
+def resolve_size_type(size_type: str, audience: str) -> str:
     """Type 5 becomes 1, 2 or 3 from the page; everything unclear counts as men."""
-    found = F.when(audience == "women", WOMEN).when(audience == "kids", KIDS).otherwise(MEN)
-    return F.when(size_type == AUTO, found).otherwise(size_type)
+    found = case([(f"{audience} = 'women'", str(WOMEN)), (f"{audience} = 'kids'", str(KIDS))], str(MEN))
+    return f"if({size_type} = {AUTO}, {found}, {size_type})"
 
 
-def apply_size_type(sizes: Column, size_type: Column, kids_group: str = "kids") -> Column:
-    """Convert by a resolved size type; type 4 and unknown types change nothing."""
-    return (
-        F.when(size_type == MEN, convert_sizes(sizes, "mens"))
-        .when(size_type == WOMEN, convert_sizes(sizes, "womens"))
-        .when(size_type == KIDS, convert_sizes(sizes, kids_group))
-        .otherwise(sizes)
-    )
-
-
-def audience_of(text: Column) -> Column:
+def audience_of(text: str) -> str:
     """Audience named in a size chooser; women is tested before men."""
-    low = F.lower(text)
-
-    def names(*words: str) -> Column:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | low.contains(word)
-        return hit
-
-    return (
-        F.when(names("women", "woman"), "women")
-        .when(names("men", "man"), "men")
-        .when(names("unisex"), "unisex")
-        .when(names("big", "little", "infant", "toddler"), "kids")
-        .otherwise("")
+
+    def names(*words: str) -> str:
+        return "(" + " OR ".join(f"contains(lower({text}), {q(w)})" for w in words) + ")"
+
+    return case(
+        [
+            (names("women", "woman"), "'women'"),
+            (names("men", "man"), "'men'"),
+            (names("unisex"), "'unisex'"),
+            (names("big", "little", "infant", "toddler"), "'kids'"),
+        ],
+        "''",
     )
 
 
-def first_of_pair(size: Column) -> Column:
+def first_of_pair(size: str) -> str:
     """``M 6.5 / W 7.5`` to ``6.5``; other sizes are kept."""
-    return F.when(size.contains("/"), strip(remove(piece(size, "/", 0), "M"))).otherwise(size)
+    left = strip(remove(piece(size, "/", 0), "'M'"))
+    return f"if(contains({size}, '/'), {left}, {size})"
 
 
-def without_mm(size: Column) -> Column:
-    return remove(size, "MM")
+def without_mm(size: str) -> str:
+    return remove(size, "'MM'")
 
 
-def bracketed_size(size: Column) -> Column:
+def bracketed_size(size: str) -> str:
     """``085(WS)`` to ``여성S``; other sizes are kept."""
-    inner = swap(remove(piece(size, "(", 1), ")"), "W", "여성")
-    return F.when(size.contains("("), inner).otherwise(size)
+    inner = swap(remove(piece(size, "(", 1), "')'"), "W", "여성")
+    return f"if(contains({size}, '('), {inner}, {size})"
 
 
-def quantity_labels(sizes: Column) -> Column:
+def quantity_labels(sizes: str) -> str:
     """11, 22, … 99, then 10, 11, 12 …; one label per size."""
-    n = F.size(sizes)
-    numbered = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(i <= 9, i * 11).otherwise(i))
-    return F.when(n > 0, numbered).otherwise(F.array().cast("array<int>"))
+    numbers = f"sequence(1, greatest(size({sizes}), 1))"
+    labels = each(numbers, lambda i: f"if({i} <= 9, {i} * 11, {i})")
+    return f"if(size({sizes}) > 0, {labels}, cast(array() AS array<int>))"
 
 
-def without(sizes: Column, sold_out: Column) -> Column:
+def without(sizes: str, sold_out: str) -> str:
     """Sizes not in the sold-out list; duplicates are kept."""
-    return F.filter(sizes, lambda s: ~F.array_contains(sold_out, s))
+    return keep(sizes, lambda s: f"NOT array_contains({sold_out}, {s})")

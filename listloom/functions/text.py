@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from listloom.functions.sql import Make, each, q
 
 # The characters removed by a plain "strip".  Spark's trim only
 # removes U+0020, so the set is spelled out.
@@ -20,25 +19,24 @@ NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?
 NOT_FINITE = r"^(?i)[+-]?(inf|infinity|nan)$"
 
 
-def strip(text: Column) -> Column:
+def strip(text: str) -> str:
     """Remove Unicode whitespace on both sides."""
-    return F.btrim(text, F.lit(WHITESPACE))
+    return f"btrim({text}, {q(WHITESPACE)})"
 
 
-def strip_chars(text: Column, chars: str) -> Column:
+def strip_chars(text: str, chars: str) -> str:
     """Remove any of ``chars`` on both sides."""
-    return F.btrim(text, F.lit(chars))
+    return f"btrim({text}, {q(chars)})"
 
 
-def remove(text: Column, needle: Column | str) -> Column:
-    """Delete every occurrence of a literal; an empty needle changes nothing."""
-    needle = F.lit(needle) if isinstance(needle, str) else needle
-    return F.replace(text, needle, F.lit(""))
+def remove(text: str, needle: str) -> str:
+    """Delete every occurrence of an expression; an empty needle changes nothing."""
+    return f"replace({text}, {needle}, '')"
 
 
-def swap(text: Column, needle: str, by: str) -> Column:
+def swap(text: str, needle: str, by: str) -> str:
     """Replace every occurrence of a literal."""
-    return F.replace(text, F.lit(needle), F.lit(by))
+    return f"replace({text}, {q(needle)}, {q(by)})"
 
 
 def escape_regex(literal: str) -> str:
@@ -46,73 +44,70 @@ def escape_regex(literal: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in literal)
 
 
-def piece(text: Column, separator: str, index: int) -> Column:
+def pieces(text: str, separator: str) -> str:
+    """ARRAY of a literal split, empty pieces included."""
+    return f"split({text}, {q(escape_regex(separator))}, -1)"
+
+
+def piece(text: str, separator: str, index: int) -> str:
     """Piece ``index`` (0-based, negative from the end) of a literal split, or null."""
-    parts = F.split(text, escape_regex(separator), -1)
-    return F.try_element_at(parts, F.lit(index + 1 if index >= 0 else index))
+    return f"try_element_at({pieces(text, separator)}, {index + 1 if index >= 0 else index})"
 
 
-def title_case(text: Column) -> Column:
+def title_case(text: str) -> str:
     """Upper-case a letter after any non-letter, lower-case the others."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    cased = F.transform(
-        runs, lambda r: F.concat(F.upper(F.substr(r, F.lit(1), F.lit(1))), F.lower(F.substr(r, F.lit(2))))
-    )
-    return F.array_join(cased, "")
+    runs = f"regexp_extract_all({text}, {q(r'(\p{L}+|[^\p{L}]+)')}, 1)"
+    cased = each(runs, lambda r: f"concat(upper(substr({r}, 1, 1)), lower(substr({r}, 2)))")
+    return f"array_join({cased}, '')"
 
 
-def squash(text: Column) -> Column:
+def squash(text: str) -> str:
     """Drop single spaces: the Korean brand column and the compact site name."""
-    return remove(text, " ")
+    return remove(text, "' '")
 
 
-def snake(text: Column) -> Column:
+def snake(text: str) -> str:
     """Site name for file names: spaces become underscores."""
     return swap(text, " ", "_")
 
 
-def parses_as_number(text: Column) -> Column:
+def parses_as_number(text: str) -> str:
     """True when the text is a number for the size tables, including inf and nan."""
     bare = strip(text)
-    return bare.rlike(NUMBER) | bare.rlike(NOT_FINITE)
+    return f"coalesce({bare} RLIKE {q(NUMBER)} OR {bare} RLIKE {q(NOT_FINITE)}, false)"
 
 
-def to_number(text: Column) -> Column:
+def to_number(text: str) -> str:
     """DOUBLE value of a finite number, else null (never an error)."""
     bare = strip(text)
-    return F.when(bare.rlike(NUMBER), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+    return f"if({bare} RLIKE {q(NUMBER)}, try_cast(replace({bare}, '_', '') AS double), NULL)"
 
 
-def full_title(brand_ko: Column, name_ko: Column, name: Column) -> Column:
+def full_title(brand_ko: str, name_ko: str, name: str) -> str:
     """Three parts and always two spaces, also when parts are empty."""
-    blank = F.lit("")
-    return F.concat(
-        F.coalesce(brand_ko, blank), F.lit(" "), F.coalesce(name_ko, blank), F.lit(" "), F.coalesce(name, blank)
-    )
+    return f"concat(coalesce({brand_ko}, ''), ' ', coalesce({name_ko}, ''), ' ', coalesce({name}, ''))"
 
 
-def without_currency(price: Column) -> Column:
+def without_currency(price: str) -> str:
     """Listing price text: the dollar sign goes, everything else stays."""
-    return remove(price, "$")
+    return remove(price, "'$'")
 
 
-def korean_price(price: Column) -> Column:
+def korean_price(price: str) -> str:
     """``170,100 원`` to ``170100``."""
-    return remove(remove(price, " 원"), ",")
+    return remove(remove(price, "' 원'"), "','")
 
 
 # Fixed value: characters per call of the text service.
 CHUNK_CHARS = 5000
 
 
-def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
+def chunks(text: str, size: int = CHUNK_CHARS) -> str:
     """Cut the whole text into consecutive pieces; an empty text is one empty piece."""
-    count = F.greatest(F.ceil(F.length(text) / F.lit(size)), F.lit(1)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: F.substr(text, i * size + 1, F.lit(size))
-    )
+    last = f"cast(greatest(ceil(length({text}) / {size}), 1) AS int) - 1"
+    return each(f"sequence(0, {last})", lambda i: f"substr({text}, {i} * {size} + 1, {size})")
 
 
-def map_chunks(text: Column, apply, size: int = CHUNK_CHARS) -> Column:
+def map_chunks(text: str, make: Make, size: int = CHUNK_CHARS) -> str:
     """Apply an expression to every piece and join the results in order."""
-    return F.array_join(F.transform(chunks(text, size), apply), "")
+    return f"array_join({each(chunks(text, size), make)}, '')"

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from listloom.functions.text import piece, remove, squash, swap
+from listloom.functions.sql import each, q, some
+from listloom.functions.text import piece, pieces, remove, squash, swap
 
 # Endpoints and link prefixes of the supported shops.
 JSON_ENDPOINT = (
@@ -16,85 +14,87 @@ VANS_BASE = "https://www.vans.com/en-us/"
 LARGE_IMAGE = "AC_SR800,1500_.jpg"
 
 
-def is_url(text: Column) -> Column:
+def is_url(text: str) -> str:
     """Contains ``http`` anywhere; false for null."""
-    return F.coalesce(text.contains("http"), F.lit(False))
+    return f"coalesce(contains({text}, 'http'), false)"
 
 
-def path_after_host(url: Column) -> Column:
+def path_after_host(url: str) -> str:
     """All that follows the third slash, query and fragment included."""
-    parts = F.split(url, "/", -1)
-    return F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), "/")
+    parts = pieces(url, "/")
+    return f"array_join(slice({parts}, 4, greatest(size({parts}) - 3, 0)), '/')"
 
 
-def last_segment(url: Column) -> Column:
+def last_segment(url: str) -> str:
     return piece(url, "/", -1)
 
 
-def before(text: Column, mark: str) -> Column:
+def before(text: str, mark: str) -> str:
     """Text up to the first mark, or all of it."""
-    return F.substring_index(text, mark, 1)
+    return f"substring_index({text}, {q(mark)}, 1)"
 
 
-def snapshot_key(site: Column, url: Column, extension: str = "html", n_hex: int = 6) -> Column:
+def snapshot_key(site: str, url: str, extension: str = "html", n_hex: int = 6) -> str:
     """``res_{Site}_{hash}.{extension}``.
 
     Six hex digits are the compatible default; they collide past a few thousand
     pages, so large stores should ask for more.
     """
-    name = squash(site)
-    digest = F.substr(F.sha2(F.concat(name, F.lit("_"), path_after_host(url)), 256), F.lit(1), F.lit(n_hex))
-    return F.concat(F.lit("res_"), name, F.lit("_"), digest, F.lit("." + extension))
+    digest = f"substr(sha2(concat({squash(site)}, '_', {path_after_host(url)}), 256), 1, {n_hex})"
+    return f"concat('res_', {squash(site)}, '_', {digest}, {q('.' + extension)})"
 
 
-def _json_url(url: Column) -> Column:
+def _json_url(url: str) -> str:
     """The JSON endpoint of a product URL, null where the URL has no query."""
     tail = last_segment(url)
-    product = remove(piece(tail, "?", 0), ".html")
-    color = remove(piece(tail, "?", 1), "color=")
-    head, middle, end = JSON_ENDPOINT.split("%s")
-    return F.concat(F.lit(head), product, F.lit(middle), color, F.lit(end))
+    product = remove(piece(tail, "?", 0), "'.html'")
+    color = remove(piece(tail, "?", 1), "'color='")
+    first, middle, last = JSON_ENDPOINT.split("%s")
+    return f"concat({q(first)}, {product}, {q(middle)}, {color}, {q(last)})"
 
 
-def to_json_url(url: Column) -> Column:
+def to_json_url(url: str) -> str:
     """JSON endpoint of one product URL; an unusable URL is kept."""
-    return F.coalesce(_json_url(url), url)
+    return f"coalesce({_json_url(url)}, {url})"
 
 
-def to_json_urls(urls: Column) -> Column:
+def to_json_urls(urls: str) -> str:
     """List form: one unusable URL keeps the whole list unchanged."""
-    unusable = F.exists(urls, lambda u: F.coalesce(_json_url(u).isNull(), F.lit(True)))
-    return F.when(unusable, urls).otherwise(F.transform(urls, _json_url))
+    unusable = some(urls, lambda u: f"{_json_url(u)} IS NULL")
+    return f"if({unusable}, {urls}, {each(urls, _json_url)})"
 
 
-def color_url(color_id: Column) -> Column:
-    return F.concat(F.lit(VANS_BASE), F.lower(color_id))
+def color_url(color_id: str) -> str:
+    return f"concat({q(VANS_BASE)}, lower({color_id}))"
 
 
-def named_color_url(name: Column, color_id: Column) -> Column:
-    slug = swap(F.lower(name), " ", "-")
-    return F.concat(F.lit(VANS_BASE), slug, F.lit("-p"), F.lower(color_id))
+def named_color_url(name: str, color_id: str) -> str:
+    slug = swap(f"lower({name})", " ", "-")
+    return f"concat({q(VANS_BASE)}, {slug}, '-p', lower({color_id}))"
 
 
-def large_image(src: Column) -> Column:
+def large_image(src: str) -> str:
     """Ask the image host for the large rendition; other links are kept."""
-    at = F.instr(src, "AC_SR")
-    return F.when(at > 0, F.concat(F.substr(src, F.lit(1), at - 1), F.lit(LARGE_IMAGE))).otherwise(src)
+    at = f"instr({src}, 'AC_SR')"
+    return f"if({at} > 0, concat(substr({src}, 1, {at} - 1), {q(LARGE_IMAGE)}), {src})"
 
 
-def wide_image(src: Column) -> Column:
+def wide_image(src: str) -> str:
     return swap(src, "w_600", "w_1400")
 
 
-def full_thumbnail(src: Column) -> Column:
-    return remove(src, "?thumbnail")
+def full_thumbnail(src: str) -> str:
+    return remove(src, "'?thumbnail'")
+
+
+FILE_NAME = r"^(\.*[^.].*?)(\.[^.]*)?$"
 
 
-def file_stem(url: Column) -> Column:
+def file_stem(url: str) -> str:
     """File name of a link without query and extension."""
-    return F.regexp_extract(before(last_segment(url), "?"), r"^(\.*[^.].*?)(\.[^.]*)?$", 1)
+    return f"regexp_extract({before(last_segment(url), '?')}, {q(FILE_NAME)}, 1)"
 
 
-def file_extension(url: Column) -> Column:
+def file_extension(url: str) -> str:
     """Extension with its dot, or an empty string."""
-    return F.regexp_extract(before(last_segment(url), "?"), r"^(\.*[^.].*?)(\.[^.]*)?$", 2)
+    return f"regexp_extract({before(last_segment(url), '?')}, {q(FILE_NAME)}, 2)"

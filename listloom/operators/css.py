@@ -1,4 +1,4 @@
-"""CSS selectors as Column predicates over the ``nodes`` array of a page.
+"""CSS selectors as SQL predicates over the ``nodes`` array of a page.
 
 Supported: tag, ``*``, ``#id``, ``.class``, ``[attr]`` with ``= *= ^= $= ~=``,
 compounds, descendant and child combinators, comma unions, ``:not(compound)``,
@@ -10,9 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from listloom.functions.sql import Make, each, keep, q, some
 from listloom.schemas import COMMENT
 from listloom.sources.pages import Shape
 
@@ -91,76 +89,69 @@ def parse_selector(selector: str) -> tuple[Chain, ...]:
     return (*chains, tuple(chain))
 
 
-def attr_of(node: Column, name: str) -> Column:
+def attr_of(node: str, name: str) -> str:
     """Attribute value of an element, null when absent."""
     if name == "id":
-        return node["id"]
+        return f"{node}.id"
     if name == "class":
-        return F.when(F.size(node["classes"]) > 0, F.array_join(node["classes"], " "))
-    return F.try_element_at(node["attrs"], F.lit(name))
+        return f"if(size({node}.classes) > 0, array_join({node}.classes, ' '), NULL)"
+    return f"try_element_at({node}.attrs, {q(name)})"
 
 
-def own_pieces(pieces: Column, node: Column) -> Column:
+def own_pieces(pieces: str, node: str) -> str:
     """The text pieces below an element, in order."""
-    return F.slice(pieces, node["piece_from"] + 1, node["piece_to"] - node["piece_from"])
+    return f"slice({pieces}, {node}.piece_from + 1, {node}.piece_to - {node}.piece_from)"
 
 
-def _attr_test(node: Column, name: str, op: str | None, value: str | None) -> Column:
+def _attr_test(node: str, name: str, op: str | None, value: str | None) -> str:
     actual = attr_of(node, name)
     if op is None:
-        return actual.isNotNull()
+        return f"{actual} IS NOT NULL"
     if name == "type":
-        actual, value = F.lower(actual), value.lower()
+        actual, value = f"lower({actual})", value.lower()
     test = {
-        "=": lambda: actual == value,
-        "*=": lambda: actual.contains(value),
-        "^=": lambda: actual.startswith(value),
-        "$=": lambda: actual.endswith(value),
-        "~=": lambda: F.array_contains(F.split(actual, " "), value),
-    }[op]()
-    return F.coalesce(test, F.lit(False))
+        "=": f"{actual} = {q(value)}",
+        "*=": f"contains({actual}, {q(value)})",
+        "^=": f"startswith({actual}, {q(value)})",
+        "$=": f"endswith({actual}, {q(value)})",
+        "~=": f"array_contains(split({actual}, ' '), {q(value)})",
+    }[op]
+    return f"coalesce({test}, false)"
 
 
-def compound_test(compound: Compound, node: Column, pieces: Column) -> Column:
-    """Boolean column, never null: does the element meet the compound?"""
+def compound_test(compound: Compound, node: str, pieces: str) -> str:
+    """Boolean expression, never null: does the element meet the compound?"""
     tests = []
     if compound.tag:
-        tests.append(node["tag"] == compound.tag)
+        tests.append(f"{node}.tag = {q(compound.tag)}")
     if compound.id:
-        tests.append(node["id"].eqNullSafe(compound.id))
-    tests += [F.array_contains(node["classes"], c) for c in compound.classes]
+        tests.append(f"{node}.id <=> {q(compound.id)}")
+    tests += [f"array_contains({node}.classes, {q(c)})" for c in compound.classes]
     tests += [_attr_test(node, *a) for a in compound.attrs]
-    tests += [~compound_test(n, node, pieces) for n in compound.negated]
+    tests += [f"NOT ({compound_test(n, node, pieces)})" for n in compound.negated]
     if compound.place:
-        tests.append(node["nth_of_type" if compound.place == "first" else "nth_last_of_type"] == 1)
+        tests.append(f"{node}.{'nth_of_type' if compound.place == 'first' else 'nth_last_of_type'} = 1")
     for needle in compound.contains:
-        visible = F.filter(own_pieces(pieces, node), lambda p: p["kind"] != COMMENT)
-        tests.append(F.array_join(F.transform(visible, lambda p: p["text"]), "").contains(needle))
-    out = F.lit(True)
-    for test in tests:
-        out = out & test if test is not tests[0] else test
-    return out
+        visible = keep(own_pieces(pieces, node), lambda p: f"{p}.kind <> {COMMENT}")
+        tests.append(f"contains(array_join({each(visible, lambda p: f'{p}.text')}, ''), {q(needle)})")
+    return " AND ".join(tests) or "true"
 
 
-def _chain_test(chain: Chain, node: Column, nodes: Column, pieces: Column) -> Column:
+def _chain_test(chain: Chain, node: str, nodes: str, pieces: str) -> str:
     combinator, compound = chain[-1]
     here = compound_test(compound, node, pieces)
     if len(chain) == 1:
         return here
-    above = F.array(node["parent"]) if combinator == ">" else node["path"]
-    return here & F.exists(
-        above, lambda i: F.coalesce(_chain_test(chain[:-1], F.get(nodes, i), nodes, pieces), F.lit(False))
+    above = f"array({node}.parent)" if combinator == ">" else f"{node}.path"
+    # An ancestor is bound to a variable by a one-item transform.
+    met = some(
+        above,
+        lambda i: f"coalesce({some(f'array(get({nodes}, {i}))', lambda a: _chain_test(chain[:-1], a, nodes, pieces))}, false)",
     )
+    return f"{here} AND {met}"
 
 
-def css(selector: str, nodes: Column, pieces: Column):
-    """Predicate ``node -> Column`` for a selector."""
+def css(selector: str, nodes: str = "nodes", pieces: str = "pieces") -> Make:
+    """Predicate over an element for a selector."""
     chains = parse_selector(selector)
-
-    def test(node: Column) -> Column:
-        out = _chain_test(chains[0], node, nodes, pieces)
-        for chain in chains[1:]:
-            out = out | _chain_test(chain, node, nodes, pieces)
-        return out
-
-    return test
+    return lambda node: "(" + ") OR (".join(_chain_test(c, node, nodes, pieces) for c in chains) + ")"

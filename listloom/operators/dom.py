@@ -1,54 +1,53 @@
-"""Selecting elements of a page and reading from them, as Columns.
+"""Selecting elements of a page and reading from them.
 
-A :class:`Page` stands for the ``nodes`` and ``pieces`` of the current row and a
-:class:`Elements` for an ARRAY of selected elements in document order.  All of it
-is narrow: selection is a filter over the array of the row.  The page notes what
-was asked of it, so :func:`Page.wanted` can tell the parser what to emit.
+A :class:`Page` stands for the ``nodes`` and ``pieces`` of the current row, and
+:class:`Elements` for an ARRAY of selected elements in document order, as SQL text.
+All of it is narrow: selection is a filter over the array of the row.  The page
+notes what was asked of it, so :meth:`Page.wanted` tells the parser what to emit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from listloom.functions.sql import Make, complete, each, keep, some
 from listloom.functions.text import strip
 from listloom.operators.css import attr_of, css, own_pieces, parse_selector
 from listloom.schemas import RAW, TEXT
 from listloom.sources.pages import RAW_TAGS, Shape, Wanted
 
 
-def text_pieces(pieces: Column, node: Column) -> Column:
+def text_pieces(pieces: str, node: str) -> str:
     """ARRAY<STRING>: the pieces that make up ``text`` of an element."""
-    kind = F.when(node["tag"].isin(*RAW_TAGS), RAW).otherwise(TEXT)
-    return F.transform(F.filter(own_pieces(pieces, node), lambda p: p["kind"] == kind), lambda p: p["text"])
+    raw = ", ".join(f"'{t}'" for t in RAW_TAGS)
+    mine = keep(own_pieces(pieces, node), lambda p: f"{p}.kind = if({node}.tag IN ({raw}), {RAW}, {TEXT})")
+    return each(mine, lambda p: f"{p}.text")
 
 
-def text_of(pieces: Column, node: Column) -> Column:
-    return F.array_join(text_pieces(pieces, node), "")
+def text_of(pieces: str, node: str) -> str:
+    return f"array_join({text_pieces(pieces, node)}, '')"
 
 
-def string_of(pieces: Column, node: Column) -> Column:
+def string_of(pieces: str, node: str) -> str:
     """The only text of an element that has exactly one, else null."""
-    return F.when(node["single"], F.get(pieces, node["piece_from"])["text"])
+    return f"if({node}.single, get({pieces}, {node}.piece_from).text, NULL)"
 
 
-def all_texts_of(pieces: Column, node: Column) -> Column:
+def all_texts_of(pieces: str, node: str) -> str:
     """Every text below an element, comments and scripts included."""
-    return F.transform(own_pieces(pieces, node), lambda p: p["text"])
+    return each(own_pieces(pieces, node), lambda p: f"{p}.text")
 
 
-def stripped_lines_of(pieces: Column, node: Column) -> Column:
+def lines_of(pieces: str, node: str) -> str:
     """Stripped, non-empty texts below an element."""
-    return F.filter(F.transform(text_pieces(pieces, node), strip), lambda t: t != "")
+    return keep(each(text_pieces(pieces, node), strip), lambda t: f"{t} <> ''")
 
 
 class Page:
     """The parsed page of the current row."""
 
     def __init__(self, nodes: str = "nodes", pieces: str = "pieces"):
-        self.nodes, self.pieces = F.col(nodes), F.col(pieces)
+        self.nodes, self.pieces = nodes, pieces
         self._elements: set[Shape] = set()
         self._subtrees: set[Shape] = set()
         self._texts: set[Shape] = set()
@@ -56,7 +55,7 @@ class Page:
 
     def all(self, selector: str) -> "Elements":
         """All matches in document order."""
-        return Elements(self, F.filter(self.nodes, self._test(selector)), self._targets(selector))
+        return Elements(self, keep(self.nodes, self._test(selector)), self._targets(selector))
 
     def first(self, selector: str) -> "Elements":
         """The first match, as a list of at most one."""
@@ -68,7 +67,7 @@ class Page:
             frozenset(self._elements), frozenset(self._subtrees), frozenset(self._texts), frozenset(self._attrs)
         )
 
-    def _test(self, selector: str) -> Callable[[Column], Column]:
+    def _test(self, selector: str) -> Make:
         for chain in parse_selector(selector):
             for _, compound in chain:
                 self._elements.add(compound.shape())
@@ -83,36 +82,39 @@ class Page:
 
 
 class Elements:
-    """ARRAY of elements of one page, in document order."""
+    """ARRAY of elements of one page, in document order; ``sql`` is its expression."""
 
-    def __init__(self, page: Page, col: Column, targets: frozenset[Shape]):
-        self.page, self.col, self._targets = page, col, targets
+    def __init__(self, page: Page, sql: str, targets: frozenset[Shape]):
+        self.page, self.sql, self._targets = page, sql, targets
 
-    def _with(self, col: Column) -> "Elements":
-        return Elements(self.page, col, self._targets)
+    def _with(self, sql: str) -> "Elements":
+        return Elements(self.page, sql, self._targets)
 
     # --- narrowing ------------------------------------------------------
     def first(self) -> "Elements":
-        return self._with(F.slice(self.col, 1, 1))
+        return self._with(f"slice({self.sql}, 1, 1)")
 
     def nth(self, index: int) -> "Elements":
         """0-based, negative from the end; empty when there is none."""
-        start = index + 1 if index >= 0 else index
-        return self._with(F.when(F.size(self.col) >= abs(start), F.slice(self.col, start, 1)).otherwise(F.slice(self.col, 1, 0)))
+        if index >= 0:
+            return self._with(f"slice({self.sql}, {index + 1}, 1)")
+        return self._with(f"slice(reverse({self.sql}), {-index}, 1)")
 
-    def where(self, keep: Callable[["Element"], Column]) -> "Elements":
-        return self._with(F.filter(self.col, lambda n: keep(Element(self, n))))
+    def where(self, test) -> "Elements":
+        """Keep the elements for which ``test(element)`` holds."""
+        return self._with(keep(self.sql, lambda n: test(Element(self, n))))
 
     def inside(self, selector: str) -> "Elements":
         """Matches below these elements."""
         test, nodes = self.page._test(selector), self.page.nodes
-        below = F.transform(
-            self.col,
-            lambda o: F.filter(
-                nodes, lambda n: test(n) & F.exists(n["path"], lambda i: F.get(nodes, i)["node_id"] == o["node_id"])
-            ),
-        )
-        return Elements(self.page, F.flatten(below), Page._targets(selector))
+
+        def below(scope: str) -> str:
+            return keep(
+                nodes,
+                lambda n: f"{test(n)} AND {some(f'{n}.path', lambda i: f'get({nodes}, {i}).node_id = {scope}.node_id')}",
+            )
+
+        return Elements(self.page, f"flatten({each(self.sql, below)})", Page._targets(selector))
 
     def children(self, tag: str | None = None) -> "Elements":
         """Immediate children, all or of one tag."""
@@ -122,89 +124,85 @@ class Elements:
         else:
             self.page._elements.add((tag, None, ()))
 
-        def of(parent: Column) -> Column:
-            def test(n: Column) -> Column:
-                hit = F.coalesce(F.get(nodes, n["parent"])["node_id"] == parent["node_id"], F.lit(False))
-                return hit if tag is None else (n["tag"] == tag) & hit
-
-            return F.filter(nodes, test)
+        def of(scope: str) -> str:
+            named = "" if tag is None else f"{{n}}.tag = '{tag}' AND "
+            return keep(
+                nodes,
+                lambda n: named.replace("{n}", n)
+                + f"coalesce(get({nodes}, {n}.parent).node_id = {scope}.node_id, false)",
+            )
 
-        return Elements(self.page, F.flatten(F.transform(self.col, of)), self._targets | {(tag, None, ())})
+        return Elements(self.page, f"flatten({each(self.sql, of)})", self._targets)
 
     # --- reading --------------------------------------------------------
-    def read(self, read: Callable[["Element"], Column]) -> Column:
+    def read(self, make) -> str:
         """ARRAY of one value per element."""
-        return F.transform(self.col, lambda n: read(Element(self, n)))
+        return each(self.sql, lambda n: make(Element(self, n)))
 
-    def text(self) -> Column:
+    def text(self) -> str:
         return self.read(lambda e: e.text())
 
-    def string(self) -> Column:
+    def string(self) -> str:
         return self.read(lambda e: e.string())
 
-    def attr(self, name: str) -> Column:
+    def attr(self, name: str) -> str:
         """Values with null where the attribute is absent."""
         return self.read(lambda e: e.attr(name))
 
-    def need(self, name: str) -> Column:
+    def need(self, name: str) -> str:
         """Values, or null for the whole list if one element lacks the attribute."""
-        values = self.attr(name)
-        return F.when(~F.exists(values, lambda v: v.isNull()), values)
+        return complete(self.attr(name))
 
-    def lines(self) -> Column:
+    def lines(self) -> str:
         """ARRAY<ARRAY<STRING>> of stripped non-empty texts."""
         return self.read(lambda e: e.lines())
 
-    def all_texts(self) -> Column:
+    def all_texts(self) -> str:
         return self.read(lambda e: e.all_texts())
 
-    def count(self) -> Column:
-        return F.size(self.col)
+    def count(self) -> str:
+        return f"size({self.sql})"
 
 
 class Element:
     """One element inside a lambda."""
 
-    def __init__(self, owner: Elements, node: Column):
+    def __init__(self, owner: Elements, node: str):
         self._owner, self.node = owner, node
 
-    def _text(self) -> Column:
+    def _pieces(self) -> str:
         self._owner.page._texts |= self._owner._targets
         return self._owner.page.pieces
 
-    def text(self) -> Column:
-        return text_of(self._text(), self.node)
+    def text(self) -> str:
+        return text_of(self._pieces(), self.node)
 
-    def string(self) -> Column:
-        return string_of(self._text(), self.node)
+    def string(self) -> str:
+        return string_of(self._pieces(), self.node)
 
-    def all_texts(self) -> Column:
-        return all_texts_of(self._text(), self.node)
+    def all_texts(self) -> str:
+        return all_texts_of(self._pieces(), self.node)
 
-    def lines(self) -> Column:
-        return stripped_lines_of(self._text(), self.node)
+    def lines(self) -> str:
+        return lines_of(self._pieces(), self.node)
 
-    def attr(self, name: str) -> Column:
+    def attr(self, name: str) -> str:
         self._owner.page._attrs.add(name)
         return attr_of(self.node, name)
 
-    def tag(self) -> Column:
-        return self.node["tag"]
+    def tag(self) -> str:
+        return f"{self.node}.tag"
 
 
-def one(values: Column) -> Column:
+def one(values: str) -> str:
     """The single value of a list of at most one, else null."""
-    return F.get(values, F.lit(0))
+    return f"get({values}, 0)"
 
 
 def select_nodes(parsed: DataFrame, selector: str, *keys: str) -> DataFrame:
     """Long form of a selection: one row per match with its rank and text."""
-    page = Page()
-    found = page.all(selector).read(
-        lambda e: F.struct(
-            e.node["node_id"].alias("node_id"), e.node["tag"].alias("tag"), e.node["id"].alias("id"),
-            e.node["classes"].alias("classes"), e.node["attrs"].alias("attrs"), e.text().alias("text"),
-            e.string().alias("string"),
-        )
+    found = Page().all(selector).read(
+        lambda e: f"named_struct('node_id', {e.node}.node_id, 'tag', {e.node}.tag, 'id', {e.node}.id, "
+        f"'classes', {e.node}.classes, 'attrs', {e.node}.attrs, 'text', {e.text()}, 'string', {e.string()})"
     )
-    return parsed.select(*keys, F.posexplode(found).alias("pos", "node")).select(*keys, "pos", "node.*")
+    return parsed.selectExpr(*keys, f"posexplode({found}) AS (pos, node)").select(*keys, "pos", "node.*")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listloom.functions.listing_html import listing_html
+from listloom.functions.sql import NO_TEXTS, each
 from listloom.schemas import LISTING_COLUMNS
 from listloom.sources.dims import default_images
 
@@ -19,39 +20,31 @@ def with_static_images(products: DataFrame, site_images: DataFrame, brand: str =
     there with empty lists takes nothing.  No broadcast is forced: Spark decides
     by the size of the dimension.
     """
-    known = site_images.select(
-        F.col("brand").alias("_brand"), F.lit(True).alias("_known"), F.col("top").alias("_top"),
-        F.col("middle").alias("_middle"), F.col("end").alias("_end"),
-    )
-    none = F.array().cast("array<string>")
-    top, middle, end = default_images()
+    lists = default_images()
+    known = site_images.selectExpr("brand AS _brand", "true AS _known", *[f"`{n}` AS _{n}" for n in lists])
     joined = products.join(known, products[brand] == known["_brand"], "left")
-    pick = lambda mine, default: F.when(F.col("_known"), F.coalesce(F.col(mine), none)).otherwise(default)
-    return joined.withColumns(
-        {"top": pick("_top", top), "middle": pick("_middle", middle), "end": pick("_end", end)}
-    ).drop("_brand", "_known", "_top", "_middle", "_end")
+    picked = [f"if(_known, coalesce(_{n}, {NO_TEXTS}), {default}) AS `{n}`" for n, default in lists.items()]
+    return joined.selectExpr(*products.columns, *picked)
 
 
-def with_html(products: DataFrame, translator: Callable[[Column], Column]) -> DataFrame:
+def with_html(products: DataFrame, translator: Callable[[str], str]) -> DataFrame:
     """Add the listing body; needs the static images."""
-    return products.withColumn(
-        "html",
-        listing_html(
-            F.col("brand_name_ko"),
-            F.col("images"),
-            F.transform(F.col("descriptions.titles"), translator),
-            F.transform(F.col("descriptions.bullets"), translator),
-            F.col("description_images"),
-            F.col("top"),
-            F.col("middle"),
-            F.col("end"),
-        ),
+    body = listing_html(
+        "brand_name_ko",
+        "images",
+        each("descriptions.titles", translator),
+        each("descriptions.bullets", translator),
+        "description_images",
+        "top",
+        "middle",
+        "`end`",
     )
+    return products.withColumn("html", F.expr(body))
 
 
-def joined(values: Column) -> Column:
+def joined(values: str) -> str:
     """List cell of the sheet."""
-    return F.coalesce(F.array_join(values, ","), F.lit(""))
+    return f"coalesce(array_join({values}, ','), '')"
 
 
 def listing_row(products: DataFrame, *keys: str, layout: str = "common") -> DataFrame:
@@ -59,24 +52,19 @@ def listing_row(products: DataFrame, *keys: str, layout: str = "common") -> Data
 
     ``layout='kids'`` fills only title, price, title image and body and ends at T.
     """
-    cells = {
-        "C": F.col("full_title"),
-        "E": F.col("price"),
-        "R": F.col("title_image"),
-        "T": F.col("html"),
-    }
+    cells = {"C": "full_title", "E": "price", "R": "title_image", "T": "html"}
     names = LISTING_COLUMNS
     if layout == "kids":
         names = LISTING_COLUMNS[:20]
     elif layout == "common":
         cells |= {
-            "J": joined(F.col("size_options")),
-            "L": joined(F.col("size_quantity_options")),
-            "S": F.col("url"),
-            "U": F.col("brand_name_ko"),
-            "V": F.col("brand_name_ko"),
+            "J": joined("size_options"),
+            "L": joined("size_quantity_options"),
+            "S": "url",
+            "U": "brand_name_ko",
+            "V": "brand_name_ko",
         }
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    blank = F.lit("")
-    return products.select(*keys, *[F.coalesce(cells.get(n, blank), blank).alias(n) for n in names])
+    row = [f"coalesce({cells[n]}, '') AS {n}" if n in cells else f"'' AS {n}" for n in names]
+    return products.selectExpr(*keys, *row)

@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from listloom.functions import text, urls
+from listloom.functions.sql import each, either, q
 from listloom.operators.dom import Page, one
 
 #: Rules are plan text, so a table of them must stay small; more is an error.
@@ -48,10 +48,10 @@ class Rule:
 #: Post-processing of one text value.
 POST = {
     "strip": lambda v, a: text.strip(v) if a is None else text.strip_chars(v, a),
-    "lower": lambda v, a: F.lower(v),
+    "lower": lambda v, a: f"lower({v})",
     "title": lambda v, a: text.title_case(v),
-    "remove": lambda v, a: text.remove(v, a),
-    "prefix": lambda v, a: F.concat(F.lit(a), v),
+    "remove": lambda v, a: text.remove(v, q(a)),
+    "prefix": lambda v, a: f"concat({q(a)}, {v})",
     "before": lambda v, a: urls.before(v, a),
     "large_image": lambda v, a: urls.large_image(v),
     "wide_image": lambda v, a: urls.wide_image(v),
@@ -60,19 +60,23 @@ POST = {
 }
 
 
-def apply_post(value: Column, post: Iterable[str]) -> Column:
+def apply_post(value: str, post: Iterable[str]) -> str:
     for step in post:
         name, _, arg = step.partition(":")
         value = POST[name](value, arg or None)
     return value
 
 
-def rule_column(rule: Rule, page: Page, json: Column) -> Column:
-    """STRING for a single pick, ARRAY<STRING> for ``all``; null when it fails."""
+def is_list(rule: Rule) -> bool:
+    return rule.pick == "all" or rule.read == "lines"
+
+
+def rule_sql(rule: Rule, page: Page, json: str) -> str:
+    """STRING for a single pick, ARRAY<STRING> for a list; null when it fails."""
     if rule.source == "json":
-        value = F.get_json_object(json, rule.selector)
+        value = f"get_json_object({json}, {q(rule.selector)})"
         if rule.pick == "all":
-            return F.transform(F.from_json(value, "array<string>"), lambda v: apply_post(v, rule.post))
+            return each(f"from_json({value}, 'array<string>')", lambda v: apply_post(v, rule.post))
         return apply_post(value, rule.post)
     found = page.all(rule.selector) if rule.within is None else page.first(rule.within).inside(rule.selector)
     if rule.pick == "one":
@@ -82,26 +86,25 @@ def rule_column(rule: Rule, page: Page, json: Column) -> Column:
     values = {
         "text": found.text,
         "string": found.string,
-        "lines": lambda: F.flatten(found.lines()),
+        "lines": lambda: f"flatten({found.lines()})",
         "attr": lambda: found.attr(rule.arg),
         "need": lambda: found.need(rule.arg),
     }[rule.read]()
-    values = F.transform(values, lambda v: apply_post(v, rule.post))
-    return values if rule.pick == "all" or rule.read == "lines" else one(values)
+    if rule.post:
+        values = each(values, lambda v: apply_post(v, rule.post))
+    return values if is_list(rule) else one(values)
 
 
-def fallback_chain(rules: Iterable[Rule], page: Page, json: Column) -> Column:
+def fallback_chain(rules: Iterable[Rule], page: Page, json: str) -> str:
     """First rule by priority that yields something.
 
     A list that found nothing gives way to the next rule, like a missing value.
     """
-    columns = []
+    candidates = []
     for rule in sorted(rules, key=lambda r: r.priority):
-        column = rule_column(rule, page, json)
-        if rule.pick == "all" or rule.read == "lines":
-            column = F.when(F.size(column) > 0, column)
-        columns.append(column)
-    return F.coalesce(*columns)
+        value = rule_sql(rule, page, json)
+        candidates.append(f"get(filter(array({value}), x -> size(x) > 0), 0)" if is_list(rule) else value)
+    return either(*candidates) if len(candidates) > 1 else candidates[0]
 
 
 def rules_from_table(table: DataFrame) -> list[Rule]:

@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from listloom.functions import sizes as S
 from listloom.functions import text as X
+from listloom.functions.sql import NO_TEXTS, case, either, q
 from listloom.operators.dom import Page
-from listloom.operators.rules import Rule, fallback_chain
-from listloom.plans.sites import SITES, Site
+from listloom.operators.rules import Rule, fallback_chain, is_list
+from listloom.plans.sites import IS_JSON, SITES, Site
 from listloom.schemas import PRODUCT_FIELDS
 from listloom.sources.pages import parse_pages
 
-#: A text service as a Column expression; the default leaves texts as they are.
-Translator = Callable[[Column], Column]
+#: A text service as an expression over text; the default leaves texts as they are.
+Translator = Callable[[str], str]
 
 
-def keep_text(text: Column) -> Column:
+def keep_text(text: str) -> str:
     return text
 
 
-def default_of(kind: str) -> Column:
+def default_of(kind: str) -> str:
     """The "nothing found" value of a field type."""
     if kind == "string":
-        return F.lit("")
+        return "''"
     if kind.startswith("array"):
-        return F.array().cast(kind)
-    nothing = F.array().cast("array<string>")
-    return F.struct(nothing.alias("titles"), nothing.alias("bullets"))
+        return f"cast(array() AS {kind})"
+    return f"named_struct('titles', {NO_TEXTS}, 'bullets', {NO_TEXTS})"
 
 
-def _by_site(branches: Sequence[tuple[str, Column]]) -> Column:
-    """One value chosen by the ``site`` column, null for other sites."""
-    first, *rest = branches
-    out = F.when(F.col("site") == first[0], first[1])
-    return reduce(lambda col, b: col.when(F.col("site") == b[0], b[1]), rest, out)
+def is_site(*names: str) -> str:
+    return f"site IN ({', '.join(q(n) for n in names)})" if names else "false"
 
 
 def extract_fields(
@@ -51,84 +46,88 @@ def extract_fields(
     ``errors`` lists the fields a site has a source for but which were not found.
     The result keeps the key columns, ``site`` and ``kind``.
     """
-    page, body = Page(), F.col("json_body")
+    page, body = Page(), "json_body"
     sites, rules = list(sites), list(rules)
     kinds = dict(PRODUCT_FIELDS)
     for rule in rules:
-        kinds.setdefault(rule.field, "array<string>" if rule.pick == "all" or rule.read == "lines" else "string")
+        kinds.setdefault(rule.field, "array<string>" if is_list(rule) else "string")
     fields = list(kinds) if fields is None else list(fields)
 
-    meta_columns: dict[str, Column] = {}
-    sources: dict[str, list[tuple[str, Column]]] = {f: [] for f in fields}
+    metadata: dict[str, str] = {}
+    sources: dict[str, list[tuple[str, str]]] = {f: [] for f in fields}
     for number, site in enumerate(sites):
-        meta_name = f"_meta_{number}"
-        meta = F.col(meta_name) if site.metadata else None
+        meta = f"_meta_{number}"
         computed = site.computed(page, meta)
         for field in fields:
             replaced = [r for r in rules if (r.site, r.field) == (site.name, field)]
             chain = replaced or [r for r in site.rules if r.field == field]
             if field in computed and not replaced:
-                column = computed[field]()
+                value = computed[field]()
             elif chain:
-                column = fallback_chain(chain, page, body)
+                value = fallback_chain(chain, page, body)
             else:
                 continue
-            sources[field].append((site.name, column))
-            if site.metadata and meta_name not in meta_columns and field in computed:
-                meta_columns[meta_name] = F.when(F.col("site") == site.name, site.metadata(page, body))
+            sources[field].append((site.name, value))
+            if meta in value and meta not in metadata:
+                metadata[meta] = case([(is_site(site.name), site.metadata(page))])
     known = {s.name for s in sites}
     for field in fields:
         for name in dict.fromkeys(r.site for r in rules if r.field == field and r.site not in known):
             chain = [r for r in rules if (r.site, r.field) == (name, field)]
             sources[field].append((name, fallback_chain(chain, page, body)))
 
-    is_json = F.col("kind") == "json"
-    keys = [c for c in documents.columns if c not in ("body",)]
-    split = documents.select(
-        *keys, F.when(is_json, F.col("body")).alias("json_body"), F.when(~is_json, F.col("body")).alias("html")
+    keys = [c for c in documents.columns if c != "body"]
+    split = documents.selectExpr(
+        *keys, f"if({IS_JSON}, body, NULL) AS json_body", f"if({IS_JSON}, NULL, body) AS html"
     )
     parsed = parse_pages(split, wanted=page.wanted())
-    if meta_columns:
-        parsed = parsed.select("*", *[c.alias(n) for n, c in meta_columns.items()])
+    if metadata:
+        parsed = parsed.selectExpr("*", *[f"{value} AS {name}" for name, value in metadata.items()])
     present = [f for f in fields if sources[f]]
-    raw = parsed.select(*keys, "parse_error", *[_by_site(sources[f]).alias(f"_{f}") for f in present])
-    missing = [
-        F.when(F.col("site").isin(*[name for name, _ in sources[f]]) & F.col(f"_{f}").isNull(), F.lit(f))
-        for f in present
+    chosen = [
+        f"{case([(is_site(name), value) for name, value in sources[f]])} AS _{f}" for f in present
     ]
+    raw = parsed.selectExpr(*keys, "parse_error", *chosen)
+    missing = [f"if({is_site(*[name for name, _ in sources[f]])} AND _{f} IS NULL, '{f}', NULL)" for f in present]
     values = [
-        F.coalesce(F.col(f"_{f}"), default_of(kinds[f])).alias(f) if f in present else default_of(kinds[f]).alias(f)
-        for f in fields
+        f"{either(f'_{f}', default_of(kinds[f])) if f in present else default_of(kinds[f])} AS {f}" for f in fields
     ]
-    broken = F.when(F.col("parse_error").isNotNull(), F.lit("page"))
-    return raw.select(*keys, *values, F.array_compact(F.array(broken, *missing)).alias("errors"))
+    broken = "if(parse_error IS NULL, NULL, 'page')"
+    return raw.selectExpr(*keys, *values, f"array_compact(array({', '.join([broken, *missing])})) AS errors")
 
 
 def site_names(test: Callable[[Site], bool], sites: Iterable[Site] = SITES) -> list[str]:
     return [s.name for s in sites if test(s)]
 
 
-def brand_of(site: Column, extracted: Column) -> Column:
+def brand_of(site: str, extracted: str) -> str:
     """Malls name the brand on the page, other shops are the brand.
 
     A mall page without a brand gives an empty brand, not the name of the mall.
     """
-    malls = site_names(lambda s: s.has_brand)
-    return F.when(site.isin(*malls), X.title_case(F.coalesce(extracted, F.lit("")))).otherwise(site)
+    malls = ", ".join(q(n) for n in site_names(lambda s: s.has_brand))
+    return f"if({site} IN ({malls}), {X.title_case(f"coalesce({extracted}, '')")}, {site})"
 
 
-def converted_sizes(site: Column, sizes: Column, size_type: Column, audience: Column) -> Column:
+def converted_sizes(sizes: str, size_type: str, audience: str) -> str:
     """Sizes by size type; shops without a converter keep theirs."""
     kind = S.resolve_size_type(size_type, audience)
-    converting = site.isin(*site_names(lambda s: s.converts_sizes))
-    out = F.when(~converting, sizes)
-    out = out.when(kind == S.MEN, S.convert_sizes(sizes, "mens")).when(
-        kind == S.WOMEN, S.convert_sizes(sizes, "womens")
-    )
+    converting = is_site(*site_names(lambda s: s.converts_sizes))
+    branches = [
+        (f"NOT {converting}", sizes),
+        (f"{kind} = {S.MEN}", S.convert_sizes(sizes, "mens")),
+        (f"{kind} = {S.WOMEN}", S.convert_sizes(sizes, "womens")),
+    ]
     for group in ("kids", "kids_with_k", "kids_with_front_k"):
         names = site_names(lambda s: s.converts_sizes and s.kids_group == group)
-        out = out.when((kind == S.KIDS) & site.isin(*names), S.convert_sizes(sizes, group))
-    return out.otherwise(sizes)
+        branches.append((f"{kind} = {S.KIDS} AND {is_site(*names)}", S.convert_sizes(sizes, group)))
+    return case(branches, sizes)
+
+
+def replacing(df: DataFrame, **values: str) -> DataFrame:
+    """Add or replace columns by expressions."""
+    kept = [c for c in df.columns if c not in values]
+    return df.selectExpr(*kept, *[f"{value} AS {name}" for name, value in values.items()])
 
 
 def finish_products(raw: DataFrame, translator: Translator = keep_text) -> DataFrame:
@@ -137,24 +136,19 @@ def finish_products(raw: DataFrame, translator: Translator = keep_text) -> DataF
     ``raw`` carries ``size_type_asked`` (1 men, 2 women, 3 kids, 4 unchanged,
     5 from the page) beside the extracted fields.
     """
-    site = F.col("site")
-    korean = site.isin(*site_names(lambda s: s.has_korean_name))
-    branded = raw.withColumns(
-        {
-            "brand_name": brand_of(site, F.col("brand_name")),
-            "product_name_ko": F.when(korean, F.col("product_name_ko")).otherwise(translator(F.col("product_name"))),
-            "price": X.without_currency(F.col("price")),
-            "size_options": converted_sizes(
-                site, F.col("size_options"), F.col("size_type_asked"), F.col("size_type")
-            ),
-            "title_image": F.coalesce(F.get("images", F.lit(0)), F.lit("")),
-        }
+    korean = is_site(*site_names(lambda s: s.has_korean_name))
+    branded = replacing(
+        raw,
+        brand_name=brand_of("site", "brand_name"),
+        product_name_ko=f"if({korean}, product_name_ko, {translator('product_name')})",
+        price=X.without_currency("price"),
+        size_options=converted_sizes("size_options", "size_type_asked", "size_type"),
+        title_image="coalesce(get(images, 0), '')",
     )
-    named = branded.withColumn("brand_name_ko", X.squash(translator(F.col("brand_name"))))
-    return named.withColumns(
-        {
-            "full_title": X.full_title(F.col("brand_name_ko"), F.col("product_name_ko"), F.col("product_name")),
-            "price_num": F.col("price").try_cast("decimal(12,2)"),
-            "size_quantity_options": S.quantity_labels(F.col("size_options")),
-        }
+    named = replacing(branded, brand_name_ko=X.squash(translator("brand_name")))
+    return replacing(
+        named,
+        full_title=X.full_title("brand_name_ko", "product_name_ko", "product_name"),
+        price_num="try_cast(price AS decimal(12,2))",
+        size_quantity_options=S.quantity_labels("size_options"),
     )

@@ -1,19 +1,19 @@
 """Render catalogue tables as shop pages.
 
-The inverse of extraction, as Column expressions: one page per part in the markup
-of shop ``p_partkey % 8``.  Extracting the pages again and comparing with plain SQL
+The inverse of extraction, as SQL expressions: one page per part in the markup of
+shop ``p_partkey % 8``.  Extracting the pages again and comparing with plain SQL
 on the catalogue checks parser, selectors, rules and assembly end to end.  Nothing
 is stored; pages exist only inside a query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listloom.functions.listing_html import fill
+from listloom.functions.sql import case, each, fill, keep, q, texts
 from listloom.plans.sites import SITES
-from listloom.sources.dims import host_map, text_array
+from listloom.sources.dims import host_map
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,340 +34,315 @@ def stocked_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def size_text(quantity: Column) -> Column:
+def size_text(quantity: str) -> str:
     """Half the quantity as US size text: ``7``, ``7.5``."""
-    return F.regexp_replace((quantity / 2).cast("string"), r"\.0$", "")
+    return f"regexp_replace(cast({quantity} / 2 AS string), {q(r'\.0$')}, '')"
 
 
-def price_text(price: Column) -> Column:
-    return price.cast("decimal(12,2)").cast("string")
+def price_text(price: str) -> str:
+    return f"cast(cast({price} AS decimal(12,2)) AS string)"
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per part with everything a page shows."""
+    """One row per part with everything a page shows.
+
+    ``k`` numbers the shop and ``c`` the case within it; ``links`` are the next
+    up to three parts of the same block of ten, the colour family.
+    """
     part = table(spark, sf_dir, "part")
-    site = F.get(text_array([s.name for s in SITES]), F.col("k"))
-    none = F.array().cast("array<double>")
-    links = F.least(F.lit(3), 9 - F.col("p_partkey") % 10).cast("int")
-    rows = part.withColumns(
-        {"k": (F.col("p_partkey") % 8).cast("int"), "c": F.floor(F.col("p_partkey") / 8)}
-    ).withColumns(
-        {
-            "site": site,
-            "audience": F.get(text_array(["Women's Sizes", "Men's Sizes", "Unisex", "Big Kid"]), (F.col("c") % 4).cast("int")),
-            "won": F.concat(F.format_number(F.col("p_retailprice").cast("decimal(12,2)") * 100, 0), F.lit(" 원")),
-            "usd": F.concat(F.lit("$"), price_text(F.col("p_retailprice"))),
-            "usd_sale": F.concat(F.lit("$"), price_text(F.col("p_retailprice") - 10)),
-            "pictures": F.sequence(F.lit(1), F.col("p_size") % 5 + 1),
-            "links": F.transform(
-                F.filter(F.sequence(F.lit(1), F.lit(3)), lambda i: i <= links), lambda i: F.col("p_partkey") + i
-            ),
-            "described": F.col("c") % 5 != 4,
-        }
+    numbered = part.selectExpr("*", "cast(p_partkey % 8 AS int) AS k", "cast(floor(p_partkey / 8) AS bigint) AS c")
+    shown = numbered.selectExpr(
+        "*",
+        f"get({texts([s.name for s in SITES])}, k) AS site",
+        f"get({texts(["Women's Sizes", "Men's Sizes", "Unisex", "Big Kid"])}, cast(c % 4 AS int)) AS audience",
+        "concat(format_number(cast(p_retailprice AS decimal(12,2)) * 100, 0), ' 원') AS won",
+        f"concat('$', {price_text('p_retailprice')}) AS usd",
+        f"concat('$', {price_text('p_retailprice - 10')}) AS usd_sale",
+        "sequence(1, p_size % 5 + 1) AS pictures",
+        "transform(filter(array(1, 2, 3), i -> i <= 9 - p_partkey % 10), i -> p_partkey + i) AS links",
+        "c % 5 <> 4 AS described",
     )
-    rows = rows.withColumn(
-        "url",
-        F.concat(
-            F.try_element_at(host_map(), F.col("site")), F.lit("/p/"), F.col("p_partkey").cast("string"),
-            F.lit(".html?color="), (F.col("p_partkey") % 7).cast("string"),
-        ),
+    addressed = shown.selectExpr(
+        "*", f"concat(try_element_at({host_map()}, site), '/p/', p_partkey, '.html?color=', p_partkey % 7) AS url"
     )
-    sized = rows.join(stocked_sizes(spark, sf_dir), rows["p_partkey"] == F.col("l_partkey"), "left").drop("l_partkey")
-    return sized.withColumns(
-        {"quantities": F.coalesce("quantities", none), "in_stock": F.coalesce("in_stock", none)}
+    none = "cast(array() AS array<double>)"
+    sized = addressed.join(stocked_sizes(spark, sf_dir), F.expr("p_partkey = l_partkey"), "left")
+    return sized.selectExpr(
+        *addressed.columns,
+        f"coalesce(quantities, {none}) AS quantities",
+        f"coalesce(in_stock, {none}) AS in_stock",
     )
 
 
-def _each(items: Column, template: str, **parts) -> Column:
-    """Fill a template per list item; a part may depend on the item."""
+def _each(items: str, template: str, **parts) -> str:
+    """Fill a template per list item; a part may be a function of the item."""
 
-    def one_item(x: Column) -> Column:
-        return fill(template, **{k: (v(x) if callable(v) and not isinstance(v, Column) else v) for k, v in parts.items()})
+    def one_item(x: str) -> str:
+        return fill(template, **{k: (v(x) if callable(v) else v) for k, v in parts.items()})
 
-    return F.array_join(F.transform(items, one_item), "")
+    return f"array_join({each(items, one_item)}, '')"
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
+def _item(x: str) -> str:
+    return f"cast({x} AS string)"
 
 
-def _attribute(json: Column) -> Column:
+def _attribute(json: str) -> str:
     """JSON as an attribute value."""
-    return F.replace(json, F.lit('"'), F.lit("&quot;"))
+    return f"replace({json}, '\"', '&quot;')"
 
 
 HEAD = (
     '<!DOCTYPE html><html><head><meta charset="utf-8"><title>shop</title><style>p{margin:0}</style>'
     '<script>var t="</p>";track(1);</script>'
 )
-PROLOGUE = "</head><body><nav><ul><li><a href=\"/\">home</a></li></ul></nav><!-- ad --><b>hot"
+PROLOGUE = '</head><body><nav><ul><li><a href="/">home</a></li></ul></nav><!-- ad --><b>hot'
 EPILOGUE = "<footer>&copy; shop</footer></body></html>"
 
 
-def _page(*body: Column, head: Column | None = None) -> Column:
-    top = F.concat(F.lit(HEAD), head if head is not None else F.lit(""), F.lit(PROLOGUE))
-    return F.concat(top, *body, F.lit(EPILOGUE))
+def _page(*body: str, top: str = "''") -> str:
+    return f"concat({', '.join([q(HEAD), top, q(PROLOGUE), *body, q(EPILOGUE)])})"
 
 
-def _stocked(q: Column) -> Column:
-    return F.array_contains(F.col("in_stock"), q)
+def _stocked(quantity: str) -> str:
+    return f"array_contains(in_stock, {quantity})"
 
 
-def _zappos_page() -> Column:
-    p = _text(F.col("p_partkey"))
-    key = {"p": p, "i": _text}
-    name = fill('<meta itemprop="name" content="{b} {n}">', b=F.col("p_brand"), n=F.col("p_name"))
-    brand = fill('<span itemprop="brand"><i>by</i><span itemprop="name"> {b} </span></span>', b=F.col("p_brand"))
-    price = fill(
-        '<span itemprop="price">from</span><span itemprop="price" content="1" aria-label="{usd}">{usd}</span>',
-        usd=F.col("usd"),
-    )
-    images = _each(
-        F.col("pictures"), '<img src="https://img.test/{p}-{i}._AC_SR38,50_.jpg" srcset="2x">', **key
-    )
-    sizes = _each(
-        F.col("quantities"),
-        '<input data-track-label="size" data-label="{s}" aria-label="Size {s}{out}">',
-        s=size_text,
-        out=lambda q: F.when(_stocked(q), "").otherwise(" is Out Of Stock"),
-    )
-    odd = F.when(F.col("c") % 10 == 3, '<input data-track-label="size" data-label="9D" aria-label="Size 9D">').otherwise("")
-    text = fill(
-        '<div itemprop="description"><ul><li> {t} </li><li>SKU {p}</li><li>size {z}</li></ul><ul><li>no</li></ul></div>',
-        t=F.col("p_type"), p=p, z=_text(F.col("p_size")),
-    )
-    return _page(
-        F.lit('<div id="stage"><img src="/logo.png">'), images, F.lit("</div>"), brand, price,
-        fill('<fieldset><legend id="sizingChooser">{a}</legend>', a=F.col("audience")), sizes, odd,
-        F.lit("</fieldset>"), F.when(F.col("described"), text).otherwise(""), head=name,
-    )
+def _unless_stocked(text: str):
+    return lambda x: f"if({_stocked(x)}, '', {q(text)})"
+
+
+def _described(text: str) -> str:
+    return f"if(described, {text}, '')"
+
+
+P, SIZE = "cast(p_partkey AS string)", "cast(p_size AS string)"
 
 
-def _vans_page() -> Column:
-    p = _text(F.col("p_partkey"))
-    turn = F.col("c") % 3
-    meta = F.when(
-        turn == 0,
-        F.concat(
-            F.lit('<script data-json-ld="product">'),
-            F.to_json(F.struct(F.struct(price_text(F.col("p_retailprice")).alias("price")).alias("offers"))),
-            F.lit("</script>"),
+def _zappos_page() -> str:
+    return _page(
+        q('<div id="stage"><img src="/logo.png">'),
+        _each("pictures", '<img src="https://img.test/{p}-{i}._AC_SR38,50_.jpg" srcset="2x">', p=P, i=_item),
+        q("</div>"),
+        fill('<span itemprop="brand"><i>by</i><span itemprop="name"> {b} </span></span>', b="p_brand"),
+        fill(
+            '<span itemprop="price">from</span><span itemprop="price" content="1" aria-label="{usd}">{usd}</span>',
+            usd="usd",
         ),
-    ).otherwise("")
-    sale = F.when(turn == 1, fill('<ins class="vf-price--sale"> {x} </ins>', x=F.col("usd_sale"))).otherwise("")
-    usual = fill('<div class="vf-product-price"> {x} </div>', x=F.col("usd"))
-    images = _each(
-        F.col("pictures"), '<button data-image-hr-src="https://img.test/{p}-{i}.jpg"></button>', p=p, i=_text
-    )
-    long = fill(
-        '<div class="vf-product-details__description"><p>{t}</p><p> </p><ul><li>size {z}</li></ul></div>',
-        t=F.col("p_type"), z=_text(F.col("p_size")),
-    )
-    plain = fill('<div class="vf-product-details__description"> {t} </div>', t=F.col("p_type"))
-    text = F.when(F.col("c") % 5 == 3, plain).when(F.col("described"), long).otherwise("")
-    color = fill(
-        '<h3 data-id="colors-selector-on-static-pdp">{l}Red {p}</h3>',
-        l=F.when(F.col("c") % 2 == 0, "Color: ").otherwise(""), p=p,
+        fill('<fieldset><legend id="sizingChooser">{a}</legend>', a="audience"),
+        _each(
+            "quantities",
+            '<input data-track-label="size" data-label="{s}" aria-label="Size {s}{out}">',
+            s=size_text,
+            out=_unless_stocked(" is Out Of Stock"),
+        ),
+        f"if(c % 10 = 3, {q('<input data-track-label="size" data-label="9D" aria-label="Size 9D">')}, '')",
+        q("</fieldset>"),
+        _described(
+            fill(
+                '<div itemprop="description"><ul><li> {t} </li><li>SKU {p}</li><li>size {z}</li></ul>'
+                "<ul><li>no</li></ul></div>",
+                t="p_type", p=P, z=SIZE,
+            )
+        ),
+        top=fill('<meta itemprop="name" content="{b} {n}">', b="p_brand", n="p_name"),
     )
-    swatches = _each(F.col("links"), '<button aria-label="VN{q}X - Red"></button>', q=_text)
+
+
+def _vans_page() -> str:
+    offer = f"to_json(named_struct('offers', named_struct('price', {price_text('p_retailprice')})))"
+    meta = fill('<script data-json-ld="product">{j}</script>', j=offer)
+    sale = fill('<ins class="vf-price--sale"> {x} </ins>', x="usd_sale")
+    box = '<div class="vf-product-details__description">'
+    long = fill(box + "<p>{t}</p><p> </p><ul><li>size {z}</li></ul></div>", t="p_type", z=SIZE)
     return _page(
-        fill('<h1 class="big vf-heading__title">{n}</h1>', n=F.col("p_name")), sale, usual,
-        F.lit('<div class="image-grid"><button>zoom</button>'), images, F.lit("</div>"), text, color,
-        F.lit('<div class="color-swatch__wrapper" aria-label="Color">'), swatches,
-        F.lit('</div><div class="color-swatch__wrapper" aria-label="Other"><button aria-label="no"></button></div>'),
-        head=meta,
+        fill('<h1 class="big vf-heading__title">{n}</h1>', n="p_name"),
+        f"if(c % 3 = 1, {sale}, '')",
+        fill('<div class="vf-product-price"> {x} </div>', x="usd"),
+        q('<div class="image-grid"><button>zoom</button>'),
+        _each("pictures", '<button data-image-hr-src="https://img.test/{p}-{i}.jpg"></button>', p=P, i=_item),
+        q("</div>"),
+        case([("c % 5 = 3", fill(box + " {t} </div>", t="p_type")), ("described", long)], "''"),
+        fill(
+            '<h3 data-id="colors-selector-on-static-pdp">{l}Red {p}</h3>', l="if(c % 2 = 0, 'Color: ', '')", p=P
+        ),
+        q('<div class="color-swatch__wrapper" aria-label="Color">'),
+        _each("links", '<button aria-label="VN{q}X - Red"></button>', q=_item),
+        q('</div><div class="color-swatch__wrapper" aria-label="Other"><button aria-label="no"></button></div>'),
+        top=f"if(c % 3 = 0, {meta}, '')",
     )
 
 
-def _lacoste_json() -> Column:
-    p = _text(F.col("p_partkey"))
-    texts = F.struct(
-        F.array(F.col("p_type")).alias("texts"),
-        F.array(F.concat(F.lit("size "), _text(F.col("p_size")))).alias("list"),
-    )
-    descriptions = F.when(F.col("described"), F.array(texts)).otherwise(F.filter(F.array(texts), lambda t: F.lit(False)))
-    images = F.transform(
-        F.col("pictures"),
-        lambda i: F.struct(F.concat(F.lit("//img.test/"), p, F.lit("-"), _text(i), F.lit(".jpg")).alias("desktopUrl")),
+def _lacoste_json() -> str:
+    given = f"named_struct('texts', array(p_type), 'list', array(concat('size ', {SIZE})))"
+    images = each("pictures", lambda i: f"named_struct('desktopUrl', concat('//img.test/', {P}, '-', {i}, '.jpg'))")
+    sizes = each(
+        "quantities", lambda x: f"named_struct('label', {size_text(x)}, 'unavailable', NOT {_stocked(x)})"
     )
-    sizes = F.transform(
-        F.col("quantities"), lambda q: F.struct(size_text(q).alias("label"), (~_stocked(q)).alias("unavailable"))
+    product = (
+        f"named_struct('name', p_name, 'pricing', named_struct('salesPrice', named_struct('format', usd)), "
+        f"'gallery', named_struct('images', {images}), "
+        f"'description', named_struct('descriptions', filter(array({given}), x -> described)), "
+        f"'variations', named_struct('size', named_struct('list', {sizes})))"
     )
-    product = F.struct(
-        F.col("p_name").alias("name"),
-        F.struct(F.struct(F.col("usd").alias("format")).alias("salesPrice")).alias("pricing"),
-        F.struct(images.alias("images")).alias("gallery"),
-        F.struct(descriptions.alias("descriptions")).alias("description"),
-        F.struct(F.struct(sizes.alias("list")).alias("size")).alias("variations"),
-    )
-    return F.to_json(F.struct(product.alias("product")))
+    return f"to_json(named_struct('product', {product}))"
 
 
-def _adidas_page() -> Column:
-    p = _text(F.col("p_partkey"))
-    views = F.transform(
-        F.col("pictures"),
-        lambda i: F.struct(F.concat(F.lit("https://img.test/w_600/"), p, F.lit("-"), _text(i), F.lit(".jpg")).alias("image_url")),
-    )
-    text = F.struct(
-        F.col("p_type").alias("subtitle"), F.concat(F.lit("size "), _text(F.col("p_size"))).alias("text"),
-        F.array(F.concat(F.lit("SKU "), p)).alias("usps"),
-    )
-    data = F.struct(views.alias("view_list"), F.when(F.col("described"), text).alias("product_description"))
-    state = F.struct(F.array(F.struct(F.struct(data.alias("data")).alias("state"))).alias("queries"))
-    script = F.concat(F.lit("<script>window.REACT_QUERY_DATA = "), F.to_json(state), F.lit(");\n</script>"))
-    sale = F.when(F.col("c") % 3 == 0, fill('<div class="gl-price-item--sale">{x}</div>', x=F.col("usd_sale"))).otherwise("")
-    pair = F.col("c") % 2 == 0
-    sizes = _each(
-        F.col("quantities"), '<button class="size___2lbev{out}"> {s} </button>',
-        out=lambda q: F.when(_stocked(q), "").otherwise(" size--unavailable"),
-        s=lambda q: F.when(pair, F.concat(F.lit("M "), size_text(q), F.lit(" / W "), size_text(q + 2))).otherwise(size_text(q)),
+def _adidas_page() -> str:
+    views = each(
+        "pictures", lambda i: f"named_struct('image_url', concat('https://img.test/w_600/', {P}, '-', {i}, '.jpg'))"
     )
+    text = f"named_struct('subtitle', p_type, 'text', concat('size ', {SIZE}), 'usps', array(concat('SKU ', {P})))"
+    data = f"named_struct('view_list', {views}, 'product_description', if(described, {text}, NULL))"
+    state = f"to_json(named_struct('queries', array(named_struct('state', named_struct('data', {data})))))"
     return _page(
-        F.lit("<script>window.DATA_STORE = 1;</script>"), script,
-        fill('<h1 data-auto-id="product-title">{n}</h1>', n=F.col("p_name")), sale,
-        fill('<div data-auto-id="gl-price-item">{x}</div>', x=F.col("usd")), F.lit("<section>"), sizes, F.lit("</section>"),
+        q("<script>window.DATA_STORE = 1;</script>"),
+        fill("<script>window.REACT_QUERY_DATA = {j});\n</script>", j=state),
+        fill('<h1 data-auto-id="product-title">{n}</h1>', n="p_name"),
+        f"if(c % 3 = 0, {fill('<div class="gl-price-item--sale">{x}</div>', x='usd_sale')}, '')",
+        fill('<div data-auto-id="gl-price-item">{x}</div>', x="usd"),
+        q("<section>"),
+        _each(
+            "quantities",
+            '<button class="size___2lbev{out}"> {s} </button>',
+            out=_unless_stocked(" size--unavailable"),
+            s=lambda x: f"if(c % 2 = 0, concat('M ', {size_text(x)}, ' / W ', {size_text(f'({x} + 2)')}), {size_text(x)})",
+        ),
+        q("</section>"),
     )
 
 
-def _asics_page() -> Column:
-    p = _text(F.col("p_partkey"))
-    kids = F.col("c") % 4 == 3
-
-    def label(q: Column) -> Column:
-        front = F.when(kids & (q >= 14) & (q <= 27), "K").otherwise("")
-        return F.concat(front, size_text(q))
+def _asics_page() -> str:
+    def label(x: str) -> str:
+        return f"concat(if(c % 4 = 3 AND {x} BETWEEN 14 AND 27, 'K', ''), {size_text(x)})"
 
-    sold_out = F.filter(F.col("quantities"), lambda q: ~_stocked(q))
-    data = F.struct(
-        F.array(F.col("p_name")).alias("product_name"),
-        F.array(price_text(F.col("p_retailprice"))).alias("product_unit_price"),
-        F.transform(F.col("quantities"), label).alias("product_sizes"),
-        F.array_join(F.transform(sold_out, label), "|").alias("product_no_stock_sizes"),
-        F.array(F.get(text_array(["WOMEN", "MEN", "UNISEX", "KIDS"]), (F.col("c") % 4).cast("int"))).alias("product_gender"),
-    )
-    script = F.concat(F.lit("<script>\n\tvar utag_data = "), F.to_json(data), F.lit(";\n\t</script>"))
-    images = _each(
-        F.col("pictures"), '<li><span data-zoom-image="https://img.test/{p}-{i}.jpg"></span></li>', p=p, i=_text
-    )
-    text = fill(
-        '<div class="product-info-section-inner"><p> {t} </p><p>size {z}</p></div>'
-        '<div class="product-features-section"><ul><li><div> SKU {p} </div> tail </li></ul></div>',
-        t=F.col("p_type"), z=_text(F.col("p_size")), p=p,
-    )
-    links = _each(
-        F.col("links"),
-        '<li class="variants__item--color" aria-checked="false"><a href="https://www.asics.com/p/{q}.html">c</a></li>',
-        q=_text,
+    sold_out = each(keep("quantities", lambda x: f"NOT {_stocked(x)}"), label)
+    data = (
+        f"named_struct('product_name', array(p_name), 'product_unit_price', array({price_text('p_retailprice')}), "
+        f"'product_sizes', {each('quantities', label)}, "
+        f"'product_no_stock_sizes', array_join({sold_out}, '|'), "
+        f"'product_gender', array(get({texts(['WOMEN', 'MEN', 'UNISEX', 'KIDS'])}, cast(c % 4 AS int))))"
     )
     return _page(
-        script, F.lit('<ul class="product-primary-image">'), images, F.lit("</ul>"),
-        F.when(F.col("described"), text).otherwise(""),
-        F.lit('<ul><li class="variants__item--color" aria-checked="true"><a href="/self">c</a></li>'), links, F.lit("</ul>"),
+        fill("<script>\n\tvar utag_data = {j};\n\t</script>", j=f"to_json({data})"),
+        q('<ul class="product-primary-image">'),
+        _each("pictures", '<li><span data-zoom-image="https://img.test/{p}-{i}.jpg"></span></li>', p=P, i=_item),
+        q("</ul>"),
+        _described(
+            fill(
+                '<div class="product-info-section-inner"><p> {t} </p><p>size {z}</p></div>'
+                '<div class="product-features-section"><ul><li><div> SKU {p} </div> tail </li></ul></div>',
+                t="p_type", z=SIZE, p=P,
+            )
+        ),
+        q('<ul><li class="variants__item--color" aria-checked="true"><a href="/self">c</a></li>'),
+        _each(
+            "links",
+            '<li class="variants__item--color" aria-checked="false"><a href="https://www.asics.com/p/{q}.html">c</a></li>',
+            q=_item,
+        ),
+        q("</ul>"),
     )
 
 
-def sku_label(q: Column) -> Column:
-    """Korean size label: foot length, or a clothing size on every fourth page."""
-    whole = q.cast("int")
-    clothing = F.concat(F.lit("0"), _text(whole), F.lit("(W"), _text(whole), F.lit(")"))
-    return F.when(F.col("c") % 4 == 3, clothing).otherwise(F.concat(_text(whole * 5), F.lit("MM")))
+def sku_json() -> str:
+    """Skus of a Korean page; on every third page the first label comes twice."""
 
+    def sku(x: str, quantity: str) -> str:
+        option = f"array('284', cast(cast({x} AS int) + 500 AS string))"
+        return f"named_struct('price', won, 'quantity', cast({quantity} AS int), 'selectedOptions', {option})"
 
-def sku_json() -> Column:
-    """Skus of a Korean page; on every third page the first label comes twice."""
+    skus = each("quantities", lambda x: sku(x, f"if({_stocked(x)}, {x}, 0)"))
+    again = each("slice(quantities, 1, 1)", lambda x: sku(x, "3"))
+    return f"to_json(concat({skus}, if(c % 3 = 0, {again}, slice({again}, 1, 0))))"
 
-    def sku(q: Column, quantity: Column) -> Column:
-        return F.struct(
-            F.col("won").alias("price"), quantity.cast("int").alias("quantity"),
-            F.array(F.lit("284"), _text(q.cast("int") + 500)).alias("selectedOptions"),
-        )
 
-    skus = F.transform(F.col("quantities"), lambda q: sku(q, F.when(_stocked(q), q).otherwise(0)))
-    again = F.transform(F.slice(F.col("quantities"), 1, 1), lambda q: sku(q, F.lit(3)))
-    return F.to_json(F.when(F.col("c") % 3 == 0, F.concat(skus, again)).otherwise(skus))
+def option_json() -> str:
+    """Options of a Korean page: a foot length, or a clothing size on every fourth."""
 
+    def label(x: str) -> str:
+        whole = f"cast({x} AS int)"
+        return f"if(c % 4 = 3, concat('0', {whole}, '(W', {whole}, ')'), concat({whole} * 5, 'MM'))"
 
-def option_json() -> Column:
-    sizes = F.transform(
-        F.col("quantities"),
-        lambda q: F.struct((q.cast("int") + 500).alias("id"), sku_label(q).alias("friendlyName")),
+    sizes = each(
+        "quantities", lambda x: f"named_struct('id', cast({x} AS int) + 500, 'friendlyName', {label(x)})"
     )
-    color = F.concat(F.lit('{"values":{"284":"LIGHT_'), F.upper(F.col("p_type")), F.lit('"}}'))
-    return F.concat(F.lit("["), color, F.lit(","), F.to_json(F.struct(sizes.alias("allowedValues"))), F.lit("]"))
+    color = f"""concat('{{"values":{{"284":"LIGHT_', upper(p_type), '"}}}}')"""
+    return f"concat('[', {color}, ',', to_json(named_struct('allowedValues', {sizes})), ']')"
 
 
-def _north_face_page() -> Column:
-    p = _text(F.col("p_partkey"))
-    box = fill(
-        '<div class="product-information fixit-container" data-product-id="{p}" data-sku-data="{s}" data-product-options="{o}">',
-        p=p, s=_attribute(sku_json()), o=_attribute(option_json()),
-    )
-    images = _each(
-        F.col("pictures"), '<li class="thumb-list"><img src="https://img.test/{p}-{i}.jpg?thumbnail"></li>', p=p, i=_text
-    )
-    text = fill(
-        '<div class="display-small-up"><p> {t} <br/>size {z}<br/>SKU {p}</p><p>no</p></div>',
-        t=F.col("p_type"), z=_text(F.col("p_size")), p=p,
-    )
-    tech = fill(
-        '<div class="pdp-details-content"><div class="product-tags"><h3 class="section-title">{h}</h3>'
-        '<img src="/tech/{p}.png"></div><div class="product-tags"><img src="/no.png"></div></div>',
-        h=F.when(F.col("c") % 2 == 0, "테크놀러지").otherwise("소재"), p=p,
-    )
-    links = _each(
-        F.col("links"), '<div class="variation-color selectable"><a href="/p/{q}">c</a></div>', q=_text
-    )
+def _north_face_page() -> str:
     return _page(
-        box, fill('<h1 class="product-name">{n}</h1><span data-kor-name="상품 {n}"></span>', n=F.col("p_name")),
-        F.lit("<ul>"), images, F.lit("</ul></div>"), F.lit('<div id="product-info">'),
-        F.when(F.col("described"), text).otherwise(""), tech, F.lit("</div>"),
-        fill('<div id="product-size"><div class="display-small-only"><img src="/size/{p}.png"></div></div>', p=p),
-        F.lit(
+        fill(
+            '<div class="product-information fixit-container" data-product-id="{p}" '
+            'data-sku-data="{s}" data-product-options="{o}">',
+            p=P, s=_attribute(sku_json()), o=_attribute(option_json()),
+        ),
+        fill('<h1 class="product-name">{n}</h1><span data-kor-name="상품 {n}"></span><ul>', n="p_name"),
+        _each("pictures", '<li class="thumb-list"><img src="https://img.test/{p}-{i}.jpg?thumbnail"></li>', p=P, i=_item),
+        q('</ul></div><div id="product-info">'),
+        _described(
+            fill(
+                '<div class="display-small-up"><p> {t} <br/>size {z}<br/>SKU {p}</p><p>no</p></div>',
+                t="p_type", z=SIZE, p=P,
+            )
+        ),
+        fill(
+            '<div class="pdp-details-content"><div class="product-tags"><h3 class="section-title">{h}</h3>'
+            '<img src="/tech/{p}.png"></div><div class="product-tags"><img src="/no.png"></div></div></div>'
+            '<div id="product-size"><div class="display-small-only"><img src="/size/{p}.png"></div></div>',
+            h="if(c % 2 = 0, '테크놀러지', '소재')", p=P,
+        ),
+        q(
             '<div class="product-option_radio selector-color">'
             '<div class="variation-color selectable selected"><a href="/self">c</a></div>'
         ),
-        links, F.lit("</div>"),
+        _each("links", '<div class="variation-color selectable"><a href="/p/{q}">c</a></div>', q=_item),
+        q("</div>"),
     )
 
 
-def _grand_stage_page() -> Column:
-    p = _text(F.col("p_partkey"))
-    images = _each(F.col("pictures"), '<li><img src="https://img.test/{p}-{i}.jpg?x=1"></li>', p=p, i=_text)
-    sizes = _each(
-        F.col("quantities"), '<button class="btn-prod-size{out}">{s}</button>',
-        out=lambda q: F.when(_stocked(q), "").otherwise(" sold-out"), s=lambda q: _text(q.cast("int") * 5),
-    )
-    text = fill(
-        '<strong>{t}</strong> <span>size {z}</span><div>SKU {p}</div>',
-        t=F.col("p_type"), z=_text(F.col("p_size")), p=p,
-    )
-    links = _each(F.col("links"), '<li><a href="/product?prdtNo={q}">c</a></li>', q=_text)
-    brand_input = F.when(F.col("c") % 6 == 5, "").otherwise('<input id="brandName" value="브랜드">')
+def _grand_stage_page() -> str:
     return _page(
-        F.lit('<div class="product-detail-box"><div class="detail-box-header">'), brand_input,
-        fill('<div class="prod-name"> 상품 {n} </div><div class="prod-name-en">{n}</div>', n=F.col("p_name")),
-        fill('<span data-product="normal-price-amount">{x}</span></div>', x=F.col("won")),
-        F.lit('<ul class="detail-thumbs-list">'), images, F.lit("</ul>"), sizes, F.lit("</div>"),
-        fill('<table><tbody id="product-detail-notice"><tr><td> {t} </td><td>no</td></tr></tbody></table>', t=F.col("p_type")),
-        F.lit('<div id="product-detail-description-wrapper"><div>\n'), F.when(F.col("described"), text).otherwise(""),
-        fill('\n<img src="/detail/{p}.png"></div></div>', p=p),
-        fill('<div id="dialogQnaApply"><span class="prod-brand"> {b} </span></div>', b=F.upper(F.col("p_brand"))),
-        F.lit('<ul class="style-color-list">'), links, F.lit("</ul>"),
-    )
-
-
-def shop_documents(catalogue_rows: DataFrame, *keep: str) -> DataFrame:
-    """(p_partkey, …keep, site, kind, url, body): the rendered page of every part."""
-    k = F.col("k")
-    body = (
-        F.when(k == 0, _zappos_page())
-        .when(k == 1, _vans_page())
-        .when(k == 2, _lacoste_json())
-        .when(k == 3, _adidas_page())
-        .when(k == 4, _asics_page())
-        .when(k.isin(5, 6), _north_face_page())
-        .otherwise(_grand_stage_page())
-    )
-    kind = F.when(k == 2, "json").when(k.isin(3, 7), "rendered").otherwise("raw")
-    return catalogue_rows.select("p_partkey", *keep, "site", kind.alias("kind"), "url", body.alias("body"))
+        q('<div class="product-detail-box"><div class="detail-box-header">'),
+        f"if(c % 6 = 5, '', {q('<input id="brandName" value="브랜드">')})",
+        fill('<div class="prod-name"> 상품 {n} </div><div class="prod-name-en">{n}</div>', n="p_name"),
+        fill('<span data-product="normal-price-amount">{x}</span></div>', x="won"),
+        q('<ul class="detail-thumbs-list">'),
+        _each("pictures", '<li><img src="https://img.test/{p}-{i}.jpg?x=1"></li>', p=P, i=_item),
+        q("</ul>"),
+        _each(
+            "quantities",
+            '<button class="btn-prod-size{out}">{s}</button>',
+            out=_unless_stocked(" sold-out"),
+            s=lambda x: f"cast(cast({x} AS int) * 5 AS string)",
+        ),
+        q("</div>"),
+        fill(
+            '<table><tbody id="product-detail-notice"><tr><td> {t} </td><td>no</td></tr></tbody></table>', t="p_type"
+        ),
+        q('<div id="product-detail-description-wrapper"><div>\n'),
+        _described(fill("<strong>{t}</strong> <span>size {z}</span><div>SKU {p}</div>", t="p_type", z=SIZE, p=P)),
+        fill('\n<img src="/detail/{p}.png"></div></div>', p=P),
+        fill('<div id="dialogQnaApply"><span class="prod-brand"> {b} </span></div>', b="upper(p_brand)"),
+        q('<ul class="style-color-list">'),
+        _each("links", '<li><a href="/product?prdtNo={q}">c</a></li>', q=_item),
+        q("</ul>"),
+    )
+
+
+def shop_documents(catalogue_rows: DataFrame, *keep_columns: str) -> DataFrame:
+    """(p_partkey, …, site, kind, url, body): the rendered page of every part."""
+    body = case(
+        [
+            ("k = 0", _zappos_page()),
+            ("k = 1", _vans_page()),
+            ("k = 2", _lacoste_json()),
+            ("k = 3", _adidas_page()),
+            ("k = 4", _asics_page()),
+            ("k IN (5, 6)", _north_face_page()),
+        ],
+        _grand_stage_page(),
+    )
+    kind = case([("k = 2", "'json'"), ("k IN (3, 7)", "'rendered'")], "'raw'")
+    return catalogue_rows.selectExpr("p_partkey", *keep_columns, "site", f"{kind} AS kind", "url", f"{body} AS body")

@@ -1,38 +1,41 @@
 """Where each supported shop keeps its product fields.
 
 Simple fields are :class:`Rule` rows; fields that combine several elements or a
-JSON document of the page are Column expressions.  A null means "not found" and
+JSON document of the page are SQL expressions.  A null means "not found" and
 becomes the default of the field.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from dataclasses import dataclass
 
 from listloom.functions import sizes as S
 from listloom.functions import text as X
 from listloom.functions import urls as U
+from listloom.functions.sql import NO_TEXTS, case, complete, each, either, head, keep, q, some, tail
 from listloom.operators.dom import Page, one
 from listloom.operators.rules import Rule
 
+IS_JSON = "kind = 'json'"
+
+
+def no_fields(page: Page, meta: str) -> dict[str, Callable[[], str]]:
+    return {}
+
+
 @dataclass(frozen=True)
 class Site:
     """Rules and abilities of one shop.
 
     ``metadata`` yields the JSON data of a page as a struct; it is evaluated once
-    per page and handed to ``computed``.
+    per page and handed to ``computed``, which maps fields to expressions.
     """
 
     name: str
     rules: tuple[Rule, ...] = ()
-    metadata: Callable[[Page, Column], Column] | None = None
-    computed: Callable[[Page, Column | None], dict[str, Callable[[], Column]]] = field(
-        default=lambda page, meta: {}
-    )
+    metadata: Callable[[Page], str] | None = None
+    computed: Callable[[Page, str], dict[str, Callable[[], str]]] = no_fields
     has_json: bool = False
     needs_rendering: bool = False
     has_brand: bool = False
@@ -41,58 +44,60 @@ class Site:
     kids_group: str = "kids"
 
 
-def description(titles: Column, bullets: Column) -> Column:
-    return F.struct(titles.alias("titles"), bullets.alias("bullets"))
+def description(titles: str, bullets: str) -> str:
+    return f"named_struct('titles', {titles}, 'bullets', {bullets})"
 
 
-def first_and_rest(items: Column) -> Column:
+def first_and_rest(items: str) -> str:
     """First item is the title, the rest are bullets; null when there is none."""
-    rest = F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
-    return F.when(F.size(items) > 0, description(F.slice(items, 1, 1), rest))
+    return f"if(size({items}) > 0, {description(head(items), tail(items))}, NULL)"
 
 
-def drop_sku_lines(items: Column) -> Column:
-    return F.filter(items, lambda t: ~F.lower(t).contains("sku"))
+def let(value: str, make: Callable[[str], str]) -> str:
+    """Name a value, so that an expression using it twice evaluates it once."""
+    return one(each(f"array({value})", make))
 
 
-def complete(items: Column) -> Column:
-    """The list, or null when an item is missing."""
-    return F.when(~F.exists(items, lambda v: v.isNull()), items)
+def drop_sku_lines(items: str) -> str:
+    return keep(items, lambda t: f"NOT contains(lower({t}), 'sku')")
 
 
-def with_prefix(prefix: str, items: Column) -> Column:
-    return F.transform(items, lambda v: F.concat(F.lit(prefix), v))
+def with_prefix(prefix: str, items: str) -> str:
+    return each(items, lambda v: f"concat({q(prefix)}, {v})")
 
 
-def script_json(page: Page, marker: str, before: str, tail: str) -> Column:
-    """JSON text assigned in the first script that holds a marker."""
+def script_json(page: Page, marker: str, before: str, end: str, schema: str) -> str:
+    """JSON assigned in the first script that holds a marker."""
     script = one(page.first(f'script:-soup-contains("{marker}")').string())
-    return X.strip_chars(X.piece(script, before, 1), tail)
+    return f"from_json({X.strip_chars(X.piece(script, before, 1), end)}, {q(schema)})"
 
 
 # --- Zappos -------------------------------------------------------------------
 
 
-def _zappos(page: Page, meta: Column | None):
-    brand = F.coalesce(
-        X.strip(one(page.first('span[itemprop="brand"] span[itemprop="name"]').text())), F.lit("")
-    )
-    name = one(page.first("meta[itemprop='name']").need("content"))
+def _zappos(page: Page, meta: str):
+    def product_name() -> str:
+        brand = X.strip(one(page.first('span[itemprop="brand"] span[itemprop="name"]').text()))
+        name = one(page.first("meta[itemprop='name']").need("content"))
+        return X.strip(X.remove(name, f"coalesce({brand}, '')"))
 
-    def size_options() -> Column:
+    def size_options() -> str:
         inputs = page.all('input[data-track-label="size"]')
-        in_stock = inputs.where(lambda e: ~F.lower(e.attr("aria-label")).contains("out of stock"))
-        return F.when(inputs.need("aria-label").isNotNull(), in_stock.need("data-label"))
+        in_stock = inputs.where(lambda e: f"NOT contains(lower({e.attr('aria-label')}), 'out of stock')")
+        return f"if({inputs.need('aria-label')} IS NULL, NULL, {in_stock.need('data-label')})"
 
-    def descriptions() -> Column:
+    def descriptions() -> str:
         items = page.first('div[itemprop="description"] ul').children("li").text()
-        return first_and_rest(F.transform(drop_sku_lines(items), X.strip))
+        return let(each(drop_sku_lines(items), X.strip), first_and_rest)
+
+    def size_type() -> str:
+        return let(one(page.first("legend#sizingChooser").text()), lambda t: f"if({t} IS NULL, NULL, {S.audience_of(t)})")
 
     return {
-        "product_name": lambda: X.strip(X.remove(name, brand)),
+        "product_name": product_name,
         "size_options": size_options,
         "descriptions": descriptions,
-        "size_type": lambda: S.audience_of(one(page.first("legend#sizingChooser").text())),
+        "size_type": size_type,
     }
 
 
@@ -111,30 +116,30 @@ ZAPPOS = Site(
 # --- Vans ---------------------------------------------------------------------
 
 
-def _vans(page: Page, meta: Column | None):
-    def price() -> Column:
+def _vans(page: Page, meta: str):
+    def price() -> str:
         sale = X.strip(one(page.first("ins.vf-price--sale").text()))
         usual = X.strip(one(page.first("div.vf-product-price").text()))
-        return F.coalesce(meta["offers"]["price"], sale, usual)
+        return either(f"{meta}.offers.price", sale, usual)
 
-    def descriptions() -> Column:
+    def descriptions() -> str:
         box = page.first("div.vf-product-details__description")
         parts = box.children()
-        filled = parts.where(lambda e: F.coalesce(X.strip(e.string()) != "", F.lit(False)))
-        long = filled.where(lambda e: e.tag() == "p").read(lambda e: X.strip(e.text()))
-        short = filled.where(lambda e: e.tag() != "p").read(lambda e: X.strip(e.text()))
+        filled = parts.where(lambda e: f"coalesce({X.strip(e.string())} <> '', false)")
+        paragraphs = filled.where(lambda e: f"{e.tag()} = 'p'").read(lambda e: X.strip(e.text()))
+        others = filled.where(lambda e: f"{e.tag()} <> 'p'").read(lambda e: X.strip(e.text()))
         whole = box.read(lambda e: X.strip(e.text()))
-        return F.when(
-            parts.count() == 0, description(F.array().cast("array<string>"), whole)
-        ).otherwise(description(long, short))
+        return f"if({parts.count()} = 0, {description(NO_TEXTS, whole)}, {description(paragraphs, others)})"
 
-    def color_name() -> Column:
+    def color_name() -> str:
         label = one(page.first('h3[data-id="colors-selector-on-static-pdp"]').text())
-        return F.when(F.lower(label).contains("color:"), X.strip(X.piece(label, ":", 1))).otherwise(label)
+        return let(
+            label, lambda t: f"if(contains(lower({t}), 'color:'), {X.strip(X.piece(t, ':', 1))}, {t})"
+        )
 
-    def color_urls() -> Column:
+    def color_urls() -> str:
         labels = page.first("div.color-swatch__wrapper[aria-label='Color']").inside("button").need("aria-label")
-        return F.transform(labels, lambda v: U.color_url(X.piece(v, " - ", 0)))
+        return each(labels, lambda v: U.color_url(X.piece(v, " - ", 0)))
 
     return {"price": price, "descriptions": descriptions, "color_name": color_name, "color_urls": color_urls}
 
@@ -145,50 +150,54 @@ VANS = Site(
         Rule("Vans", "product_name", "h1.vf-heading__title"),
         Rule("Vans", "images", "div.image-grid button[data-image-hr-src]", "all", "need", "data-image-hr-src"),
     ),
-    metadata=lambda page, body: F.from_json(
-        one(page.first('script[data-json-ld="product"]').string()), "offers struct<price: string>"
+    metadata=lambda page: (
+        f"from_json({one(page.first('script[data-json-ld=\"product\"]').string())}, 'offers struct<price: string>')"
     ),
     computed=_vans,
 )
 
 # --- Lacoste ------------------------------------------------------------------
 
+LACOSTE_JSON = (
+    "product struct<name: string, pricing: struct<salesPrice: struct<format: string>>, "
+    "gallery: struct<images: array<struct<desktopUrl: string>>>, "
+    "description: struct<descriptions: array<struct<texts: array<string>, list: array<string>>>>, "
+    "variations: struct<size: struct<list: array<struct<label: string, unavailable: boolean>>>>>"
+)
 
-def _lacoste(page: Page, meta: Column | None):
-    product = meta["product"]
-    is_json = F.col("kind") == "json"
 
-    def product_name() -> Column:
-        crumbs = F.from_json(
-            one(page.first('script[type="application/ld+json"]').string()),
-            "itemListElement array<struct<item: struct<name: string>>>",
-        )["itemListElement"]
-        return F.when(is_json, product["name"]).otherwise(F.try_element_at(crumbs, F.lit(-1))["item"]["name"])
+def _lacoste(page: Page, meta: str):
+    product = f"{meta}.product"
 
-    def price() -> Column:
-        shown = one(page.first("div.js-pdp-price.js-update-price-with-installments p").text())
-        return F.when(is_json, product["pricing"]["salesPrice"]["format"]).otherwise(X.strip(shown))
+    def product_name() -> str:
+        script = one(page.first('script[type="application/ld+json"]').string())
+        crumbs = f"from_json({script}, 'itemListElement array<struct<item: struct<name: string>>>').itemListElement"
+        return f"if({IS_JSON}, {product}.name, try_element_at({crumbs}, -1).item.name)"
 
-    def images() -> Column:
-        links = complete(F.transform(product["gallery"]["images"], lambda i: i["desktopUrl"]))
+    def price() -> str:
+        shown = X.strip(one(page.first("div.js-pdp-price.js-update-price-with-installments p").text()))
+        return f"if({IS_JSON}, {product}.pricing.salesPrice.format, {shown})"
+
+    def images() -> str:
+        links = complete(each(f"{product}.gallery.images", lambda i: f"{i}.desktopUrl"))
         zoomed = page.all("div.js-zoomable-group img").need("data-zoom-url")
-        return with_prefix("https:", F.when(is_json, links).otherwise(zoomed))
+        return with_prefix("https:", f"if({IS_JSON}, {links}, {zoomed})")
 
-    def descriptions() -> Column:
-        given = F.get(product["description"]["descriptions"], F.lit(0))
-        in_json = F.when(
-            given["texts"].isNotNull() & given["list"].isNotNull(), description(given["texts"], given["list"])
+    def descriptions() -> str:
+        given = f"get({product}.description.descriptions, 0)"
+        in_json = (
+            f"if({given}.texts IS NULL OR {given}.list IS NULL, NULL, {description(f'{given}.texts', f'{given}.list')})"
         )
         title = page.first("div.js-pdp-description-reload > div > div:last-of-type").read(lambda e: X.strip(e.text()))
         bullets = page.all("div.js-pdp-description-reload li").read(lambda e: X.strip(e.text()))
-        on_page = F.when(F.size(title) > 0, description(title, bullets))
-        return F.when(is_json, in_json).otherwise(on_page)
+        on_page = let(title, lambda t: f"if(size({t}) > 0, {description(t, bullets)}, NULL)")
+        return f"if({IS_JSON}, {in_json}, {on_page})"
 
-    def size_options() -> Column:
-        options = product["variations"]["size"]["list"]
-        free = F.filter(options, lambda o: ~o["unavailable"])
-        broken = F.exists(options, lambda o: o["unavailable"].isNull())
-        return F.when(is_json & ~broken, complete(F.transform(free, lambda o: o["label"])))
+    def size_options() -> str:
+        options = f"{product}.variations.size.list"
+        broken = some(options, lambda o: f"{o}.unavailable IS NULL")
+        free = each(keep(options, lambda o: f"NOT {o}.unavailable"), lambda o: f"{o}.label")
+        return f"if({IS_JSON} AND NOT {broken}, {complete(free)}, NULL)"
 
     return {
         "product_name": product_name,
@@ -201,13 +210,7 @@ def _lacoste(page: Page, meta: Column | None):
 
 LACOSTE = Site(
     "Lacoste",
-    metadata=lambda page, body: F.from_json(
-        body,
-        "product struct<name: string, pricing: struct<salesPrice: struct<format: string>>, "
-        "gallery: struct<images: array<struct<desktopUrl: string>>>, "
-        "description: struct<descriptions: array<struct<texts: array<string>, list: array<string>>>>, "
-        "variations: struct<size: struct<list: array<struct<label: string, unavailable: boolean>>>>>",
-    ),
+    metadata=lambda page: f"from_json(json_body, {q(LACOSTE_JSON)})",
     computed=_lacoste,
     has_json=True,
     converts_sizes=True,
@@ -215,24 +218,31 @@ LACOSTE = Site(
 
 # --- Adidas -------------------------------------------------------------------
 
+ADIDAS_JSON = (
+    "queries array<struct<state: struct<data: struct<"
+    "view_list: array<struct<image_url: string>>, "
+    "product_description: struct<subtitle: string, text: string, usps: array<string>>>>>>"
+)
 
-def _adidas(page: Page, meta: Column | None):
-    data = F.get(meta["queries"], F.lit(0))["state"]["data"]
 
-    def images() -> Column:
-        return F.transform(complete(F.transform(data["view_list"], lambda v: v["image_url"])), U.wide_image)
+def _adidas(page: Page, meta: str):
+    data = f"get({meta}.queries, 0).state.data"
 
-    def descriptions() -> Column:
-        given = data["product_description"]
-        bullets = F.concat(F.array(given["text"]), given["usps"])
-        found = given["subtitle"].isNotNull() & given["text"].isNotNull() & given["usps"].isNotNull()
-        return F.when(found, description(F.array(given["subtitle"]), bullets))
+    def descriptions() -> str:
+        def assemble(d: str) -> str:
+            bullets = f"concat(array({d}.text), {d}.usps)"
+            lacking = f"{d}.subtitle IS NULL OR {d}.text IS NULL OR {d}.usps IS NULL"
+            return f"if({lacking}, NULL, {description(f'array({d}.subtitle)', bullets)})"
 
-    def size_options() -> Column:
-        buttons = page.all('button.size___2lbev:not([class*="unavailable"])')
-        return buttons.read(lambda e: S.first_of_pair(X.strip(e.text())))
+        return let(f"{data}.product_description", assemble)
 
-    return {"images": images, "descriptions": descriptions, "size_options": size_options}
+    return {
+        "images": lambda: each(complete(each(f"{data}.view_list", lambda v: f"{v}.image_url")), U.wide_image),
+        "descriptions": descriptions,
+        "size_options": lambda: page.all('button.size___2lbev:not([class*="unavailable"])').read(
+            lambda e: let(X.strip(e.text()), S.first_of_pair)
+        ),
+    }
 
 
 ADIDAS = Site(
@@ -242,12 +252,7 @@ ADIDAS = Site(
         Rule("Adidas", "price", "div.gl-price-item--sale", priority=1),
         Rule("Adidas", "price", 'div[data-auto-id="gl-price-item"]', priority=2),
     ),
-    metadata=lambda page, body: F.from_json(
-        script_json(page, "window.REACT_QUERY_DATA", "REACT_QUERY_DATA = ", ");\n"),
-        "queries array<struct<state: struct<data: struct<"
-        "view_list: array<struct<image_url: string>>, "
-        "product_description: struct<subtitle: string, text: string, usps: array<string>>>>>>",
-    ),
+    metadata=lambda page: script_json(page, "window.REACT_QUERY_DATA", "REACT_QUERY_DATA = ", ");\n", ADIDAS_JSON),
     computed=_adidas,
     needs_rendering=True,
     converts_sizes=True,
@@ -256,23 +261,35 @@ ADIDAS = Site(
 
 # --- Asics --------------------------------------------------------------------
 
+ASICS_JSON = (
+    "product_name array<string>, product_unit_price array<string>, product_sizes array<string>, "
+    "product_no_stock_sizes string, product_gender array<string>, product_variant array<string>"
+)
+
 
-def _asics(page: Page, meta: Column | None):
-    name, price = F.get(meta["product_name"], F.lit(0)), F.get(meta["product_unit_price"], F.lit(0))
-    sold_out = F.split(meta["product_no_stock_sizes"], r"\|", -1)
-    # The page counts as unreadable unless all four are there.
-    usable = name.isNotNull() & price.isNotNull() & meta["product_sizes"].isNotNull() & sold_out.isNotNull()
+def _asics(page: Page, meta: str):
+    name, price = f"get({meta}.product_name, 0)", f"get({meta}.product_unit_price, 0)"
 
-    def descriptions() -> Column:
+    def usable(value: str) -> str:
+        # The page counts as unreadable unless all four are there.
+        needed = (name, price, f"{meta}.product_sizes", f"{meta}.product_no_stock_sizes")
+        return f"if({' OR '.join(f'{n} IS NULL' for n in needed)}, NULL, {value})"
+
+    def size_options() -> str:
+        return let(
+            X.pieces(f"{meta}.product_no_stock_sizes", "|"), lambda gone: S.without(f"{meta}.product_sizes", gone)
+        )
+
+    def descriptions() -> str:
         details = page.all("div.product-info-section-inner p").read(lambda e: X.strip(e.text()))
-        techs = page.all("div.product-features-section li").read(lambda e: F.array_join(e.lines(), ""))
-        return F.when(F.size(details) > 0, first_and_rest(F.concat(details, techs)))
+        techs = page.all("div.product-features-section li").read(lambda e: f"array_join({e.lines()}, '')")
+        return let(details, lambda d: f"if(size({d}) > 0, {let(f'concat({d}, {techs})', first_and_rest)}, NULL)")
 
     return {
-        "product_name": lambda: F.when(usable, name),
-        "price": lambda: F.when(usable, price),
-        "size_options": lambda: F.when(usable, S.without(meta["product_sizes"], sold_out)),
-        "size_type": lambda: F.when(usable, F.lower(F.get(meta["product_gender"], F.lit(0)))),
+        "product_name": lambda: usable(name),
+        "price": lambda: usable(price),
+        "size_options": lambda: usable(size_options()),
+        "size_type": lambda: usable(f"lower(get({meta}.product_gender, 0))"),
         "descriptions": descriptions,
     }
 
@@ -283,11 +300,7 @@ ASICS = Site(
         Rule("Asics", "images", "ul.product-primary-image li span", "all", "need", "data-zoom-image"),
         Rule("Asics", "color_urls", 'li.variants__item--color:not([aria-checked="true"]) a', "all", "need", "href"),
     ),
-    metadata=lambda page, body: F.from_json(
-        script_json(page, "utag_data", " = ", ";\n\t"),
-        "product_name array<string>, product_unit_price array<string>, product_sizes array<string>, "
-        "product_no_stock_sizes string, product_gender array<string>, product_variant array<string>",
-    ),
+    metadata=lambda page: script_json(page, "utag_data", " = ", ";\n\t", ASICS_JSON),
     computed=_asics,
     converts_sizes=True,
     kids_group="kids_with_front_k",
@@ -295,85 +308,84 @@ ASICS = Site(
 
 # --- North Face Korea, North Face Youngone --------------------------------------
 
+SKU_JSON = "array<struct<price: string, quantity: bigint, selectedOptions: array<string>>>"
+OPTION_JSON = (
+    "array<struct<values: map<string, string>, allowedValues: array<struct<id: string, friendlyName: string>>>>"
+)
+
 
-def sku_quantities(skus: Column, options: Column) -> Column:
+def sku_quantities(skus: str, options: str) -> str:
     """ARRAY<(label, quantity)>: labels in first-seen order, the last sku of a label wins.
 
     Null when a sku points to no known label.
     """
-    allowed = F.get(options, F.lit(1))["allowedValues"]
-    pairs = F.transform(
-        skus,
-        lambda s: F.struct(
-            F.try_element_at(
-                F.filter(allowed, lambda a: a["id"] == F.get(s["selectedOptions"], F.lit(1))), F.lit(-1)
-            )["friendlyName"].alias("label"),
-            s["quantity"].alias("quantity"),
-        ),
-    )
-    labels = F.array_distinct(F.transform(pairs, lambda p: p["label"]))
-    latest = F.transform(
-        labels, lambda l: F.try_element_at(F.filter(pairs, lambda p: p["label"] == l), F.lit(-1))
-    )
-    return F.when(~F.exists(pairs, lambda p: p["label"].isNull() | p["quantity"].isNull()), latest)
+    allowed = f"get({options}, 1).allowedValues"
+
+    def pair(sku: str) -> str:
+        mine = keep(allowed, lambda a: f"{a}.id = get({sku}.selectedOptions, 1)")
+        return f"named_struct('label', try_element_at({mine}, -1).friendlyName, 'quantity', {sku}.quantity)"
 
+    def latest(pairs: str) -> str:
+        labels = f"array_distinct({each(pairs, lambda p: f'{p}.label')})"
+        return each(labels, lambda l: f"try_element_at({keep(pairs, lambda p: f'{p}.label = {l}')}, -1)")
 
-SKU_SCHEMA = "array<struct<price: string, quantity: bigint, selectedOptions: array<string>>>"
-OPTION_SCHEMA = "array<struct<values: map<string, string>, allowedValues: array<struct<id: string, friendlyName: string>>>>"
+    unknown = lambda pairs: some(pairs, lambda p: f"{p}.label IS NULL OR {p}.quantity IS NULL")
+    return let(each(skus, pair), lambda pairs: f"if({unknown(pairs)}, NULL, {latest(pairs)})")
 
 
-def _north_face(base: str):
-    def computed(page: Page, meta: Column | None):
-        skus, options = meta["skus"], meta["options"]
-        price = F.get(skus, F.lit(0))["price"]
-        color = F.get(F.map_values(F.get(options, F.lit(0))["values"]), F.lit(0))
-        stock = sku_quantities(skus, options)
-        usable = meta["product_id"].isNotNull() & price.isNotNull() & color.isNotNull() & stock.isNotNull()
+def in_stock_labels(quantities: str) -> str:
+    return each(keep(quantities, lambda s: f"{s}.quantity <> 0"), lambda s: S.without_mm(f"{s}.label"))
 
-        def size_options() -> Column:
-            free = F.filter(stock, lambda s: s["quantity"] != 0)
-            return F.when(usable, F.transform(free, lambda s: S.bracketed_size(S.without_mm(s["label"]))))
 
-        def description_images() -> Column:
+def _north_face_site(name: str, base: str) -> Site:
+    def metadata(page: Page) -> str:
+        box = page.first("div.product-information.fixit-container")
+        skus, options = one(box.attr("data-sku-data")), one(box.attr("data-product-options"))
+        parsed = (
+            f"named_struct('product_id', {one(box.attr('data-product-id'))}, "
+            f"'skus', from_json({skus}, {q(SKU_JSON)}), 'options', from_json({options}, {q(OPTION_JSON)}))"
+        )
+        # The page counts as unreadable unless all of these are there.
+        return let(
+            parsed,
+            lambda m: f"named_struct('product_id', {m}.product_id, 'price', get({m}.skus, 0).price, "
+            f"'color', get(map_values(get({m}.options, 0).values), 0), "
+            f"'stock', {sku_quantities(f'{m}.skus', f'{m}.options')})",
+        )
+
+    def computed(page: Page, meta: str):
+        def usable(value: str) -> str:
+            needed = (f"{meta}.{n}" for n in ("product_id", "price", "color", "stock"))
+            return f"if({' OR '.join(f'{n} IS NULL' for n in needed)}, NULL, {value})"
+
+        def description_images() -> str:
             section = page.first("div#product-info div.pdp-details-content div.product-tags")
             heading = one(section.inside("h3.section-title").first().text())
-            tech = F.when(heading == "테크놀러지", section.inside("img").attr("src"))
+            tech = section.inside("img").attr("src")
             size_charts = page.all("div#product-size div.display-small-only img").attr("src")
-            none = F.array().cast("array<string>")
-            return F.when(heading.isNotNull(), F.concat(F.coalesce(tech, none), size_charts))
+            return let(
+                heading,
+                lambda h: f"if({h} IS NULL, NULL, concat(if({h} = '테크놀러지', {tech}, {NO_TEXTS}), {size_charts}))",
+            )
 
-        def descriptions() -> Column:
+        def descriptions() -> str:
             lines = page.first("div#product-info div.display-small-up p").lines()
-            joined = F.transform(lines, lambda l: F.array_join(l, "<br/>"))
-            return first_and_rest(F.split(one(joined), "<br/>", -1))
+            joined = one(each(lines, lambda l: f"array_join({l}, '<br/>')"))
+            return let(X.pieces(joined, "<br/>"), first_and_rest)
 
-        def color_urls() -> Column:
+        def color_urls() -> str:
             box = page.first("div.product-option_radio.selector-color")
             links = box.inside("div.variation-color.selectable:not(.selected) a").need("href")
-            return F.when(box.count() > 0, with_prefix(base, links))
+            return f"if({box.count()} = 0, NULL, {with_prefix(base, links)})"
 
         return {
-            "price": lambda: F.when(usable, X.korean_price(price)),
-            "size_options": size_options,
+            "price": lambda: usable(X.korean_price(f"{meta}.price")),
+            "size_options": lambda: usable(each(in_stock_labels(f"{meta}.stock"), S.bracketed_size)),
             "description_images": description_images,
             "descriptions": descriptions,
             "color_urls": color_urls,
         }
 
-    return computed
-
-
-def _north_face_site(name: str, base: str) -> Site:
-    box = "div.product-information.fixit-container"
-
-    def metadata(page: Page, body: Column) -> Column:
-        found = page.first(box)
-        return F.struct(
-            one(found.attr("data-product-id")).alias("product_id"),
-            F.from_json(one(found.attr("data-sku-data")), SKU_SCHEMA).alias("skus"),
-            F.from_json(one(found.attr("data-product-options")), OPTION_SCHEMA).alias("options"),
-        )
-
     return Site(
         name,
         rules=(
@@ -382,7 +394,7 @@ def _north_face_site(name: str, base: str) -> Site:
             Rule(name, "images", "li.thumb-list img", "all", "need", "src", post=("full_thumbnail",)),
         ),
         metadata=metadata,
-        computed=_north_face(base),
+        computed=computed,
         has_korean_name=True,
     )
 
@@ -393,20 +405,20 @@ NORTH_FACE_YOUNGONE = _north_face_site("North Face Youngone", "https://www.young
 # --- Abc Grand Stage ------------------------------------------------------------
 
 
-def _grand_stage(page: Page, meta: Column | None):
-    def brand_name() -> Column:
+def _grand_stage(page: Page, meta: str):
+    def brand_name() -> str:
         korean = one(page.first("div.detail-box-header input#brandName").attr("value"))
         english = one(page.first("#dialogQnaApply span.prod-brand").text())
-        return F.when(korean.isNotNull(), X.strip(english))
+        return f"if({korean} IS NULL, NULL, {X.strip(english)})"
 
-    def product_name_ko() -> Column:
+    def product_name_ko() -> str:
         name = one(page.first("div.detail-box-header div.prod-name").text())
         material = one(page.first("tbody#product-detail-notice td").text())
-        return F.concat(X.strip(name), F.lit(" "), X.strip(material))
+        return f"concat({X.strip(name)}, ' ', {X.strip(material)})"
 
-    def descriptions() -> Column:
-        texts = F.flatten(page.first("div#product-detail-description-wrapper").all_texts())
-        return first_and_rest(F.filter(texts, lambda t: X.strip(t) != ""))
+    def descriptions() -> str:
+        texts = f"flatten({page.first('div#product-detail-description-wrapper').all_texts()})"
+        return let(keep(texts, lambda t: f"{X.strip(t)} <> ''"), first_and_rest)
 
     return {"brand_name": brand_name, "product_name_ko": product_name_ko, "descriptions": descriptions}
 

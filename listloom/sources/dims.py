@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listloom.functions.sizes import size_rows
+from listloom.functions.sql import q, texts
 
 # Korean shop name, official shop name.
 SITE_ALIASES = [
@@ -139,24 +140,17 @@ def site_images(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "brand string, top array<string>, middle array<string>, `end` array<string>")
 
 
-def text_array(values: list[str]) -> Column:
-    """A constant ARRAY<STRING>, also when empty."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def default_images() -> dict[str, str]:
+    """The default image lists as constant arrays."""
+    return {"top": texts(DEFAULT_TOP), "middle": texts(DEFAULT_MIDDLE), "end": texts(DEFAULT_END)}
 
 
-def default_images() -> tuple[Column, Column, Column]:
-    return text_array(DEFAULT_TOP), text_array(DEFAULT_MIDDLE), text_array(DEFAULT_END)
-
-
-def alias_array() -> Column:
+def alias_array() -> str:
     """The alias dimension as one constant array of (ko_name, site_official)."""
-    return F.array(
-        *[F.struct(F.lit(ko).alias("ko_name"), F.lit(en).alias("site_official")) for ko, en in SITE_ALIASES]
-    )
+    rows = [f"named_struct('ko_name', {q(ko)}, 'site_official', {q(official)})" for ko, official in SITE_ALIASES]
+    return f"array({', '.join(rows)})"
 
 
-def host_map() -> Column:
+def host_map() -> str:
     """The host dimension as one constant map."""
-    return F.map_from_arrays(
-        text_array([site for site, _ in SITE_HOSTS]), text_array([host for _, host in SITE_HOSTS])
-    )
+    return f"map({', '.join(f'{q(site)}, {q(host)}' for site, host in SITE_HOSTS)})"

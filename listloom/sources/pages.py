@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from listloom.schemas import COMMENT, DOM_FIELDS, NODE, PIECE, RAW, TEXT
 
+# The tokeniser travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements without content, elements whose content is not page
 # text, elements that keep blank runs, and the blanks that are folded.
 VOID_TAGS = frozenset(
