@@ -7,10 +7,10 @@ array, and everything after that is Column expressions without a shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
-import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -83,14 +83,6 @@ class _Open:
     __slots__ = ("tag", "position", "children", "counts", "contents", "child_single", "below", "text", "raw", "verbatim")
 
 
-@dataclass
-class _Columns:
-    """Elements and pieces of several pages, column by column."""
-
-    nodes: dict[str, list] = field(default_factory=lambda: {name: [] for name in NODE.names})
-    pieces: dict[str, list] = field(default_factory=lambda: {name: [] for name in PIECE.names})
-
-
 class _PageReader(HTMLParser):
     """Turns one page into parallel lists of elements and text pieces."""
 
