@@ -62,9 +62,14 @@ def tail(items: str) -> str:
     return f"slice({items}, 2, greatest(size({items}) - 1, 0))"
 
 
+def let(value: str, make: Make) -> str:
+    """Name a value, so that an expression using it twice evaluates it once."""
+    return f"get({each(f'array({value})', make)}, 0)"
+
+
 def complete(items: str) -> str:
     """The list, or null when one item is missing."""
-    return f"if({some(items, lambda v: f'{v} IS NULL')}, NULL, {items})"
+    return let(items, lambda v: f"if({some(v, lambda x: f'{x} IS NULL')}, NULL, {v})")
 
 
 def fill(template: str, **parts: str) -> str:

@@ -8,9 +8,11 @@ notes what was asked of it, so :meth:`Page.wanted` tells the parser what to emit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
-from listloom.functions.sql import Make, complete, each, keep, some
+from listloom.functions.sql import Make, complete, each, keep, let, some
 from listloom.functions.text import strip
 from listloom.operators.css import attr_of, css, own_pieces, parse_selector
 from listloom.schemas import RAW, TEXT
@@ -19,7 +21,7 @@ from listloom.sources.pages import RAW_TAGS, Shape, Wanted
 
 def text_pieces(pieces: str, node: str) -> str:
     """ARRAY<STRING>: the pieces that make up ``text`` of an element."""
-    raw = ", ".join(f"'{t}'" for t in RAW_TAGS)
+    raw = ", ".join(f"'{t}'" for t in sorted(RAW_TAGS))
     mine = keep(own_pieces(pieces, node), lambda p: f"{p}.kind = if({node}.tag IN ({raw}), {RAW}, {TEXT})")
     return each(mine, lambda p: f"{p}.text")
 
@@ -90,6 +92,10 @@ class Elements:
     def _with(self, sql: str) -> "Elements":
         return Elements(self.page, sql, self._targets)
 
+    def bind(self, make: Callable[["Elements"], str]) -> str:
+        """Use the selection several times but make it once."""
+        return let(self.sql, lambda found: make(self._with(found)))
+
     # --- narrowing ------------------------------------------------------
     def first(self) -> "Elements":
         return self._with(f"slice({self.sql}, 1, 1)")

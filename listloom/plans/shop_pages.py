@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from listloom.functions.sql import case, each, fill, keep, q, texts
 from listloom.plans.sites import SITES
 from listloom.sources.dims import host_map
+from listloom.sources.pages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``k`` numbers the shop and ``c`` the case within it; ``links`` are the next
     up to three parts of the same block of ten, the colour family.
     """
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     numbered = part.selectExpr("*", "cast(p_partkey % 8 AS int) AS k", "cast(floor(p_partkey / 8) AS bigint) AS c")
     shown = numbered.selectExpr(
         "*",

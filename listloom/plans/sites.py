@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from listloom.functions import sizes as S
 from listloom.functions import text as X
 from listloom.functions import urls as U
-from listloom.functions.sql import NO_TEXTS, case, complete, each, either, head, keep, q, some, tail
-from listloom.operators.dom import Page, one
+from listloom.functions.sql import NO_TEXTS, complete, each, either, head, keep, let, q, some, tail
+from listloom.operators.dom import Elements, Page, one
 from listloom.operators.rules import Rule
 
 IS_JSON = "kind = 'json'"
@@ -53,11 +53,6 @@ def first_and_rest(items: str) -> str:
     return f"if(size({items}) > 0, {description(head(items), tail(items))}, NULL)"
 
 
-def let(value: str, make: Callable[[str], str]) -> str:
-    """Name a value, so that an expression using it twice evaluates it once."""
-    return one(each(f"array({value})", make))
-
-
 def drop_sku_lines(items: str) -> str:
     return keep(items, lambda t: f"NOT contains(lower({t}), 'sku')")
 
@@ -82,9 +77,11 @@ def _zappos(page: Page, meta: str):
         return X.strip(X.remove(name, f"coalesce({brand}, '')"))
 
     def size_options() -> str:
-        inputs = page.all('input[data-track-label="size"]')
-        in_stock = inputs.where(lambda e: f"NOT contains(lower({e.attr('aria-label')}), 'out of stock')")
-        return f"if({inputs.need('aria-label')} IS NULL, NULL, {in_stock.need('data-label')})"
+        def in_stock(inputs: Elements) -> str:
+            free = inputs.where(lambda e: f"NOT contains(lower({e.attr('aria-label')}), 'out of stock')")
+            return f"if({inputs.need('aria-label')} IS NULL, NULL, {free.need('data-label')})"
+
+        return page.all('input[data-track-label="size"]').bind(in_stock)
 
     def descriptions() -> str:
         items = page.first('div[itemprop="description"] ul').children("li").text()
@@ -124,12 +121,15 @@ def _vans(page: Page, meta: str):
 
     def descriptions() -> str:
         box = page.first("div.vf-product-details__description")
-        parts = box.children()
-        filled = parts.where(lambda e: f"coalesce({X.strip(e.string())} <> '', false)")
-        paragraphs = filled.where(lambda e: f"{e.tag()} = 'p'").read(lambda e: X.strip(e.text()))
-        others = filled.where(lambda e: f"{e.tag()} <> 'p'").read(lambda e: X.strip(e.text()))
         whole = box.read(lambda e: X.strip(e.text()))
-        return f"if({parts.count()} = 0, {description(NO_TEXTS, whole)}, {description(paragraphs, others)})"
+
+        def split(parts: Elements) -> str:
+            filled = parts.where(lambda e: f"coalesce({X.strip(e.string())} <> '', false)")
+            paragraphs = filled.where(lambda e: f"{e.tag()} = 'p'").read(lambda e: X.strip(e.text()))
+            others = filled.where(lambda e: f"{e.tag()} <> 'p'").read(lambda e: X.strip(e.text()))
+            return f"if({parts.count()} = 0, {description(NO_TEXTS, whole)}, {description(paragraphs, others)})"
+
+        return box.children().bind(split)
 
     def color_name() -> str:
         label = one(page.first('h3[data-id="colors-selector-on-static-pdp"]').text())
@@ -317,20 +317,36 @@ OPTION_JSON = (
 def sku_quantities(skus: str, options: str) -> str:
     """ARRAY<(label, quantity)>: labels in first-seen order, the last sku of a label wins.
 
-    Null when a sku points to no known label.
+    Null when a sku points to no known label.  Lookups go through array positions;
+    lists are reversed because of several equal entries the last one counts.
     """
-    allowed = f"get({options}, 1).allowedValues"
 
-    def pair(sku: str) -> str:
-        mine = keep(allowed, lambda a: f"{a}.id = get({sku}.selectedOptions, 1)")
-        return f"named_struct('label', try_element_at({mine}, -1).friendlyName, 'quantity', {sku}.quantity)"
+    def label_of(allowed: str) -> str:
+        ids, names = (f"reverse({each(allowed, lambda a: f'{a}.{n}')})" for n in ("id", "friendlyName"))
+        return let(
+            f"named_struct('ids', {ids}, 'names', {names}, 'asked', {each(skus, lambda s: f'get({s}.selectedOptions, 1)')})",
+            lambda o: each(f"{o}.asked", lambda a: f"get({o}.names, cast(array_position({o}.ids, {a}) AS int) - 1)"),
+        )
 
-    def latest(pairs: str) -> str:
-        labels = f"array_distinct({each(pairs, lambda p: f'{p}.label')})"
-        return each(labels, lambda l: f"try_element_at({keep(pairs, lambda p: f'{p}.label = {l}')}, -1)")
+    def latest(found: str) -> str:
+        at = lambda l: f"cast(array_position({found}.last_labels, {l}) AS int) - 1"
+        return each(
+            f"array_distinct({found}.labels)",
+            lambda l: f"named_struct('label', {l}, 'quantity', get({found}.last_quantities, {at(l)}))",
+        )
+
+    def checked(found: str) -> str:
+        unknown = some(f"{found}.labels", lambda l: f"{l} IS NULL")
+        uncounted = some(f"{found}.last_quantities", lambda n: f"{n} IS NULL")
+        return f"if({unknown} OR {uncounted}, NULL, {latest(found)})"
 
-    unknown = lambda pairs: some(pairs, lambda p: f"{p}.label IS NULL OR {p}.quantity IS NULL")
-    return let(each(skus, pair), lambda pairs: f"if({unknown(pairs)}, NULL, {latest(pairs)})")
+    quantities = each(skus, lambda s: f"{s}.quantity")
+    gathered = let(
+        let(f"get({options}, 1).allowedValues", label_of),
+        lambda labels: f"named_struct('labels', {labels}, 'last_labels', reverse({labels}), "
+        f"'last_quantities', reverse({quantities}))",
+    )
+    return let(gathered, checked)
 
 
 def in_stock_labels(quantities: str) -> str:
@@ -359,14 +375,17 @@ def _north_face_site(name: str, base: str) -> Site:
             return f"if({' OR '.join(f'{n} IS NULL' for n in needed)}, NULL, {value})"
 
         def description_images() -> str:
-            section = page.first("div#product-info div.pdp-details-content div.product-tags")
-            heading = one(section.inside("h3.section-title").first().text())
-            tech = section.inside("img").attr("src")
             size_charts = page.all("div#product-size div.display-small-only img").attr("src")
-            return let(
-                heading,
-                lambda h: f"if({h} IS NULL, NULL, concat(if({h} = '테크놀러지', {tech}, {NO_TEXTS}), {size_charts}))",
-            )
+
+            def guarded(section: Elements) -> str:
+                heading = one(section.inside("h3.section-title").first().text())
+                tech = section.inside("img").attr("src")
+                return let(
+                    heading,
+                    lambda h: f"if({h} IS NULL, NULL, concat(if({h} = '테크놀러지', {tech}, {NO_TEXTS}), {size_charts}))",
+                )
+
+            return page.first("div#product-info div.pdp-details-content div.product-tags").bind(guarded)
 
         def descriptions() -> str:
             lines = page.first("div#product-info div.display-small-up p").lines()
@@ -374,9 +393,11 @@ def _north_face_site(name: str, base: str) -> Site:
             return let(X.pieces(joined, "<br/>"), first_and_rest)
 
         def color_urls() -> str:
-            box = page.first("div.product-option_radio.selector-color")
-            links = box.inside("div.variation-color.selectable:not(.selected) a").need("href")
-            return f"if({box.count()} = 0, NULL, {with_prefix(base, links)})"
+            def links(box: Elements) -> str:
+                found = box.inside("div.variation-color.selectable:not(.selected) a").need("href")
+                return f"if({box.count()} = 0, NULL, {with_prefix(base, found)})"
+
+            return page.first("div.product-option_radio.selector-color").bind(links)
 
         return {
             "price": lambda: usable(X.korean_price(f"{meta}.price")),

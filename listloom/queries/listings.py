@@ -11,7 +11,8 @@ from listloom.operators.rules import Rule
 from listloom.plans.listings import make_listings
 from listloom.queries.base_sql import body_sql, expecting
 from listloom.queries.pages import UNESCAPE
-from listloom.queries.registry import query, spread, table
+from listloom.queries.registry import query, table
+from listloom.sources.pages import spread
 from listloom.queries.shops import documents
 from listloom.sources.dims import DEFAULT_END, DEFAULT_MIDDLE, DEFAULT_TOP, site_images
 

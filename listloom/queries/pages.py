@@ -10,9 +10,9 @@ from listloom.operators.dom import Page, one
 from listloom.operators.rules import Rule
 from listloom.operators.variants import read_url_batch
 from listloom.plans.products import extract_fields
-from listloom.queries.registry import query, spread, table
+from listloom.queries.registry import query, table
 from listloom.session import work_dir
-from listloom.sources.pages import choose_document, explode_nodes, parse_pages
+from listloom.sources.pages import choose_document, explode_nodes, parse_pages, spread
 from listloom.sources.snapshots import cache_misses as misses
 from listloom.sources.snapshots import snapshot_lookup as lookup
 from listloom.sources.snapshots import with_snapshot_key

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from listloom.functions import sizes as S
 from listloom.functions import text as X
 from listloom.functions import urls as U
-from listloom.functions.sql import each
+from listloom.functions.sql import each, let
 from listloom.operators.glossary import glossary_translate
-from listloom.plans.sites import let
 from listloom.queries.base_sql import values
-from listloom.queries.registry import query, spread, table
+from listloom.queries.registry import query, table
+from listloom.sources.pages import spread
 
 
 @query(

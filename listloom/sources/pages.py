@@ -30,12 +30,13 @@ VOID_TAGS = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
-RAW_TAGS = ("script", "style", "template", "rt", "rp")
+RAW_TAGS = frozenset(("script", "style", "template", "rt", "rp"))
 VERBATIM_TAGS = frozenset(("pre", "textarea"))
 BLANKS = " \n\t\x0c\r"
 
-#: Pages handed back to the JVM at once.
+#: Pages handed back to the JVM at once, and element shapes a task remembers.
 PAGES_PER_BATCH = 64
+MAX_SHAPES = 10_000
 
 #: A tag, an id and classes; ``None`` and ``()`` match anything.
 Shape = tuple[str | None, str | None, tuple[str, ...]]
@@ -92,6 +93,7 @@ class _PageReader(HTMLParser):
         self.keep_below = _Shapes(wanted.subtrees)
         self.keep_text = _Shapes(wanted.texts)
         self.keep_attrs = wanted.attrs
+        self.decided: dict[tuple, tuple[bool, bool, bool]] = {}
 
     def read(self, html: str) -> tuple[list[list], list[tuple[int, str]]]:
         self.reset()
@@ -103,7 +105,7 @@ class _PageReader(HTMLParser):
         self.path: list[int] = []
         self.stack: list[_Open] = []
         self.open_tags: dict[str, int] = {}
-        self._push("", -1, False, self.keep_text.all)
+        self._push("", -1, False, self.keep_text.all, False, False)
         self.feed(html)
         self.close()
         self._flush()
@@ -114,13 +116,11 @@ class _PageReader(HTMLParser):
         return self.rows, self.pieces
 
     # --- element scopes -------------------------------------------------
-    def _push(self, tag: str, position: int, below: bool, text: bool) -> None:
-        top = self.stack[-1] if self.stack else None
+    def _push(self, tag: str, position: int, below: bool, text: bool, raw: bool, verbatim: bool) -> None:
         scope = _Open()
         scope.tag, scope.position, scope.below, scope.text = tag, position, below, text
         scope.counts, scope.contents, scope.child_single = {}, 0, False
-        scope.raw = tag in RAW_TAGS or (top is not None and top.raw)
-        scope.verbatim = tag in VERBATIM_TAGS or (top is not None and top.verbatim)
+        scope.raw, scope.verbatim = raw or tag in RAW_TAGS, verbatim or tag in VERBATIM_TAGS
         self.stack.append(scope)
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         if position >= 0:
@@ -137,28 +137,46 @@ class _PageReader(HTMLParser):
             row[10], row[11] = len(self.pieces), single
 
     def handle_starttag(self, tag, attrs, closed=False):
-        self._flush()
+        if self.pending:
+            self._flush()
         top = self.stack[-1]
         top.contents += 1
-        values = {name: value or "" for name, value in attrs}
+        values = {name: value or "" for name, value in attrs} if attrs else {}
         ident = values.pop("id", None)
-        classes = values.pop("class", "").split()
+        named = values.pop("class", "")
+        classes = named.split()
         nth = top.counts[tag] = top.counts.get(tag, 0) + 1
-        below = top.below or self.keep_below(tag, ident, classes)
+        kept, below, text = self._decide(tag, ident, named, classes)
         position = -1
-        if top.below or self.keep(tag, ident, classes) or below:
-            if self.keep_attrs is not None:
+        if kept or top.below:
+            if values and self.keep_attrs is not None:
                 values = {k: v for k, v in values.items() if k in self.keep_attrs}
             position = len(self.rows)
             at = len(self.pieces)
             self.rows.append(
-                [self.seen, top.position, list(self.path), tag, ident, classes, values, nth, 0, at, at, False]
+                [self.seen, top.position, self.path.copy(), tag, ident, classes, values, nth, 0, at, at, False]
             )
             self.siblings.append(top.counts)
         self.seen += 1
-        self._push(tag, position, below, top.text or self.keep_text(tag, ident, classes))
         if closed or tag in VOID_TAGS:
-            self._pop()
+            top.child_single = False
+        else:
+            self._push(tag, position, below or top.below, text or top.text, top.raw, top.verbatim)
+
+    def _decide(self, tag: str, ident: str | None, named: str, classes: list[str]) -> tuple[bool, bool, bool]:
+        """Keep the element, all below it, the text in it?  Pages repeat few shapes."""
+        shape = (tag, ident, named)
+        known = self.decided.get(shape)
+        if known is None:
+            below = self.keep_below(tag, ident, classes)
+            known = (below or self.keep(tag, ident, classes), below, self.keep_text(tag, ident, classes))
+            if len(self.decided) < MAX_SHAPES:
+                self.decided[shape] = known
+        return known
+
+    def updatepos(self, i, j):
+        """Line numbers are not needed."""
+        return j
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs, closed=True)
@@ -275,6 +293,15 @@ def parse_pages(pages: DataFrame, html_column: str = "html", wanted: Wanted = EV
     return pages.mapInArrow(_dom_stage(html_column, wanted), schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan that has fewer splits than the session has cores.
+
+    A large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def explode_nodes(parsed: DataFrame, *keys: str) -> DataFrame:
     """Long form: one row per element with the key columns of its page."""
     return parsed.select(*keys, F.inline("nodes"))
