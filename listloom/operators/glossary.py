@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listloom.functions.sql import each, q
+from listloom.operators.joins import MAX_BROADCAST, fits
 
-#: Largest glossary that may sit in an expression, and that may be broadcast.
+#: Largest glossary that may sit in an expression.
 MAX_CONSTANT = 200
-MAX_BROADCAST = 1_000_000
 #: Copies of a large glossary, so that one frequent word is spread over tasks.
 SALTS = 32
 
@@ -51,7 +51,7 @@ def glossary_translate(
     text, which is as large as that text and no larger.
     """
     unique = glossary.groupBy("term").agg(F.min("translation").alias("translation"))
-    small = glossary.limit(max_broadcast + 1).count() <= max_broadcast
+    small = fits(glossary, max_broadcast)
     whole = _joined(df, unique, column, key, small)
     words = whole.where("_translation IS NULL").select(
         key, F.posexplode(F.split(column, " ", -1)).alias("_at", "_word")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from listloom.functions.listing_html import listing_html
 from listloom.functions.sql import NO_TEXTS, each
+from listloom.operators.joins import small_side
 from listloom.schemas import LISTING_COLUMNS
 from listloom.sources.dims import default_images
 
@@ -17,12 +18,12 @@ def with_static_images(products: DataFrame, site_images: DataFrame, brand: str =
     """Add ``top``, ``middle``, ``end`` image lists of the brand.
 
     A brand that is not in the dimension takes the default lists; a brand that is
-    there with empty lists takes nothing.  No broadcast is forced: Spark decides
-    by the size of the dimension.
+    there with empty lists takes nothing.  The dimension is broadcast if its
+    counted size allows it, so products are not shuffled by brand.
     """
     lists = default_images()
     known = site_images.selectExpr("brand AS _brand", "true AS _known", *[f"`{n}` AS _{n}" for n in lists])
-    joined = products.join(known, products[brand] == known["_brand"], "left")
+    joined = products.join(small_side(known), products[brand] == known["_brand"], "left")
     picked = [f"if(_known, coalesce(_{n}, {NO_TEXTS}), {default}) AS `{n}`" for n, default in lists.items()]
     return joined.selectExpr(*products.columns, *picked)
 

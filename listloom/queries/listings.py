@@ -109,7 +109,7 @@ ARTICLE_RULES = [
 def article_listings(pages: DataFrame, images: DataFrame) -> DataFrame:
     """Listing rows of the article pages by three user rules; used for tables and streams."""
     docs = pages.selectExpr("page_id", "'article' AS site", "'raw' AS kind", "url", "html AS body")
-    return make_listings(docs, images, "page_id", rules=ARTICLE_RULES).select("page_id", "C", "E", "R", "S")
+    return make_listings(docs, images, "page_id", rules=ARTICLE_RULES, sites=()).select("page_id", "C", "E", "R", "S")
 
 
 H1 = UNESCAPE.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")

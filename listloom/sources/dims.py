@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from listloom.functions.sizes import size_rows
 from listloom.functions.sql import q, texts
@@ -113,14 +116,21 @@ DEFAULT_END = ["https://shop-phinf.pstatic.net/20231228_296/1703718751132RIyXT_J
 COUNTRY_SUFFIXES = ["Korea", "Youngone"]
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A constant table whose size the optimizer knows."""
+    fields = T.StructType.fromDDL(schema)
+    arrow = pa.Table.from_pylist([dict(zip(fields.names, row)) for row in rows], schema=to_arrow_schema(fields))
+    return spark.createDataFrame(arrow)
+
+
 def site_alias(spark: SparkSession) -> DataFrame:
     """(ko_name, site_official), 44 rows."""
-    return spark.createDataFrame(SITE_ALIASES, "ko_name string, site_official string")
+    return _local(spark, SITE_ALIASES, "ko_name string, site_official string")
 
 
 def site_host(spark: SparkSession) -> DataFrame:
     """(site_official, host), 44 rows.  One host is mistyped and one empty at the origin."""
-    return spark.createDataFrame(SITE_HOSTS, "site_official string, host string")
+    return _local(spark, SITE_HOSTS, "site_official string, host string")
 
 
 def suspicious_hosts(hosts: DataFrame) -> DataFrame:
@@ -131,13 +141,13 @@ def suspicious_hosts(hosts: DataFrame) -> DataFrame:
 
 def size_map(spark: SparkSession) -> DataFrame:
     """(size_group, us_key, us_num, mm), 154 rows."""
-    return spark.createDataFrame(size_rows(), "size_group string, us_key string, us_num double, mm int")
+    return _local(spark, size_rows(), "size_group string, us_key string, us_num double, mm int")
 
 
 def site_images(spark: SparkSession) -> DataFrame:
     """Static images by brand: every known shop starts with empty lists."""
     rows = [(official, [], [], []) for _, official in SITE_ALIASES]
-    return spark.createDataFrame(rows, "brand string, top array<string>, middle array<string>, `end` array<string>")
+    return _local(spark, rows, "brand string, top array<string>, middle array<string>, `end` array<string>")
 
 
 def default_images() -> dict[str, str]:

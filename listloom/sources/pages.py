@@ -7,9 +7,11 @@ array, and everything after that is Column expressions without a shuffle.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from listloom.operators.joins import small_side
 from listloom.schemas import COMMENT, DOM_FIELDS, NODE, PIECE, RAW, TEXT
 
 # The tokeniser travels with the plan, so executors need no copy of this package.
@@ -38,6 +41,12 @@ BLANKS = " \n\t\x0c\r"
 PAGES_PER_BATCH = 64
 MAX_SHAPES = 10_000
 
+# Well-formed tags, the bulk of a page, are read by one match each; anything else
+# goes the tolerant way of the standard library.
+_START = re.compile(r'<([a-zA-Z][a-zA-Z0-9-]*)((?:\s+[a-zA-Z_][\w:.-]*(?:="[^"]*")?)*)\s*(/?)>')
+_ATTR = re.compile(r'\s([a-zA-Z_][\w:.-]*)(?:="([^"]*)")?(?=\s|$)')
+_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9-]*)>")
+
 #: A tag, an id and classes; ``None`` and ``()`` match anything.
 Shape = tuple[str | None, str | None, tuple[str, ...]]
 
@@ -178,6 +187,30 @@ class _PageReader(HTMLParser):
         """Line numbers are not needed."""
         return j
 
+    def parse_starttag(self, i):
+        found = _START.match(self.rawdata, i)
+        if found is None:
+            return super().parse_starttag(i)
+        tag, given, slash = found.groups()
+        tag = tag.lower()
+        attrs = [
+            (name.lower(), unescape(value) if "&" in value else value) for name, value in _ATTR.findall(given)
+        ] if given else ()
+        if slash:
+            self.handle_startendtag(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
+            if tag in self.CDATA_CONTENT_ELEMENTS:
+                self.set_cdata_mode(tag)
+        return found.end()
+
+    def parse_endtag(self, i):
+        found = _END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if found is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(found.group(1).lower())
+        return found.end()
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs, closed=True)
 
@@ -320,7 +353,7 @@ def choose_document(
     """
     flags = capabilities.select("site", F.col("json").alias("_json"), F.col("rendered").alias("_rendered"))
     kind = F.when(F.col("_json"), "json").when(F.col("_rendered"), "rendered").otherwise("raw")
-    asked = urls.join(flags, "site", "left").withColumn("kind", kind).drop("_json", "_rendered")
+    asked = urls.join(small_side(flags), "site", "left").withColumn("kind", kind).drop("_json", "_rendered")
     stored = (
         json_pages.select("url", F.lit("json").alias("kind"), "body")
         .unionByName(rendered_pages.select("url", F.lit("rendered").alias("kind"), "body"))
