@@ -60,5 +60,10 @@ def glossary_translate(
     rebuilt = known.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_translation", "_word").alias("_w")))).alias("_words")
     ).select(key, F.expr("array_join(transform(_words, w -> w._w), ' ')").alias("_rebuilt"))
+    if set(df.columns) == {key, column}:
+        # Nothing else to carry: the two halves are the result, without a join.
+        direct = whole.where("_translation IS NOT NULL").select(key, F.col("_translation").alias(column))
+        empty = whole.where(f"_translation IS NULL AND {column} IS NULL").select(key, column)
+        return direct.unionByName(rebuilt.withColumnRenamed("_rebuilt", column)).unionByName(empty).select(*df.columns)
     kept = [F.coalesce("_translation", "_rebuilt", column).alias(c) if c == column else F.col(c) for c in df.columns]
     return whole.join(rebuilt, key, "left").select(*kept)

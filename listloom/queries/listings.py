@@ -8,12 +8,14 @@ from listloom.functions.listing_html import listing_html
 from listloom.functions.sql import texts
 from listloom.operators.listing import with_static_images
 from listloom.operators.rules import Rule
+from listloom.plans.batch import Sources, run_batch
 from listloom.plans.listings import make_listings
 from listloom.queries.base_sql import body_sql, expecting
 from listloom.queries.pages import UNESCAPE
 from listloom.queries.registry import query, table
 from listloom.sources.pages import spread
 from listloom.queries.shops import documents
+from listloom.schemas import LISTING_COLUMNS
 from listloom.sources.dims import DEFAULT_END, DEFAULT_MIDDLE, DEFAULT_TOP, site_images
 
 #: Ten brands with images, two of them with empty lists.
@@ -124,3 +126,51 @@ ARTICLE_SQL = f"""
 def article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return article_listings(spread(table(spark, sf_dir, "pages")), site_images(spark))
 
+
+
+MINI_RULES = [
+    Rule("mini", "product_name", "h1", post=("strip",)),
+    Rule("mini", "price", "b.price"),
+    Rule("mini", "color_urls", "a.color", "all", "need", "href"),
+]
+LINKS_SQL = "list_transform(range(1, least(3, 9 - p_partkey % 10) + 1), lambda i: p_partkey + i)"
+
+
+@query(
+    f"""
+    WITH own AS (
+        SELECT p_partkey AS pos, len({LINKS_SQL}) AS v, {LINKS_SQL} AS links,
+            sum(1 + len({LINKS_SQL})) OVER (ORDER BY p_partkey) - 1 - len({LINKS_SQL}) AS before
+        FROM part WHERE p_partkey % 7 <> 0
+    ), placed AS (
+        SELECT before + 20 AS row_no, pos AS key FROM own
+        UNION ALL SELECT before + 20 + unnest(range(1, v + 1)), unnest(links) FROM own
+    ), listed AS (
+        SELECT CAST(row_no AS BIGINT) AS row_no, 'mini ' || p_name || ' ' || p_name AS C,
+            CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS E, 'https://shop.test/' || key AS S
+        FROM placed JOIN part ON p_partkey = key
+    )
+    SELECT * FROM listed
+    UNION ALL SELECT s_suppkey + 1 + CASE WHEN s_suppkey + 1 >= 20 THEN (SELECT count(*) FROM listed) ELSE 0 END, s_name, '', ''
+    FROM supplier
+    """
+)
+def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    links = "transform(filter(array(1, 2, 3), i -> i <= 9 - p_partkey % 10), i -> p_partkey + i)"
+    anchors = f"array_join(transform({links}, l -> concat('<a class=\"color\" href=\"https://shop.test/', l, '\">c</a>')), '')"
+    pages = part.selectExpr(
+        "concat('https://shop.test/', p_partkey) AS url",
+        "concat('<h1> ', p_name, ' </h1><b class=\"price\">$', cast(cast(p_retailprice AS decimal(12,2)) AS string), '</b>', "
+        f"{anchors}) AS body",
+    )
+    urls = part.selectExpr(
+        "p_partkey AS pos", "'mini' AS site", "if(p_partkey % 7 = 0, '', concat('https://shop.test/', p_partkey)) AS url"
+    )
+    cells = ["s_name AS C" if c == "C" else f"'' AS {c}" for c in LISTING_COLUMNS]
+    sheet = table(spark, sf_dir, "supplier").selectExpr("s_suppkey + 1 AS row_no", *cells)
+    abilities = spark.createDataFrame([("mini", False, False)], "site string, json boolean, rendered boolean")
+    sources = Sources(abilities, pages.limit(0), pages.limit(0), pages, site_images(spark))
+    last = part.agg({"p_partkey": "max"}).first()[0]
+    done = run_batch(urls, sheet, sources, 0, last + 1, 20, rules=MINI_RULES, sites=())
+    return done.sheet.select("row_no", "C", "E", "S")

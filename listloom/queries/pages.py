@@ -12,7 +12,7 @@ from listloom.operators.variants import read_url_batch
 from listloom.plans.products import extract_fields
 from listloom.queries.registry import query, table
 from listloom.session import work_dir
-from listloom.sources.pages import choose_document, explode_nodes, parse_pages, spread
+from listloom.sources.pages import Wanted, choose_document, explode_nodes, parse_pages, spread
 from listloom.sources.snapshots import cache_misses as misses
 from listloom.sources.snapshots import snapshot_lookup as lookup
 from listloom.sources.snapshots import with_snapshot_key
@@ -80,7 +80,8 @@ def choose_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def dom_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = explode_nodes(parse_pages(raw_pages(spark, sf_dir)), "page_id")
+    tags_only = Wanted(texts=frozenset(), attrs=frozenset())
+    nodes = explode_nodes(parse_pages(raw_pages(spark, sf_dir), wanted=tags_only), "page_id")
     return nodes.groupBy("tag").agg(F.count("*").alias("n"))
 
 

@@ -37,8 +37,10 @@ RAW_TAGS = frozenset(("script", "style", "template", "rt", "rp"))
 VERBATIM_TAGS = frozenset(("pre", "textarea"))
 BLANKS = " \n\t\x0c\r"
 
-#: Pages handed back to the JVM at once, and element shapes a task remembers.
+#: Pages and characters handed back to the JVM at once, and element shapes a task
+#: remembers.
 PAGES_PER_BATCH = 64
+CHARS_PER_BATCH = 16_000_000
 MAX_SHAPES = 10_000
 
 # Well-formed tags, the bulk of a page, are read by one match each; anything else
@@ -281,6 +283,20 @@ def _arrow_kinds(schema: T.StructType) -> dict[str, pa.DataType]:
     return {f.name: to_arrow_type(f.dataType) for f in schema}
 
 
+def _slices(html: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(start, pages) of runs that stay below both batch limits; a huge page goes alone."""
+    start, run, chars = 0, [], 0
+    for i, page in enumerate(html):
+        text = page.as_py()
+        if run and (len(run) == PAGES_PER_BATCH or chars + len(text or "") > CHARS_PER_BATCH):
+            yield start, run
+            start, run, chars = i, [], 0
+        run.append(text)
+        chars += len(text or "")
+    if run:
+        yield start, run
+
+
 def _dom_stage(html_column: str, wanted: Wanted):
     """The function given to ``mapInArrow``: replaces the HTML column by the DOM."""
 
@@ -288,13 +304,13 @@ def _dom_stage(html_column: str, wanted: Wanted):
         reader = _PageReader(wanted)
         node_kinds, piece_kinds = _arrow_kinds(NODE), _arrow_kinds(PIECE)
         for whole in batches:
-            for start in range(0, whole.num_rows, PAGES_PER_BATCH):
-                batch = whole.slice(start, PAGES_PER_BATCH)
+            kept = [name for name in whole.schema.names if name != html_column]
+            for start, texts in _slices(whole.column(html_column)):
                 nodes, pieces, node_ends, piece_ends, errors = [], [], [0], [0], []
-                for html in batch.column(html_column):
+                for html in texts:
                     error = None
                     try:
-                        page_nodes, page_pieces = reader.read(html.as_py() or "")
+                        page_nodes, page_pieces = reader.read(html or "")
                     except (AssertionError, ValueError, RecursionError) as problem:
                         # One broken page gives an empty page, not a failed job.
                         page_nodes, page_pieces, error = [], [], f"{type(problem).__name__}: {problem}"
@@ -303,14 +319,12 @@ def _dom_stage(html_column: str, wanted: Wanted):
                     node_ends.append(len(nodes))
                     piece_ends.append(len(pieces))
                     errors.append(error)
-                kept = [i for i, name in enumerate(batch.schema.names) if name != html_column]
-                arrays = [batch.column(i) for i in kept] + [
+                arrays = [whole.column(name).slice(start, len(texts)) for name in kept] + [
                     _list_array(node_ends, _struct(nodes, NODE, node_kinds)),
                     _list_array(piece_ends, _struct(pieces, PIECE, piece_kinds)),
                     pa.array(errors, pa.string()),
                 ]
-                names = [batch.schema.names[i] for i in kept] + [f.name for f in DOM_FIELDS]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in DOM_FIELDS])
 
     return run
 
