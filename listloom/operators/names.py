@@ -4,36 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from listloom.functions.sql import case, keep, q, some
+from listloom.functions.sql import case, keep, let, q
 from listloom.sources.dims import alias_array, host_map
 
 
-def _candidates(name: str) -> str:
+def _candidates(aliases: str, name: str) -> str:
     """ARRAY of alias rows a name may mean when it is no exact Korean name.
 
     Names without lower-case letters (Hangul, digits) match when every character
     occurs in the Korean name, in any order; others when they are part of the
     squashed official name or share a word with it.
     """
-    n = f"replace(lower({name}), ' ', '')"
-    words = f"split(lower({name}), ' ', -1)"
-    aliases = alias_array()
-    letters = f"filter(split({n}, ''), ch -> ch <> '')"
-    korean = keep(aliases, lambda a: f"forall({letters}, ch -> contains({a}.ko_name, ch))")
-
-    def english_test(alias: str) -> str:
-        official = f"lower({alias}.site_official)"
-        shared = some(f"split({official}, ' ')", lambda w: f"array_contains({words}, {w})")
-        return f"contains(replace({official}, ' ', ''), {n}) OR {shared}"
-
-    return case(
-        [
-            (f"{n} RLIKE {q(r'\p{IsLowercase}')}", keep(aliases, english_test)),
-            (f"length({n}) < 2", f"slice({aliases}, 1, 0)"),
-        ],
-        korean,
+    squashed = f"replace(lower({name}), ' ', '')"
+    read = (
+        f"named_struct('n', {squashed}, 'words', split(lower({name}), ' ', -1), "
+        f"'letters', array_distinct(filter(split({squashed}, ''), ch -> ch <> '')))"
     )
 
+    def match(typed: str) -> str:
+        korean = keep(aliases, lambda a: f"forall({typed}.letters, ch -> contains({a}.ko_name, ch))")
+        english = keep(
+            aliases, lambda a: f"contains({a}.squashed, {typed}.n) OR arrays_overlap({typed}.words, {a}.words)"
+        )
+        return case(
+            [
+                (f"{typed}.n RLIKE {q(r'\p{IsLowercase}')}", english),
+                (f"length({typed}.n) < 2", f"slice({aliases}, 1, 0)"),
+            ],
+            korean,
+        )
+
+    return let(read, match)
+
 
 def with_site_name(df: DataFrame, name: str) -> DataFrame:
     """Add ``site_official`` ('' when unknown or ambiguous) and ``match_count``.
@@ -41,11 +43,11 @@ def with_site_name(df: DataFrame, name: str) -> DataFrame:
     The alias dimension is a constant of 44 rows inside the expression, so the
     theta match is a narrow filter: no join, no grouping, no shuffle.
     """
-    exact = keep(alias_array(), lambda a: f"{a}.ko_name = {name}")
-    found = df.selectExpr("*", f"if(size({exact}) > 0, {exact}, {_candidates(name)}) AS _found")
-    kept = [c for c in df.columns]
-    return found.selectExpr(
-        *kept,
+    aliases = alias_array()
+    exact = keep(aliases, lambda a: f"{a}.ko_name = {name}")
+    found = let(exact, lambda hits: f"if(size({hits}) > 0, {hits}, {_candidates(aliases, name)})")
+    return df.selectExpr("*", f"{found} AS _found").selectExpr(
+        *df.columns,
         "if(size(_found) = 1, get(_found, 0).site_official, '') AS site_official",
         "size(_found) AS match_count",
     )

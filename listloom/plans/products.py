@@ -37,14 +37,19 @@ def is_site(*names: str) -> str:
 
 
 def extract_fields(
-    documents: DataFrame, fields: Iterable[str] | None = None, rules: Iterable[Rule] = (), sites: Iterable[Site] = SITES
+    documents: DataFrame,
+    fields: Iterable[str] | None = None,
+    rules: Iterable[Rule] = (),
+    sites: Iterable[Site] = SITES,
+    with_spare: bool = False,
 ) -> DataFrame:
     """Raw fields of every document ``(…keys, site, kind, body)``.
 
     Built-in shops and the given rule rows are combined; a rule row of a field
     replaces the built-in source of that field and may name fields of its own.
     ``errors`` lists the fields a site has a source for but which were not found.
-    The result keeps the key columns, ``site`` and ``kind``.
+    ``with_spare`` adds fields a shop shows but does not list.  The result keeps
+    the key columns, ``site`` and ``kind``.
     """
     page, body = Page(), "json_body"
     sites, rules = list(sites), list(rules)
@@ -58,6 +63,8 @@ def extract_fields(
     for number, site in enumerate(sites):
         meta = f"_meta_{number}"
         computed = site.computed(page, meta)
+        if with_spare:
+            computed = site.spare(page, meta) | computed
         for field in fields:
             replaced = [r for r in rules if (r.site, r.field) == (site.name, field)]
             chain = replaced or [r for r in site.rules if r.field == field]

@@ -7,9 +7,11 @@ becomes the default of the field.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+
 from listloom.functions import sizes as S
 from listloom.functions import text as X
 from listloom.functions import urls as U
@@ -30,12 +32,14 @@ class Site:
 
     ``metadata`` yields the JSON data of a page as a struct; it is evaluated once
     per page and handed to ``computed``, which maps fields to expressions.
+    ``spare`` fields are known too, but listed only when asked for.
     """
 
     name: str
     rules: tuple[Rule, ...] = ()
     metadata: Callable[[Page], str] | None = None
     computed: Callable[[Page, str], dict[str, Callable[[], str]]] = no_fields
+    spare: Callable[[Page, str], dict[str, Callable[[], str]]] = no_fields
     has_json: bool = False
     needs_rendering: bool = False
     has_brand: bool = False
@@ -302,6 +306,7 @@ ASICS = Site(
     ),
     metadata=lambda page: script_json(page, "utag_data", " = ", ";\n\t", ASICS_JSON),
     computed=_asics,
+    spare=lambda page, meta: {"color_name": lambda: f"get({meta}.product_variant, 0)"},
     converts_sizes=True,
     kids_group="kids_with_front_k",
 )
@@ -416,6 +421,7 @@ def _north_face_site(name: str, base: str) -> Site:
         ),
         metadata=metadata,
         computed=computed,
+        spare=lambda page, meta: {"color_name": lambda: X.swap(f"{meta}.color", "_", " ")},
         has_korean_name=True,
     )
 
@@ -470,3 +476,11 @@ ABC_GRAND_STAGE = Site(
 
 #: The shops with rules, in the order their pages are numbered in tests.
 SITES = (ZAPPOS, VANS, LACOSTE, ADIDAS, ASICS, NORTH_FACE_KOREA, NORTH_FACE_YOUNGONE, ABC_GRAND_STAGE)
+
+
+def capabilities(spark: SparkSession, sites: Iterable[Site] = SITES) -> DataFrame:
+    """(site, json, rendered, size_type_known): which document a shop is read from."""
+    rows = [
+        (s.name, s.has_json, s.needs_rendering, "size_type" in s.computed(Page(), "meta")) for s in sites
+    ]
+    return spark.createDataFrame(rows, "site string, json boolean, rendered boolean, size_type_known boolean")

@@ -18,9 +18,11 @@ from listloom.sources.snapshots import snapshot_lookup as lookup
 from listloom.sources.snapshots import with_snapshot_key
 from listloom.sources.snapshots import write_snapshots as save
 
-#: Entities of the page table, the ampersand last.
+#: Entities of the page table, the ampersand last.  Like a browser, a reader of
+#: HTML also takes them without the semicolon, as at the end of a cut heading.
 UNESCAPE = (
-    "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace("
+    "{0}, '&quot;?', '\"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')"
 )
 BLANKS = "chr(9) || chr(10) || chr(13) || ' '"
 

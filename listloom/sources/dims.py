@@ -156,8 +156,12 @@ def default_images() -> dict[str, str]:
 
 
 def alias_array() -> str:
-    """The alias dimension as one constant array of (ko_name, site_official)."""
-    rows = [f"named_struct('ko_name', {q(ko)}, 'site_official', {q(official)})" for ko, official in SITE_ALIASES]
+    """The alias dimension as one constant array, with the official name squashed and in words."""
+    rows = [
+        f"named_struct('ko_name', {q(ko)}, 'site_official', {q(official)}, "
+        f"'squashed', {q(official.lower().replace(' ', ''))}, 'words', {texts(official.lower().split(' '))})"
+        for ko, official in SITE_ALIASES
+    ]
     return f"array({', '.join(rows)})"
 
 

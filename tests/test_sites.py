@@ -8,6 +8,7 @@ from listloom.operators.glossary import constant_glossary
 from listloom.operators.rules import Rule, rules_from_table
 from listloom.plans.listings import make_listings, make_products
 from listloom.plans.products import extract_fields
+from listloom.plans.sites import capabilities
 from listloom.schemas import PRODUCT_FIELDS
 from listloom.sources.dims import site_images
 
@@ -281,3 +282,21 @@ def test_no_shuffle_between_pages_and_rows(spark):
     docs = spark.createDataFrame([("a", "Vans", "raw", "u", "")], DOCUMENTS)
     plan = make_listings(docs, site_images(spark), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_spare_fields(spark):
+    pages = [
+        ("a", "Asics", "raw", "u", _asics(product_variant=["Teal"])),
+        ("n", "North Face Korea", "raw", "u", _north_face([_sku(543, 5)], ALLOWED)),
+    ]
+    docs = spark.createDataFrame(pages, DOCUMENTS)
+    read = lambda spare: {r["id"]: r["color_name"] for r in extract_fields(docs, ["color_name"], with_spare=spare).collect()}
+    assert read(False) == {"a": "", "n": ""}
+    assert read(True) == {"a": "Teal", "n": "LIGHT KHAKI"}
+
+
+def test_capabilities(spark):
+    rows = {r["site"]: (r["json"], r["rendered"], r["size_type_known"]) for r in capabilities(spark).collect()}
+    assert rows["Lacoste"] == (True, False, False) and rows["Adidas"] == (False, True, False)
+    assert rows["Zappos"] == (False, False, True) and rows["Abc Grand Stage"] == (False, True, False)
+    assert len(rows) == 8
