@@ -32,13 +32,13 @@ def constant_glossary(entries: Sequence[tuple[str, str]]):
     return translate
 
 
-def _joined(left: DataFrame, glossary: DataFrame, column: str, row_key: str, small: bool) -> DataFrame:
+def _joined(left: DataFrame, terms: DataFrame, column: str, row_key: str, small: bool) -> DataFrame:
     """Left join on a term: broadcast when small, else with salted copies."""
-    terms = glossary.select(F.col("term").alias(column), F.col("translation").alias("_translation"))
+    named = terms.select(F.col("term").alias(column), F.col("translation").alias("_translation"))
     if small:
-        return left.join(F.broadcast(terms), column, "left")
+        return left.join(F.broadcast(named), column, "left")
     salted = left.withColumn("_salt", F.pmod(F.hash(row_key), F.lit(SALTS)))
-    copies = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [column, "_salt"], "left").drop("_salt")
 
 
@@ -47,23 +47,28 @@ def glossary_translate(
 ) -> DataFrame:
     """Replace ``column`` by its translation; ``key`` identifies a row.
 
-    ``glossary(term, translation)`` may have any size.  Words are regrouped per
-    text, which is as large as that text and no larger.
+    ``glossary(term, translation)`` may have any size.  A text that is a term as a
+    whole travels as one finished word, others are split.  Words are regrouped per
+    text, which is as large as that text and no larger, and are combined before
+    the shuffle.  A table of just key and text needs no further join.
     """
-    unique = glossary.groupBy("term").agg(F.min("translation").alias("translation"))
+    unique = glossary.where("term IS NOT NULL").groupBy("term").agg(F.min("translation").alias("translation"))
     small = fits(glossary, max_broadcast)
-    whole = _joined(df, unique, column, key, small)
-    words = whole.where("_translation IS NULL").select(
-        key, F.posexplode(F.split(column, " ", -1)).alias("_at", "_word")
-    )
+    whole = _joined(df.select(key, column), unique, column, key, small)
+    words = whole.select(
+        key,
+        F.posexplode_outer(
+            F.expr(
+                f"if(_translation IS NOT NULL, array(named_struct('done', _translation, 'word', cast(NULL AS string))), "
+                f"transform(split({column}, ' ', -1), w -> named_struct('done', cast(NULL AS string), 'word', w)))"
+            )
+        ).alias("_at", "_piece"),
+    ).select(key, "_at", F.col("_piece.done").alias("_done"), F.col("_piece.word").alias("_word"))
     known = _joined(words, unique, "_word", key, small)
+    piece = F.struct("_at", F.coalesce("_done", "_translation", "_word").alias("w"))
     rebuilt = known.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_translation", "_word").alias("_w")))).alias("_words")
-    ).select(key, F.expr("array_join(transform(_words, w -> w._w), ' ')").alias("_rebuilt"))
+        F.array_sort(F.collect_list(piece)).alias("_pieces"), F.count("_at").alias("_n")
+    ).selectExpr(key, f"if(_n = 0, NULL, array_join(transform(_pieces, p -> p.w), ' ')) AS {column}")
     if set(df.columns) == {key, column}:
-        # Nothing else to carry: the two halves are the result, without a join.
-        direct = whole.where("_translation IS NOT NULL").select(key, F.col("_translation").alias(column))
-        empty = whole.where(f"_translation IS NULL AND {column} IS NULL").select(key, column)
-        return direct.unionByName(rebuilt.withColumnRenamed("_rebuilt", column)).unionByName(empty).select(*df.columns)
-    kept = [F.coalesce("_translation", "_rebuilt", column).alias(c) if c == column else F.col(c) for c in df.columns]
-    return whole.join(rebuilt, key, "left").select(*kept)
+        return rebuilt.select(*df.columns)
+    return df.drop(column).join(rebuilt, key).select(*df.columns)

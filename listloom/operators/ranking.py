@@ -9,6 +9,8 @@ their bucket only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,16 +25,22 @@ def with_running_total(
     """Add running totals of the rows before each row, within ``keys`` by ``order``.
 
     ``totals`` maps new columns to integer expressions; ``bucket`` is an integer
-    expression that never falls along the order.  The input is read twice, so an
-    expensive one should be a written table.
+    expression that never falls along the order; for dense positions some million
+    rows per bucket leave few buckets.  The input is read twice, so an expensive
+    one should be a written table.
     """
     cut = df.withColumn("_bucket", F.expr(bucket))
     group = [*keys, "_bucket"]
     sums = cut.groupBy(*group).agg(*[F.sum(F.expr(v)).alias(f"_{n}") for n, v in totals.items()])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*group, *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in totals])
+    before = sums.select(
+        *[F.col(g).alias(f"_key_{g}") for g in group],
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in totals],
+    )
+    # Null-safe, so rows without a key stay.
+    same_group = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_key_{g}")) for g in group])
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(before, group).select(
+    return cut.join(before, same_group).select(
         *df.columns,
         *[
             (F.col(f"_{n}") + F.coalesce(F.sum(F.expr(v)).over(inside), F.lit(0))).alias(n)

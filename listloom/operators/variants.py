@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listloom.functions.urls import is_url
+from listloom.operators.joins import small_side
 from listloom.operators.ranking import BUCKET, with_running_total
 from listloom.session import enable_checkpoints
 
@@ -89,22 +89,22 @@ def variants_closure(seeds: DataFrame, links: DataFrame, max_rounds: int = 1000)
     """Codes reachable over colour links, with the number of hops.
 
     ``seeds(code)``, ``links(code, linked)``.  Each round joins only the frontier
-    and drops what was visited; links are hash-partitioned once and kept.  The
-    frontier is checkpointed per round, so lineage stays short and lost executors
-    cost one round.  Raises when ``max_rounds`` does not reach the end.
+    and drops what was visited.  Links are spread by the whole pair, so a code with
+    very many links is in many tasks; a small frontier is broadcast to them, a
+    large one is joined by shuffle with adaptive splitting.  Links and frontiers
+    are checkpointed: lineage stays short and lost executors cost one round.
+    Raises when ``max_rounds`` does not reach the end.
     """
     enable_checkpoints(seeds.sparkSession)
-    edges = links.select("code", "linked").distinct().repartition("code").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = links.select("code", "linked").distinct().checkpoint()
     frontier = seeds.select("code").distinct().withColumn("hops", F.lit(0)).checkpoint()
     visited = frontier
-    try:
-        for hop in range(1, max_rounds + 1):
-            reached = frontier.join(edges, "code").select(F.col("linked").alias("code")).distinct()
-            fresh = reached.join(visited.select("code"), "code", "left_anti")
-            frontier = fresh.withColumn("hops", F.lit(hop)).checkpoint()
-            if frontier.isEmpty():
-                return visited
-            visited = visited.unionByName(frontier)
-    finally:
-        edges.unpersist()
+    for hop in range(1, max_rounds + 1):
+        near = small_side(frontier.select("code"))
+        reached = edges.join(near, "code").select(F.col("linked").alias("code")).distinct()
+        fresh = reached.join(visited.select("code"), "code", "left_anti")
+        frontier = fresh.withColumn("hops", F.lit(hop)).checkpoint()
+        if frontier.isEmpty():
+            return visited
+        visited = visited.unionByName(frontier)
     raise RuntimeError(f"colour links go on after {max_rounds} rounds")

@@ -82,6 +82,12 @@ def test_ranks_in_a_hot_group(spark):
     assert ranks == {pos: pos + 1 for pos in range(3000)}
 
 
+def test_rows_without_a_key_are_ranked_too(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "k string, pos bigint")
+    got = {r["pos"]: r["rank"] for r in with_rank(df, ["k"], ["pos"], "pos div 2").collect()}
+    assert got == {1: 1, 2: 1, 3: 2}
+
+
 # --- Work lists -------------------------------------------------------------------
 
 
@@ -270,6 +276,8 @@ def test_glossary(spark, limit):
         expected = None if text is None else table.get(text) or " ".join(table.get(w, w) for w in text.split(" "))
         assert got[i] == expected
     assert len(got) == len(texts)
+    wide = glossary.glossary_translate(df.withColumn("more", F.col("id") * 2), terms, "text", "id", limit)
+    assert {r["id"]: (r["text"], r["more"]) for r in wide.collect()} == {i: (got[i], 2 * i) for i in got}
 
 
 def test_constant_glossary(value):
