@@ -39,14 +39,14 @@ def stream_skip_listed(rows: DataFrame, code: str, order: str, sink: str, checkp
 
     What was listed is read from the sink itself, so no state grows with the
     stream.  A batch writes its own folder by overwriting, so a retried batch
-    leaves the same rows once.
+    leaves the same rows once.  Sink and checkpoint belong together: batch numbers
+    start anew with a new checkpoint.
     """
     spark = rows.sparkSession
     schema = T.StructType(rows.schema.fields + [T.StructField("batch_id", T.LongType())])
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        others = [F.col(c) for c in batch.columns if c != code]
-        first = batch.groupBy(code).agg(F.min_by(F.struct(*others), order).alias("row")).select(code, "row.*")
+        first = batch.groupBy(code).agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
         if batch_id > 0:
             listed = spark.read.schema(schema).parquet(sink).where(F.col("batch_id") < batch_id)
             first = first.join(listed.select(code), code, "left_anti")

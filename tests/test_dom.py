@@ -213,3 +213,94 @@ def test_descendant_selection_matches_brute_force(spark):
             ):
                 expected.append(row[0])
         assert got[number] == expected
+
+
+# --- random selectors against a matcher of its own ----------------------------------
+
+
+def _holds(compound, row):
+    tag, ident, classes, attrs, negated, place = compound
+    if tag and row[3] != tag or ident and row[4] != ident:
+        return False
+    if any(c not in row[5] for c in classes):
+        return False
+    for name, op, wanted in attrs:
+        actual = " ".join(row[5]) or None if name == "class" else row[4] if name == "id" else row[6].get(name)
+        if actual is None:
+            return False
+        if op == "=" and actual != wanted or op == "*=" and wanted not in actual:
+            return False
+        if op == "^=" and not actual.startswith(wanted) or op == "$=" and not actual.endswith(wanted):
+            return False
+    if negated and _holds(negated, row):
+        return False
+    return not place or row[7 if place == "first" else 8] == 1
+
+
+def _matches(chain, row, rows):
+    *outer, (combinator, compound) = chain
+    if not _holds(compound, row):
+        return False
+    if not outer:
+        return True
+    above = [row[1]] if combinator == ">" else row[2]
+    return any(i >= 0 and _matches(outer, rows[i], rows) for i in above)
+
+
+def _random_compound(rng, nested=False):
+    tag = rng.choice(["a", "b", "d", None, None])
+    ident = rng.choice([None, None, None, "i1"])
+    classes = rng.sample("xyz", rng.choice([0, 0, 1, 1, 2]))
+    attrs = []
+    if rng.random() < 0.4:
+        attrs.append(rng.choice([("k", None, None), ("k", "=", "v1"), ("k", "*=", "v"), ("k", "^=", "w"), ("class", "*=", "x"), ("k", "$=", "2")]))
+    negated = _random_compound(rng, True)[0] if not nested and rng.random() < 0.3 else None
+    place = rng.choice([None, None, None, "first", "last"]) if not nested else None
+    compound = (tag, ident, classes, attrs, negated, place)
+    if not (tag or ident or classes or attrs or negated or place):
+        return _random_compound(rng, nested)
+    return compound, _text(compound)
+
+
+def _text(compound):
+    tag, ident, classes, attrs, negated, place = compound
+    out = (tag or "") + (f"#{ident}" if ident else "") + "".join(f".{c}" for c in classes)
+    out += "".join(f"[{n}]" if op is None else f'[{n}{op}"{v}"]' for n, op, v in attrs)
+    out += f":not({_text(negated)})" if negated else ""
+    return out + (f":{place}-of-type" if place else "")
+
+
+def test_random_selectors(spark):
+    rng = random.Random(11)
+    selectors = []
+    for _ in range(40):
+        chain, text = [], ""
+        for step in range(rng.choice([1, 1, 2, 3])):
+            combinator = "" if step == 0 else rng.choice([" ", ">"])
+            compound, written = _random_compound(rng)
+            chain.append((combinator, compound))
+            text += {"": "", " ": " ", ">": " > "}[combinator] + written
+        selectors.append((chain, text))
+    pages = []
+    for number in range(40):
+        html = []
+        for _ in range(50):
+            if rng.random() < 0.6:
+                ident = ' id="i1"' if rng.random() < 0.15 else ""
+                key = f' k="{rng.choice(["v1", "v2", "w2", ""])}"' if rng.random() < 0.4 else ""
+                html.append(f'<{rng.choice("abd")} class="{" ".join(rng.sample("xyz", rng.randint(0, 3)))}"{ident}{key}>')
+            else:
+                html.append(f'</{rng.choice("abd")}>')
+        pages.append((number, "".join(html)))
+    page = Page()
+    found = [page.all(text).read(lambda e: f"{e.node}.node_id") for _, text in selectors]
+    parsed = parse_pages(spark.createDataFrame(pages, "page int, html string"), wanted=page.wanted())
+    got = {r["page"]: r for r in parsed.selectExpr("page", *[f"{f} AS s{i}" for i, f in enumerate(found)]).collect()}
+    reader, hits = _PageReader(Wanted()), 0
+    for number, html in pages:
+        rows, _ = reader.read(html)
+        for i, (chain, text) in enumerate(selectors):
+            expected = [r[0] for r in rows if _matches(chain, r, rows)]
+            assert got[number][f"s{i}"] == expected, text
+            hits += len(expected)
+    assert hits > 500

@@ -1,6 +1,7 @@
 """Pages of every shop, with the cases that go wrong."""
 
 import json
+import os
 
 import pytest
 
@@ -300,3 +301,17 @@ def test_capabilities(spark):
     assert rows["Lacoste"] == (True, False, False) and rows["Adidas"] == (False, True, False)
     assert rows["Zappos"] == (False, False, True) and rows["Abc Grand Stage"] == (False, True, False)
     assert len(rows) == 8
+
+
+def test_pruned_pages_give_the_same_products(spark, monkeypatch):
+    from listloom.plans import products
+    from listloom.plans.shop_pages import catalogue, shop_documents
+    from listloom.sources.pages import parse_pages
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables")
+    docs = shop_documents(catalogue(spark, sf_dir))
+    pruned = {str(r) for r in extract_fields(docs).collect()}
+    monkeypatch.setattr(products, "parse_pages", lambda pages, wanted: parse_pages(pages))
+    assert {str(r) for r in extract_fields(docs).collect()} == pruned
