@@ -16,6 +16,18 @@ def read_url_batch(urls: DataFrame, start: int, size: int) -> DataFrame:
     return urls.where(f"pos BETWEEN {start} AND {start + size - 1} AND coalesce(url, '') <> '' AND {is_url('url')}")
 
 
+def with_batch(urls: DataFrame, start: int, size: int) -> DataFrame:
+    """Usable rows of ``urls(pos, url)`` from ``start`` on with the number of their batch.
+
+    ``batch`` counts from 0 and ``start_row`` is the first row of the batch, as
+    stepping through the list batch by batch would see it.
+    """
+    usable = urls.where(f"pos >= {start} AND coalesce(url, '') <> '' AND {is_url('url')}")
+    return usable.selectExpr("*", f"(pos - {start}) div {size} AS batch").selectExpr(
+        "*", f"{start} + batch * {size} AS start_row"
+    )
+
+
 def next_start(start: int, size: int) -> int:
     """First row of the following batch."""
     return start + size

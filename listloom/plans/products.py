@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -51,7 +52,7 @@ def extract_fields(
     ``with_spare`` adds fields a shop shows but does not list.  The result keeps
     the key columns, ``site`` and ``kind``.
     """
-    page, body = Page(), "json_body"
+    body, pages = "json_body", defaultdict(Page)
     sites, rules = list(sites), list(rules)
     kinds = dict(PRODUCT_FIELDS)
     for rule in rules:
@@ -61,7 +62,7 @@ def extract_fields(
     metadata: dict[str, str] = {}
     sources: dict[str, list[tuple[str, str]]] = {f: [] for f in fields}
     for number, site in enumerate(sites):
-        meta = f"_meta_{number}"
+        meta, page = f"_meta_{number}", pages[site.name]
         computed = site.computed(page, meta)
         if with_spare:
             computed = site.spare(page, meta) | computed
@@ -81,13 +82,14 @@ def extract_fields(
     for field in fields:
         for name in dict.fromkeys(r.site for r in rules if r.field == field and r.site not in known):
             chain = [r for r in rules if (r.site, r.field) == (name, field)]
-            sources[field].append((name, fallback_chain(chain, page, body)))
+            sources[field].append((name, fallback_chain(chain, pages[name], body)))
 
     keys = [c for c in documents.columns if c != "body"]
     split = documents.selectExpr(
         *keys, f"if({IS_JSON}, body, NULL) AS json_body", f"if({IS_JSON}, NULL, body) AS html"
     )
-    parsed = parse_pages(split, wanted=page.wanted())
+    looked_at = {name: page.wanted() for name, page in pages.items()}
+    parsed = parse_pages(split, wanted={name: w for name, w in looked_at.items() if w.elements})
     if metadata:
         parsed = parsed.selectExpr("*", *[f"{value} AS {name}" for name, value in metadata.items()])
     present = [f for f in fields if sources[f]]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from listloom.functions.sql import head, tail
 from listloom.operators.dom import Page, one
 from listloom.operators.rules import Rule
-from listloom.operators.variants import read_url_batch
+from listloom.operators.variants import with_batch
 from listloom.plans.products import extract_fields
 from listloom.queries.registry import query, table
 from listloom.session import work_dir
@@ -33,10 +33,11 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT page_id AS pos, url FROM (
+    SELECT page_id AS pos, url, (page_id - 11) // 40 AS batch, 11 + (page_id - 11) // 40 * 40 AS start_row
+    FROM (
         SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN 'file:' || page_id ELSE url END AS url
         FROM pages) t
-    WHERE page_id BETWEEN 11 AND 50 AND url <> '' AND contains(url, 'http')
+    WHERE page_id >= 11 AND url <> '' AND contains(url, 'http')
     """
 )
 def url_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def url_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id AS pos",
         "CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN concat('file:', page_id) ELSE url END AS url",
     )
-    return read_url_batch(cells, 11, 40)
+    return with_batch(cells, 11, 40)
 
 
 @query(

@@ -297,23 +297,30 @@ def _slices(html: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, run
 
 
-def _dom_stage(html_column: str, wanted: Wanted):
+def _read(reader: _PageReader | None, html: str | None) -> tuple[list[list], list[tuple[int, str]], str | None]:
+    """Elements, pieces and error of a page; a broken page is empty and does not fail the job."""
+    if reader is None or not html:
+        return [], [], None
+    try:
+        return *reader.read(html), None
+    except (AssertionError, ValueError, RecursionError) as problem:
+        return [], [], f"{type(problem).__name__}: {problem}"
+
+
+def _dom_stage(html_column: str, wanted: Wanted | dict[str, Wanted], by: str):
     """The function given to ``mapInArrow``: replaces the HTML column by the DOM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _PageReader(wanted)
+        per_site = isinstance(wanted, dict)
+        readers = {site: _PageReader(w) for site, w in wanted.items()} if per_site else {None: _PageReader(wanted)}
         node_kinds, piece_kinds = _arrow_kinds(NODE), _arrow_kinds(PIECE)
         for whole in batches:
             kept = [name for name in whole.schema.names if name != html_column]
+            sites = whole.column(by).to_pylist() if per_site else [None] * whole.num_rows
             for start, texts in _slices(whole.column(html_column)):
                 nodes, pieces, node_ends, piece_ends, errors = [], [], [0], [0], []
-                for html in texts:
-                    error = None
-                    try:
-                        page_nodes, page_pieces = reader.read(html or "")
-                    except (AssertionError, ValueError, RecursionError) as problem:
-                        # One broken page gives an empty page, not a failed job.
-                        page_nodes, page_pieces, error = [], [], f"{type(problem).__name__}: {problem}"
+                for site, html in zip(sites[start:], texts):
+                    page_nodes, page_pieces, error = _read(readers.get(site), html)
                     nodes += page_nodes
                     pieces += page_pieces
                     node_ends.append(len(nodes))
@@ -329,15 +336,19 @@ def _dom_stage(html_column: str, wanted: Wanted):
     return run
 
 
-def parse_pages(pages: DataFrame, html_column: str = "html", wanted: Wanted = EVERYTHING) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, html_column: str = "html", wanted: Wanted | dict[str, Wanted] = EVERYTHING, by: str = "site"
+) -> DataFrame:
     """Replace the HTML column of a page table by ``nodes``, ``pieces``, ``parse_error``.
 
-    One row in, one row out, no shuffle.  Select the columns you need first:
-    the others travel through the Python stage unchanged.
+    One row in, one row out, no shuffle.  Select the columns you need first: the
+    others travel through the Python stage unchanged.  With one ``Wanted`` per
+    value of the column ``by``, each page yields what its own shop can look at, and
+    a page of another shop stays unread and empty.
     """
     kept = [f for f in pages.schema.fields if f.name != html_column]
     schema = T.StructType(kept + DOM_FIELDS)
-    return pages.mapInArrow(_dom_stage(html_column, wanted), schema)
+    return pages.mapInArrow(_dom_stage(html_column, wanted, by), schema)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -124,6 +124,8 @@ def test_url_batch(spark):
     cells = [(1, "https://a"), (2, ""), (3, None), (4, "see http here"), (5, "ftp://x"), (6, "https://b")]
     got = variants.read_url_batch(spark.createDataFrame(cells, "pos bigint, url string"), 2, 4).collect()
     assert [r["pos"] for r in got] == [4]
+    numbered = variants.with_batch(spark.createDataFrame(cells, "pos bigint, url string"), 2, 2).collect()
+    assert [(r["pos"], r["batch"], r["start_row"]) for r in numbered] == [(4, 1, 4), (6, 2, 6)]
     assert variants.next_start(11, 40) == 51
     assert variants.next_target_row(100, 30, 40, 5) == 130
     assert variants.next_target_row(100, 30, 40, 5, "reference") == 145
