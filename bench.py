@@ -18,28 +18,29 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from listloom.queries import QUERIES  # noqa: E402
 
+# From single operators to whole flows.
 HEADLINE = [
-    "listing_rows",
-    "article_rows",
-    "converted_sizes",
-    "color_fields",
-    "sku_quantity",
-    "css_grammar",
-    "dom_tag_counts",
-    "paragraph_texts",
-    "size_convert_men",
-    "site_names",
     "static_images",
     "listing_body",
-    "expand_variants",
-    "unique_file_names",
     "first_success",
     "log_routes",
     "fetch_status_rollup",
+    "cache_misses",
+    "site_names",
+    "size_convert_men",
     "json_fields",
+    "expand_variants",
+    "unique_file_names",
     "glossary",
-    "cache_misses",
+    "dom_tag_counts",
+    "paragraph_texts",
+    "sku_quantity",
+    "css_grammar",
+    "color_fields",
+    "converted_sizes",
+    "article_rows",
     "stream_listings",
+    "listing_rows",
 ]
 
 
