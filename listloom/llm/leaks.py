@@ -1,13 +1,13 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
 A window is ``window`` consecutive words of an item (a shorter item is one window),
-seen as the ordered set of its shingles of up to five words.  Since a document must
+seen as the ordered set of its shingles of up to three words.  Since a document must
 hold every shingle of a window, one prefix token per window suffices: its rarest
 shingle, by how often the documents hold it.  The steps:
 
-1. One scan of the documents keeps the places of shingles that items have, checked
-   word by word.  Items' shingles are copied to the executors if their bytes allow;
-   else the join shuffles.
+1. One scan of the documents keeps the places of shingles that items have: first by
+   hash, then by their words.  Hashes and shingles of the items are copied to the
+   executors if their bytes allow; else every shingle is joined by shuffle.
 2. Counting those places gives the order by rarity; a window with a shingle that no
    document holds goes at once.
 3. Places of a window's prefix token give a start by its offset.  Starts before the
@@ -25,18 +25,16 @@ apart by row; empty tables give no hits or no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listloom.llm.tables import fits_broadcast, stored
 
-SHINGLE = 5
+SHINGLE = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Place and hash of the entry that every document has before its shingles.
-NO_PLACE, NO_HASH = -1, 0
+#: Place of the entry that every document has before its shingles.
+NO_PLACE = -1
 
 
 def raw_words(text: Column) -> Column:
@@ -52,15 +50,24 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _shingle_hash(hashes: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *[F.get(hashes, at + i) for i in range(n)])
+def _shingles(hashes: Column, k: int) -> Column:
+    """Hashes of the k words from each place on; null or too few words give none."""
+    n = F.greatest(F.size(hashes) - (k - 1), F.lit(0))
+    out = F.slice(hashes, 1, n)
+    for i in range(1, k):
+        out = F.zip_with(out, F.slice(hashes, i + 1, n), lambda a, b: F.xxhash64(a, b))
+    return out
+
 
+def _text(words: Column) -> Column:
+    return F.array_join(words, " ")
 
-def _entry(k: int) -> Callable[[Column], Column]:
-    def entry(at: Column) -> Column:
-        return F.struct(at.alias("at"), F.lit(k).alias("len"), _shingle_hash(F.col("hashes"), at, k).alias("hash"))
 
-    return entry
+def _places(hashes: Column, k: int, known: list[int] | None) -> Column:
+    """(place, k) of the shingles whose hash is known; of all if none are given."""
+    shingles = _shingles(hashes, k)
+    here = F.transform(shingles, lambda h, i: i if known is None else F.when(h.isin(known), i))
+    return F.transform(F.filter(here, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.lit(k).alias("k")))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -87,41 +94,30 @@ def decontaminate(
     size = F.least(F.col("n"), F.lit(SHINGLE))
     parts = kinds.select("window_id", "n", "words", size.alias("k"), F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("offset"))
     parts = parts.select("window_id", "n", "k", "offset", F.expr("slice(words, offset + 1, k)").alias("words"))
-    parts = stored(parts.withColumn("shingle", F.sha2(F.array_join("words", " "), 256)), "window-shingles")
-    lengths = sorted(r[0] for r in parts.select("k").distinct().collect())  # at most five numbers
-    shingles = parts.select("shingle", "k", "words").dropDuplicates(["shingle"])
-    hashed = shingles.withColumn("hashes", _hashes(F.col("words")))
-    hash_of = F.lit(NO_HASH).cast("long")
-    for k in lengths:
-        hash_of = F.when(F.col("k") == k, _shingle_hash(F.col("hashes"), F.lit(0), k)).otherwise(hash_of)
-    wanted = hashed.select(hash_of.alias("hash"), "shingle", F.col("k").alias("len"), F.col("words").alias("expected"))
-    marker = docs.sparkSession.range(1).select(
-        F.lit(NO_HASH).cast("long").alias("hash"), F.lit(None).cast("string").alias("shingle"),
-        F.lit(0).alias("len"), F.lit(None).cast("array<string>").alias("expected"),
-    )
-    wanted = stored(wanted.unionByName(marker), "shingles")
+    parts = stored(parts.select("window_id", "n", "k", "offset", "words", _text(F.col("words")).alias("shingle")), "window-shingles")
+    wanted = stored(parts.select("k", "shingle", "words").dropDuplicates(["shingle"]), "shingles")
+    lengths = sorted(r[0] for r in wanted.select("k").distinct().collect())  # at most SHINGLE numbers
+    small = fits_broadcast(wanted, "shingle")
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), raw_words(F.col(text_col)).alias("raw")
     )
     rows = rows.withColumn("n_words", F.size("raw")).withColumn("hashes", _hashes(F.col("raw")))
-    entries = F.array(F.struct(F.lit(NO_PLACE).alias("at"), F.lit(0).alias("len"), F.lit(NO_HASH).cast("long").alias("hash")))
+    at = F.array().cast("array<struct<at:int,k:int>>")
     for k in lengths:
-        places = F.when(F.col("n_words") >= k, F.sequence(F.lit(0), F.col("n_words") - k)).otherwise(F.array().cast("array<int>"))
-        entries = F.concat(entries, F.transform(places, _entry(k)))
-    seen = F.transform(F.expr("slice(raw, greatest(e.at, 0) + 1, e.len)"), lower_ascii)
-    exploded = rows.select("row", "id", "n_words", "raw", F.explode(entries).alias("e"))
-    if fits_broadcast(wanted, "expected", "shingle"):
-        joined = exploded.join(F.broadcast(wanted), F.col("e.hash") == F.col("hash")).withColumn("seen", seen)
-    else:
-        # Only the few words of the shingle travel, not the text.
-        narrow = exploded.select("row", "id", "n_words", "e", seen.alias("seen"))
-        joined = narrow.join(wanted, F.col("e.hash") == F.col("hash"))
-    marks = (F.col("e.at") == NO_PLACE) & F.col("shingle").isNull()
-    exact = (F.col("e.at") >= 0) & (F.col("e.len") == F.col("len")) & (F.col("seen") == F.col("expected"))
-    found = stored(joined.where(marks | exact).select("row", "id", "n_words", F.col("e.at").alias("at"), "shingle"), "places")
-
-    places = found.where(F.col("shingle").isNotNull()).select("row", "n_words", "at", "shingle")
+        hashed = F.element_at(_shingles(_hashes(F.col("words")), k), 1)
+        known = [r[0] for r in wanted.where(F.col("k") == k).select(hashed).distinct().collect()] if small else None
+        at = F.concat(at, _places(F.col("hashes"), k, known))
+    rows = rows.select("row", "id", "n_words", "raw", at.alias("places"))
+    seen = F.transform(
+        "places", lambda p: F.struct(p["at"].alias("at"), _text(F.transform(F.slice(F.col("raw"), p["at"] + 1, p["k"]), lower_ascii)).alias("shingle"))
+    )
+    mark = F.array(F.struct(F.lit(NO_PLACE).alias("at"), F.lit("").alias("shingle")))
+    each = rows.select("row", "id", "n_words", F.explode(F.concat(mark, seen)).alias("p")).select("row", "id", "n_words", "p.at", "p.shingle")
+    known = wanted.select("shingle").union(docs.sparkSession.range(1).select(F.lit("")))
+    found = stored(each.join(F.broadcast(known) if small else known, "shingle", "left_semi"), "places")
+
+    places = found.where(F.col("at") != NO_PLACE).select("row", "n_words", "at", "shingle")
     counts = places.groupBy("shingle").agg(F.count("*").alias("places"))
     ranked = parts.join(counts, "shingle", "left").groupBy("window_id", "n").agg(
         F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "shingle", "offset")).alias("rarest"),
@@ -140,7 +136,7 @@ def decontaminate(
         .where(F.col("held") == F.col("n_shingles"))
         .select("row", "start", "n", "window_id")
     )
-    return found.where(F.col("shingle").isNull()).select("row", "id", "n_words"), stored(spans, "spans"), listed
+    return found.where(F.col("at") == NO_PLACE).select("row", "id", "n_words"), stored(spans, "spans"), listed
 
 
 def leak_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
