@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listloom.llm.bpe import round_trip
 from listloom.llm.leaks import leak_report
 from listloom.llm.licenses import license_report
 from listloom.llm.repetition import repetition_report
@@ -47,6 +48,18 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the contract; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op3_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query()
 def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
