@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from listloom.llm.bpe import round_trip
 from listloom.llm.leaks import leak_report
 from listloom.llm.licenses import license_report
+from listloom.llm.passages import remove_passages
 from listloom.llm.repetition import repetition_report
+from listloom.llm.secrets import secret_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,11 +62,21 @@ def op3_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query()
+def op5_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents"), scan=True)
+
+
 @query()
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
