@@ -160,3 +160,15 @@ def leak_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         items_of.alias("items"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: bool = False, **options) -> DataFrame:
+    """Rows that hold no window of any item, with all their columns.
+
+    ``scan`` says that ``docs`` is read straight from files, so that row ids stay the same.
+    """
+    if not scan:
+        docs = stored(docs, "texts")
+    _, spans, _ = decontaminate(docs, items, id_col, text_col, **options)
+    numbered = docs.select(F.struct("*").alias("kept"), F.monotonically_increasing_id().alias("row"))
+    return numbered.join(spans.select("row").distinct(), "row", "left_anti").select("kept.*")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listloom.llm.bpe import round_trip
+from listloom.llm.jaccard import similar_classes
 from listloom.llm.leaks import leak_report
 from listloom.llm.licenses import license_report
 from listloom.llm.passages import remove_passages
@@ -26,11 +27,15 @@ SETTINGS = {
 }
 
 
+def prepare(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def query(sql: str | None = None):
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in SETTINGS.items():
-                spark.conf.set(key, value)
+            prepare(spark)
             return function(spark, sf_dir)
 
         QUERIES[function.__name__] = run
@@ -45,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"), scan=True).drop("row", "component")
+
+
 @query()
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
