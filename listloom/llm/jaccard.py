@@ -38,31 +38,45 @@ from listloom.llm.tables import stored
 from listloom.llm.words import mix, slices, split_words, starts_window, texts_of, windows
 
 SLOTS = 1 << 18
-SLICE_BYTES = 4 << 20
+TEXT_BITS = 12
+SHIFT = np.uint64(64 - TEXT_BITS)
+SLICE_BYTES, SLICE_TEXTS = 4 << 20, 1 << TEXT_BITS
+#: Bits of a slot's count that order shingles; larger counts are equally common.
+RANK_BITS = 20
 #: Shingles in a block.
 BLOCK = 2_000_000
 
 
 class Sets:
-    """Distinct shingle hashes of each text: those of text i are ``values[ends[i]:ends[i + 1]]``, sorted."""
+    """Distinct shingles of each text: those of text i are ``values[ends[i]:ends[i + 1]]``, sorted.
+
+    A shingle is known by ``64 - TEXT_BITS`` bits of its hash, so that one sort of plain
+    numbers, with the text in the upper bits, orders a slice.
+    """
 
     def __init__(self, column: pa.Array, n: int):
-        words = split_words(texts_of(column), lower=True)
-        counts = words.counts
-        inside = np.flatnonzero(starts_window(words, n))
-        hashes, text = windows(words.hashes, n)[inside], words.text[inside] if len(words) else inside
-        short = np.flatnonzero((counts > 0) & (counts < n))
-        whole = np.array([_whole(words.hashes[words.first[i] : words.first[i + 1]]) for i in short], np.uint64)
-        hashes, text = np.concatenate((hashes, whole)), np.concatenate((text, short))
-        order = np.lexsort((hashes, text))
-        hashes, text = hashes[order], text[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-        self.values, self.text = hashes[fresh], text[fresh]
-        self.sizes = np.bincount(self.text, minlength=len(counts))
+        hashes, text, texts = shingles(column, n)
+        keys = np.sort((text.astype(np.uint64) << SHIFT) | (hashes >> np.uint64(TEXT_BITS)))
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        keys = keys[fresh]
+        self.text = (keys >> SHIFT).astype(np.int64)
+        self.values = keys & ((np.uint64(1) << SHIFT) - np.uint64(1))
+        self.sizes = np.bincount(self.text, minlength=texts)
         self.ends = np.concatenate(([0], np.cumsum(self.sizes)))
 
 
+def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hash and text of every shingle, and the number of texts."""
+    words = split_words(texts_of(column), lower=True)
+    counts = words.counts
+    inside = np.flatnonzero(starts_window(words, n))
+    hashes, text = windows(words.hashes, n)[inside], words.text[inside] if len(words) else inside
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    whole = np.array([_whole(words.hashes[words.first[i] : words.first[i + 1]]) for i in short], np.uint64)
+    return np.concatenate((hashes, whole)), np.concatenate((text, short)), len(counts)
+
+
 def _whole(hashes: np.ndarray) -> int:
     return int(mix(windows(hashes, len(hashes)) + np.uint64(len(hashes)))[0])
 
@@ -76,8 +90,8 @@ def _sketch(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for low, high in slices(batch.column(0), SLICE_BYTES):
-                values = Sets(batch.column(0).slice(low, high - low), n).values
+            for low, high in slices(batch.column(0), SLICE_BYTES, SLICE_TEXTS):
+                values = shingles(batch.column(0).slice(low, high - low), n)[0] >> np.uint64(TEXT_BITS)
                 counts += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         seen = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["slot", "n"])
@@ -86,7 +100,7 @@ def _sketch(n: int) -> Callable:
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Number of documents' shingles by slot; its size is fixed whatever the input."""
+    """Number of shingles by slot; its size is fixed whatever the input."""
     counted = docs.select("text").mapInArrow(_sketch(n), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     out = np.zeros(SLOTS, np.int64)
     for row in counted.collect():
@@ -97,7 +111,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 def _describe(n: int, percent: int, counts: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in slices(batch.column(1), SLICE_BYTES):
+            for low, high in slices(batch.column(1), SLICE_BYTES, SLICE_TEXTS):
                 part = batch.slice(low, high - low)
                 sets = Sets(part.column(1), n)
                 filled = sets.sizes > 0
@@ -109,7 +123,9 @@ def _describe(n: int, percent: int, counts: np.ndarray) -> Callable:
                 first = np.zeros(len(part), bool)
                 first[np.unique(np.stack(keys), axis=1, return_index=True)[1]] = True
                 rank = counts[(sets.values % np.uint64(SLOTS)).astype(np.int64)]
-                order = np.lexsort((sets.values, rank, sets.text))
+                # By count, then value: values already ascend and the sort is stable.
+                key = (sets.text << (RANK_BITS + 1)) | np.minimum(rank, (1 << RANK_BITS) - 1)
+                order = np.argsort(key, kind="stable")
                 place = np.arange(len(order)) - sets.ends[sets.text[order]]
                 prefix = np.where(filled & first, sets.sizes - required(sets.sizes, percent) + 1, 0)
                 taken = sets.values[order][place < prefix[sets.text[order]]].view(np.int64)
@@ -123,7 +139,7 @@ def _describe(n: int, percent: int, counts: np.ndarray) -> Callable:
 def _sets(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in slices(batch.column(1), SLICE_BYTES):
+            for low, high in slices(batch.column(1), SLICE_BYTES, SLICE_TEXTS):
                 part = batch.slice(low, high - low)
                 sets = Sets(part.column(1), n)
                 lists = pa.ListArray.from_arrays(pa.array(sets.ends, pa.int32()), pa.array(sets.values.view(np.int64)))

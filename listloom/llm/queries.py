@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listloom.llm.bpe import round_trip
+from listloom.llm.classlm import class_scores
 from listloom.llm.jaccard import similar_classes
 from listloom.llm.leaks import leak_report
 from listloom.llm.licenses import license_report
 from listloom.llm.passages import remove_passages
+from listloom.llm.redirects import judge
 from listloom.llm.repetition import repetition_report
 from listloom.llm.secrets import secret_report
 
@@ -72,6 +74,11 @@ def op3_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query()
+def op4_redirect_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op5_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
@@ -91,3 +98,8 @@ def op8_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return report.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+@query()
+def op10_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(table(spark, sf_dir, "documents"))
