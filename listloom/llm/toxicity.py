@@ -77,16 +77,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(0.5) * (np.tanh(F32(0.5) * x) + F32(1))
 
 
-class Steps:
-    """Inputs of each step, taken from those of all tokens when asked for."""
-
-    def __init__(self, rows: np.ndarray, at: np.ndarray):
-        self.rows, self.at = rows, at
-
-    def __getitem__(self, step: int) -> np.ndarray:
-        return self.rows[self.at[step]]
-
-
 class Network:
     """Weights, and what is computed with them."""
 
@@ -108,8 +98,8 @@ class Network:
             self.tables[side][0] = self.tables[side][0] + self.w[f"bias_{side}"]
         return self
 
-    def _run(self, inputs: np.ndarray | Steps, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
-        """States after each step, in reading order of the text; ``inputs[t]`` holds (window, gates)."""
+    def _run(self, inputs: np.ndarray, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
+        """States after each step, in reading order of the text; inputs are (step, window, gates)."""
         steps, n = mask.shape
         weights = self.w[f"state_{side}"]
         h = np.zeros((n, STATE), F32)
@@ -136,18 +126,39 @@ class Network:
         pooled = (share[:, :, None] * states).sum(0)
         return inner, share, pooled, pooled @ self.w["out"] + self.w["out_bias"]
 
+    def _states(self, inputs: np.ndarray, at: np.ndarray, mask: np.ndarray, side: str, out: np.ndarray) -> None:
+        """As :meth:`_run`, with windows in the last place, which numpy does in long strokes."""
+        weights = np.ascontiguousarray(self.w[f"state_{side}"].T)
+        steps, n = mask.shape
+        h = np.zeros((STATE, n), F32)
+        for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+            given = np.ascontiguousarray(np.take(inputs, at[t], 0).T)
+            moved = weights @ h
+            gates = _sigmoid(given[: 2 * STATE] + moved[: 2 * STATE])
+            new = np.tanh(given[2 * STATE :] + gates[STATE:] * moved[2 * STATE :])
+            h = h + mask[t] * gates[:STATE] * (new - h)
+            out[t] = h
+
     def logits(self, tokens: Tokens, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Logit of each window."""
         out = np.zeros(len(start), F32)
         ids = tokens.word, tokens.begin, tokens.end
-        inputs = {side: sum(table[i] for table, i in zip(self.tables[side], ids)) for side in "fb"}
+        inputs = {side: sum(np.take(table, i, 0) for table, i in zip(self.tables[side], ids)) for side in "fb"}
+        attend = np.ascontiguousarray(self.w["attend"].T)
         for low in range(0, len(start), WINDOWS):
             s, n = start[low : low + WINDOWS], length[low : low + WINDOWS]
             step = np.arange(int(n.max()))[:, None]
             at = np.minimum(s + step, len(tokens.word) - 1)
             mask = (step < n).astype(F32)
-            states = [self._run(Steps(inputs[side], at), mask, side, None) for side in "fb"]
-            out[low : low + WINDOWS] = self._pool(np.concatenate(states, 2), mask)[3]
+            states = np.empty((len(step), 2 * STATE, len(s)), F32)
+            for k, side in enumerate("fb"):
+                self._states(inputs[side], at, mask, side, states[:, k * STATE : (k + 1) * STATE])
+            score = np.stack([self.w["query"] @ np.tanh(attend @ state) for state in states])
+            score = np.where(mask > 0, score, F32(-1e9))
+            share = np.exp(score - score.max(0)) * mask
+            share /= np.maximum(share.sum(0), F32(1e-9))
+            pooled = sum(p * state for p, state in zip(share, states))
+            out[low : low + WINDOWS] = self.w["out"] @ pooled + self.w["out_bias"]
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
