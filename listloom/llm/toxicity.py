@@ -8,7 +8,7 @@ overlap by a quarter and cover the whole text, and a text scores as its highest
 Training, in numpy with gradients written out, uses at most ``SAMPLE`` labelled texts
 of each label, of at most ``SAMPLE_CHARS`` characters, chosen by hash of the id.  Only
 texts are labelled, so a toxic text stands by its most suspicious window: first by
-the words' log odds, then, in later rounds, by the network itself.
+the words' log odds, then, in later rounds, by these and the network.
 
 Products of word vectors and input weights are tables, so scoring a token costs three
 look-ups and one small product.  One row stays one row: no shuffle but for the sample,
@@ -89,6 +89,11 @@ class Network:
         for side in "fb":
             self.w |= {f"in_{side}": draw(WIDTH, 3 * STATE), f"state_{side}": draw(STATE, 3 * STATE), f"bias_{side}": np.zeros(3 * STATE, F32)}
         self.w |= {"attend": draw(2 * STATE, STATE), "query": draw(STATE), "out": draw(2 * STATE), "out_bias": np.full(1, -2, F32)}
+        # A way for the words' odds to begin with: one unit of either side carries them to the end.
+        for k, side in enumerate("fb"):
+            self.w[f"in_{side}"][0, 2 * STATE] = 1.5
+            self.w["attend"][k * STATE, 0], self.w["out"][k * STATE] = 1.5, 2
+        self.w["query"][0] = 2
         self.tables: dict = {}
 
     def prepare(self) -> Network:
@@ -232,19 +237,19 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3, steps: int = 60, b
     odds = np.log(t / (label.sum() + 1)) - np.log(c / ((~label).sum() + 1))
     odds *= np.minimum(1, count[use] / 10)
     vocabulary = Lookup(words[use], np.arange(1, use.sum() + 1))
-    network = Network(vocabulary, np.concatenate(([0], odds)).astype(F32) / F32(3))
+    network = Network(vocabulary, np.concatenate(([0], odds)).astype(F32) / F32(2))
     if not label.any() or label.all() or not len(text):
         return network.prepare()
     tokens = Tokens(column, vocabulary)
     start, length, owner = tokens.windows()
     rng = np.random.default_rng(3)
     total = np.concatenate(([0], np.cumsum(np.maximum(network.w["word"][tokens.word, 0], 0))))
-    suspicion = total[start + length] - total[start]
+    suspicion = odds_of = total[start + length] - total[start]
     first, second = ({k: np.zeros_like(v) for k, v in network.w.items()} for _ in range(2))
     taken = 0
     for turn in range(rounds):
         if turn:
-            suspicion = network.prepare().logits(tokens, start, length)
+            suspicion = odds_of + network.prepare().logits(tokens, start, length)
         order = np.lexsort((-suspicion, owner))
         top = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))]
         positive, hard = top[label[owner[top]]], top[~label[owner[top]]]
@@ -256,7 +261,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3, steps: int = 60, b
             for k, w in network.w.items():
                 first[k] = 0.9 * first[k] + 0.1 * g[k]
                 second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-                w -= (rate * (first[k] / (1 - 0.9**taken)) / (np.sqrt(second[k] / (1 - 0.99**taken)) + 1e-6)).astype(F32)
+                w -= (rate * (1.05 - taken / (rounds * steps)) * (first[k] / (1 - 0.9**taken)) / (np.sqrt(second[k] / (1 - 0.99**taken)) + 1e-6)).astype(F32)
     return network.prepare()
 
 
