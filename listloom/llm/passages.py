@@ -55,7 +55,9 @@ def _grouped(keys: list[np.ndarray], rows: np.ndarray, at: np.ndarray) -> pa.Rec
     heads = np.flatnonzero(head)
     others = np.diff(np.append(heads, len(order))) - 1
     rest = pa.StructArray.from_arrays([pa.array(rows[~head]), pa.array(at[~head])], fields=list(_PLACE))
-    more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(others))), pa.int32()), rest)
+    # Most keys stand alone: a null list takes less room than an empty one.
+    ends = pa.array(np.concatenate(([0], np.cumsum(others))), pa.int32())
+    more = pa.ListArray.from_arrays(ends, rest, mask=pa.array(others == 0))
     names = [f"h{i}" for i in range(len(keys))] + ["row", "at", "more"]
     return pa.record_batch([*(pa.array(k[head]) for k in keys), pa.array(rows[head]), pa.array(at[head]), more], names)
 
@@ -132,8 +134,9 @@ def _removed(id_kind: str, with_text: bool) -> Callable:
 def _repeated(hashed: DataFrame, *keys: str) -> DataFrame:
     """Per row, the places whose key is found twice or more."""
     found = hashed.withColumn("slices", F.count("*").over(Window.partitionBy(*keys)))
-    found = found.where((F.col("slices") > 1) | (F.size("more") > 0))
-    each = found.select(F.explode(F.concat(F.array(F.struct("row", "at")), "more")).alias("p"))
+    found = found.where((F.col("slices") > 1) | F.col("more").isNotNull())
+    none = F.array().cast("array<struct<row:long,at:int>>")
+    each = found.select(F.explode(F.concat(F.array(F.struct("row", "at")), F.coalesce("more", none))).alias("p"))
     return each.groupBy("p.row").agg(F.collect_list("p.at").alias("places"))
 
 
