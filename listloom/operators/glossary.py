@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 from listloom.functions.sql import each, q
 from listloom.operators.joins import MAX_BROADCAST, fits
 
-#: Largest glossary that may sit in an expression.
-MAX_CONSTANT = 200
 #: Copies of a large glossary, so that one frequent word is spread over tasks.
 SALTS = 32
 
 
 def constant_glossary(entries: Sequence[tuple[str, str]]):
     """A translator for product texts from a few (term, translation) pairs."""
-    if len(entries) > MAX_CONSTANT:
-        raise ValueError(f"more than {MAX_CONSTANT} entries; use glossary_translate")
     table = f"map({', '.join(f'{q(term)}, {q(target)}' for term, target in dict(entries).items())})"
 
     def translate(text: str) -> str:

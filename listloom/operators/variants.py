@@ -97,7 +97,7 @@ def not_listed(products: DataFrame, listed: DataFrame, code: str = "code") -> Da
     return products.join(listed.select(code), code, "left_anti")
 
 
-def variants_closure(seeds: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def variants_closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Codes reachable over colour links, with the number of hops.
 
     ``seeds(code)``, ``links(code, linked)``.  Each round joins only the frontier
@@ -105,13 +105,15 @@ def variants_closure(seeds: DataFrame, links: DataFrame, max_rounds: int = 1000)
     very many links is in many tasks; a small frontier is broadcast to them, a
     large one is joined by shuffle with adaptive splitting.  Links and frontiers
     are checkpointed: lineage stays short and lost executors cost one round.
-    Raises when ``max_rounds`` does not reach the end.
+    Rounds go on until the frontier is empty, however long the chain.
     """
     enable_checkpoints(seeds.sparkSession)
     edges = links.select("code", "linked").distinct().checkpoint()
     frontier = seeds.select("code").distinct().withColumn("hops", F.lit(0)).checkpoint()
     visited = frontier
-    for hop in range(1, max_rounds + 1):
+    hop = 0
+    while True:
+        hop += 1
         near = small_side(frontier.select("code"))
         reached = edges.join(near, "code").select(F.col("linked").alias("code")).distinct()
         fresh = reached.join(visited.select("code"), "code", "left_anti")
@@ -119,4 +121,3 @@ def variants_closure(seeds: DataFrame, links: DataFrame, max_rounds: int = 1000)
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
-    raise RuntimeError(f"colour links go on after {max_rounds} rounds")

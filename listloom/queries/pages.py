@@ -182,7 +182,7 @@ def paragraph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "'Abc Grand Stage' AS site")
     long_keys = with_snapshot_key(pages, "pickle", 16).withColumnRenamed("key", "long_key")
-    return with_snapshot_key(long_keys).select("page_id", "key", "long_key")
+    return with_snapshot_key(long_keys, n_hex=6).select("page_id", "key", "long_key")
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +214,7 @@ def snapshot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def write_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = with_snapshot_key(
-        table(spark, sf_dir, "pages").selectExpr("url", "html", "concat('Site ', page_id % 3) AS site"), n_hex=32
+        table(spark, sf_dir, "pages").selectExpr("url", "html", "concat('Site ', page_id % 3) AS site")
     )
     path = work_dir(spark, "snapshots")
     # Every page twice, then all of them again: each key, site and path, is saved once.

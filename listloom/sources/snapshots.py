@@ -11,8 +11,8 @@ from listloom.functions.urls import snapshot_key
 MIN_HTML_CHARS = 100
 
 
-def with_snapshot_key(pages: DataFrame, extension: str = "html", n_hex: int = 6) -> DataFrame:
-    """Add ``key`` from ``site`` and ``url``."""
+def with_snapshot_key(pages: DataFrame, extension: str = "html", n_hex: int = 64) -> DataFrame:
+    """Add ``key`` from ``site`` and ``url``: the whole digest, so that no two pages share a key."""
     return pages.withColumn("key", F.expr(snapshot_key("site", "url", extension, n_hex)))
 
 
@@ -26,7 +26,7 @@ def snapshot_lookup(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def cache_misses(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Rows without a usable saved page; only keys and lengths of pages are read."""
+    """Rows without a usable saved page; of saved pages, only key and html are read."""
     return wanted.join(usable(snapshots).select("key"), "key", "left_anti")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,19 +39,24 @@ def stream_skip_listed(rows: DataFrame, code: str, order: str, sink: str, checkp
     """Append rows whose code is in no earlier batch; the first by ``order`` stays.
 
     What was listed is read from the sink itself, so no state grows with the
-    stream.  A batch writes its own folder by overwriting, so a retried batch
-    leaves the same rows once.  Sink and checkpoint belong together: batch numbers
-    start anew with a new checkpoint.
+    stream.  A batch writes the folder of its run and number by overwriting, so a
+    retried batch leaves the same rows once.  The run is named by the checkpoint:
+    with a new one on an old sink, batch numbers start anew beside the old folders,
+    and all rows that other runs listed still count.  Null codes are one code.
     """
     spark = rows.sparkSession
-    schema = T.StructType(rows.schema.fields + [T.StructField("batch_id", T.LongType())])
+    schema = T.StructType(rows.schema.fields + [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def append(batch: DataFrame, batch_id: int) -> None:
         first = batch.groupBy(code).agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
-        if batch_id > 0:
-            listed = spark.read.schema(schema).parquet(sink).where(F.col("batch_id") < batch_id)
-            first = first.join(listed.select(code), code, "left_anti")
-        first.select(*batch.columns).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        if files.exists(path):
+            earlier = (F.col("run") != run) | (F.col("batch_id") < batch_id)
+            listed = spark.read.schema(schema).parquet(sink).where(earlier).select(F.col(code).alias("listed"))
+            first = first.join(listed, F.col(code).eqNullSafe(F.col("listed")), "left_anti")
+        first.select(*batch.columns).write.mode("overwrite").parquet(f"{sink}/run={run}/batch_id={batch_id}")
 
     query = (
         rows.writeStream.foreachBatch(append)

@@ -144,8 +144,6 @@ def test_closure_with_cycles_and_far_links(spark):
         frontier = list({b for a, b in links if a in frontier} - hops.keys())
         hops |= dict.fromkeys(frontier, step)
     assert got == hops
-    with pytest.raises(RuntimeError):
-        variants.variants_closure(seeds, edges, max_rounds=2)
 
 
 def test_not_listed(spark):
@@ -286,8 +284,8 @@ def test_constant_glossary(value):
     translate = glossary.constant_glossary(ENTRIES)
     assert value(translate("'running shoe'")) == "러닝화"
     assert value(translate("'running red shoe'")) == "running 빨강 신발"
-    with pytest.raises(ValueError):
-        glossary.constant_glossary([(str(i), "x") for i in range(1000)])
+    many = glossary.constant_glossary([(str(i), f"x{i}") for i in range(1000)])
+    assert value(many("'7 999 none'")) == "x7 x999 none"
 
 
 # --- Snapshots, documents -----------------------------------------------------------

@@ -47,3 +47,8 @@ def test_codes_are_listed_once(spark):
     _pages(spark, [11, 12, 13, 18]).write.mode("append").parquet(folder)
     second, count = run()
     assert second == first | {3: "https://x.test/13"} and count == 3
+    # A new checkpoint on the old sink lists what is new and loses nothing.
+    offsets = work_dir(spark, "renewed")
+    _pages(spark, [14]).write.mode("append").parquet(folder)
+    third, count = run()
+    assert third == second | {4: "https://x.test/14"} and count == 4
