@@ -5,37 +5,186 @@ from __future__ import annotations
 from listloom.functions.sql import case, each, keep, q, some
 from listloom.functions.text import parses_as_number, piece, remove, strip, swap, to_number
 
-# Foot length in mm is 10 x US size + offset, over these ranges.
-# (group, first US size, last US size, step, offset, key prefix, key suffix)
-SIZE_RANGES = [
-    ("mens", 3.5, 14.0, 0.5, 180, "", ""),
-    ("mens", 15.0, 15.0, 0.5, 180, "", ""),
-    ("womens", 5.0, 14.0, 0.5, 170, "", ""),
-    ("womens", 15.0, 16.0, 1.0, 170, "", ""),
-    ("kids", 7.0, 13.5, 0.5, 60, "", ""),
-    ("kids", 1.0, 6.0, 0.5, 190, "", ""),
-    ("kids_with_k", 7.0, 13.5, 0.5, 60, "", "K"),
-    ("kids_with_k", 1.0, 6.0, 0.5, 190, "", ""),
-    ("kids_with_front_k", 7.0, 13.5, 0.5, 60, "K", ""),
-    ("kids_with_front_k", 1.0, 6.0, 0.5, 190, "", ""),
-    ("kids_complete", 1.0, 5.0, 1.0, 60, "", "K"),
-    ("kids_complete", 5.5, 13.5, 0.5, 60, "", "K"),
-    ("kids_complete", 1.0, 7.0, 0.5, 190, "", ""),
-]
+# Foot length in mm by US shoe size, as number or as text.
+SIZES = {
+    "mens": {
+        3.5: 215,
+        4.0: 220,
+        4.5: 225,
+        5.0: 230,
+        5.5: 235,
+        6.0: 240,
+        6.5: 245,
+        7.0: 250,
+        7.5: 255,
+        8.0: 260,
+        8.5: 265,
+        9.0: 270,
+        9.5: 275,
+        10.0: 280,
+        10.5: 285,
+        11.0: 290,
+        11.5: 295,
+        12.0: 300,
+        12.5: 305,
+        13.0: 310,
+        13.5: 315,
+        14.0: 320,
+        15.0: 330,
+    },
+    "womens": {
+        5.0: 220,
+        5.5: 225,
+        6.0: 230,
+        6.5: 235,
+        7.0: 240,
+        7.5: 245,
+        8.0: 250,
+        8.5: 255,
+        9.0: 260,
+        9.5: 265,
+        10.0: 270,
+        10.5: 275,
+        11.0: 280,
+        11.5: 285,
+        12.0: 290,
+        12.5: 295,
+        13.0: 300,
+        13.5: 305,
+        14.0: 310,
+        15.0: 320,
+        16.0: 330,
+    },
+    "kids": {
+        7.0: 130,
+        7.5: 135,
+        8.0: 140,
+        8.5: 145,
+        9.0: 150,
+        9.5: 155,
+        10.0: 160,
+        10.5: 165,
+        11.0: 170,
+        11.5: 175,
+        12.0: 180,
+        12.5: 185,
+        13.0: 190,
+        13.5: 195,
+        1.0: 200,
+        1.5: 205,
+        2.0: 210,
+        2.5: 215,
+        3.0: 220,
+        3.5: 225,
+        4.0: 230,
+        4.5: 235,
+        5.0: 240,
+        5.5: 245,
+        6.0: 250,
+    },
+    "kids_with_k": {
+        "7K": 130,
+        "7.5K": 135,
+        "8K": 140,
+        "8.5K": 145,
+        "9K": 150,
+        "9.5K": 155,
+        "10K": 160,
+        "10.5K": 165,
+        "11K": 170,
+        "11.5K": 175,
+        "12K": 180,
+        "12.5K": 185,
+        "13K": 190,
+        "13.5K": 195,
+        "1": 200,
+        "1.5": 205,
+        "2": 210,
+        "2.5": 215,
+        "3": 220,
+        "3.5": 225,
+        "4": 230,
+        "4.5": 235,
+        "5": 240,
+        "5.5": 245,
+        "6": 250,
+    },
+    "kids_with_front_k": {
+        "K7": 130,
+        "K7.5": 135,
+        "K8": 140,
+        "K8.5": 145,
+        "K9": 150,
+        "K9.5": 155,
+        "K10": 160,
+        "K10.5": 165,
+        "K11": 170,
+        "K11.5": 175,
+        "K12": 180,
+        "K12.5": 185,
+        "K13": 190,
+        "K13.5": 195,
+        "1": 200,
+        "1.5": 205,
+        "2": 210,
+        "2.5": 215,
+        "3": 220,
+        "3.5": 225,
+        "4": 230,
+        "4.5": 235,
+        "5": 240,
+        "5.5": 245,
+        "6": 250,
+    },
+    "kids_complete": {
+        "1.0K": 70,
+        "2.0K": 80,
+        "3.0K": 90,
+        "4.0K": 100,
+        "5.0K": 110,
+        "5.5K": 115,
+        "6.0K": 120,
+        "6.5K": 125,
+        "7.0K": 130,
+        "7.5K": 135,
+        "8.0K": 140,
+        "8.5K": 145,
+        "9.0K": 150,
+        "9.5K": 155,
+        "10.0K": 160,
+        "10.5K": 165,
+        "11.0K": 170,
+        "11.5K": 175,
+        "12.0K": 180,
+        "12.5K": 185,
+        "13.0K": 190,
+        "13.5K": 195,
+        "1.0": 200,
+        "1.5": 205,
+        "2.0": 210,
+        "2.5": 215,
+        "3.0": 220,
+        "3.5": 225,
+        "4.0": 230,
+        "4.5": 235,
+        "5.0": 240,
+        "5.5": 245,
+        "6.0": 250,
+        "6.5": 255,
+        "7.0": 260,
+    },
+}
 # Groups looked up by number; the others are looked up by text.
 NUMERIC_GROUPS = ("mens", "womens", "kids")
 
 
 def size_rows() -> list[tuple[str, str, float, int]]:
     """(group, key text, key number, mm) of every known size."""
-    rows = []
-    for group, first, last, step, offset, prefix, suffix in SIZE_RANGES:
-        us = first
-        while us <= last:
-            number = f"{us:.1f}" if group == "kids_complete" else f"{us:g}"
-            rows.append((group, f"{prefix}{number}{suffix}", us, int(10 * us + offset)))
-            us += step
-    return rows
+    return [
+        (group, f"{key:g}" if group in NUMERIC_GROUPS else key, float(str(key).strip("K")), mm)
+        for group, sizes in SIZES.items()
+        for key, mm in sizes.items()
+    ]
 
 
 def _table(group: str) -> str:

@@ -37,8 +37,8 @@ def before(text: str, mark: str) -> str:
 def snapshot_key(site: str, url: str, extension: str = "html", n_hex: int = 6) -> str:
     """``res_{Site}_{hash}.{extension}``.
 
-    Six hex digits are the compatible default; they collide past a few thousand
-    pages, so large stores should ask for more.
+    Six hex digits are the short name for display; they collide past a few thousand
+    pages, so stores are keyed by the whole digest (``sources/snapshots.py``).
     """
     digest = f"substr(sha2(concat({squash(site)}, '_', {path_after_host(url)}), 256), 1, {n_hex})"
     return f"concat('res_', {squash(site)}, '_', {digest}, {q('.' + extension)})"

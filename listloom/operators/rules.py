@@ -18,6 +18,10 @@ from listloom.functions import text, urls
 from listloom.functions.sql import each, either, q
 from listloom.operators.dom import Page, one
 
+#: Field of a rule that names the kids' size table (``selector``) of a shop whose sizes are converted.
+SIZE_GROUPS = "size_groups"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One source of one field.
@@ -26,6 +30,8 @@ class Rule:
     ``read``: ``text``, ``string``, ``attr`` (null if absent), ``need`` (fails if
     absent), ``lines``; for ``source='json'`` the selector is a JSON path.
     ``within``: only inside the first match of this selector.
+    A rule for ``brand_name`` or ``product_name_ko`` is that ability of the shop; one for
+    ``size_groups`` says that its sizes are converted.
     ``post``: names from :data:`POST`, with an argument after a colon.
     """
 

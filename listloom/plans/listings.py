@@ -29,10 +29,11 @@ def make_products(
 
     Name only the shops that occur: the plan, and what the parser emits, follow.
     """
+    rules, sites = list(rules), list(sites)
     raw = extract_fields(documents, rules=rules, sites=sites)
     if "size_type_asked" not in raw.columns:
         raw = raw.withColumn("size_type_asked", F.lit(size_type))
-    return finish_products(raw, translator)
+    return finish_products(raw, translator, sites, rules)
 
 
 def make_listings(

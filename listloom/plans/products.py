@@ -11,7 +11,7 @@ from listloom.functions import sizes as S
 from listloom.functions import text as X
 from listloom.functions.sql import NO_TEXTS, case, either, q
 from listloom.operators.dom import Page
-from listloom.operators.rules import Rule, fallback_chain, is_list
+from listloom.operators.rules import SIZE_GROUPS, Rule, fallback_chain, is_list
 from listloom.plans.sites import IS_JSON, SITES, Site
 from listloom.schemas import PRODUCT_FIELDS
 from listloom.sources.pages import parse_pages
@@ -53,7 +53,7 @@ def extract_fields(
     the key columns, ``site`` and ``kind``.
     """
     body, pages = "json_body", defaultdict(Page)
-    sites, rules = list(sites), list(rules)
+    sites, rules = list(sites), [r for r in rules if r.field != SIZE_GROUPS]
     kinds = dict(PRODUCT_FIELDS)
     for rule in rules:
         kinds.setdefault(rule.field, "array<string>" if is_list(rule) else "string")
@@ -109,26 +109,35 @@ def site_names(test: Callable[[Site], bool], sites: Iterable[Site] = SITES) -> l
     return [s.name for s in sites if test(s)]
 
 
-def brand_of(site: str, extracted: str) -> str:
+def able(test: Callable[[Site], bool], field: str, sites: Iterable[Site], rules: Iterable[Rule]) -> list[str]:
+    """Shops that declare an ability or have a rule row for its field."""
+    return list(dict.fromkeys([*site_names(test, sites), *[r.site for r in rules if r.field == field]]))
+
+
+def brand_of(extracted: str, sites: Iterable[Site] = SITES, rules: Iterable[Rule] = ()) -> str:
     """Malls name the brand on the page, other shops are the brand.
 
     A mall page without a brand gives an empty brand, not the name of the mall.
     """
-    malls = ", ".join(q(n) for n in site_names(lambda s: s.has_brand))
-    return f"if({site} IN ({malls}), {X.title_case(f"coalesce({extracted}, '')")}, {site})"
+    malls = able(lambda s: s.has_brand, "brand_name", sites, rules)
+    return f"if({is_site(*malls)}, {X.title_case(f"coalesce({extracted}, '')")}, site)"
 
 
-def converted_sizes(sizes: str, size_type: str, audience: str) -> str:
+def converted_sizes(
+    sizes: str, size_type: str, audience: str, shops: Iterable[Site] = SITES, rules: Iterable[Rule] = ()
+) -> str:
     """Sizes by size type; shops without a converter keep theirs."""
     kind = S.resolve_size_type(size_type, audience)
-    converting = is_site(*site_names(lambda s: s.converts_sizes))
+    groups = {s.name: s.kids_group for s in shops if s.converts_sizes}
+    groups |= {r.site: r.selector for r in rules if r.field == SIZE_GROUPS}
+    converting = is_site(*groups)
     branches = [
         (f"NOT {converting}", sizes),
         (f"{kind} = {S.MEN}", S.convert_sizes(sizes, "mens")),
         (f"{kind} = {S.WOMEN}", S.convert_sizes(sizes, "womens")),
     ]
-    for group in ("kids", "kids_with_k", "kids_with_front_k"):
-        names = site_names(lambda s: s.converts_sizes and s.kids_group == group)
+    for group in dict.fromkeys(groups.values()):
+        names = [name for name, own in groups.items() if own == group]
         branches.append((f"{kind} = {S.KIDS} AND {is_site(*names)}", S.convert_sizes(sizes, group)))
     return case(branches, sizes)
 
@@ -139,19 +148,24 @@ def replacing(df: DataFrame, **values: str) -> DataFrame:
     return df.selectExpr(*kept, *[f"{value} AS {name}" for name, value in values.items()])
 
 
-def finish_products(raw: DataFrame, translator: Translator = keep_text) -> DataFrame:
+def finish_products(
+    raw: DataFrame, translator: Translator = keep_text, sites: Iterable[Site] = SITES, rules: Iterable[Rule] = ()
+) -> DataFrame:
     """Raw fields to products: brand, titles, converted sizes, labels, title image.
 
+    The abilities of a shop come from ``sites`` and from the rule rows alike.
+
     ``raw`` carries ``size_type_asked`` (1 men, 2 women, 3 kids, 4 unchanged,
     5 from the page) beside the extracted fields.
     """
-    korean = is_site(*site_names(lambda s: s.has_korean_name))
+    sites, rules = list(sites), list(rules)
+    korean = is_site(*able(lambda s: s.has_korean_name, "product_name_ko", sites, rules))
     branded = replacing(
         raw,
-        brand_name=brand_of("site", "brand_name"),
+        brand_name=brand_of("brand_name", sites, rules),
         product_name_ko=f"if({korean}, product_name_ko, {translator('product_name')})",
         price=X.without_currency("price"),
-        size_options=converted_sizes("size_options", "size_type_asked", "size_type"),
+        size_options=converted_sizes("size_options", "size_type_asked", "size_type", sites, rules),
         title_image="coalesce(get(images, 0), '')",
     )
     named = replacing(branded, brand_name_ko=X.squash(translator("brand_name")))

@@ -6,8 +6,7 @@ No page, parser or rule is involved.
 
 from __future__ import annotations
 
-from listloom.functions.sizes import size_rows
-from listloom.sources.dims import SITE_ALIASES, SITE_HOSTS
+from listloom.queries.expected import EXPECTED_ALIASES, EXPECTED_HOSTS, EXPECTED_SIZES
 
 SITE_LIST = (
     "['Zappos', 'Vans', 'Lacoste', 'Adidas', 'Asics', 'North Face Korea', 'North Face Youngone', 'Abc Grand Stage']"
@@ -21,9 +20,9 @@ def values(rows) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
 
 
-ALIASES = f"alias(ko_name, site_official) AS ({values(SITE_ALIASES)})"
-HOSTS = f"host_of(site_official, host) AS ({values(SITE_HOSTS)})"
-SIZE_MAP = f"size_map(grp, us_key, us_num, mm) AS ({values(size_rows())})"
+ALIASES = f"alias(ko_name, site_official) AS ({values(EXPECTED_ALIASES)})"
+HOSTS = f"host_of(site_official, host) AS ({values(EXPECTED_HOSTS)})"
+SIZE_MAP = f"size_map(grp, us_key, us_num, mm) AS ({values(EXPECTED_SIZES)})"
 
 #: Size text of a quantity column ``q``.
 US = "CASE WHEN q % 2 = 0 THEN CAST(CAST(q / 2 AS BIGINT) AS VARCHAR) ELSE CAST(q / 2 AS VARCHAR) END"

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from listloom.functions.listing_html import listing_html
 from listloom.functions.sql import texts
 from listloom.operators.listing import with_static_images
-from listloom.operators.rules import Rule
+from listloom.operators.rules import Rule, rules_from_table
 from listloom.plans.batch import Sources, run_batch
-from listloom.plans.listings import make_listings
+from listloom.plans.listings import make_listings, make_products
 from listloom.queries.base_sql import body_sql, expecting
 from listloom.queries.pages import UNESCAPE
 from listloom.queries.registry import query, table
@@ -174,3 +174,39 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = part.agg({"p_partkey": "max"}).first()[0]
     done = run_batch(urls, sheet, sources, 0, last + 1, 20, rules=MINI_RULES, sites=())
     return done.sheet.select("row_no", "C", "E", "S")
+
+
+#: A shop that exists only as rule rows: mall brand, Korean name, converted sizes, images.
+ADDED_RULES = [
+    ("added", "product_name", "h1", "one", "text", None),
+    ("added", "brand_name", "i.brand", "one", "text", None),
+    ("added", "product_name_ko", "b.ko", "one", "text", None),
+    ("added", "price", "u", "one", "text", None),
+    ("added", "size_options", "li", "all", "text", None),
+    ("added", "images", "img", "all", "need", "src"),
+    ("added", "size_groups", "kids", "one", "text", None),
+]
+
+
+@query(
+    """
+    SELECT p_partkey, p_brand AS brand, '상품 ' || p_name AS name_ko, '/' || p_partkey || '.jpg' AS image,
+        CASE p_partkey % 3 WHEN 0 THEN '215,250,330' WHEN 1 THEN '240,320' ELSE '130' END AS sizes
+    FROM part
+    """
+)
+def added_shop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Men's, women's and kids' sizes by size type, all from the table of rules."""
+    rules = rules_from_table(
+        spark.createDataFrame(ADDED_RULES, "site string, field string, selector string, pick string, read string, arg string")
+    )
+    docs = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "'added' AS site", "'raw' AS kind", "'' AS url", "cast(p_partkey % 3 + 1 AS int) AS size_type_asked",
+        "concat('<h1>', p_name, '</h1><i class=\"brand\">', p_brand, '</i><b class=\"ko\">상품 ', p_name, '</b><u>$1</u>', "
+        "CASE p_partkey % 3 WHEN 0 THEN '<li>3.5</li><li>7</li><li>15</li><li>99</li>' WHEN 1 THEN '<li>7</li><li>15</li><li>4.5</li>' "
+        "ELSE '<li>7</li><li>6.5</li>' END, '<img src=\"/', p_partkey, '.jpg\">') AS body",
+    )
+    return make_products(docs, rules=rules, sites=()).selectExpr(
+        "p_partkey", "brand_name AS brand", "product_name_ko AS name_ko", "title_image AS image",
+        "array_join(size_options, ',') AS sizes",
+    )

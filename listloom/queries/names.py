@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from listloom.functions.sql import case, q
 from listloom.operators.names import with_site_host, with_site_name
 from listloom.queries.base_sql import ALIASES, HOSTS, values
+from listloom.queries.expected import EXPECTED_ALIASES
 from listloom.queries.registry import query, table
-from listloom.sources.dims import SITE_ALIASES, alias_array
+from listloom.sources.dims import alias_array
 
-N = len(SITE_ALIASES)
+N = len(EXPECTED_ALIASES)
 
 #: Ways to type a shop name: Spark expression over ko, official, p_name; SQL the same.
 FORMS = [
@@ -33,7 +34,7 @@ def _typed(dialect: int) -> str:
     return case([(f"({step}) % {len(FORMS)} = {i}", form[dialect]) for i, form in enumerate(FORMS)])
 
 
-NUMBERED = values([(i, ko, official) for i, (ko, official) in enumerate(SITE_ALIASES)])
+NUMBERED = values([(i, ko, official) for i, (ko, official) in enumerate(EXPECTED_ALIASES)])
 
 
 @query(

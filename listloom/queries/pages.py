@@ -52,23 +52,28 @@ def url_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT page_id, kind, CASE kind
         WHEN 'json' THEN '{"id":' || page_id || '}' WHEN 'rendered' THEN '<r>' || url ELSE html END AS body
-    FROM (SELECT *, CASE page_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'rendered' WHEN 2 THEN 'json' ELSE 'raw' END AS kind
+    FROM (SELECT *, CASE page_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'rendered' WHEN 2 THEN 'json' WHEN 4 THEN 'json' ELSE 'raw' END AS kind
           FROM pages) t
     """
 )
 def choose_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    urls = pages.selectExpr("page_id", "url", "concat('site', page_id % 4) AS site")
-    # Abilities of three of the four sites; the last has no row.
+    lacoste = "page_id % 5 = 4"
+    pages = table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "html", f"if({lacoste}, concat('https://www.lacoste.com/us/men/P', page_id, '-1.html?color=C'), url) AS url",
+        f"if({lacoste}, concat('https://www.lacoste.com/on/demandware.store/Sites-FlagShip-Site/en_US/Product-PartialsData?pid=P', "
+        "page_id, '-1&color=C&full=true'), url) AS json_url",
+    )
+    urls = pages.selectExpr("page_id", "url", f"if({lacoste}, 'Lacoste', concat('site', page_id % 5)) AS site")
+    # Abilities of four of the five sites; one has no row.  Every raw page is stored three times.
     abilities = spark.createDataFrame(
-        [("site0", True, False), ("site1", False, True), ("site2", True, True)],
+        [("site0", True, False), ("site1", False, True), ("site2", True, True), ("Lacoste", True, False)],
         "site string, json boolean, rendered boolean",
     )
     return choose_document(
         urls, abilities,
-        pages.selectExpr("url", "concat('{\"id\":', page_id, '}') AS body"),
+        pages.selectExpr("json_url AS url", "concat('{\"id\":', page_id, '}') AS body"),
         pages.selectExpr("url", "concat('<r>', url) AS body"),
-        pages.selectExpr("url", "html AS body"),
+        pages.selectExpr("url", "explode(array(substr(html, 1, 50), html, html)) AS body"),
     ).select("page_id", "kind", "body")
 
 
@@ -186,12 +191,13 @@ def snapshot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All pages as wanted; saved are two of three, some of them cut short."""
-    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "html", "concat('s', page_id) AS key")
-    saved = pages.where("page_id % 3 <> 0").selectExpr(
-        "key", "if(page_id % 7 = 0, substr(html, 1, 50), html) AS html"
-    )
-    return pages.drop("html"), saved
+    """All pages as wanted; saved are two of three, some of them cut short, in a written store."""
+    pages = with_snapshot_key(table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "url AS page_url", "concat(url, '?page=', page_id) AS url", "html", "concat('Site ', page_id % 3) AS site"
+    ))
+    path = work_dir(spark, "snapshots")
+    save(pages.where("page_id % 3 <> 0").withColumn("html", F.expr("if(page_id % 7 = 0, substr(html, 1, 50), html)")), path)
+    return pages.selectExpr("page_id", "page_url AS url", "key"), spark.read.parquet(path)
 
 
 @query("SELECT page_id, url FROM pages WHERE page_id % 3 = 0 OR page_id % 7 = 0")

@@ -59,19 +59,20 @@ def converted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
             CASE WHEN c % 3 = 0 AND q = low THEN 3 WHEN ok THEN iq ELSE 0 END AS quantity
         FROM sku
     )
-    SELECT p_partkey, string_agg(label || '=' || quantity, ',' ORDER BY q) AS quantities,
+    SELECT p_partkey, coalesce(string_agg(label || '=' || quantity, ',' ORDER BY q), '') AS quantities,
         coalesce(string_agg(replace(label, 'MM', ''), ',' ORDER BY q) FILTER (WHERE quantity <> 0), '') AS in_stock
-    FROM labelled GROUP BY p_partkey
+    FROM part LEFT JOIN labelled USING (p_partkey) GROUP BY p_partkey
     """
 )
 def sku_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = catalogue(spark, sf_dir).selectExpr(
         "p_partkey", f"from_json({sku_json()}, '{SKU_JSON}') AS skus", f"from_json({option_json()}, '{OPTION_JSON}') AS options"
     )
-    stock = parsed.selectExpr("p_partkey", f"{sku_quantities('skus', 'options')} AS stock").where("size(stock) > 0")
+    stock = parsed.selectExpr("p_partkey", f"{sku_quantities('skus', 'options')} AS stock")
     shown = each("stock", lambda s: f"concat({s}.label, '=', {s}.quantity)")
     return stock.selectExpr(
-        "p_partkey", f"array_join({shown}, ',') AS quantities", f"array_join({in_stock_labels('stock')}, ',') AS in_stock"
+        "p_partkey", f"coalesce(array_join({shown}, ','), '') AS quantities",
+        f"coalesce(array_join({in_stock_labels('stock')}, ','), '') AS in_stock",
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from html import unescape
 from html.parser import HTMLParser
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from listloom.functions.sql import case, q
+from listloom.functions.urls import to_json_url
 from listloom.operators.joins import small_side
 from listloom.schemas import COMMENT, DOM_FIELDS, NODE, PIECE, RAW, TEXT
 
@@ -365,23 +367,39 @@ def explode_nodes(parsed: DataFrame, *keys: str) -> DataFrame:
     return parsed.select(*keys, F.inline("nodes"))
 
 
+#: Shops whose JSON is found under an endpoint of its own.
+JSON_URLS = {"Lacoste": to_json_url}
+
+
 def choose_document(
-    urls: DataFrame, capabilities: DataFrame, json_pages: DataFrame, rendered_pages: DataFrame, raw_pages: DataFrame
+    urls: DataFrame,
+    capabilities: DataFrame,
+    json_pages: DataFrame,
+    rendered_pages: DataFrame,
+    raw_pages: DataFrame,
+    json_urls: Mapping[str, Callable[[str], str]] = JSON_URLS,
 ) -> DataFrame:
     """Attach to every (site, url) the document its site is read from.
 
     A site with a JSON endpoint is read as JSON, else rendered HTML if it needs
     rendering, else raw HTML.  ``capabilities(site, json, rendered)`` decides; a
-    site without a row is raw.  The three page tables ``(url, body)`` form one
-    tagged table, so there is one equi-join and each URL only meets the kind it
-    needs; adaptive execution splits a URL that is asked for very often.
+    site without a row is raw.  JSON is looked up by the shop's endpoint, which
+    ``json_urls`` makes from the product URL.  The three page tables ``(url, body)``
+    form one tagged table, first reduced to what is asked for, so that other bodies
+    stay where they are.  Of a page stored several times the longest body counts, of
+    equally long ones the greatest: one document for each asked row.
     """
     flags = capabilities.select("site", F.col("json").alias("_json"), F.col("rendered").alias("_rendered"))
     kind = F.when(F.col("_json"), "json").when(F.col("_rendered"), "rendered").otherwise("raw")
     asked = urls.join(small_side(flags), "site", "left").withColumn("kind", kind).drop("_json", "_rendered")
+    json_url = case([(f"site = {q(name)}", to_url("url")) for name, to_url in json_urls.items()], "url")
+    asked = asked.withColumn("_key", F.expr(f"if(kind = 'json', {json_url}, url)"))
     stored = (
-        json_pages.select("url", F.lit("json").alias("kind"), "body")
-        .unionByName(rendered_pages.select("url", F.lit("rendered").alias("kind"), "body"))
-        .unionByName(raw_pages.select("url", F.lit("raw").alias("kind"), "body"))
+        json_pages.select(F.col("url").alias("_key"), F.lit("json").alias("kind"), "body")
+        .unionByName(rendered_pages.select(F.col("url").alias("_key"), F.lit("rendered").alias("kind"), "body"))
+        .unionByName(raw_pages.select(F.col("url").alias("_key"), F.lit("raw").alias("kind"), "body"))
     )
-    return asked.join(stored, ["url", "kind"], "left")
+    wanted = small_side(asked.select("_key", "kind").distinct())
+    longest = F.max(F.struct(F.length("body").alias("chars"), "body"))
+    one = stored.join(wanted, ["_key", "kind"], "left_semi").groupBy("_key", "kind").agg(longest.alias("_page"))
+    return asked.join(one.select("_key", "kind", F.col("_page.body").alias("body")), ["_key", "kind"], "left").drop("_key")

@@ -302,7 +302,9 @@ def test_snapshots(spark):
     snapshots.write_snapshots(keyed, path, spark.read.parquet(path))
     saved = spark.read.parquet(path)
     assert saved.count() == 4 and saved.select("site").distinct().first()["site"] == "Vans"
-    short = saved.withColumn("html", F.when(F.col("url").endswith("1"), "x").otherwise(F.col("html")))
+    assert snapshots.cache_misses(keyed.select("key").distinct(), saved).count() == 0
+    assert saved.where("chars <> length(html)").count() == 0
+    short = saved.drop("chars").withColumn("html", F.when(F.col("url").endswith("1"), "x").otherwise(F.col("html")))
     wanted = keyed.select("key", "url").distinct()
     assert [r["url"] for r in snapshots.cache_misses(wanted, short).collect()] == ["https://v.test/1"]
     assert snapshots.snapshot_lookup(wanted, short).count() == 3
@@ -318,9 +320,35 @@ def test_choose_document(spark):
     }
 
 
+def test_whole_digest_is_the_store_key(spark):
+    pages = spark.range(20_000).selectExpr("'S' AS site", "concat('https://s.test/', id) AS url", "repeat('x', 100) AS html")
+    path = work_dir(spark, "snap")
+    snapshots.write_snapshots(snapshots.with_snapshot_key(pages), path)
+    saved = spark.read.parquet(path)
+    assert saved.count() == 20_000
+    # Some of these share a name of six digits.
+    names = snapshots.with_snapshot_key(saved.drop("key"), n_hex=6).select("key")
+    assert names.distinct().count() < 20_000
+
+
+def test_repeated_and_endpoint_documents(spark):
+    product = "https://www.lacoste.com/us/men/CH0194-51.html?color=GBY"
+    endpoint = (
+        "https://www.lacoste.com/on/demandware.store/Sites-FlagShip-Site/en_US/"
+        "Product-PartialsData?pid=CH0194-51&color=GBY&full=true"
+    )
+    urls = spark.createDataFrame([(1, "Lacoste", product), (2, "H", "u"), (3, "H", "u")], "id long, site string, url string")
+    able = spark.createDataFrame([("Lacoste", True, False)], "site string, json boolean, rendered boolean")
+    store = lambda *rows: spark.createDataFrame(rows, "url string, body string")
+    got = choose_document(urls, able, store((endpoint, "{}")), store(("u", "r")), store(("u", "a"), ("u", "long"), ("u", "lang")))
+    assert sorted((r["id"], r["body"]) for r in got.collect()) == [(1, "{}"), (2, "long"), (3, "long")]
+
+
 def test_small_side(spark):
     df = spark.range(20)
     assert joins.fits(df, 20) and not joins.fits(df, 19)
+    # Few but wide rows are not copied.
+    assert not joins.fits(df.selectExpr("repeat('x', 1000) AS wide"), 20, 10_000)
 
 
 def test_checkpoint_folder_is_the_shared_one(spark):
