@@ -3,11 +3,11 @@
 Templates of licence notices are indexed by word and position, without function
 words.  One scan of the documents keeps, for each, its licence words with their
 places and the words that follow.  Their document frequencies give the inverse
-document frequency; each document looks up its ``TOP`` rarest licence words.  A
-template posting at relative position ``place - position`` is a candidate; postings
-are intersected by that position, and a template counts where at least two rare
-words (or all it has) agree, its weighted share of words is ``MIN_SHARE`` or more
-and its mandatory key phrase stands at its own place.
+document frequency.  Each place looks up the postings of its word; a template at
+relative position ``place - position`` is a candidate, whatever else the document
+holds.  Postings are intersected by that position, and a template counts where at
+least two of its words (or all it has) agree, its weighted share of words is
+``MIN_SHARE`` or more and its mandatory key phrase stands at its own place.
 
 Besides, the fixed phrases of ``PHRASES`` are found wherever they stand; the method
 adds labels and removes none.
@@ -46,7 +46,7 @@ TEMPLATES = {
 # Words that are never indexed.
 FUNCTION_WORDS = set("a and any are by for in into is of or the this to under with without".split())
 
-TOP, MIN_SHARE, CONTEXT = 6, 0.6, 5
+MIN_SHARE, CONTEXT = 0.6, 5
 
 
 def _postings() -> list[tuple[str, str, int, int, str | None]]:
@@ -121,17 +121,11 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = weights.groupBy("template").agg(F.sum("idf").alias("whole"), F.count("*").alias("n_rare"))
     weights = F.broadcast(weights.join(F.broadcast(whole), "template"))
 
-    idf = F.broadcast(weights.select("word", "idf").distinct())
-    kinds = with_words.select("row", F.explode(F.array_distinct(F.col("words.word"))).alias("word")).join(idf, "word")
-    # A row has no more kinds of licence words than the index.
-    top = kinds.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("idf"), "word"))), 1, TOP).alias("t"))
-    anchors = top.select("row", F.explode("t.word").alias("word"))
     places = with_words.select("row", F.explode("words").alias("p")).select("row", "p.word", "p.at", "p.follows")
     met = places.join(weights, "word").withColumn("shift", F.col("at") - F.col("position"))
-    met = met.join(anchors.withColumn("rare", F.lit(1)), ["row", "word"], "left")
     phrase = F.col("key").isNotNull() & F.expr("startswith(follows, concat(key, ' '))")
     aligned = met.groupBy("row", "template", "shift").agg(
-        F.sum("idf").alias("share"), F.sum("rare").alias("agree"), F.max(phrase).alias("has_key"),
+        F.sum("idf").alias("share"), F.count("*").alias("agree"), F.max(phrase).alias("has_key"),
         F.first("whole").alias("whole"), F.first("n_rare").alias("n_rare"),
     )
     share = F.round(F.least(F.lit(1.0), F.col("share") / F.col("whole")), 6)

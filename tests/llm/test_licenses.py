@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from listloom.llm.licenses import PHRASES, license_report
+from listloom.llm.licenses import PHRASES, TEMPLATES, license_report
 from listloom.llm.queries import QUERIES
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -40,3 +40,13 @@ def test_templates_and_odd_rows(spark, odd_docs):
     got = Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows)
     assert got == Counter((r["doc_id"], *base(r["text"])) for r in docs.collect())
     assert license_report(docs.limit(0)).count() == 0
+
+
+def test_all_notices_of_a_file(spark):
+    """Any number of notices in one text, whatever other licence words it holds."""
+    notice = lambda *labels: ". And then\n".join(TEMPLATES[label][0] for label in labels)
+    rare = " affero mozilla unencumbered lesser attribution copy redistribution noncommercial"
+    texts = [notice(*TEMPLATES), notice("apache-2.0", "bsd", "mit"), notice("mit") + rare, rare, notice("isc", "mit", "isc") + rare]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"] for r in license_report(docs).collect()}
+    assert labels == {0: ",".join(sorted({*TEMPLATES, "cc-by", "gpl"})), 1: "apache-2.0,bsd,mit", 2: "mit", 3: "", 4: "isc,mit"}
