@@ -12,7 +12,9 @@ Decoding is Viterbi.  A token whose outside score leads by more than the transit
 beside it can make good is outside on the best path, so the search runs, exactly and
 for many runs at a time, over what lies between such tokens.
 
-Spans of the patterns always stay; those of the field are added where they touch none.
+Spans of the patterns always stay; of those of the field, what no pattern covers is
+added, but for rests of nothing but quotes, brackets and stops, and for words after a
+closing quote.
 Missing and empty texts have no spans; equal rows get equal spans; an empty table gives
 an empty one; other columns are ignored by the report and kept when masking.
 """
@@ -46,6 +48,8 @@ SAMPLE, WINDOW_CHARS, SIDE = 400, 400, 12
 SLICE_BYTES = 4 << 20
 _HEX_ONLY = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: What may enclose or follow a value without being part of it.
+ENCLOSING = " \t\n\x0b\x0c\r\"'`()[]{}<>,;:."
 SHAPES, LENGTHS = 16, 5
 CLASSES = SHAPES * LENGTHS * 2 + 1  # the last stands beyond the ends of a text
 O, B, I = range(3)  # noqa: E741
@@ -71,8 +75,14 @@ def _inside(at: list[int], offsets: np.ndarray) -> set[int]:
     return set((np.searchsorted(offsets, np.array(at, np.int64), "right") - 1).tolist()) if at else set()
 
 
-def may_match(data: bytes, lower: bytes, offsets: np.ndarray) -> set[int]:
-    """Texts in which a fixed pattern can match at all; found by plain byte search."""
+def may_match(data: bytes, offsets: np.ndarray) -> set[int]:
+    """Texts in which a fixed pattern can match at all; found by plain byte search.
+
+    A byte between texts keeps what is found from reaching into the next one.
+    """
+    ends = offsets.tolist()
+    data = b"\n".join(data[a:b] for a, b in zip(ends, ends[1:]))
+    lower, offsets = data.translate(_LOWER), offsets + np.arange(len(offsets))
     out: set[int] = set()
     for needle in (b"passw", b"secret", b"token", b"api"):
         out |= _inside(_places(lower, needle), offsets)
@@ -97,7 +107,8 @@ def token_classes(texts: Texts, data: bytes, lower: bytes):
     for name in NAMES:
         at = np.array(_places(lower, name), np.int64)
         if len(at):
-            named[np.searchsorted(words.starts, at, "right") - 1] = True
+            held = np.searchsorted(words.starts, at, "right") - 1
+            named[held[at + len(name) <= words.ends[held]]] = True
     classes = (shape * LENGTHS + bucket) * 2 + named
     total = np.concatenate(([0], np.cumsum(named)))[words.first]
     file = np.minimum(np.diff(total), 2)
@@ -269,13 +280,35 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Fiel
     return fit(picked)
 
 
+def uncovered(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the fixed patterns leave of a span of the field; the whole span where they touch it nowhere.
+
+    A value in quotes ends with the word of its closing quote.
+    """
+    inside = sorted((s, e) for s, e, k in spans if k < 3 and s < end and start < e)
+    if not inside:
+        return [(start, end, 3)]
+    out, at, closed = [], start, False
+    for s, e in [*inside, (end, end)]:
+        piece = text[at:s]
+        if closed:
+            piece = re.match(r"\S*", piece)[0]
+        if piece.strip(ENCLOSING):
+            out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip()), 3))
+        if e >= at:
+            value = m.start(2) if (m := ASSIGN.match(text, s)) else s
+            closed = (closed and e == at) or (text[e : e + 1] in ('"', "'") and text[value - 1 : value] == text[e])
+            at = e
+    return out
+
+
 def scan(texts: Texts, field: Field) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) in code points of every text, by start, then kind."""
     data = texts.data.tobytes()
     lower = data.translate(_LOWER)
     offsets = texts.offsets
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
-    plain = [data[offsets[i] : offsets[i + 1]].decode() if i in some else None for some in [may_match(data, lower, offsets)] for i in range(len(texts))]
+    plain = [data[offsets[i] : offsets[i + 1]].decode() if i in some else None for some in [may_match(data, offsets)] for i in range(len(texts))]
     for i, text in enumerate(plain):
         if text is not None:
             out[i] = pattern_spans(text)
@@ -294,8 +327,7 @@ def scan(texts: Texts, field: Field) -> list[list[tuple[int, int, int]]]:
             chars = lambda end: int((~CONTINUATION[texts.data[base:end]]).sum())  # noqa: B023, E731
             start = chars(int(words.starts[a]))
             end = start + int((~CONTINUATION[texts.data[words.starts[a] : words.ends[b]]]).sum())
-            if not any(s < end and start < e for s, e, k in out[i] if k < 3):
-                out[i].append((start, end, 3))
+            out[i] += uncovered(plain[i] or "", start, end, out[i])
         for i in set(text[tagged].tolist()):
             out[i].sort(key=lambda s: (s[0], s[2]))
     return out

@@ -75,6 +75,49 @@ def test_field_adds_what_patterns_miss(spark, larger, odd_docs):
     assert fit([]).tags(*_empty()).tolist() == []
 
 
+def _tagging_all():
+    from listloom.llm.secrets import CLASSES
+
+    own = np.zeros((CLASSES, 3))
+    own[:, 2] = 1.0
+    return Field(own, *(np.zeros((CLASSES, 3)) for _ in range(2)), np.zeros((3, 3)), np.zeros((3, 3)))
+
+
+def test_neighbouring_texts_do_not_matter():
+    """Runs and names that begin in the text before neither hide nor make anything."""
+    import pyarrow as pa
+
+    texts = []
+    for key in (VALUE, VALUE[:24], VALUE[:32], "AKIA" + "Q7" * 8):
+        texts += [x for end in (*(VALUE[:n] for n in range(1, 24)), "see the", "AKI", "api AK") for x in (end, key, key + " x")]
+    texts += ["to", "ken: abcdefgh", "pass", "word = abcdefgh", "", None, VALUE]
+    outside = fit([])
+    found = scan(texts_of(pa.array(texts)), outside)
+    joined = [",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans) for spans in found]
+    assert joined == [brute(t)[1] for t in texts]
+
+    from listloom.llm.secrets import token_classes
+
+    cut = texts_of(pa.array(["a to", "ken x", "my token x"]))
+    data = cut.data.tobytes()
+    assert (token_classes(cut, data, data)[1] % 2).tolist() == [0, 0, 0, 0, 0, 1, 0]
+
+
+def test_field_spans_that_touch_patterns():
+    """What a pattern leaves of a span of the field stays; closing quotes alone do not."""
+    import pyarrow as pa
+
+    texts = ["password: Tr0ub4dor&3xyz", "é password: Tr0ub4dor&3xyz", f'token = "{VALUE}"', "(secret=abcdef!!)", f"é{VALUE}é", f'token = "{VALUE}"&x z', "token: abcdef&g hi"]
+    found = scan(texts_of(pa.array(texts)), _tagging_all())
+    assert found[0] == [(0, 19, 0), (19, 24, 3)]
+    assert found[1] == [(0, 1, 3), (2, 21, 0), (21, 26, 3)]
+    assert found[2] == [(0, 49, 0), (9, 49, 2)]
+    assert found[3] == [(1, 14, 0), (14, 17, 3)]
+    assert found[4] == [(0, 1, 3), (1, 41, 2), (41, 42, 3)]
+    assert found[5] == [(0, 49, 0), (9, 49, 2), (49, 52, 3)]
+    assert found[6] == [(0, 13, 0), (13, 18, 3)]
+
+
 def _empty():
     import pyarrow as pa
 
