@@ -3,7 +3,8 @@
 Rules name a host, with its subdomains, and the beginning of a path; of those that
 fit, the longest decides.  Pages without a rule take the decision of their aliases.
 Two URLs are aliases if a page redirects (meta refresh) or points by canonical link
-from one to the other, or if both have the same canonical form, which is without
+from one to the other (every such tag counts; links are resolved against the page's URL
+or its base tag), or if both have the same canonical form, which is without
 scheme, ``www.`` or ``m.``, query, fragment, index file, ``.html`` and final slash.
 Aliases are the connected components of these edges, found by Spark over URLs, with
 the canonical form as the centre of a star, so no group is ever paired with itself.
@@ -33,8 +34,9 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?(?<![\w-])url\s*=\s*["']?\s*([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -61,21 +63,48 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     return pages.withColumn("rule", rule).withColumn("decision", decision)
 
 
-def _target(html: Column, pattern: str) -> Column:
-    found = F.regexp_extract(html, pattern, 1)
-    return F.when(found.contains("://"), found)
+def without_dots(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(walked) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"), end)).otherwise(path)
+
+
+def resolved(links: DataFrame, link: str) -> DataFrame:
+    """Put the host and path a link leads to in the place of ``host`` and ``path`` of its page.
+
+    Links of other schemes than those of hosts (``mailto:`` and such) get null.
+    """
+    to = F.col(link)
+    links = links.withColumn("url", F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).otherwise(to))
+    url = F.col("url")
+    whole, other = url.rlike(r"^([A-Za-z][A-Za-z0-9+.\-]*)?://"), url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    own = F.regexp_extract(url, r"(?s)^([^?#]*)", 1)
+    folder = F.regexp_extract("path", r"(?s)^(.*/)", 1)
+    rooted = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    path = F.when(whole, path_of(url)).when(other, None).when(own == "", F.col("path")).otherwise(without_dots(rooted))
+    host = F.when(whole, host_of(url)).when(other, None).otherwise(F.col("host"))
+    return links.withColumns({"host": host, "path": path})
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Host, path, rule and verdict of every page."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    links = F.array_distinct(F.concat(*(F.regexp_extract_all(html, F.lit(tag), F.lit(1)) for tag in (CANONICAL, REFRESH))))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
-        _target(F.coalesce(F.col(html_col), F.lit("")), CANONICAL).alias("canonical"), _target(F.coalesce(F.col(html_col), F.lit("")), REFRESH).alias("redirect"))
+        links.alias("links"), F.regexp_extract(html, BASE, 1).alias("base"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = with_rules(rows, rules).withColumn("form", F.when(F.col("host") != "", canonical_form(F.col("host"), F.col("path"))))
     rows = stored(rows, "pages")
 
-    targets = rows.where(F.col("form").isNotNull()).select("form", F.explode(F.array("canonical", "redirect")).alias("url"))
-    targets = targets.where(F.col("url").isNotNull()).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    targets = rows.where(F.col("form").isNotNull() & (F.size("links") > 0)).select("form", "host", "path", "base", F.explode("links").alias("link"))
+    # A base without a host changes nothing.
+    based = resolved(targets.withColumns({"page_host": F.col("host"), "page_path": F.col("path")}), "base")
+    usable = F.coalesce(F.col("host"), F.lit("")) != ""
+    based = based.withColumns({"host": F.when(usable, F.col("host")).otherwise(F.col("page_host")), "path": F.when(usable, F.col("path")).otherwise(F.col("page_path"))})
+    targets = resolved(based, "link")
     # Pages of one form are one node: only links between forms are left to follow.
     edges = targets.where(F.col("host") != "").select("form", canonical_form(F.col("host"), F.col("path")).alias("target")).distinct()
     joined = components(edges, "form", "target").select(F.col("node").alias("form"), "component")

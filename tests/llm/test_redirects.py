@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from urllib.parse import urljoin
 
 from listloom.llm.queries import QUERIES
 from listloom.llm.redirects import RULES, judge
@@ -69,3 +70,35 @@ def test_links_and_odd_rows(spark):
     got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame([(*r, "x") for r in alone], pages.schema)).collect()}
     assert got[2] == got[3] == got[7] == "block" and got[9] == got[10] == "allow"
     assert judge(pages.limit(0)).count() == 0
+
+
+def test_relative_and_repeated_links(spark):
+    """Links are resolved as a browser does, all tags count, other schemes and queries give no edge."""
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    cases = [
+        ("https://a.com/de/1", None, None, []),
+        ("https://b.net/p/x", None, link, ["//a.com/de/1?q"]),
+        ("https://b.net/q/y", None, refresh, ["../p/./x.html"]),
+        ("https://b.net/q/z#f", None, refresh, ["/q/y"]),
+        ("https://b.net/q/w", None, link, ["https://u.net/", "z"]),
+        ("https://v.net", None, refresh, ["https://v2.net/", "k.html", "?q=1", "#f"]),
+        ("https://v.net/k", None, link, ["https://u.net"]),
+        ("https://f.net/k", "//b.net/q/", link, ["z"]),
+        ("https://d.net/k", None, link, ["mailto:a.com/de/1", "javascript:go()"]),
+        ("https://e.net/k", None, refresh, ["/go?url=https://a.com/de/1"]),
+        ("https://e.net/go", None, None, []),
+        ("https://k.com/de/9", None, None, []),
+        ("https://l.net/9", None, link, ["https://k.com/de/9", "//e.org/ok"]),
+        ("https://m.net/9", None, link, ["https://l.net/9"]),
+        ("https://e.org/ok", None, None, []),
+        ("no url", None, link, ["https://a.com/de/1", "z"]),
+    ]
+    rows, links = [], []
+    for i, (url, base, tag, targets) in enumerate(cases):
+        rows.append((i, url, (f'<base href="{base}">' if base else "") + "".join(tag.format(t) + " text\n" for t in targets)))
+        to = [urljoin(urljoin(url, base or ""), t) for t in targets]
+        links += [(url, t) for t in to if form_of(url) and form_of(t)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = judge(pages)
+    assert Counter(tuple(r) for r in got.collect()) == brute([r[:2] for r in rows], links)
+    assert {r["page_id"] for r in got.collect() if r["verdict"] == "block"} == {0, 1, 2, 3, 4, 5, 6, 7, 11}
