@@ -5,7 +5,9 @@ that still hold several suffixes; the longest common prefixes of neighbours give
 the intervals of the suffix array, thus every maximal repeated substring.  The
 spans of repeats of at least ``min_repeat`` words are united.  A text fails if they
 cover more than ``max_covered`` of its words, or if one repeat is longer than
-``max_longest`` words and than ``max_longest_share`` of the text.
+``max_longest`` words and than ``max_longest_share`` of the text, or longer than
+``max_longest_any`` words whatever the text's length.  What repeats cover is part of
+what the base rule counts, so ``max_covered`` lies well below ``max_repeat_percent``.
 
 One row stays one row: no shuffle, no group.  Missing and empty texts have no words
 and fail the base rule; equal rows get equal verdicts; an empty table gives an empty
@@ -40,9 +42,10 @@ class Limits:
     min_words: int = 50
     max_repeat_percent: int = 50
     min_repeat: int = 8
-    max_covered: float = 0.6
+    max_covered: float = 0.3
     max_longest: int = 40
     max_longest_share: float = 0.15
+    max_longest_any: int = 200
 
 
 def _suffix_order(words: np.ndarray, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -142,7 +145,8 @@ def assess(texts: Texts, limits: Limits = Limits()) -> dict[str, np.ndarray]:
     dup_lines = np.bincount(line_text[1:][equal], minlength=len(counts))
     repeated = total(thrice)
     failed = (counts < limits.min_words) | (100 * repeated > limits.max_repeat_percent * counts)
-    bad = (held > limits.max_covered * counts) | ((most > limits.max_longest) & (most > limits.max_longest_share * counts))
+    bad = (held > limits.max_covered * counts) | (most > limits.max_longest_any)
+    bad |= (most > limits.max_longest) & (most > limits.max_longest_share * counts)
     return {
         "n_words": counts,
         "word_chars": texts.per_text(SPACED[texts.data] & ~CONTINUATION[texts.data]),

@@ -54,3 +54,24 @@ def test_odd_rows(spark, odd_docs):
     kept = keep_varied(odd_docs, limits=loose)
     assert kept.schema == odd_docs.schema and 0 < kept.count() < len(rows)
     assert repetition_report(odd_docs.limit(0)).count() == 0 == keep_varied(odd_docs.limit(0)).count()
+
+
+def test_each_limit_decides_alone(spark):
+    """Texts that pass the base rule: one rejected for what repeats cover, one for a long repeat, the others kept."""
+    word = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    looped = " ".join(f"{word(10 * k, 10)} {word(1000 + 25 * k, 10)} {word(10 * k, 10)} {word(1010 + 25 * k, 15)}" for k in range(20))
+    texts = {
+        "looped": looped,
+        "block": f"{word(0, 2900)} {word(5000, 14200)} {word(0, 2900)}",
+        "quote": f"{word(0, 60)} {word(5000, 9880)} {word(0, 60)}",
+        "half": f"{word(0, 30)} {word(100, 140)} {word(0, 30)}",
+        "varied": word(0, 500),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    rows = {r["doc_id"]: r for r in repetition_report(docs).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    looped, block = rows["looped"], rows["block"]
+    assert looped["longest_repeat"] == 10 and 0.3 < looped["covered_words"] / looped["n_words"] < 0.5
+    assert block["longest_repeat"] == 2900 and block["covered_words"] < 0.3 * block["n_words"]
+    assert {k for k, r in rows.items() if r["kept"]} == {"quote", "half", "varied"}
+    assert {r["doc_id"] for r in keep_varied(docs).collect()} == {"quote", "half", "varied"}
