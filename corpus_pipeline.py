@@ -1,7 +1,6 @@
 """From raw documents to tokens: quality, near copies, benchmark leaks, secrets, BPE.
 
-Every stage works on all rows its predecessor kept and takes effect on them.  Stages
-read tables from files, so row ids given while reading stay the same.
+Every stage works on all rows its predecessor kept and takes effect on them.
 """
 
 from __future__ import annotations
@@ -30,13 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
     prepare(spark)
-    return keep_one(docs, n=5, percent=80, scan=True)
+    return keep_one(docs, n=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     prepare(spark)
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), scan=True)
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listloom.llm.components import components
-from listloom.llm.tables import stored
+from listloom.llm.tables import numbered, stored
 from listloom.llm.words import mix, slices, split_words, starts_window, texts_of, windows
 
 SLOTS = 1 << 18
@@ -213,20 +213,16 @@ def _block(percent: int) -> Callable:
     return run
 
 
-def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, scan: bool = False
-) -> DataFrame:
-    """(row, component, id, n_shingles, component_id) of every document; no component without shingles.
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """(row, component, id, n_shingles, component_id) of every document; no component without shingles."""
+    return _similar(numbered(docs.select(*{id_col, text_col}), "texts"), id_col, text_col, n, percent)
 
-    Rows get ids where they are read, and are read more than once.  ``scan`` says that
-    ``docs`` is read straight from files, so the ids stay the same; else it is stored first.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    if not scan:
-        docs = stored(docs.select(*{id_col, text_col}), "texts")
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")
-    )
+
+def _similar(texts: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """The same of rows that were numbered and stored."""
+    kept = F.col("kept")
+    rows = texts.select("row", kept[text_col].cast("string").alias("text"), kept[id_col].alias("id"))
+    kind = rows.schema["id"].dataType.simpleString()
     described = rows.mapInArrow(
         _describe(n, percent, sketch(rows, n)), f"row long, id {kind}, n long, k0 long, k1 long, tokens array<long>"
     )
@@ -287,16 +283,14 @@ def similar_classes(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, scan: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of similar documents, the row of the least id (nulls last) and its columns as they are."""
-    if not scan:
-        docs = stored(docs, "texts")
-    found = similar_classes(docs, id_col, text_col, n, percent, scan=True)
+    texts = numbered(docs, "texts")
+    found = _similar(texts, id_col, text_col, n, percent)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row"))
     kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(first.alias("first")).select("first.row")
     kept = kept.union(found.where(F.col("component").isNull()).select("row"))
-    numbered = docs.select(F.struct("*").alias("kept"), F.monotonically_increasing_id().alias("row"))
-    return numbered.join(stored(kept, "kept").hint("shuffle_hash"), "row", "left_semi").select("kept.*")
+    return texts.join(stored(kept, "kept").hint("shuffle_hash"), "row", "left_semi").select("kept.*")
 
 
 def _with_blocks(n: int) -> Callable:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listloom.llm.tables import fits_broadcast, stored
+from listloom.llm.tables import fits_broadcast, numbered, stored
 
 SHINGLE = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -87,8 +87,12 @@ def decontaminate(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of documents (row, id, n_words), hit spans (row, start, n, window_id), and windows' items."""
+    """Rows of documents (row, id, n_words), hit spans (row, start, n, window_id), and windows' items.
+
+    Rows get ids while they are read, once, unless ``row_col`` holds them.
+    """
     listed = stored(item_windows(items, item_id_col, item_text_col, window), "windows")
     kinds = listed.groupBy("window_id").agg(F.first("n").alias("n"), F.first("words").alias("words"))
     size = F.least(F.col("n"), F.lit(SHINGLE))
@@ -99,9 +103,8 @@ def decontaminate(
     lengths = sorted(r[0] for r in wanted.select("k").distinct().collect())  # at most SHINGLE numbers
     small = fits_broadcast(wanted, "shingle")
 
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), raw_words(F.col(text_col)).alias("raw")
-    )
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("id"), raw_words(F.col(text_col)).alias("raw"))
     rows = rows.withColumn("n_words", F.size("raw")).withColumn("hashes", _hashes(F.col("raw")))
     at = F.array().cast("array<struct<at:int,k:int>>")
     for k in lengths:
@@ -162,13 +165,10 @@ def leak_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     )
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", scan: bool = False, **options) -> DataFrame:
-    """Rows that hold no window of any item, with all their columns.
-
-    ``scan`` says that ``docs`` is read straight from files, so that row ids stay the same.
-    """
-    if not scan:
-        docs = stored(docs, "texts")
-    _, spans, _ = decontaminate(docs, items, id_col, text_col, **options)
-    numbered = docs.select(F.struct("*").alias("kept"), F.monotonically_increasing_id().alias("row"))
-    return numbered.join(spans.select("row").distinct(), "row", "left_anti").select("kept.*")
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows that hold no window of any item, with all their columns."""
+    texts = numbered(docs, "texts")
+    kept = F.col("kept")
+    rows = texts.select("row", kept[id_col].alias("id"), kept[text_col].alias("text"))
+    _, spans, _ = decontaminate(rows, items, "id", "text", row_col="row", **options)
+    return texts.join(spans.select("row").distinct(), "row", "left_anti").select("kept.*")

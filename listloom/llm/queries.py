@@ -55,7 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query()
 def op1_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents"), scan=True).drop("row", "component")
+    return similar_classes(table(spark, sf_dir, "documents")).drop("row", "component")
 
 
 @query()

@@ -11,7 +11,7 @@ from listloom.session import work_dir
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write a table once below ``spark.checkpoint.dir`` and read it back.
 
     What follows reads the files, so a lost executor costs no more than its tasks,
@@ -19,10 +19,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark: SparkSession = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """(row, kept): ids given to rows and written with all their columns, once.
+
+    Ids given while reading depend on how files are split, which follows the cores that
+    are there; those read back are the same in every later job.
+    """
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("kept")), label, "zstd")
+
+
 def fits_broadcast(df: DataFrame, *strings: str, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table, with the text of the named columns, is small enough to copy everywhere."""
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in strings), F.lit(ROW_BYTES))

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from listloom.llm import jaccard
+from listloom.llm import jaccard, leaks
 from listloom.llm.components import components
 from listloom.llm.jaccard import similar_classes
 from listloom.llm.queries import QUERIES
@@ -88,3 +88,43 @@ def test_components(spark):
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_row_ids_stay_when_files_are_split_anew(spark, monkeypatch, tmp_path):
+    """Between two jobs, files are packed into other partitions, as when executors are lost or join."""
+    rows = near_copies(7)
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    passages = [(i, t.split(" s0")[0]) for i, t in rows if i in (0, 30, 60, 90)]
+    items = spark.createDataFrame(passages, "item_id long, text string")
+    leaked = {tuple(w[k : k + 10]) for _, t in passages for w in [t.split()] for k in range(len(w) - 9)}
+    clean = {i for i, t in rows if not any(tuple(w[k : k + 10]) in leaked for w in [t.split()] for k in range(len(w) - 9))}
+    confs = ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {c: spark.conf.get(c, None) for c in confs}
+
+    def packed(cost, least):
+        for c, v in zip(confs, (cost, least)):
+            spark.conf.set(c, v)
+
+    for module, label in ((jaccard, "sets"), (leaks, "spans")):
+
+        def stored(df, name, label=label, inner=module.stored):
+            out = inner(df, name)
+            if name == label:
+                packed("0", "1")
+            return out
+
+        monkeypatch.setattr(module, "stored", stored)
+    try:
+        frame = spark.read.parquet(str(tmp_path / "docs"))
+        packed("128m", "8")
+        assert _rows(similar_classes(frame)) == brute(rows)
+        packed("128m", "8")
+        least = {c for _, _, c in brute(rows, 5, 80)}
+        assert {r["doc_id"] for r in jaccard.keep_one(frame).collect()} == least
+        packed("128m", "8")
+        got = [r["doc_id"] for r in leaks.drop_leaks(frame, items).collect()]
+        assert sorted(got) == sorted(clean) and 0 < len(got) < len(rows)
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
