@@ -2,23 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listloom.functions.sql import q
 from listloom.functions.urls import file_extension, file_stem
-from listloom.operators.ranking import BUCKET, with_rank, with_running_total
+from listloom.operators.ranking import with_rank
 
 NUMBERED = r"^(.*) \((\d+)\)(\.[^.]*)?$"
+#: Free numbers covered by one list of intervals.
+CHUNK = 4096
 
 
-def unique_file_names(images: DataFrame, existing: DataFrame, pos_bucket: str = f"pos div {BUCKET}") -> DataFrame:
+def _free_intervals(taken: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lists of intervals of free numbers, for the chunks of ``wanted(_name, _chunk)``.
+
+    Of a taken number, its value minus its rank is how many numbers below it are
+    free; runs of taken numbers have this in common and end an interval.  ``_ends``
+    holds (free numbers up to the run, numbers taken by then) of the runs of a chunk,
+    in order, and ``_taken`` what was taken before the chunk.
+    """
+    runs = with_rank(taken, ["_name"], ["_number"], "_nth").selectExpr("_name", "_number - _nth AS _free", "_nth")
+    runs = runs.groupBy("_name", "_free").agg(F.max("_nth").alias("_used")).withColumn("_chunk", F.expr(f"_free div {CHUNK}"))
+    lists = runs.groupBy("_name", "_chunk").agg(
+        F.array_sort(F.collect_list(F.struct("_free", "_used"))).alias("_ends"), F.max("_used").alias("_last")
+    )
+    # Chunks that are asked for but hold no run take over what was taken before them.
+    asked = wanted.select("_name", "_chunk").distinct().join(lists.select("_name"), "_name", "left_semi")
+    every = lists.unionByName(asked, allowMissingColumns=True).groupBy("_name", "_chunk").agg(
+        F.max("_ends").alias("_ends"), F.max("_last").alias("_last")
+    )
+    before = Window.partitionBy("_name").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return every.select("_name", "_chunk", "_ends", F.coalesce(F.max("_last").over(before), F.lit(0)).alias("_taken"))
+
+
+def _search(ends: str, rank: str) -> str:
+    """How many of ``ends`` hold fewer than ``rank`` free numbers, by halving steps."""
+    steps = f"transform(sequence(0, {CHUNK.bit_length() - 1}), i -> cast(shiftright({CHUNK}, i) AS int))"
+    return (
+        f"aggregate({steps}, 0, (n, step) -> "
+        f"if(n + step <= size({ends}) AND get({ends}, n + step - 1)._free < {rank}, n + step, n))"
+    )
+
+
+def unique_file_names(images: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``file_name`` = ``stem (k).ext`` with the smallest free ``k``, in order of ``pos``.
 
     ``images(dir, pos, url)`` and ``existing(dir, file_name)``.  The r-th new file
     of a name takes the r-th number not taken yet, gaps first.  A link without an
     extension gets the one of an optional ``sniffed_extension`` column, else an
-    empty name.  Many images may share one name; ranks are bucketed by ``pos``.
+    empty name.  Many images may share one name: ranks come from ranges of the
+    order, and free numbers from interval lists of bounded length that are searched.
     """
     sniffed = "sniffed_extension" if "sniffed_extension" in images.columns else "CAST(NULL AS STRING)"
     named = images.selectExpr(
@@ -26,21 +60,20 @@ def unique_file_names(images: DataFrame, existing: DataFrame, pos_bucket: str =
         f"{file_stem('url')} AS _stem",
         f"if({file_extension('url')} <> '', {file_extension('url')}, concat('.', {sniffed})) AS _found_ext",
     ).selectExpr("*", "coalesce(_found_ext, '') AS _ext").drop("_found_ext")
-    keys = ["dir", "_stem", "_ext"]
-    ranked = with_rank(named, keys, ["pos"], pos_bucket, "_rank")
-
+    # A name is one struct, so files without a folder share one too.
+    named = named.withColumn("_name", F.struct("dir", "_stem", "_ext"))
+    # The r-th free number lies behind r - 1 others.
+    ranked = with_rank(named, ["_name"], ["pos"], "_rank").withColumn("_chunk", F.expr(f"(_rank - 1) div {CHUNK}"))
     taken = existing.selectExpr(
-        "dir",
-        f"regexp_extract(file_name, {q(NUMBERED)}, 1) AS _stem",
-        f"regexp_extract(file_name, {q(NUMBERED)}, 3) AS _ext",
+        f"struct(dir, regexp_extract(file_name, {q(NUMBERED)}, 1) AS _stem, "
+        f"regexp_extract(file_name, {q(NUMBERED)}, 3) AS _ext) AS _name",
         f"try_cast(regexp_extract(file_name, {q(NUMBERED)}, 2) AS bigint) AS _number",
     ).where("_number > 0").distinct()
-    # Free numbers below a taken one: its value minus its rank among the taken.
-    gaps = with_rank(taken, keys, ["_number"], f"_number div {BUCKET}", "_nth").selectExpr(
-        *keys, "_number - _nth AS _at", "1 AS _taken"
+    found = ranked.join(_free_intervals(taken, ranked), ["_name", "_chunk"], "left").selectExpr(
+        *images.columns, "_stem", "_ext", "_rank", "_ends", "coalesce(_taken, 0) AS _taken",
+        f"if(_ends IS NULL, 0, {_search('_ends', '_rank')}) AS _runs",
+    )
+    number = "_rank + if(_runs > 0, get(_ends, _runs - 1)._used, _taken)"
+    return found.selectExpr(
+        *images.columns, f"if(_ext = '', '', concat(_stem, ' (', {number}, ')', _ext)) AS file_name"
     )
-    columns = images.columns
-    both = ranked.withColumns({"_at": F.col("_rank"), "_taken": F.lit(0)}).unionByName(gaps, allowMissingColumns=True)
-    merged = with_running_total(both, keys, ["_at", "_taken"], {"_skipped": "_taken"}, f"_at div {BUCKET}")
-    name = "if(_ext = '', '', concat(_stem, ' (', _rank + _skipped, ')', _ext))"
-    return merged.where("_taken = 0").selectExpr(*columns, f"{name} AS file_name")

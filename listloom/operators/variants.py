@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from listloom.functions.urls import is_url
 from listloom.operators.joins import small_side
-from listloom.operators.ranking import BUCKET, with_running_total
+from listloom.operators.ranking import with_running_total
 from listloom.session import enable_checkpoints
 
 
@@ -57,9 +57,7 @@ def expand_variants(products: DataFrame, *keys: str) -> DataFrame:
     ).withColumn("is_variant", F.col("sub_pos") > 0)
 
 
-def listing_positions(
-    products: DataFrame, target_row: int, start_row: int = 1, bucket: str = f"pos div {BUCKET}"
-) -> DataFrame:
+def listing_positions(products: DataFrame, target_row: int, start_row: int = 1) -> DataFrame:
     """Expanded work list with its place in the sheet and a progress label.
 
     ``products(pos, url, color_urls)``.  Ranks come from running totals over the
@@ -68,7 +66,7 @@ def listing_positions(
     and a page's own variants are known from its first variant on.
     """
     sized = products.withColumn("_variants", F.size("color_urls").cast("bigint"))
-    placed = with_running_total(sized, [], ["pos"], {"_originals_before": "1", "_variants_before": "_variants"}, bucket)
+    placed = with_running_total(sized, [], ["pos"], {"_originals_before": "1", "_variants_before": "_variants"})
     count = products.agg(F.count("*")).scalar()
     rows = expand_variants(placed, "pos", "_variants", "_originals_before", "_variants_before")
     index = F.expr("_originals_before + _variants_before + sub_pos")

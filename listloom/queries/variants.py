@@ -44,7 +44,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def expand_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = V.listing_positions(products(spark, sf_dir), TARGET, START, "pos div 500")
+    placed = V.listing_positions(products(spark, sf_dir), TARGET, START)
     return placed.withColumn("sub_pos", F.col("sub_pos").cast("bigint"))
 
 
@@ -97,7 +97,7 @@ def unique_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = numbers.agg(F.collect_set("name").alias("names"))
     folders = part.selectExpr("p_type AS dir").distinct()
     existing = folders.select("dir", F.explode(names.scalar()).alias("file_name"))
-    return name_files(images, existing, "pos div 700").select("pos", "dir", "file_name")
+    return name_files(images, existing).select("pos", "dir", "file_name")
 
 
 @query("SELECT p_partkey AS code, CAST(ceil((p_partkey % 10) / 3) AS INTEGER) AS hops FROM part")

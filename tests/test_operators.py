@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from listloom.operators import attempts, fetchlog, filenames, glossary, joins, variants
 from listloom.operators.names import with_site_host, with_site_name
-from listloom.operators.ranking import with_rank, with_running_total
+from listloom.operators.ranking import in_ranges, with_rank, with_running_total
 from listloom.session import enable_checkpoints, work_dir
 from listloom.sources import dims, sheets, snapshots
 from listloom.sources.pages import choose_document
@@ -70,7 +70,7 @@ def test_ranks_in_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.7 else f"k{rng.randint(0, 9)}", pos, rng.randint(0, 3)) for pos in range(3000)]
     df = spark.createDataFrame(rows, "k string, pos bigint, v int")
-    got = with_running_total(df, ["k"], ["pos"], {"n": "1", "s": "v"}, "pos div 100").collect()
+    got = with_running_total(df, ["k"], ["pos"], {"n": "1", "s": "v"}, 9).collect()
     seen, sums = defaultdict(int), defaultdict(int)
     expected = {}
     for k, pos, v in rows:
@@ -78,16 +78,27 @@ def test_ranks_in_a_hot_group(spark):
         seen[k] += 1
         sums[k] += v
     assert {r["pos"]: (r["n"], r["s"]) for r in got} == expected
-    ranks = {r["pos"]: r["rank"] for r in with_rank(df, [], ["pos"], "pos div 100").collect()}
+    ranks = {r["pos"]: r["rank"] for r in with_rank(df, [], ["pos"], ranges=7).collect()}
     assert ranks == {pos: pos + 1 for pos in range(3000)}
 
 
 def test_rows_without_a_key_are_ranked_too(spark):
     df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "k string, pos bigint")
-    got = {r["pos"]: r["rank"] for r in with_rank(df, ["k"], ["pos"], "pos div 2").collect()}
+    got = {r["pos"]: r["rank"] for r in with_rank(df, ["k"], ["pos"]).collect()}
     assert got == {1: 1, 2: 1, 3: 2}
 
 
+@pytest.mark.parametrize("order", ["id * 1000000000", "if(id % 3 = 0, id, 7)", "0"])
+def test_ranges_spread_sparse_and_crowded_orders(spark, order):
+    """Positions far apart and one value that most or all rows share fill all ranges alike."""
+    df = spark.range(8000).selectExpr(f"cast({order} AS bigint) AS pos", "id").repartition(5)
+    sizes = [r["count"] for r in in_ranges(df, [], ["pos"], 8).groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2000
+    rows = with_rank(df, [], ["pos"], ranges=8).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 8001))
+    assert [r["pos"] for r in rows] == sorted(r["pos"] for r in rows)
+
+
 # --- Work lists -------------------------------------------------------------------
 
 
@@ -113,7 +124,7 @@ def test_listing_positions(spark):
     df = spark.createDataFrame(
         [(i, u, colors[u]) for i, u in enumerate(urls)], "pos bigint, url string, color_urls array<string>"
     )
-    rows = variants.listing_positions(df, 101, 11, "pos div 7").orderBy("row_no").collect()
+    rows = variants.listing_positions(df, 101, 11).orderBy("row_no").collect()
     assert [(r["url"], r["is_variant"], r["progress"]) for r in rows] == brute_batch(urls, colors, 11)
     assert [r["row_no"] for r in rows] == list(range(101, 101 + len(rows)))
     counts = variants.batch_counts(df).first()
@@ -184,7 +195,6 @@ def test_unique_file_names(spark):
     got = filenames.unique_file_names(
         spark.createDataFrame(images, "dir string, pos bigint, url string"),
         spark.createDataFrame(sorted(taken), "dir string, file_name string"),
-        "pos div 50",
     ).collect()
     used = set(taken)
     for d, pos, url in images:
