@@ -12,9 +12,11 @@ from listloom.llm.classlm import class_scores
 from listloom.llm.jaccard import similar_classes
 from listloom.llm.leaks import leak_report
 from listloom.llm.licenses import license_report
+from listloom.llm.merkle import leaf_digest, manifest_report
 from listloom.llm.passages import remove_passages
 from listloom.llm.redirects import judge
 from listloom.llm.repetition import repetition_report
+from listloom.llm.search import search
 from listloom.llm.secrets import secret_report
 from listloom.llm.toxicity import toxicity_scores
 
@@ -109,3 +111,39 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_pointer_jumping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text"))
+    return manifest_report(docs, tampered, changed)
+
+
+@query(
+    r"""
+    WITH terms AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+    ), asked AS (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ), counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+    lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM lengths),
+    weighted AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counts, totals GROUP BY term, docs
+    ), gains AS (
+        SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len))) AS gain
+        FROM counts JOIN lengths USING (doc_id) JOIN weighted USING (term), totals
+    ), scores AS (
+        SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM asked JOIN gains USING (term) GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 20
+    """
+)
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
