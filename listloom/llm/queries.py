@@ -17,6 +17,7 @@ from listloom.llm.passages import remove_passages
 from listloom.llm.redirects import judge
 from listloom.llm.repetition import repetition_report
 from listloom.llm.search import search
+from listloom.llm.suffixes import remove_earlier
 from listloom.llm.secrets import secret_report
 from listloom.llm.toxicity import toxicity_scores
 
@@ -147,3 +148,8 @@ def op11_pointer_jumping(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_earlier(table(spark, sf_dir, "documents"))
