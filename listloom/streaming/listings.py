@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
+
+#: Keyed state kept on disk, not on the heap; changes go to the checkpoint with each batch.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 Flow = Callable[[DataFrame], DataFrame]
 
@@ -35,33 +43,86 @@ def stream_listings(pages: DataFrame, flow: Flow, sink: str, checkpoint: str) ->
     query.awaitTermination()
 
 
+class _ListOnce(StatefulProcessor):
+    """Of the rows of a code, hands out the first by order, once; the state is one flag a code."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._listed = handle.getValueState("listed", "listed boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802
+        if self._listed.exists():
+            return
+        self._listed.update((True,))
+        # Rows without an order come last; among equals any is the first.
+        yield Row(row=min(rows, key=lambda r: (r["order"] is None, r["order"] if r["order"] is not None else 0))["row"])
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:  # noqa: N802
+        self._listed.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each code in an Arrow batch, its first row: a very frequent code sends few rows to its task."""
+    for batch in batches:
+        # Null is a code like others.
+        codes = pc.dictionary_encode(batch.column("code"), null_encoding="encode").indices
+        ordered = pc.sort_indices(
+            pa.table({"code": codes, "order": batch.column("order")}),
+            sort_keys=[("code", "ascending"), ("order", "ascending")],
+        )
+        sorted_codes = codes.take(ordered).to_numpy(zero_copy_only=False)
+        first = np.ones(len(sorted_codes), bool)
+        first[1:] = sorted_codes[1:] != sorted_codes[:-1]
+        yield batch.take(ordered.filter(pa.array(first)))
+
+
 def stream_skip_listed(rows: DataFrame, code: str, order: str, sink: str, checkpoint: str) -> None:
     """Append rows whose code is in no earlier batch; the first by ``order`` stays.
 
-    What was listed is read from the sink itself, so no state grows with the
-    stream.  A batch writes the folder of its run and number by overwriting, so a
-    retried batch leaves the same rows once.  The run is named by the checkpoint:
-    with a new one on an old sink, batch numbers start anew beside the old folders,
-    and all rows that other runs listed still count.  Null codes are one code.
+    Listed codes are keyed state in RocksDB: a batch looks up and writes only its own
+    codes and never reads the sink.  Rows of a code are thinned out before the shuffle,
+    so a code that most rows share is no large group.  A batch writes the folder of its
+    run and number by overwriting, so a retried batch leaves the same rows once.
+
+    The run is named by the checkpoint.  With a new one on an old sink, the codes that
+    other runs listed are read once and become the initial state.  Null codes are one
+    code; rows without an order come after all others of their code.
     """
     spark = rows.sparkSession
-    schema = T.StructType(rows.schema.fields + [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kind = rows.schema[code].dataType
+    narrow = rows.select(F.col(code).alias("code"), F.col(order).alias("order"), F.struct("*").alias("row"))
+    thinned = narrow.mapInArrow(_first_of_batch, narrow.schema)
+    fresh = thinned.groupBy("code").transformWithState(
+        _ListOnce(),
+        T.StructType([narrow.schema["row"]]),
+        "append",
+        "None",
+        initialState=_listed_before(spark, sink, run, code, kind).groupBy("code"),
+    )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy(code).agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
-        if files.exists(path):
-            earlier = (F.col("run") != run) | (F.col("batch_id") < batch_id)
-            listed = spark.read.schema(schema).parquet(sink).where(earlier).select(F.col(code).alias("listed"))
-            first = first.join(listed, F.col(code).eqNullSafe(F.col("listed")), "left_anti")
-        first.select(*batch.columns).write.mode("overwrite").parquet(f"{sink}/run={run}/batch_id={batch_id}")
+        batch.select("row.*").write.mode("overwrite").parquet(f"{sink}/run={run}/batch_id={batch_id}")
 
     query = (
-        rows.writeStream.foreachBatch(append)
+        fresh.writeStream.foreachBatch(append)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+
+
+def _listed_before(spark: SparkSession, sink: str, run: str, code: str, kind: T.DataType) -> DataFrame:
+    """Codes that other runs wrote into the sink; Spark takes them in with the first batch of a checkpoint only."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return spark.createDataFrame([], T.StructType([T.StructField("code", kind)]))
+    schema = T.StructType([T.StructField(code, kind), T.StructField("run", T.StringType())])
+    other = spark.read.schema(schema).parquet(sink).where(F.col("run") != run)
+    return other.select(F.col(code).alias("code")).distinct()

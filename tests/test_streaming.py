@@ -52,3 +52,34 @@ def test_codes_are_listed_once(spark):
     _pages(spark, [14]).write.mode("append").parquet(folder)
     third, count = run()
     assert third == second | {4: "https://x.test/14"} and count == 4
+
+
+def test_null_and_frequent_codes(spark):
+    """Null is one code, whatever its rows; most rows share a code; large numbers stay as they are."""
+    folder, sink, offsets = (work_dir(spark, n) for n in ("in", "out", "offsets"))
+    schema = "code bigint, at bigint, note string"
+    big = (1 << 60) + 1
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = S.page_stream(spark, folder, spark.createDataFrame([], schema).schema, 1)
+        S.stream_skip_listed(stream, "code", "at", sink, offsets)
+        return sorted((tuple(r) for r in spark.read.parquet(sink).select("code", "at", "note").collect()), key=str)
+
+    first = run([(None, 5, "e"), (None, 3, "c"), (big, None, None), (big, 9, "z")] + [(7, 10_000 - i, "many") for i in range(5000)])
+    assert first == sorted([(None, 3, "c"), (big, 9, "z"), (7, 5001, "many")], key=str)
+    assert run([(None, 1, "a"), (7, 1, "a"), (big + 1, None, "n")]) == sorted([*first, (big + 1, None, "n")], key=str)
+
+
+def test_batches_do_not_read_the_sink(spark, monkeypatch):
+    """The sink is read once a run, for the initial state, however many batches follow."""
+    folder, sink, offsets = (work_dir(spark, n) for n in ("in", "out", "offsets"))
+    schema = _pages(spark, [0]).schema
+    for n in range(4):
+        _pages(spark, [n, n + 10]).write.mode("append").parquet(folder)
+    reads, listed_before = [], S._listed_before
+    monkeypatch.setattr(S, "_listed_before", lambda *a: reads.append(a) or listed_before(*a))
+    rows = S.page_stream(spark, folder, schema, 1).selectExpr("page_id % 10 AS code", "url")
+    S.stream_skip_listed(rows, "code", "url", sink, offsets)
+    out = spark.read.parquet(sink)
+    assert len(reads) == 1 and out.count() == 4 and out.select("batch_id").distinct().count() == 4
