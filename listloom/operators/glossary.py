@@ -7,14 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listloom.functions.sql import each, q
 from listloom.operators.joins import MAX_BROADCAST, fits
+from listloom.session import work_dir
 
-#: Copies of a large glossary, so that one frequent word is spread over tasks.
-SALTS = 32
+#: A word is heavy when it is in more than one of so many shares of all (text, word) pairs.
+HEAVY = 10_000
+#: Entries a bucket of a look-up table holds on average, and buckets of a text's own table.
+PER_BUCKET, TEXT_BUCKETS = 4, 64
 
 
 def constant_glossary(entries: Sequence[tuple[str, str]]):
@@ -28,43 +31,82 @@ def constant_glossary(entries: Sequence[tuple[str, str]]):
     return translate
 
 
-def _joined(left: DataFrame, terms: DataFrame, column: str, row_key: str, small: bool) -> DataFrame:
-    """Left join on a term: broadcast when small, else with salted copies."""
-    named = terms.select(F.col("term").alias(column), F.col("translation").alias("_translation"))
-    if small:
-        return left.join(F.broadcast(named), column, "left")
-    salted = left.withColumn("_salt", F.pmod(F.hash(row_key), F.lit(SALTS)))
-    copies = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [column, "_salt"], "left").drop("_salt")
+def _bucket(word: str, buckets: str) -> str:
+    return f"cast(pmod(xxhash64({word}), {buckets}) AS int)"
+
+
+def _find(table: str, word: str) -> str:
+    """Translation of a word, from an array of maps by hash: maps alone are searched entry by entry."""
+    return f"try_element_at(get({table}, {_bucket(word, f'size({table})')}), {word})"
+
+
+def _table(terms: DataFrame) -> Column:
+    """All terms as one look-up table, a constant of every task; the caller has checked their size."""
+    rows = terms.select("term", "translation", F.expr("xxhash64(term)").alias("hash")).collect()
+    table: list[dict] = [{} for _ in range(1 + len(rows) // PER_BUCKET)]
+    for row in rows:
+        table[row["hash"] % len(table)][row["term"]] = row["translation"]
+    return terms.sparkSession.createDataFrame([(table,)], "table array<map<string,string>>").scalar()
+
+
+def _translated(column: str, *tables: str) -> str:
+    """The text by any of the tables as a whole, else each of its words."""
+    known = lambda w: ", ".join(_find(t, w) for t in tables)
+    words = each(f"split({column}, ' ', -1)", lambda w: f"coalesce({known(w)}, {w})")
+    return f"coalesce({known(column)}, array_join({words}, ' '))"
+
+
+def _with_tables(df: DataFrame, column: str, *own: str, **shared: Column) -> DataFrame:
+    """Translate by tables that rows carry and by tables for all rows."""
+    translated = F.expr(_translated(column, *own, *shared))
+    return df.withColumns(shared).withColumn(column, translated).select(*df.columns)
 
 
 def glossary_translate(
-    df: DataFrame, glossary: DataFrame, column: str, key: str, max_broadcast: int = MAX_BROADCAST
+    df: DataFrame, glossary: DataFrame, column: str, key: str, max_broadcast: int = MAX_BROADCAST, heavy: int = HEAVY
 ) -> DataFrame:
     """Replace ``column`` by its translation; ``key`` identifies a row.
 
-    ``glossary(term, translation)`` may have any size.  A text that is a term as a
-    whole travels as one finished word, others are split.  Words are regrouped per
-    text, which is as large as that text and no larger, and are combined before
-    the shuffle.  A table of just key and text needs no further join.
+    A ``glossary(term, translation)`` of checked size goes to every task as a hashed
+    look-up table: the scan stays narrow.  A larger one is cut down to a dictionary:
+    the distinct words of the texts, each joined once with the glossary, however often
+    it occurs.  If the dictionary is still large, its measured heavy words (at most
+    ``heavy``) are looked up narrowly and only the others, none of which is in many
+    texts, travel to their texts; a text gets the table of its own words.
     """
-    unique = glossary.where("term IS NOT NULL").groupBy("term").agg(F.min("translation").alias("translation"))
-    small = fits(glossary, max_broadcast)
-    whole = _joined(df.select(key, column), unique, column, key, small)
-    words = whole.select(
-        key,
-        F.posexplode_outer(
-            F.expr(
-                f"if(_translation IS NOT NULL, array(named_struct('done', _translation, 'word', cast(NULL AS string))), "
-                f"transform(split({column}, ' ', -1), w -> named_struct('done', cast(NULL AS string), 'word', w)))"
-            )
-        ).alias("_at", "_piece"),
-    ).select(key, "_at", F.col("_piece.done").alias("_done"), F.col("_piece.word").alias("_word"))
-    known = _joined(words, unique, "_word", key, small)
-    piece = F.struct("_at", F.coalesce("_done", "_translation", "_word").alias("w"))
-    rebuilt = known.groupBy(key).agg(
-        F.array_sort(F.collect_list(piece)).alias("_pieces"), F.count("_at").alias("_n")
-    ).selectExpr(key, f"if(_n = 0, NULL, array_join(transform(_pieces, p -> p.w), ' ')) AS {column}")
-    if set(df.columns) == {key, column}:
-        return rebuilt.select(*df.columns)
-    return df.drop(column).join(rebuilt, key).select(*df.columns)
+    terms = glossary.where("term IS NOT NULL").groupBy("term").agg(F.min("translation").alias("translation"))
+    if fits(glossary, max_broadcast):
+        return _with_tables(df, column, _known=_table(terms))
+    longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
+    # Whole text and words, as far as they can be a term; each once a text.
+    pieces = F.expr(
+        f"array_distinct(filter(array_append(split({column}, ' ', -1), {column}), w -> length(w) <= {longest}))"
+    )
+    seen = df.select(F.explode(pieces).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+    path = work_dir(df.sparkSession, "dictionary")
+    seen.join(terms, "term").write.parquet(path)
+    dictionary = df.sparkSession.read.parquet(path)
+    words = dictionary.select("term", "translation")
+    if fits(words, max_broadcast):
+        return _with_tables(df, column, _known=_table(words))
+    total = dictionary.agg(F.sum("texts")).first()[0] or 0
+    is_heavy = F.col("texts") > total // heavy
+    often = dictionary.where(is_heavy).select("term", "translation")
+    if not fits(often, heavy):
+        # Few but huge terms: joined like the others, split by adaptive execution.
+        is_heavy = F.lit(False)
+        often = often.limit(0)
+    often = _table(often)
+    rest = df.select(key, pieces.alias("_pieces")).withColumn("_often", often).select(
+        key, F.explode(F.expr(f"filter(_pieces, w -> {_find('_often', 'w')} IS NULL)")).alias("term")
+    )
+    found = rest.join(dictionary.where(~is_heavy), "term").groupBy(F.col(key).alias("_key")).agg(
+        F.collect_set(F.struct("term", "translation")).alias("_entries")
+    )
+    with_own = df.join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
+    buckets = f"least({TEXT_BUCKETS}, 1 + size(_entries) div {PER_BUCKET})"
+    own = F.expr(
+        f"transform(sequence(0, {buckets} - 1), "
+        f"b -> map_from_entries(filter(_entries, e -> {_bucket('e.term', buckets)} = b)))"
+    )
+    return _with_tables(with_own.withColumn("_own", own), column, "_own", _often=often).select(*df.columns)

@@ -154,15 +154,15 @@ def _glossary_sql(table_name: str, key: str, column: str) -> str:
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame(GLOSSARY, "term string, translation string")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return glossary_translate(spread(documents), terms, "text", "doc_id")
+    return glossary_translate(documents, terms, "text", "doc_id")
 
 
 @query(_glossary_sql("documents", "doc_id", "text"))
 def glossary_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through the salted join that larger glossaries take."""
+    """The same through the dictionary that larger glossaries take, with heavy words looked up apart."""
     terms = spark.createDataFrame(GLOSSARY, "term string, translation string")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return glossary_translate(spread(documents), terms, "text", "doc_id", max_broadcast=0)
+    return glossary_translate(spread(documents), terms, "text", "doc_id", max_broadcast=0, heavy=8)
 
 
 @query(_glossary_sql("documents", "doc_id", "text"))

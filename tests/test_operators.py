@@ -290,6 +290,30 @@ def test_glossary(spark, limit):
     assert {r["id"]: (r["text"], r["more"]) for r in wide.collect()} == {i: (got[i], 2 * i) for i in got}
 
 
+def test_large_glossary(spark):
+    """Thousands of terms, heavy and light words, terms of several words, missing keys and translations."""
+    rng = random.Random(12)
+    entries = [(f"w{i}", f"x{i}") for i in range(3000)] + [("a", "A"), ("w1 w2", "both"), ("q", None), (None, "z")]
+    words = [t for t, _ in entries[:3000:7]] + ["a"] * 300 + ["b", "q", ""]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(200)] + ["w1 w2", None, "a"]
+    rows = [(None if i == 5 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    terms = spark.createDataFrame(entries, "term string, translation string")
+    table = {t: x for t, x in entries if t and x}
+    expected = {i: None if t is None else table.get(t) or " ".join(table.get(w, w) for w in t.split(" ")) for i, t in rows}
+    for limits in ({}, {"max_broadcast": 1000}, {"max_broadcast": 10, "heavy": 20}, {"max_broadcast": 0}):
+        got = glossary.glossary_translate(df, terms, "text", "id", **limits)
+        assert {r["id"]: r["text"] for r in got.collect()} == expected
+
+
+def test_small_glossary_is_narrow(spark):
+    terms = spark.createDataFrame(ENTRIES, "term string, translation string")
+    df = spark.range(10).selectExpr("id", "cast(id AS string) AS text")
+    plan = glossary.glossary_translate(df, terms, "text", "id")._jdf.queryExecution().optimizedPlan().toString()
+    own = [line for line in plan.split("Project")[0].splitlines()]
+    assert "Join" not in own and "Aggregate" not in "".join(own)
+
+
 def test_constant_glossary(value):
     translate = glossary.constant_glossary(ENTRIES)
     assert value(translate("'running shoe'")) == "러닝화"
