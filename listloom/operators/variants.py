@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listloom.functions.urls import is_url
-from listloom.operators.joins import small_side
 from listloom.operators.ranking import with_running_total
-from listloom.session import enable_checkpoints
 
 
 def read_url_batch(urls: DataFrame, start: int, size: int) -> DataFrame:
@@ -93,29 +91,3 @@ def batch_counts(products: DataFrame) -> DataFrame:
 def not_listed(products: DataFrame, listed: DataFrame, code: str = "code") -> DataFrame:
     """Products whose code is not in the sink yet."""
     return products.join(listed.select(code), code, "left_anti")
-
-
-def variants_closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """Codes reachable over colour links, with the number of hops.
-
-    ``seeds(code)``, ``links(code, linked)``.  Each round joins only the frontier
-    and drops what was visited.  Links are spread by the whole pair, so a code with
-    very many links is in many tasks; a small frontier is broadcast to them, a
-    large one is joined by shuffle with adaptive splitting.  Links and frontiers
-    are checkpointed: lineage stays short and lost executors cost one round.
-    Rounds go on until the frontier is empty, however long the chain.
-    """
-    enable_checkpoints(seeds.sparkSession)
-    edges = links.select("code", "linked").distinct().checkpoint()
-    frontier = seeds.select("code").distinct().withColumn("hops", F.lit(0)).checkpoint()
-    visited = frontier
-    hop = 0
-    while True:
-        hop += 1
-        near = small_side(frontier.select("code"))
-        reached = edges.join(near, "code").select(F.col("linked").alias("code")).distinct()
-        fresh = reached.join(visited.select("code"), "code", "left_anti")
-        frontier = fresh.withColumn("hops", F.lit(hop)).checkpoint()
-        if frontier.isEmpty():
-            return visited
-        visited = visited.unionByName(frontier)

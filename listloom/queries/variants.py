@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listloom.operators import variants as V
+from listloom.operators.closure import variants_closure as closure
 from listloom.operators.filenames import unique_file_names as name_files
 from listloom.queries.registry import query, table
 from listloom.sources.sheets import insert_rows as insert
@@ -105,7 +106,7 @@ def variants_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     seeds = part.where("p_partkey % 10 = 0").selectExpr("p_partkey AS code")
     links = part.selectExpr("p_partkey AS code", f"explode({LINKS}) AS linked")
-    return V.variants_closure(seeds, links)
+    return closure(seeds, links)
 
 
 @query(

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from listloom.operators import attempts, fetchlog, filenames, glossary, joins, variants
+from listloom.operators import attempts, closure, fetchlog, filenames, glossary, joins, variants
 from listloom.operators.names import with_site_host, with_site_name
 from listloom.operators.ranking import in_ranges, with_rank, with_running_total
 from listloom.session import enable_checkpoints, work_dir
@@ -144,17 +144,53 @@ def test_url_batch(spark):
         variants.next_target_row(1, 1, 1, 1, "other")
 
 
-def test_closure_with_cycles_and_far_links(spark):
-    links = [(i, i + 1) for i in range(20)] + [(20, 0), (3, 15), (100, 101), (101, 100), (50, 50)]
-    seeds = spark.createDataFrame([(0,), (100,), (7,), (0,)], "code int")
-    edges = spark.createDataFrame(links, "code int, linked int")
-    got = {r["code"]: r["hops"] for r in variants.variants_closure(seeds, edges).collect()}
-    hops, frontier, step = {0: 0, 100: 0, 7: 0}, [0, 100, 7], 0
+def brute_closure(seeds, links):
+    hops, frontier, step = {s: 0 for s in seeds}, set(seeds), 0
     while frontier:
         step += 1
-        frontier = list({b for a, b in links if a in frontier} - hops.keys())
+        frontier = {b for a, b in links if a in frontier} - hops.keys()
         hops |= dict.fromkeys(frontier, step)
-    assert got == hops
+    return hops
+
+
+def run_closure(spark, seeds, links):
+    rows = closure.variants_closure(
+        spark.createDataFrame([(s,) for s in seeds], "code int"), spark.createDataFrame(links, "code int, linked int")
+    ).collect()
+    got = {r["code"]: r["hops"] for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_closure_with_cycles_and_far_links(spark):
+    links = [(i, i + 1) for i in range(20)] + [(20, 0), (3, 15), (100, 101), (101, 100), (50, 50), (60, 61), (61, 62), (62, 60)]
+    seeds = [0, 100, 7, 0]
+    assert run_closure(spark, [*seeds, None], [*links, (None, 1), (1, None)]) == brute_closure(seeds, links)
+    assert run_closure(spark, [5], []) == {5: 0} and run_closure(spark, [], links) == {}
+
+
+def test_closure_of_random_links(spark):
+    """Sparse links: many chains, some met half-way by nearer paths, circles and dead ends."""
+    rng = random.Random(6)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(130)]
+    seeds = rng.sample(range(120), 6)
+    assert run_closure(spark, seeds, links) == brute_closure(seeds, links)
+
+
+def test_closure_of_a_long_chain(spark, monkeypatch):
+    """A thousand links in a row take a few rounds, and rounds read only the parts they touch."""
+    rounds, parts, nearer, of = [], [], closure._nearer, closure.Parted.of
+    monkeypatch.setattr(closure, "_nearer", lambda *a: rounds.append(1) or nearer(*a))
+
+    def watched(self, rows, code):
+        found = of(self, rows, code)
+        parts.append(found.select(F.input_file_name()).distinct().count())
+        return found
+
+    monkeypatch.setattr(closure.Parted, "of", watched)
+    links = [(i, i + 1) for i in range(1000)] + [(500, 2000), (2000, 2001)]
+    assert run_closure(spark, [0], links) == brute_closure([0], links)
+    assert len(rounds) <= 4 and max(parts) <= 3
 
 
 def test_not_listed(spark):
