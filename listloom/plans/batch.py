@@ -1,4 +1,4 @@
-"""One batch from start to end: work list in, sheet with new rows out."""
+"""Batches from start to end: work list in, sheet with new rows out."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ from listloom.plans.products import Translator, keep_text
 from listloom.plans.sites import SITES, Site
 from listloom.session import work_dir
 from listloom.sources.pages import choose_document
-from listloom.sources.sheets import insert_rows
+from listloom.sources.sheets import Sheet, insert_rows
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,18 @@ class Sources:
     site_images: DataFrame
 
 
+@dataclass(frozen=True)
+class Laid:
+    """Rows a batch lists, by their number in the sheet, and where the next batch goes on."""
+
+    rows: DataFrame
+    next_start: int
+    next_target_row: int
+
+    def block(self, target_row: int) -> DataFrame:
+        return self.rows.withColumn("rank", F.col("row_no") - (target_row - 1)).drop("row_no")
+
+
 @dataclass(frozen=True)
 class Batch:
     """Result of a batch and where the next one goes on."""
@@ -54,9 +66,8 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def run_batch(
+def lay_out(
     urls: DataFrame,
-    sheet: DataFrame,
     sources: Sources,
     start: int,
     size: int,
@@ -68,8 +79,8 @@ def run_batch(
     sites: Iterable[Site] = SITES,
     translator: Translator = keep_text,
     gap_mode: str = "dense",
-) -> Batch:
-    """List rows ``start`` … of ``urls(pos, site, url)`` at ``target_row`` of ``sheet(row_no, A … V)``.
+) -> Laid:
+    """Rows for positions ``start`` … of ``urls(pos, site, url)``, numbered from ``target_row`` on.
 
     Pages and the colour variants they link to are looked up, extracted and laid
     out in order; variants are not expanded again.  A URL without a saved page
@@ -97,10 +108,47 @@ def run_batch(
     listed = placed.unionByName(variants)
     complete = with_html(with_static_images(listed, sources.site_images), translator)
     rows = _stored(listing_row(complete, "row_no"), "rows")
-    block = rows.withColumn("rank", F.col("row_no") - (target_row - 1)).drop("row_no")
-    return Batch(
-        insert_rows(sheet, block, target_row),
+    return Laid(
         rows,
         next_start(start, size),
         next_target_row(target_row, counts["rows"], size, counts["color_rows"], gap_mode),
     )
+
+
+def run_batch(
+    urls: DataFrame, sheet: DataFrame, sources: Sources, start: int, size: int, target_row: int, **options
+) -> Batch:
+    """One batch (see :func:`lay_out`) put into a table ``sheet(row_no, A … V)``."""
+    laid = lay_out(urls, sources, start, size, target_row, **options)
+    rows = insert_rows(sheet, laid.block(target_row), target_row)
+    return Batch(rows, laid.rows, laid.next_start, laid.next_target_row)
+
+
+def run_batches(
+    urls: DataFrame,
+    sheet: Sheet,
+    sources: Sources,
+    start: int,
+    size: int,
+    target_row: int,
+    batches: int | None = None,
+    **options,
+) -> int:
+    """Batch after batch into a sheet until the work list ends; how many were done now.
+
+    ``start``, ``size`` and ``target_row`` say how the first batch begins.  Each one
+    leaves in the sheet where the next goes on, so a stopped run that is called again
+    continues after its last committed batch and lists nothing twice.
+    """
+    last = urls.agg(F.max("pos")).first()[0]
+    done = number = 0
+    noted = [line[4] for line in sheet.offsets()[1] if line[4]]
+    if noted:
+        latest = max(noted, key=lambda n: n["batch"])
+        number, start, target_row = latest["batch"] + 1, latest["next_start"], latest["next_target_row"]
+    while last is not None and start <= last and (batches is None or done < batches):
+        laid = lay_out(urls, sources, start, size, target_row, **options)
+        after = {"batch": number, "next_start": laid.next_start, "next_target_row": laid.next_target_row}
+        sheet.insert(laid.block(target_row), target_row, f"batch-{number:06}", after)
+        start, target_row, number, done = laid.next_start, laid.next_target_row, number + 1, done + 1
+    return done
