@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from html import unescape
 from html.parser import HTMLParser
@@ -23,7 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from listloom.functions.sql import case, q
 from listloom.functions.urls import to_json_url
-from listloom.operators.joins import small_side
+from listloom.operators.bloom import KeyFilter
+from listloom.operators.joins import MAX_BROADCAST, fits, small_side
 from listloom.schemas import COMMENT, DOM_FIELDS, NODE, PIECE, RAW, TEXT
 
 # The tokeniser travels with the plan, so executors need no copy of this package.
@@ -44,6 +45,8 @@ BLANKS = " \n\t\x0c\r"
 PAGES_PER_BATCH = 64
 CHARS_PER_BATCH = 16_000_000
 MAX_SHAPES = 10_000
+#: Length of tags that are remembered as they are written.
+MAX_TAG = 200
 
 # Well-formed tags, the bulk of a page, are read by one match each; anything else
 # goes the tolerant way of the standard library.
@@ -91,6 +94,12 @@ class _Shapes:
         return False
 
 
+class _Tag:
+    """A start or end tag as it is written, with what the rules say of it."""
+
+    __slots__ = ("name", "ends", "closed", "attrs", "ident", "classes", "values", "kept", "below", "text")
+
+
 class _Open:
     """An element that has not ended yet."""
 
@@ -107,8 +116,10 @@ class _PageReader(HTMLParser):
         self.keep_text = _Shapes(wanted.texts)
         self.keep_attrs = wanted.attrs
         self.decided: dict[tuple, tuple[bool, bool, bool]] = {}
+        self.known: dict[str, _Tag] = {}
 
-    def read(self, html: str) -> tuple[list[list], list[tuple[int, str]]]:
+    def read(self, html: str) -> tuple[list[list], list[tuple[int, str]], str | None]:
+        """Elements, pieces and error; of a broken page, what stands before the fault, with open elements ended there."""
         self.reset()
         self.rows: list[list] = []
         self.siblings: list[dict[str, int]] = []
@@ -119,14 +130,18 @@ class _PageReader(HTMLParser):
         self.stack: list[_Open] = []
         self.open_tags: dict[str, int] = {}
         self._push("", -1, False, self.keep_text.all, False, False)
-        self.feed(html)
-        self.close()
+        error = None
+        try:
+            self.feed(html)
+            self.close()
+        except (AssertionError, ValueError, RecursionError) as problem:
+            error = f"{type(problem).__name__}: {problem}"
         self._flush()
         while len(self.stack) > 1:
             self._pop()
         for row, counts in zip(self.rows, self.siblings):
             row[8] = counts[row[3]] - row[7] + 1
-        return self.rows, self.pieces
+        return self.rows, self.pieces, error
 
     # --- element scopes -------------------------------------------------
     def _push(self, tag: str, position: int, below: bool, text: bool, raw: bool, verbatim: bool) -> None:
@@ -150,31 +165,43 @@ class _PageReader(HTMLParser):
             row[10], row[11] = len(self.pieces), single
 
     def handle_starttag(self, tag, attrs, closed=False):
+        self._open(self._tag(tag, attrs, closed))
+
+    def _tag(self, name: str, attrs: Sequence[tuple[str, str | None]], closed: bool, ends: bool = False) -> _Tag:
+        tag = _Tag()
+        tag.name, tag.attrs, tag.closed, tag.ends = name, attrs, closed or name in VOID_TAGS, ends
+        if ends:
+            return tag
+        values = {key: value or "" for key, value in attrs} if attrs else {}
+        tag.ident = values.pop("id", None)
+        named = values.pop("class", "")
+        tag.classes = named.split()
+        tag.kept, tag.below, tag.text = self._decide(name, tag.ident, named, tag.classes)
+        if values and self.keep_attrs is not None:
+            values = {k: v for k, v in values.items() if k in self.keep_attrs}
+        tag.values = values
+        return tag
+
+    def _open(self, tag: _Tag) -> None:
         if self.pending:
             self._flush()
         top = self.stack[-1]
         top.contents += 1
-        values = {name: value or "" for name, value in attrs} if attrs else {}
-        ident = values.pop("id", None)
-        named = values.pop("class", "")
-        classes = named.split()
-        nth = top.counts[tag] = top.counts.get(tag, 0) + 1
-        kept, below, text = self._decide(tag, ident, named, classes)
+        name = tag.name
+        nth = top.counts[name] = top.counts.get(name, 0) + 1
         position = -1
-        if kept or top.below:
-            if values and self.keep_attrs is not None:
-                values = {k: v for k, v in values.items() if k in self.keep_attrs}
+        if tag.kept or top.below:
             position = len(self.rows)
             at = len(self.pieces)
             self.rows.append(
-                [self.seen, top.position, self.path.copy(), tag, ident, classes, values, nth, 0, at, at, False]
+                [self.seen, top.position, self.path.copy(), name, tag.ident, tag.classes, tag.values, nth, 0, at, at, False]
             )
             self.siblings.append(top.counts)
         self.seen += 1
-        if closed or tag in VOID_TAGS:
+        if tag.closed:
             top.child_single = False
         else:
-            self._push(tag, position, below or top.below, text or top.text, top.raw, top.verbatim)
+            self._push(name, position, tag.below or top.below, tag.text or top.text, top.raw, top.verbatim)
 
     def _decide(self, tag: str, ident: str | None, named: str, classes: list[str]) -> tuple[bool, bool, bool]:
         """Keep the element, all below it, the text in it?  Pages repeat few shapes."""
@@ -191,15 +218,90 @@ class _PageReader(HTMLParser):
         """Line numbers are not needed."""
         return j
 
+    def goahead(self, end):
+        """Tags written as before are known by their text; others are read as the standard library does."""
+        raw, i = self.rawdata, 0
+        n, find, known = len(raw), raw.find, self.known
+        while i < n:
+            if self.cdata_elem is not None:
+                found = self.interesting.search(raw, i)
+                j = k = -1 if found is None else found.start()
+                if j >= 0:
+                    if i < j:
+                        self.handle_data(raw[i:j])
+                        i = j
+                    k = self.parse_endtag(j)
+                if k < 0:
+                    break
+                i = k
+                continue
+            j = find("<", i)
+            stop = find(">", j) if j >= 0 else -1
+            if stop < 0:
+                break
+            tag = known.get(raw[j : stop + 1]) or self._learn(raw, j, stop + 1)
+            if i < j:
+                text = raw[i:j]
+                self.handle_data(unescape(text) if "&" in text else text)
+                i = j
+            if tag is not None:
+                i = stop + 1
+                if tag.ends:
+                    self.handle_endtag(tag.name)
+                else:
+                    self._open(tag)
+                    if tag.name in self.CDATA_CONTENT_ELEMENTS and not tag.closed:
+                        self.set_cdata_mode(tag.name)
+                continue
+            k = self._other(raw, j)
+            if k < 0:
+                break
+            i = k
+        self.rawdata = raw[i:]
+        if i < n:
+            super().goahead(end)
+
+    def _learn(self, raw: str, begin: int, end: int) -> _Tag | None:
+        """A tag that is well-formed up to the first ``>``; none for anything else."""
+        found = _START.match(raw, begin)
+        if found is not None:
+            if found.end() != end:
+                return None
+            name, given, slash = found.groups()
+            tag = self._tag(name.lower(), self._attrs(given), bool(slash))
+        else:
+            found = _END.match(raw, begin)
+            if found is None or found.end() != end:
+                return None
+            tag = self._tag(found.group(1).lower(), (), False, ends=True)
+        if len(self.known) < MAX_SHAPES and end - begin <= MAX_TAG:
+            self.known[raw[begin:end]] = tag
+        return tag
+
+    def _other(self, raw: str, i: int) -> int:
+        """Where reading goes on after what is no well-formed tag; -1 leaves it to the standard loop."""
+        if raw[i + 1 : i + 2].isalpha():
+            return self.parse_starttag(i) if raw[i + 1].isascii() else -1
+        if raw.startswith("</", i):
+            return self.parse_endtag(i)
+        if raw.startswith("<!--", i):
+            return self.parse_comment(i)
+        if raw.startswith("<?", i):
+            return self.parse_pi(i)
+        return self.parse_html_declaration(i) if raw.startswith("<!", i) else -1
+
+    @staticmethod
+    def _attrs(given: str) -> Sequence[tuple[str, str]]:
+        if not given:
+            return ()
+        return [(name.lower(), unescape(value) if "&" in value else value) for name, value in _ATTR.findall(given)]
+
     def parse_starttag(self, i):
         found = _START.match(self.rawdata, i)
         if found is None:
             return super().parse_starttag(i)
         tag, given, slash = found.groups()
-        tag = tag.lower()
-        attrs = [
-            (name.lower(), unescape(value) if "&" in value else value) for name, value in _ATTR.findall(given)
-        ] if given else ()
+        tag, attrs = tag.lower(), self._attrs(given)
         if slash:
             self.handle_startendtag(tag, attrs)
         else:
@@ -300,13 +402,8 @@ def _slices(html: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def _read(reader: _PageReader | None, html: str | None) -> tuple[list[list], list[tuple[int, str]], str | None]:
-    """Elements, pieces and error of a page; a broken page is empty and does not fail the job."""
-    if reader is None or not html:
-        return [], [], None
-    try:
-        return *reader.read(html), None
-    except (AssertionError, ValueError, RecursionError) as problem:
-        return [], [], f"{type(problem).__name__}: {problem}"
+    """Elements, pieces and error of a page; a broken one does not fail the job."""
+    return ([], [], None) if reader is None or not html else reader.read(html)
 
 
 def _dom_stage(html_column: str, wanted: Wanted | dict[str, Wanted], by: str):
@@ -378,6 +475,7 @@ def choose_document(
     rendered_pages: DataFrame,
     raw_pages: DataFrame,
     json_urls: Mapping[str, Callable[[str], str]] = JSON_URLS,
+    max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """Attach to every (site, url) the document its site is read from.
 
@@ -386,7 +484,8 @@ def choose_document(
     site without a row is raw.  JSON is looked up by the shop's endpoint, which
     ``json_urls`` makes from the product URL.  The three page tables ``(url, body)``
     form one tagged table, first reduced to what is asked for, so that other bodies
-    stay where they are.  Of a page stored several times the longest body counts, of
+    stay where they are: by a broadcast of the asked keys, or, beyond ``max_broadcast``
+    of them, by a filter of a few bytes a key ahead of the shuffle.  Of a page stored several times the longest body counts, of
     equally long ones the greatest: one document for each asked row.
     """
     flags = capabilities.select("site", F.col("json").alias("_json"), F.col("rendered").alias("_rendered"))
@@ -399,7 +498,11 @@ def choose_document(
         .unionByName(rendered_pages.select(F.col("url").alias("_key"), F.lit("rendered").alias("kind"), "body"))
         .unionByName(raw_pages.select(F.col("url").alias("_key"), F.lit("raw").alias("kind"), "body"))
     )
-    wanted = small_side(asked.select("_key", "kind").distinct())
+    wanted = asked.select("_key", "kind").distinct()
+    if fits(wanted, max_broadcast):
+        wanted = F.broadcast(wanted)
+    else:
+        stored = KeyFilter(wanted, "_key", "kind").passing(stored)
     longest = F.max(F.struct(F.length("body").alias("chars"), "body"))
     one = stored.join(wanted, ["_key", "kind"], "left_semi").groupBy("_key", "kind").agg(longest.alias("_page"))
     return asked.join(one.select("_key", "kind", F.col("_page.body").alias("body")), ["_key", "kind"], "left").drop("_key")

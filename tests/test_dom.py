@@ -9,7 +9,9 @@ from hypothesis import strategies as st
 
 from listloom.operators.css import parse_selector
 from listloom.operators.dom import Page, one, select_nodes
-from listloom.sources.pages import Wanted, _PageReader, parse_pages
+from listloom.operators.rules import Rule
+from listloom.plans.products import extract_fields
+from listloom.sources.pages import Wanted, _PageReader, _Tag, parse_pages
 
 SOUP = """<!DOCTYPE html><html><head><meta charset=utf-8><title>T &amp; co</title>
 <script>var t="</p><b>";</script></head><body>
@@ -115,6 +117,18 @@ def test_broken_page_does_not_stop_the_job(spark):
     assert len(got) == 4
 
 
+def test_broken_page_keeps_what_stands_before_the_fault(spark):
+    """Elements up to the fault, with those still open ended there; the errors name the page."""
+    html = '<html><h1 class="t">A title</h1><div><b>1.50</b><p>cut<![bad[x]]><h1 class="t">late</h1></div>'
+    rules = [Rule("s", "product_name", "h1.t"), Rule("s", "price", "div > b"), Rule("s", "images", "img", "all", "need", "src")]
+    docs = spark.createDataFrame([(1, "s", "raw", "u", html)], "id int, site string, kind string, url string, body string")
+    row = extract_fields(docs, ("product_name", "price", "images"), rules, sites=()).first()
+    assert (row["product_name"], row["price"], row["images"]) == ("A title", "1.50", [])
+    assert "page" in row["errors"] and "product_name" not in row["errors"]
+    parsed = parse_pages(docs.selectExpr("id", "body AS html")).selectExpr("parse_error", "transform(nodes, n -> n.tag) AS tags")
+    assert "marked section" in parsed.first()["parse_error"] and parsed.first()["tags"] == ["html", "h1", "div", "b", "p"]
+
+
 def test_long_form(spark):
     parsed = parse_pages(spark.createDataFrame([(7, "<ul><li id=a>1<li>2</ul>")], "id int, html string"))
     rows = select_nodes(parsed.withColumnRenamed("id", "page"), "li", "page").collect()
@@ -161,6 +175,29 @@ class _FastReader(_PageReader):
     def handle_starttag(self, tag, attrs):
         _Plain.handle_starttag(self, tag, attrs)
 
+    def _learn(self, raw, begin, end):
+        tag = super()._learn(raw, begin, end)
+        if tag is not None and not tag.ends:
+            tag.empty = raw[end - 2] == "/"
+        return tag
+
+    def _tag(self, *args, **kwargs):
+        tag = super()._tag(*args, **kwargs)
+        written = _Written()
+        for name in _Tag.__slots__:
+            if hasattr(tag, name):
+                setattr(written, name, getattr(tag, name))
+        return written
+
+    def _open(self, tag):
+        (self.handle_startendtag if tag.empty else self.handle_starttag)(tag.name, tag.attrs)
+
+
+class _Written(_Tag):
+    """A tag that remembers how it ended."""
+
+    empty = False
+
 
 PARTS = st.sampled_from(
     ["<a href=\"/x\">", "<A HREF='y' b>", "</a>", "<br/>", "<br>", "</ p>", "<p class=\"a b\" id=\"i\">", "<p a=\"1\"b=\"2\">",
@@ -204,7 +241,7 @@ def test_descendant_selection_matches_brute_force(spark):
     }
     reader = _PageReader(Wanted())
     for number, html in pages:
-        rows, _ = reader.read(html)
+        rows, *_ = reader.read(html)
         expected = []
         for row in _naive_select(rows, "d", "u"):
             above = [rows[i] for i in row[2]]
@@ -298,7 +335,7 @@ def test_random_selectors(spark):
     got = {r["page"]: r for r in parsed.selectExpr("page", *[f"{f} AS s{i}" for i, f in enumerate(found)]).collect()}
     reader, hits = _PageReader(Wanted()), 0
     for number, html in pages:
-        rows, _ = reader.read(html)
+        rows, *_ = reader.read(html)
         for i, (chain, text) in enumerate(selectors):
             expected = [r[0] for r in rows if _matches(chain, r, rows)]
             assert got[number][f"s{i}"] == expected, text
