@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from listloom.functions.sql import case, keep, let, q
+from listloom.functions.sql import NO_TEXTS, case, keep, let, q
+from listloom.operators.joins import small_side
+from listloom.session import work_dir
 from listloom.sources.dims import alias_array, host_map
 
 
@@ -37,15 +40,25 @@ def _candidates(aliases: str, name: str) -> str:
     return let(read, match)
 
 
-def with_site_name(df: DataFrame, name: str) -> DataFrame:
+def with_site_name(df: DataFrame, name: str, aliases: DataFrame | None = None) -> DataFrame:
     """Add ``site_official`` ('' when unknown or ambiguous) and ``match_count``.
 
-    The alias dimension is a constant of 44 rows inside the expression, so the
-    theta match is a narrow filter: no join, no grouping, no shuffle.
+    The built-in alias dimension is a constant of 44 rows inside the expression, so the
+    theta match is a narrow filter: no join, no grouping, no shuffle.  Other
+    ``aliases(ko_name, site_official)`` may have any size and are searched by postings,
+    see :func:`resolved_names`.
     """
-    aliases = alias_array()
-    exact = keep(aliases, lambda a: f"{a}.ko_name = {name}")
-    found = let(exact, lambda hits: f"if(size({hits}) > 0, {hits}, {_candidates(aliases, name)})")
+    if aliases is not None:
+        found = resolved_names(df.select(F.col(name).alias("_typed")), aliases)
+        joined = df.join(small_side(found), df[name] == found["_typed"], "left")
+        return joined.select(
+            *[df[c] for c in df.columns],
+            F.coalesce("site_official", F.lit("")).alias("site_official"),
+            F.coalesce("match_count", F.lit(0)).alias("match_count"),
+        )
+    aliases_ = alias_array()
+    exact = keep(aliases_, lambda a: f"{a}.ko_name = {name}")
+    found = let(exact, lambda hits: f"if(size({hits}) > 0, {hits}, {_candidates(aliases_, name)})")
     return df.selectExpr("*", f"{found} AS _found").selectExpr(
         *df.columns,
         "if(size(_found) = 1, get(_found, 0).site_official, '') AS site_official",
@@ -53,6 +66,68 @@ def with_site_name(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+#: Length of the pieces names are indexed by; shorter names are looked up whole.
+GRAM = 3
+
+
+def _grams(text: str, lengths: str) -> str:
+    """Distinct pieces of a text with one of the lengths (an array expression)."""
+    of_length = f"transform(sequence(1, length({text}) - _size + 1), _at -> substring({text}, _at, _size))"
+    return f"array_distinct(flatten(transform({lengths}, _size -> if(length({text}) < _size, {NO_TEXTS}, {of_length}))))"
+
+
+LETTERS = "array_distinct(filter(split({text}, ''), ch -> ch <> ''))"
+
+
+def _by_rarest(typed: DataFrame, keys: str, postings: DataFrame) -> DataFrame:
+    """(_typed, id) of aliases that hold the rarest of the keys a name must have; none if one occurs nowhere."""
+    often = postings.groupBy("key").agg(F.count("*").alias("often"))
+    asked = typed.select("_typed", F.explode(F.expr(keys)).alias("key")).join(often, "key", "left")
+    rarest = asked.groupBy("_typed").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key")).alias("least"))
+    return rarest.select("_typed", "least.key").join(postings, "key").select("_typed", "id")
+
+
+def resolved_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(_typed, site_official, match_count) of the distinct ``names(_typed)``, over aliases of any number.
+
+    Aliases are indexed once: by Korean name, by its characters, by words, and by pieces
+    of up to ``GRAM`` letters of the squashed official name.  Where all of several keys
+    must occur, a name takes the postings of its rarest one; where it must occur as a
+    part, those of its rarest piece.  Only these candidates are checked, so no name meets
+    all aliases.  Names that match nothing are left out.
+    """
+    numbered = aliases.where("ko_name IS NOT NULL AND site_official IS NOT NULL").select("ko_name", "site_official")
+    path = work_dir(names.sparkSession, "aliases")
+    numbered.withColumn("id", F.monotonically_increasing_id()).selectExpr(
+        "*", "replace(lower(site_official), ' ', '') AS squashed", "split(lower(site_official), ' ', -1) AS own_words"
+    ).write.parquet(path)
+    known = names.sparkSession.read.parquet(path)
+    typed = names.where("_typed IS NOT NULL").distinct().selectExpr(
+        "_typed", "replace(lower(_typed), ' ', '') AS n", "split(lower(_typed), ' ', -1) AS words"
+    )
+    exact = typed.join(known, F.col("ko_name") == F.col("_typed")).select("_typed", "id", "site_official")
+    rest = typed.join(exact.select("_typed").distinct(), "_typed", "left_anti").withColumn(
+        "latin", F.expr(f"n RLIKE {q(r'\p{IsLowercase}')}")
+    )
+    letters = known.select(F.explode(F.expr(LETTERS.format(text="ko_name"))).alias("key"), "id")
+    korean = _by_rarest(rest.where("NOT latin AND length(n) >= 2"), LETTERS.format(text="n"), letters)
+    pieces = known.select(F.explode(F.expr(_grams("squashed", f"sequence(1, {GRAM})"))).alias("key"), "id")
+    parts = _by_rarest(rest.where("latin"), _grams("n", f"array(least({GRAM}, length(n)))"), pieces)
+    words = known.select(F.explode(F.array_distinct("own_words")).alias("word"), "id")
+    asked = rest.where("latin").select("_typed", F.explode(F.array_distinct("words")).alias("word"))
+    overlap = asked.join(words, "word").select("_typed", "id")
+    candidates = korean.union(parts).union(overlap).distinct().join(known, "id").join(rest, "_typed")
+    fits = (
+        "if(latin, contains(squashed, n) OR arrays_overlap(words, own_words), "
+        f"forall({LETTERS.format(text='n')}, ch -> contains(ko_name, ch)))"
+    )
+    matches = exact.unionByName(candidates.where(fits).select("_typed", "id", "site_official"))
+    return matches.groupBy("_typed").agg(
+        F.expr("if(count(*) = 1, min(site_official), '')").alias("site_official"),
+        F.count("*").cast("int").alias("match_count"),
+    )
+
+
 def with_site_host(df: DataFrame, site: str) -> DataFrame:
     """Add ``host`` (null when unknown) and ``host_or_name`` (the given text then)."""
     host = f"try_element_at({host_map()}, {site})"

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from listloom.functions.listing_html import listing_html
 from listloom.functions.sql import texts
+from listloom.functions.urls import to_json_url
 from listloom.operators.listing import with_static_images
+from listloom.operators.ranking import with_rank
 from listloom.operators.rules import Rule, rules_from_table
-from listloom.plans.batch import Sources, run_batch
+from listloom.plans.batch import Sources, run_batch, run_batches
 from listloom.plans.listings import make_listings, make_products
+from listloom.plans.sites import LACOSTE
 from listloom.queries.base_sql import body_sql, expecting
 from listloom.queries.pages import UNESCAPE
 from listloom.queries.registry import query, table
 from listloom.sources.pages import spread
 from listloom.queries.shops import documents
 from listloom.schemas import LISTING_COLUMNS
+from listloom.session import work_dir
+from listloom.sources.sheets import Sheet, write_sheet
 from listloom.sources.dims import DEFAULT_END, DEFAULT_MIDDLE, DEFAULT_TOP, site_images
 
 #: Ten brands with images, two of them with empty lists.
@@ -176,6 +182,95 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.sheet.select("row_no", "C", "E", "S")
 
 
+SHOWN_RULES = [
+    Rule("shown", "product_name", "h1", post=("strip",)),
+    Rule("shown", "price", "b.price"),
+    Rule("shown", "color_urls", "a.color", "all", "need", "href"),
+]
+#: Shops of the batch loop: saved as JSON under their endpoint, as rendered pages, as raw pages.
+LOOP_SITE = "CASE p_partkey % 3 WHEN 0 THEN 'Lacoste' WHEN 1 THEN 'shown' ELSE 'mini' END"
+LOOP_URL = "concat('https://shop.test/', CAST(p_partkey AS VARCHAR(20)), '.html')"
+
+
+def loop_sql(gap: str) -> str:
+    """Two batches: where each row goes, and what the insertions push down; {gap} is what the first leaves blank."""
+    return f"""
+    WITH own AS (
+        SELECT p_partkey AS pos, {LOOP_SITE} AS site, p_partkey % 3 = 0 AS json, p_name,
+            CASE WHEN p_partkey % 3 = 0 THEN [] ELSE {LINKS_SQL} END AS links,
+            CASE WHEN p_partkey <= (SELECT (max(p_partkey) + 1) // 2 FROM part) THEN 0 ELSE 1 END AS batch
+        FROM part WHERE p_partkey % 7 <> 0
+    ), ordered AS (
+        SELECT *, coalesce(sum(1 + len(links)) OVER (PARTITION BY batch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            AS before FROM own
+    ), sizes AS (
+        SELECT sum(1 + len(links)) FILTER (WHERE batch = 0) AS n0, sum(1 + len(links)) FILTER (WHERE batch = 1) AS n1,
+            sum(len(links)) FILTER (WHERE batch = 0) AS colors, (SELECT (max(p_partkey) + 1) // 2 FROM part) AS size FROM own
+    ), places_ AS (SELECT 20 AS t0, 20 + {gap} AS t1, n0, n1 FROM sizes),
+    spread_ AS (
+        SELECT batch, before AS i, pos AS key, site FROM ordered
+        UNION ALL SELECT batch, before + unnest(range(1, len(links) + 1)), unnest(links), site FROM ordered
+    ), listed AS (
+        SELECT CASE batch WHEN 0 THEN t0 ELSE t1 END + i AS row_no, site, key,
+            -- A colour link is looked up as its own page is stored, by kind.
+            CASE WHEN key % 3 = 0 THEN site = 'Lacoste' WHEN key % 3 = 1 THEN site = 'shown' ELSE site = 'mini' END AS saved
+        FROM spread_, places_
+    ), cells AS (
+        SELECT row_no, CASE WHEN saved THEN site || ' ' || p_name || ' ' || p_name ELSE site || '  ' END AS C,
+            CASE WHEN saved THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) ELSE '' END AS E,
+            'https://shop.test/' || key || '.html' AS S
+        FROM listed JOIN part ON p_partkey = key
+    ), pushed AS (
+        SELECT CASE WHEN s_suppkey + 1 >= t0 THEN s_suppkey + 1 + n0 ELSE s_suppkey + 1 END AS r, s_name, t1, n1 FROM supplier, places_
+    ), every AS (
+        SELECT CAST(row_no AS BIGINT) AS row_no, C, E, S FROM cells
+        UNION ALL SELECT CAST(CASE WHEN r >= t1 THEN r + n1 ELSE r END AS BIGINT), s_name, '', '' FROM pushed
+    )
+    SELECT row_number() OVER (ORDER BY row_no) AS nth, row_no, C, E, S FROM every
+    """
+
+
+def _batch_loop(spark: SparkSession, sf_dir: str, gap_mode: str) -> DataFrame:
+    """Two batches over three shops into a sheet of blocks, written in order and read back in file order."""
+    part = table(spark, sf_dir, "part").withColumn("url", F.expr(LOOP_URL)).withColumn("site", F.expr(LOOP_SITE))
+    price = "cast(cast(p_retailprice AS decimal(12,2)) AS string)"
+    links = "transform(filter(array(1, 2, 3), i -> i <= 9 - p_partkey % 10), i -> p_partkey + i)"
+    anchors = f"array_join(transform({links}, l -> concat('<a class=\"color\" href=\"https://shop.test/', l, '.html\">c</a>')), '')"
+    html = f"concat('<h1> ', p_name, ' </h1><b class=\"price\">$', {price}, '</b>', {anchors})"
+    product = f"named_struct('name', p_name, 'pricing', named_struct('salesPrice', named_struct('format', concat('$', {price}))))"
+    json_pages = part.where("site = 'Lacoste'").selectExpr(
+        f"{to_json_url('url')} AS url", f"to_json(named_struct('product', {product})) AS body"
+    )
+    rendered = part.where("site = 'shown'").selectExpr("url", f"{html} AS body")
+    raw = part.where("site = 'mini'").selectExpr("url", f"{html} AS body")
+    urls = part.selectExpr("p_partkey AS pos", "site", "if(p_partkey % 7 = 0, '', url) AS url")
+    abilities = spark.createDataFrame(
+        [("mini", False, False), ("shown", False, True), ("Lacoste", True, False)], "site string, json boolean, rendered boolean"
+    )
+    cells = ["s_name AS C" if c == "C" else f"'' AS {c}" for c in LISTING_COLUMNS]
+    first = table(spark, sf_dir, "supplier").selectExpr("s_suppkey + 1 AS row_no", *cells)
+    sheet = Sheet.create(first, work_dir(spark, "sheet"))
+    size = (part.agg({"p_partkey": "max"}).first()[0] + 1) // 2
+    sources = Sources(abilities, json_pages, rendered, raw, site_images(spark))
+    run_batches(
+        urls, sheet, sources, 1, size, 20, batches=2, gap_mode=gap_mode, rules=[*MINI_RULES, *SHOWN_RULES], sites=[LACOSTE]
+    )
+    path = work_dir(spark, "export")
+    write_sheet(sheet.rows(), path)
+    back = spark.read.parquet(path).selectExpr("row_no", "C", "E", "S", "_metadata.file_path AS file", "_metadata.row_index AS line")
+    return with_rank(back, [], ["file", "line"], "nth").select("nth", "row_no", "C", "E", "S")
+
+
+@query(loop_sql("n0"))
+def batch_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch_loop(spark, sf_dir, "dense")
+
+
+@query(loop_sql("size + colors"))
+def batch_loop_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch_loop(spark, sf_dir, "reference")
+
+
 #: A shop that exists only as rule rows: mall brand, Korean name, converted sizes, images.
 ADDED_RULES = [
     ("added", "product_name", "h1", "one", "text", None),

@@ -66,6 +66,44 @@ def site_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.selectExpr("p_partkey", "typed", "site_official", "cast(match_count AS bigint) AS match_count")
 
 
+#: A shop of its own for every part, and names typed by customers of these shops.
+SHOPS = ("concat('상품', p_partkey) AS ko_name", "concat(p_name, ' ', p_partkey) AS site_official")
+TYPED = (
+    "CASE p_partkey % 5 WHEN 0 THEN concat('상품', p_partkey) WHEN 1 THEN upper(replace(concat(p_name, p_partkey), ' ', '')) "
+    "WHEN 2 THEN concat('Shop ', p_partkey, ' x') WHEN 3 THEN concat(p_partkey, '품', p_size) ELSE p_type END"
+)
+
+
+@query(
+    f"""
+    WITH alias AS (SELECT {', '.join(SHOPS)}, p_partkey AS id FROM part), typed AS (SELECT DISTINCT {TYPED} AS typed FROM part),
+    clean AS (
+        SELECT *, replace(lower(typed), ' ', '') AS n, string_split(lower(typed), ' ') AS words,
+            regexp_matches(replace(lower(typed), ' ', ''), '[a-z]') AS latin FROM typed
+    ), words AS (SELECT DISTINCT unnest(string_split(lower(site_official), ' ')) AS word, id FROM alias),
+    hits AS (
+        SELECT typed, site_official, id, true AS exact FROM clean JOIN alias ON ko_name = typed
+        UNION SELECT typed, site_official, id, false FROM clean JOIN alias
+            ON latin AND contains(replace(lower(site_official), ' ', ''), n)
+        UNION SELECT typed, site_official, a.id, false FROM (SELECT typed, unnest(words) AS word FROM clean WHERE latin) c
+            JOIN words w ON c.word = w.word JOIN alias a ON a.id = w.id
+        UNION SELECT typed, site_official, id, false FROM clean JOIN alias ON NOT latin AND length(n) >= 2
+            AND len(list_filter(string_split(n, ''), lambda ch: NOT contains(ko_name, ch))) = 0
+    ), best AS (
+        SELECT * FROM hits h WHERE exact OR NOT EXISTS (SELECT 1 FROM hits e WHERE e.typed = h.typed AND e.exact)
+    ), found AS (SELECT typed, count(DISTINCT id) AS n, max(site_official) AS official FROM best GROUP BY typed)
+    SELECT p_partkey, {TYPED} AS typed, CASE WHEN n = 1 THEN official ELSE '' END AS site_official, coalesce(n, 0) AS match_count
+    FROM part LEFT JOIN found ON typed = {TYPED}
+    """
+)
+def site_names_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against a table of as many aliases as there are parts."""
+    part = table(spark, sf_dir, "part")
+    typed = part.selectExpr("p_partkey", f"{TYPED} AS typed")
+    named = with_site_name(typed, "typed", part.selectExpr(*SHOPS))
+    return named.selectExpr("p_partkey", "typed", "site_official", "cast(match_count AS bigint) AS match_count")
+
+
 @query(
     f"""
     WITH {HOSTS}, numbered(i, ko, official) AS ({NUMBERED}), asked AS (

@@ -9,7 +9,7 @@ from listloom.functions.sql import each
 from listloom.functions.urls import file_extension, file_stem
 from listloom.operators.dom import Page
 from listloom.plans.products import extract_fields, finish_products
-from listloom.plans.shop_pages import catalogue, option_json, shop_documents, sku_json
+from listloom.queries.shop_pages import catalogue, option_json, shop_documents, sku_json
 from listloom.plans.sites import OPTION_JSON, SKU_JSON, in_stock_labels, sku_quantities
 from listloom.queries.base_sql import STOCK, expecting
 from listloom.queries.registry import query

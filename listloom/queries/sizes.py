@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from listloom.functions.sizes import convert_sizes, quantity_labels
 from listloom.functions.sql import each
-from listloom.plans.shop_pages import size_text, stocked_sizes
+from listloom.queries.shop_pages import size_text, stocked_sizes
 from listloom.queries.base_sql import SIZE_MAP, STOCK, US
 from listloom.queries.registry import query
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from listloom.operators import attempts, closure, fetchlog, filenames, glossary, joins, variants
+from listloom.operators import attempts, bloom, closure, fetchlog, filenames, glossary, joins, variants
 from listloom.operators.names import with_site_host, with_site_name
 from listloom.operators.ranking import in_ranges, with_rank, with_running_total
 from listloom.session import enable_checkpoints, work_dir
@@ -21,8 +21,7 @@ NAMES = {
 }
 
 
-def brute_name(name):
-    table = dict(dims.SITE_ALIASES)
+def brute_name(name, table=dict(dims.SITE_ALIASES)):  # noqa: B006, B008
     if name in table:
         return table[name]
     words = name.lower().split(" ")
@@ -57,6 +56,40 @@ def test_site_hosts(spark):
     assert wrong == {"Calvin Klein", "Nike"}
 
 
+def test_site_names_of_a_given_table(spark):
+    """The built-in aliases as a table give the same as the constant."""
+    rng = random.Random(3)
+    letters = "".join(k + o for k, o in dims.SITE_ALIASES) + "  "
+    typed = list(NAMES) + ["".join(rng.choices(letters, k=rng.randint(0, 5))) for _ in range(200)] + ["반스"]
+    df = spark.createDataFrame([(t,) for t in [*typed, None]], "typed string")
+    rows = with_site_name(df, "typed", dims.site_alias(spark)).collect()
+    assert len(rows) == len(typed) + 1
+    assert {r["typed"]: r["site_official"] for r in rows} == {t: brute_name(t) for t in typed} | {None: ""}
+    plain = with_site_name(df, "typed").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, plain))
+
+
+def test_site_names_among_many_aliases(spark):
+    """A hundred thousand aliases: no name meets all of them."""
+    syllables = [chr(0xAC00 + 7 * i) for i in range(300)]
+    aliases = [
+        (syllables[i % 300] + syllables[i // 300 % 300] + syllables[(i * 31) % 300] + str(i), f"Shop {i} of Mall{i % 997}")
+        for i in range(100_000)
+    ]
+    rng = random.Random(8)
+    typed = [rng.choice(aliases)[0] for _ in range(5)] + ["".join(rng.sample(rng.choice(aliases)[0], 4)) for _ in range(10)]
+    typed += [f"SHOP{rng.randrange(100_000)}of" for _ in range(5)] + [f"my {rng.randrange(10**5)} x" for _ in range(5)] + ["zz", "q1", ""]
+    found = with_site_name(
+        spark.createDataFrame([(t,) for t in typed], "typed string"),
+        "typed",
+        spark.createDataFrame(aliases, "ko_name string, site_official string"),
+    )
+    table = dict(aliases)
+    assert {r["typed"]: r["site_official"] for r in found.collect()} == {t: brute_name(t, table) for t in typed}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_dimensions(spark):
     assert dims.site_alias(spark).count() == 44 and dims.site_host(spark).count() == 44
     assert dims.size_map(spark).count() == 154
@@ -361,6 +394,31 @@ def test_constant_glossary(value):
 # --- Snapshots, documents -----------------------------------------------------------
 
 
+def test_key_filter(spark):
+    """All keys pass, few others do; nulls and several columns are keys like others."""
+    keys = spark.range(0, 40_000, 2).selectExpr("cast(id AS string) AS k", "id % 7 AS n").union(
+        spark.createDataFrame([(None, 1)], "k string, n bigint")
+    )
+    asked = spark.range(40_000).selectExpr("cast(id AS string) AS k", "id % 7 AS n", "id").union(
+        spark.createDataFrame([(None, 1, -1), (None, 2, -2)], "k string, n bigint, id bigint")
+    )
+    found = {r["id"] for r in bloom.KeyFilter(keys, "k", "n").passing(asked).collect()}
+    assert {-1, *range(0, 40_000, 2)} <= found and len(found) < 20_500
+    assert bloom.KeyFilter(keys.limit(0), "k", "n").passing(asked).count() == 0
+
+
+def test_documents_beyond_broadcast(spark):
+    """With very many asked pages, others are left out before their bodies are shuffled."""
+    pages = spark.range(20_000).selectExpr("concat('u', id) AS url", "concat('body ', id) AS body")
+    urls = spark.range(0, 20_000, 50).selectExpr("id AS pos", "'s' AS site", "concat('u', id) AS url")
+    able = spark.createDataFrame([("s", False, False)], "site string, json boolean, rendered boolean")
+    none = pages.limit(0)
+    got = choose_document(urls, able, none, none, pages, max_broadcast=0)
+    assert {(r["pos"], r["body"]) for r in got.collect()} == {(i, f"body {i}") for i in range(0, 20_000, 50)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "forall" in plan and "LeftSemi" in plan
+
+
 def test_snapshots(spark):
     pages = spark.createDataFrame(
         [("Vans", f"https://v.test/{i % 4}", f"{i}" * 200) for i in range(8)], "site string, url string, html string"

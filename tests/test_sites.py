@@ -305,7 +305,7 @@ def test_capabilities(spark):
 
 def test_pruned_pages_give_the_same_products(spark, monkeypatch):
     from listloom.plans import products
-    from listloom.plans.shop_pages import catalogue, shop_documents
+    from listloom.queries.shop_pages import catalogue, shop_documents
     from listloom.sources.pages import parse_pages
 
     sf_dir = "/root/testdata/sf0.001"
