@@ -10,38 +10,32 @@ from listloom.functions.urls import file_extension, file_stem
 from listloom.operators.ranking import with_rank
 
 NUMBERED = r"^(.*) \((\d+)\)(\.[^.]*)?$"
-#: Free numbers covered by one list of intervals.
+#: Numbers covered by one list of intervals.
 CHUNK = 4096
 
 
-def _free_intervals(taken: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lists of intervals of free numbers, for the chunks of ``wanted(_name, _chunk)``.
+def _taken_lists(taken: DataFrame) -> DataFrame:
+    """Interval lists of each name: ``_ends``, for a chunk of numbers, by how many free ones lie below it.
 
-    Of a taken number, its value minus its rank is how many numbers below it are
-    free; runs of taken numbers have this in common and end an interval.  ``_ends``
-    holds (free numbers up to the run, numbers taken by then) of the runs of a chunk,
-    in order, and ``_taken`` what was taken before the chunk.
+    An entry (free numbers below, numbers taken by then) stands for a taken number and
+    ends an interval of free ones.  ``_below`` is how many free numbers lie below the
+    first entry; a list holds as many entries as a chunk has numbers, at most.
     """
-    runs = with_rank(taken, ["_name"], ["_number"], "_nth").selectExpr("_name", "_number - _nth AS _free", "_nth")
-    runs = runs.groupBy("_name", "_free").agg(F.max("_nth").alias("_used")).withColumn("_chunk", F.expr(f"_free div {CHUNK}"))
-    lists = runs.groupBy("_name", "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct("_free", "_used"))).alias("_ends"), F.max("_used").alias("_last")
-    )
-    # Chunks that are asked for but hold no run take over what was taken before them.
-    asked = wanted.select("_name", "_chunk").distinct().join(lists.select("_name"), "_name", "left_semi")
-    every = lists.unionByName(asked, allowMissingColumns=True).groupBy("_name", "_chunk").agg(
-        F.max("_ends").alias("_ends"), F.max("_last").alias("_last")
+    chunks = taken.groupBy("_name", F.expr(f"_number div {CHUNK}").alias("_chunk")).agg(
+        F.array_sort(F.collect_set("_number")).alias("_numbers")
     )
     before = Window.partitionBy("_name").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return every.select("_name", "_chunk", "_ends", F.coalesce(F.max("_last").over(before), F.lit(0)).alias("_taken"))
+    counted = chunks.withColumn("_before", F.coalesce(F.sum(F.size("_numbers")).over(before), F.lit(0)))
+    ends = "transform(_numbers, (x, i) -> struct(x - _before - i - 1 AS _free, _before + i + 1 AS _used))"
+    return counted.selectExpr("_name", "_chunk", f"{ends} AS _ends").withColumn("_below", F.expr("_ends[0]._free"))
 
 
-def _search(ends: str, rank: str) -> str:
-    """How many of ``ends`` hold fewer than ``rank`` free numbers, by halving steps."""
-    steps = f"transform(sequence(0, {CHUNK.bit_length() - 1}), i -> cast(shiftright({CHUNK}, i) AS int))"
+def _search(entries: str, field: str, rank: str) -> str:
+    """How many of the ordered ``entries`` lie below ``rank``, by halving steps."""
+    steps = "transform(sequence(62, 0), i -> shiftleft(1L, i))"
     return (
-        f"aggregate({steps}, 0, (n, step) -> "
-        f"if(n + step <= size({ends}) AND get({ends}, n + step - 1)._free < {rank}, n + step, n))"
+        f"cast(aggregate(filter({steps}, s -> s <= size({entries})), 0L, (n, step) -> "
+        f"if(n + step <= size({entries}) AND get({entries}, cast(n + step - 1 AS int)).{field} < {rank}, n + step, n)) AS int)"
     )
 
 
@@ -52,7 +46,8 @@ def unique_file_names(images: DataFrame, existing: DataFrame) -> DataFrame:
     of a name takes the r-th number not taken yet, gaps first.  A link without an
     extension gets the one of an optional ``sniffed_extension`` column, else an
     empty name.  Many images may share one name: ranks come from ranges of the
-    order, and free numbers from interval lists of bounded length that are searched.
+    order, and free numbers from interval lists of bounded length, found and searched
+    by halving.
     """
     sniffed = "sniffed_extension" if "sniffed_extension" in images.columns else "CAST(NULL AS STRING)"
     named = images.selectExpr(
@@ -62,18 +57,19 @@ def unique_file_names(images: DataFrame, existing: DataFrame) -> DataFrame:
     ).selectExpr("*", "coalesce(_found_ext, '') AS _ext").drop("_found_ext")
     # A name is one struct, so files without a folder share one too.
     named = named.withColumn("_name", F.struct("dir", "_stem", "_ext"))
-    # The r-th free number lies behind r - 1 others.
-    ranked = with_rank(named, ["_name"], ["pos"], "_rank").withColumn("_chunk", F.expr(f"(_rank - 1) div {CHUNK}"))
+    ranked = with_rank(named, ["_name"], ["pos"], "_rank")
     taken = existing.selectExpr(
         f"struct(dir, regexp_extract(file_name, {q(NUMBERED)}, 1) AS _stem, "
         f"regexp_extract(file_name, {q(NUMBERED)}, 3) AS _ext) AS _name",
         f"try_cast(regexp_extract(file_name, {q(NUMBERED)}, 2) AS bigint) AS _number",
-    ).where("_number > 0").distinct()
-    found = ranked.join(_free_intervals(taken, ranked), ["_name", "_chunk"], "left").selectExpr(
-        *images.columns, "_stem", "_ext", "_rank", "_ends", "coalesce(_taken, 0) AS _taken",
-        f"if(_ends IS NULL, 0, {_search('_ends', '_rank')}) AS _runs",
-    )
-    number = "_rank + if(_runs > 0, get(_ends, _runs - 1)._used, _taken)"
+    ).where("_number > 0")
+    lists = _taken_lists(taken)
+    index = lists.groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("_below", "_chunk"))).alias("_index"))
+    # The chunk whose entries part the numbers around the r-th free one, then the place in it.
+    chunk = f"get(_index, {_search('_index', '_below', '_rank')} - 1)._chunk"
+    placed = ranked.join(index, "_name", "left").withColumn("_chunk", F.expr(chunk)).drop("_index")
+    found = placed.join(lists.drop("_below"), ["_name", "_chunk"], "left")
+    used = f"coalesce(get(_ends, {_search('_ends', '_free', '_rank')} - 1)._used, 0)"
     return found.selectExpr(
-        *images.columns, f"if(_ext = '', '', concat(_stem, ' (', {number}, ')', _ext)) AS file_name"
+        *images.columns, f"if(_ext = '', '', concat(_stem, ' (', _rank + {used}, ')', _ext)) AS file_name"
     )

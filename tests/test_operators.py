@@ -280,6 +280,18 @@ def test_unique_file_names(spark):
         assert [r["file_name"] for r in got if r["pos"] == pos] == [expected]
 
 
+def test_file_numbers_over_many_chunks(spark, monkeypatch):
+    """Lists of a few numbers each: dense and far numbers taken, files without a folder."""
+    monkeypatch.setattr(filenames, "CHUNK", 4)
+    rng = random.Random(5)
+    numbers = {k for k in range(1, 200) if rng.random() < 0.6} | {10**12, 10**12 + 1}
+    images = spark.range(300).selectExpr("cast(null AS string) AS dir", "id AS pos", "'https://x/a.jpg' AS url")
+    existing = spark.createDataFrame([(None, f"a ({k}).jpg") for k in numbers] * 2, "dir string, file_name string")
+    free = [k for k in range(1, 1000) if k not in numbers][:300]
+    got = [r["file_name"] for r in filenames.unique_file_names(images, existing).orderBy("pos").collect()]
+    assert got == [f"a ({k}).jpg" for k in free]
+
+
 def test_sniffed_extension_and_golden_name(spark):
     images = spark.createDataFrame(
         [("t", 1, "https://m/61RMh62td1L._AC_SR800,1500_.jpg", None), ("t", 2, "https://m/HERO?wid=1", "jpeg")],
