@@ -1,16 +1,18 @@
 """Exact Jaccard join of documents on word n-grams, as T-occurrence search in blocks.
 
-1. A sketch of fixed size counts all shingles by slot of their hash.
-2. Each text becomes its set of shingle hashes; equal sets are one class.  Of a class
-   only its prefix is indexed: the rarest shingles (by sketch, then hash), so many
-   that two sets similar enough must share one.  The order only has to be the same
-   everywhere, so the sketch costs no exactness; it puts passages that many documents
-   share last, where they are not indexed.
-3. Classes that share a prefix shingle are candidates; their connected components
-   are closed under linking, so whole sets meet only within a component.
+1. Each text becomes its set of shingle hashes; equal sets are one class, and only one
+   text of a class goes on.
+2. These texts are dealt into slices of bounded size.  Slices send their distinct
+   shingles, packed by range of hash, and get back in how many classes each occurs.
+   A shingle of one class cannot match: it counts in the size of its set, but does not
+   travel.  A set that is left with fewer shingles than a link needs links with nothing.
+3. Of the other sets the prefix is indexed: the rarest shingles, so many that two sets
+   similar enough must share one.  Sets that share one and whose sizes are within the
+   bound are candidates; their connected components are closed under linking, so whole
+   sets meet only within a component.
 4. Components are dealt into blocks of bounded size.  One larger than ``BLOCK``
-   shingles is cut into chunks by set size, and chunks meet in pairs that the length
-   bound allows.
+   shingles is cut into chunks.  First every chunk meets the first one, which links the
+   copies of one text; then only what is not in the largest group so far meets all.
 5. In a block each set searches the smaller ones: of its inverted lists the longest
    T - 1 are set aside, the others merged, and who stands in them is looked up in the
    long ones by binary search (DivideSkip), until it is linked to every component.
@@ -20,29 +22,34 @@ A class has one row in a block whatever its number of copies, and a block return
 forest, never all pairs.
 
 Missing and empty texts have no shingles, link with nothing and stand for themselves;
-shorter texts are one shingle; equal ids and repeated rows are told apart by row; an
-empty table gives an empty one; other columns are ignored.
+shorter texts are one shingle; very long ones make a slice of their own; equal ids and
+repeated rows are told apart by row; an empty table gives an empty one; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listloom.llm.components import components
+from listloom.llm.suffixes import _bucket, _heads, _large, _packed, _small
 from listloom.llm.tables import numbered, stored
 from listloom.llm.words import mix, slices, split_words, starts_window, texts_of, windows
 
-SLOTS = 1 << 18
 TEXT_BITS = 12
 SHIFT = np.uint64(64 - TEXT_BITS)
 SLICE_BYTES, SLICE_TEXTS = 4 << 20, 1 << TEXT_BITS
-#: Bits of a slot's count that order shingles; larger counts are equally common.
-RANK_BITS = 20
+#: Slices that share a bucket of counts, and buckets of small inputs.
+COUNT_SHARE, BUCKETS = 16, 32
+#: Steps of a count that order shingles, for each doubling.
+STEPS = 12
 #: Shingles in a block.
 BLOCK = 2_000_000
 
@@ -86,74 +93,172 @@ def required(size: np.ndarray | int, percent: int):
     return (percent * size + 99) // 100
 
 
-def _sketch(n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for low, high in slices(batch.column(0), SLICE_BYTES, SLICE_TEXTS):
-                values = shingles(batch.column(0).slice(low, high - low), n)[0] >> np.uint64(TEXT_BITS)
-                counts += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        seen = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["slot", "n"])
-
-    return run
-
-
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Number of shingles by slot; its size is fixed whatever the input."""
-    counted = docs.select("text").mapInArrow(_sketch(n), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(SLOTS, np.int64)
-    for row in counted.collect():
-        out[row["slot"]] = row["n"]
-    return out
-
-
-def _describe(n: int, percent: int, counts: np.ndarray) -> Callable:
+def _describe(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column(1), SLICE_BYTES, SLICE_TEXTS):
                 part = batch.slice(low, high - low)
                 sets = Sets(part.column(1), n)
-                filled = sets.sizes > 0
                 keys = []
                 for salt in (0x51ED270B, 0x2545F491):
                     total = np.concatenate(([0], np.cumsum(mix(sets.values + np.uint64(salt)), dtype=np.uint64))).astype(np.uint64)
                     keys.append((total[sets.ends[1:]] - total[sets.ends[:-1]]).view(np.int64))
-                # A class is described by its first row in the slice.
-                first = np.zeros(len(part), bool)
-                first[np.unique(np.stack(keys), axis=1, return_index=True)[1]] = True
-                rank = counts[(sets.values % np.uint64(SLOTS)).astype(np.int64)]
-                # By count, then value: values already ascend and the sort is stable.
-                key = (sets.text << (RANK_BITS + 1)) | np.minimum(rank, (1 << RANK_BITS) - 1)
-                order = np.argsort(key, kind="stable")
-                place = np.arange(len(order)) - sets.ends[sets.text[order]]
-                prefix = np.where(filled & first, sets.sizes - required(sets.sizes, percent) + 1, 0)
-                taken = sets.values[order][place < prefix[sets.text[order]]].view(np.int64)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(taken))
-                columns = [part.column(0), part.column(2), pa.array(sets.sizes), *map(pa.array, keys), tokens]
-                yield pa.record_batch(columns, ["row", "id", "n", "k0", "k1", "tokens"])
+                columns = [part.column(0), part.column(2), pa.array(sets.sizes), *map(pa.array, keys)]
+                yield pa.record_batch(columns, ["row", "id", "n", "k0", "k1"])
 
     return run
 
 
-def _sets(n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in slices(batch.column(1), SLICE_BYTES, SLICE_TEXTS):
-                part = batch.slice(low, high - low)
-                sets = Sets(part.column(1), n)
-                lists = pa.ListArray.from_arrays(pa.array(sets.ends, pa.int32()), pa.array(sets.values.view(np.int64)))
-                yield pa.record_batch([part.column(0), lists], ["node", "shingles"])
+# --- Counts of shingles ---------------------------------------------------------------
+
+
+NOTES = pa.schema([("p", pa.int64()), ("kind", pa.int32()), ("b", pa.int32()), ("body", pa.binary())])
+NOTE = "p long, kind int, b int, body binary"
+MARKS, NODES = 0, 1
+
+
+def _pack_nodes(key: tuple, table: pa.Table) -> pa.Table:
+    """The classes' rows that a slice holds, as one note."""
+    nodes = np.sort(table["node"].to_numpy())
+    return pa.table({"p": [key[0].as_py()], "kind": [NODES], "b": [0], "body": [nodes.tobytes()]}, NOTES)
+
+
+def _of_classes(docs: pa.Table, notes: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a slice that stand for classes, with their shingles and where these begin."""
+    bodies = notes.filter(pc.equal(notes["kind"], NODES))["body"].to_pylist()
+    nodes = np.frombuffer(b"".join(bodies), np.int64)
+    docs = docs.filter(pa.array(np.isin(docs["row"].to_numpy(), nodes))).sort_by("row").combine_chunks()
+    column = docs["text"].combine_chunks() if isinstance(docs["text"], pa.ChunkedArray) else docs["text"]
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in slices(column, SLICE_BYTES, SLICE_TEXTS):
+        sets = Sets(column.slice(low, high - low), n)
+        values.append(sets.values)
+        sizes.append(sets.sizes)
+    ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    return docs["row"].to_numpy(), np.concatenate(values), ends
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in order, how often each occurs, and which one each entry is."""
+    order = np.argsort(values, kind="stable")
+    head = _heads(values[order])
+    times = np.diff(np.append(head, len(order)))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(head)), times)
+    return values[order][head], times, which
+
+
+def _buckets_of(known: np.ndarray, buckets: int) -> np.ndarray:
+    return _bucket(known << np.uint64(TEXT_BITS), buckets)
+
+
+def _send_counts(n: int, buckets: int) -> Callable:
+    schema = pa.schema([("b", pa.int32()), ("p", pa.int64()), ("first", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("times", pa.binary())])
+
+    def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
+        out = {name: [] for name in schema.names}
+        if len(docs) and len(notes):
+            known, times, _ = _distinct(_of_classes(docs, notes, n)[1])
+            for bucket, low, high in _packed(_buckets_of(known, buckets)):
+                # Shingles in order as gaps, whose upper halves are mostly zero.
+                gaps = np.diff(known[low:high])
+                out["b"].append(bucket)
+                out["p"].append(key[0].as_py())
+                out["first"].append(int(known[low]))
+                out["low"].append(gaps.astype(np.uint32).tobytes())
+                out["high"].append(_small((gaps >> np.uint64(32)).astype(np.uint32)))
+                out["times"].append(_small(np.minimum(times[low:high], 255).astype(np.uint8)))
+        return pa.table(out, schema)
 
     return run
 
 
-def search(nodes: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Component label of each set of a block: the place of its first member in order of size."""
+def _mark_counts(key: tuple, table: pa.Table) -> pa.Table:
+    """For each slice and bucket, a mark of each shingle sent: 0 if one class holds it, else by its number of classes."""
+    sent, times = [], []
+    for first, low, high, counts in zip(*(table[c].to_pylist() for c in ("first", "low", "high", "times"))):
+        low = np.frombuffer(low, np.uint32)
+        gaps = low.astype(np.uint64) | (_large(high, np.uint32, len(low)).astype(np.uint64) << np.uint64(32))
+        values = np.full(len(low) + 1, first, np.uint64)
+        values[1:] += np.cumsum(gaps, dtype=np.uint64)
+        sent.append(values)
+        times.append(_large(counts, np.uint8, len(values)))
+    shingles_, counts = np.concatenate(sent), np.concatenate(times).astype(np.int64)
+    order = np.argsort(shingles_, kind="stable")
+    head = _heads(shingles_[order])
+    total = np.add.reduceat(counts[order], head)
+    level = np.where(total > 1, np.clip(STEPS * np.log2(total), 1, 255), 0).astype(np.uint8)
+    mark = np.empty(len(order), np.uint8)
+    mark[order] = np.repeat(level, np.diff(np.append(head, len(order))))
+    ends = np.cumsum([len(v) for v in sent])
+    out = {name: [] for name in NOTES.names}
+    for p, high, values in zip(table["p"].to_pylist(), ends.tolist(), sent):
+        body = mark[high - len(values) : high]
+        if body.any():
+            for name, value in zip(NOTES.names, (p, MARKS, key[0].as_py(), len(body).to_bytes(8, "little") + _small(body))):
+                out[name].append(value)
+    return pa.table(out, NOTES)
+
+
+SURVIVORS = "node long, n long, tokens array<long>, shingles array<long>"
+
+
+def _survivors(n: int, percent: int, buckets: int) -> Callable:
+    """Sets that may link: their size, the prefix by rarity, and all shingles that other classes hold too."""
+
+    def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
+        nodes, values, ends = _of_classes(docs, notes, n)
+        known, _, which = _distinct(values)
+        bucket = _buckets_of(known, buckets)
+        marks = np.zeros(len(known), np.uint8)
+        for b, kind, body in zip(notes["b"].to_pylist(), notes["kind"].to_pylist(), notes["body"].to_pylist()):
+            if kind == MARKS:
+                low, size = int(np.searchsorted(bucket, b)), int.from_bytes(body[:8], "little")
+                marks[low : low + size] = _large(body[8:], np.uint8, size)
+        mark = marks[which]
+        owner, sizes = np.repeat(np.arange(len(nodes)), np.diff(ends)), np.diff(ends)
+        held = np.bincount(owner[mark > 0], minlength=len(nodes))
+        need = required(sizes, percent)
+        stays = (held >= need) & (sizes > 0)
+        entry = np.flatnonzero((mark > 0) & stays[owner])
+        order = entry[np.lexsort((values[entry], mark[entry], owner[entry]))]
+        counts = held[stays]
+        first = np.repeat(np.cumsum(counts) - counts, counts)
+        prefix = counts - need[stays] + 1
+        token = values[order][np.arange(len(order)) - first < np.repeat(prefix, counts)].view(np.int64)
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(c))), pa.int32()), pa.array(v))
+            for c, v in ((prefix, token), (counts, values[entry].view(np.int64)))
+        ]
+        return pa.table({"node": nodes[stays], "n": sizes[stays], "tokens": lists[0], "shingles": lists[1]})
+
+    return run
+
+
+def survivors(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Sets of the classes that may link with another, see ``SURVIVORS``; ``rows`` has (row, text)."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-total // SLICE_BYTES))
+    buckets = max(min(count, BUCKETS), count // COUNT_SHARE)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(count)).alias("p")
+    dealt = rows.select("row", "text", part("row")).groupBy("p")
+    packed = classes.select("node", part("node")).groupBy("p").applyInArrow(_pack_nodes, NOTE)
+    sent = dealt.cogroup(packed.groupBy("p")).applyInArrow(
+        _send_counts(n, buckets), "b int, p long, first long, low binary, high binary, times binary"
+    )
+    notes = packed.union(sent.groupBy("b").applyInArrow(_mark_counts, NOTE))
+    return dealt.cogroup(notes.groupBy("p")).applyInArrow(_survivors(n, percent, buckets), SURVIVORS)
+
+
+def search(nodes: np.ndarray, values: np.ndarray, counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Component label of each set of a block: the place of its first member in order of size.
+
+    Of a set with ``sizes`` shingles, the ``counts`` that other classes may hold are given.
+    """
     m = len(nodes)
     label = np.arange(m)
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    owner = np.repeat(np.arange(m), sizes)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    owner = np.repeat(np.arange(m), counts)
     order = np.argsort(values, kind="stable")
     lists, holders = values[order], owner[order]
     head = np.ones(len(order), bool)
@@ -199,13 +304,15 @@ def search(nodes: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: in
 def _block(percent: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        nodes = table["node"].to_numpy()
+        nodes, sizes = table["node"].to_numpy(), table["n"].to_numpy()
         lists = table["shingles"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
         order = np.lexsort((nodes, sizes))
         lists = lists.take(pa.array(order))
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
         nodes, sizes = nodes[order], sizes[order]
-        label = search(nodes, lists.flatten().to_numpy().view(np.uint64), sizes, percent)
+        counts = np.diff(lists.offsets.to_numpy())
+        label = search(nodes, lists.flatten().to_numpy().view(np.uint64), counts, sizes, percent)
         least = np.full(len(nodes), np.iinfo(np.int64).max)
         np.minimum.at(least, label, nodes)
         return pa.table({"node": nodes, "component": least[label]})
@@ -213,6 +320,65 @@ def _block(percent: int) -> Callable:
     return run
 
 
+def _links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by searching in blocks; ``members(node, block)``."""
+    dealt = sets.select("node", "n", "shingles").join(members.hint("shuffle_hash"), "node")
+    found = dealt.groupBy("block").applyInArrow(_block(percent), "node long, component long")
+    return stored(found.where(F.col("node") != F.col("component")), "linked")
+
+
+def candidate_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, least): sets that share a token of their prefixes and are near in size, as stars.
+
+    Sizes are put into bands a little wider than the bound, so two sets near enough
+    are in one band or in neighbouring ones; a set stands in its own and the next.
+    """
+    step = math.log(100 / percent) * 1.000001
+    band = F.floor(F.log(F.col("n")) / step) if step else F.col("n")
+    near = F.explode(F.array(band, band + 1) if step else F.array(band)).alias("band")
+    postings = sets.select("node", "n", F.explode("tokens").alias("token")).select("node", "token", near)
+    least = postings.groupBy("token", "band").agg(F.min("node").alias("least"), F.count("*").alias("held")).where("held > 1")
+    return postings.join(least, ["token", "band"]).where("node <> least").select("node", "least").distinct()
+
+
+def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of every set that links with another, by blocks of candidates."""
+    grouped = components(candidate_pairs(sets, percent), "node", "least")
+    grouped = stored(grouped.join(sets.select("node", F.size("shingles").cast("long").alias("weight")), "node"), "candidates")
+    weights = grouped.groupBy("component").agg(F.sum("weight").alias("total"))
+    total = grouped.agg(F.sum("weight")).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK))
+    small = weights.where(F.col("total") <= BLOCK)
+    whole = grouped.join(small, "component").select(
+        "node", F.concat_ws(":", F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(blocks))).alias("block")
+    )
+    large = stored(weights.where(F.col("total") > BLOCK), "large")
+    if large.isEmpty():
+        return components(_links(sets, whole, percent), "node", "component")
+    chunks = F.ceil(F.col("total") * 2 / BLOCK).cast("int")
+    cut = grouped.join(large, "component").select("node", "component", "weight", chunks.alias("chunks"))
+    cut = stored(cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "chunks")
+    of = lambda *parts: F.concat_ws(":", F.lit("c"), "component", *parts).alias("block")
+    first = cut.select("node", "component", F.explode(F.expr("if(chunk = 0, sequence(0, chunks - 1), array(chunk))")).alias("i"))
+    links = _links(sets, whole.union(first.select("node", of("i"))), percent)
+    # What is not in the largest group of its component by now meets all of the component.
+    labels = cut.join(components(links, "node", "component").withColumnRenamed("component", "label"), "node", "left")
+    labels = stored(labels.withColumn("label", F.coalesce("label", "node")), "labels")
+    sizes = labels.groupBy("component", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("largest"))
+    outside = labels.join(largest, "component").where("label <> largest")
+    rest = outside.groupBy("component").agg(F.ceil(F.sum("weight") * 2 / F.lit(BLOCK)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    asking = outside.join(rest, "component").select(
+        "node", "component", part.alias("j"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("i")
+    )
+    asked = cut.join(rest, "component").select(
+        "node", "component", F.explode(F.expr("sequence(0, parts - 1)")).alias("j"), F.col("chunk").alias("i")
+    )
+    meeting = asking.select("node", of(F.lit("u"), "j", "i")).union(asked.select("node", of(F.lit("u"), "j", "i"))).distinct()
+    return components(links.union(_links(sets, meeting, percent)), "node", "component")
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(row, component, id, n_shingles, component_id) of every document; no component without shingles."""
     return _similar(numbered(docs.select(*{id_col, text_col}), "texts"), id_col, text_col, n, percent)
@@ -223,52 +389,12 @@ def _similar(texts: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     kept = F.col("kept")
     rows = texts.select("row", kept[text_col].cast("string").alias("text"), kept[id_col].alias("id"))
     kind = rows.schema["id"].dataType.simpleString()
-    described = rows.mapInArrow(
-        _describe(n, percent, sketch(rows, n)), f"row long, id {kind}, n long, k0 long, k1 long, tokens array<long>"
-    )
+    described = rows.mapInArrow(_describe(n), f"row long, id {kind}, n long, k0 long, k1 long")
     described = stored(described, "sets")
-    classes = described.where("n > 0").groupBy("k0", "k1").agg(
-        F.min("row").alias("node"), F.min("id").alias("least_id"), F.first("n").alias("n")
-    )
+    classes = described.where("n > 0").groupBy("k0", "k1").agg(F.min("row").alias("node"), F.min("id").alias("least_id"))
     classes = stored(classes, "classes")
-
-    indexed = described.where(F.size("tokens") > 0).join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    postings = indexed.select("row", F.explode("tokens").alias("token"))
-    least = F.min("row").over(Window.partitionBy("token"))
-    pairs = postings.select("row", least.alias("least")).where(F.col("row") != F.col("least")).distinct()
-    grouped = components(pairs, "row", "least").join(classes.select("node", "n"), "node")
-    grouped = stored(grouped, "candidates")
-
-    total = grouped.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK))
-    weight = grouped.groupBy("component").agg(F.sum("n").alias("weight"))
-    large = weight.where(F.col("weight") > BLOCK)
-    whole = grouped.join(weight.where(F.col("weight") <= BLOCK), "component").select(
-        "node", F.concat_ws(":", F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(blocks))).alias("block")
-    )
-    is_cut = not large.isEmpty()
-    if is_cut:
-        so_far = F.sum("n").over(Window.partitionBy("component").orderBy("n", "node"))
-        chunked = grouped.join(large.select("component"), "component").withColumn("chunk", F.floor(so_far / (BLOCK // 2)))
-        ranges = chunked.groupBy("component", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        x, y = ranges.alias("x"), ranges.alias("y")
-        meets = x.join(
-            y,
-            (F.col("x.component") == F.col("y.component"))
-            & (F.col("x.chunk") <= F.col("y.chunk"))
-            & (F.col("x.high") * 100 >= F.col("y.low") * percent),
-        ).select(F.col("x.component").alias("component"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
-        ends = meets.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-        cut = chunked.join(ends, ["component", "chunk"]).select("node", F.concat_ws(":", F.lit("c"), "component", "i", "j").alias("block"))
-        whole = whole.union(cut)
-    members = whole.groupBy("node").agg(F.collect_list("block").alias("blocks"))
-    sets = rows.join(members.withColumnRenamed("node", "row").hint("shuffle_hash"), "row")
-    lists = sets.select("row", "text", "blocks").mapInArrow(_with_blocks(n), "node long, shingles array<long>, blocks array<string>")
-    dealt = lists.select("node", "shingles", F.explode("blocks").alias("block"))
-    linked = dealt.groupBy("block").applyInArrow(_block(percent), "node long, component long")
-    if is_cut:
-        linked = components(linked, "node", "component")
-    linked = stored(linked.where(F.col("node") != F.col("component")), "linked")
+    sets = stored(survivors(rows.select("row", "text"), classes, n, percent), "survivors")
+    linked = stored(linked_sets(sets, percent), "linked")
 
     named = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -291,17 +417,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(first.alias("first")).select("first.row")
     kept = kept.union(found.where(F.col("component").isNull()).select("row"))
     return texts.join(stored(kept, "kept").hint("shuffle_hash"), "row", "left_semi").select("kept.*")
-
-
-def _with_blocks(n: int) -> Callable:
-    inner = _sets(n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = 0
-            for out in inner(iter([batch])):
-                blocks = batch.column(2).slice(low, len(out))
-                low += len(out)
-                yield pa.record_batch([*out.columns, blocks], ["node", "shingles", "blocks"])
-
-    return run
