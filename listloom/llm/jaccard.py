@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listloom.llm.components import components
-from listloom.llm.suffixes import _bucket, _heads, _large, _packed, _small
+from listloom.llm.packed import NOTE, NOTES, SENT, answer, distinct, marks, sent
 from listloom.llm.tables import numbered, stored
 from listloom.llm.words import mix, slices, split_words, starts_window, texts_of, windows
 
@@ -48,8 +48,6 @@ SHIFT = np.uint64(64 - TEXT_BITS)
 SLICE_BYTES, SLICE_TEXTS = 4 << 20, 1 << TEXT_BITS
 #: Slices that share a bucket of counts, and buckets of small inputs.
 COUNT_SHARE, BUCKETS = 16, 32
-#: Steps of a count that order shingles, for each doubling.
-STEPS = 12
 #: Shingles in a block.
 BLOCK = 2_000_000
 
@@ -112,8 +110,6 @@ def _describe(n: int) -> Callable:
 # --- Counts of shingles ---------------------------------------------------------------
 
 
-NOTES = pa.schema([("p", pa.int64()), ("kind", pa.int32()), ("b", pa.int32()), ("body", pa.binary())])
-NOTE = "p long, kind int, b int, body binary"
 MARKS, NODES = 0, 1
 
 
@@ -138,68 +134,14 @@ def _of_classes(docs: pa.Table, notes: pa.Table, n: int) -> tuple[np.ndarray, np
     return docs["row"].to_numpy(), np.concatenate(values), ends
 
 
-def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles in order, how often each occurs, and which one each entry is."""
-    order = np.argsort(values, kind="stable")
-    head = _heads(values[order])
-    times = np.diff(np.append(head, len(order)))
-    which = np.empty(len(order), np.int64)
-    which[order] = np.repeat(np.arange(len(head)), times)
-    return values[order][head], times, which
-
-
-def _buckets_of(known: np.ndarray, buckets: int) -> np.ndarray:
-    return _bucket(known << np.uint64(TEXT_BITS), buckets)
-
-
 def _send_counts(n: int, buckets: int) -> Callable:
-    schema = pa.schema([("b", pa.int32()), ("p", pa.int64()), ("first", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("times", pa.binary())])
-
     def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
-        out = {name: [] for name in schema.names}
-        if len(docs) and len(notes):
-            known, times, _ = _distinct(_of_classes(docs, notes, n)[1])
-            for bucket, low, high in _packed(_buckets_of(known, buckets)):
-                # Shingles in order as gaps, whose upper halves are mostly zero.
-                gaps = np.diff(known[low:high])
-                out["b"].append(bucket)
-                out["p"].append(key[0].as_py())
-                out["first"].append(int(known[low]))
-                out["low"].append(gaps.astype(np.uint32).tobytes())
-                out["high"].append(_small((gaps >> np.uint64(32)).astype(np.uint32)))
-                out["times"].append(_small(np.minimum(times[low:high], 255).astype(np.uint8)))
-        return pa.table(out, schema)
+        (known,), times, _ = distinct(_of_classes(docs, notes, n)[1])
+        return sent(key[0].as_py(), known, times, buckets, TEXT_BITS)
 
     return run
 
 
-def _mark_counts(key: tuple, table: pa.Table) -> pa.Table:
-    """For each slice and bucket, a mark of each shingle sent: 0 if one class holds it, else by its number of classes."""
-    sent, times = [], []
-    for first, low, high, counts in zip(*(table[c].to_pylist() for c in ("first", "low", "high", "times"))):
-        low = np.frombuffer(low, np.uint32)
-        gaps = low.astype(np.uint64) | (_large(high, np.uint32, len(low)).astype(np.uint64) << np.uint64(32))
-        values = np.full(len(low) + 1, first, np.uint64)
-        values[1:] += np.cumsum(gaps, dtype=np.uint64)
-        sent.append(values)
-        times.append(_large(counts, np.uint8, len(values)))
-    shingles_, counts = np.concatenate(sent), np.concatenate(times).astype(np.int64)
-    order = np.argsort(shingles_, kind="stable")
-    head = _heads(shingles_[order])
-    total = np.add.reduceat(counts[order], head)
-    level = np.where(total > 1, np.clip(STEPS * np.log2(total), 1, 255), 0).astype(np.uint8)
-    mark = np.empty(len(order), np.uint8)
-    mark[order] = np.repeat(level, np.diff(np.append(head, len(order))))
-    ends = np.cumsum([len(v) for v in sent])
-    out = {name: [] for name in NOTES.names}
-    for p, high, values in zip(table["p"].to_pylist(), ends.tolist(), sent):
-        body = mark[high - len(values) : high]
-        if body.any():
-            for name, value in zip(NOTES.names, (p, MARKS, key[0].as_py(), len(body).to_bytes(8, "little") + _small(body))):
-                out[name].append(value)
-    return pa.table(out, NOTES)
-
-
 SURVIVORS = "node long, n long, tokens array<long>, shingles array<long>"
 
 
@@ -208,14 +150,8 @@ def _survivors(n: int, percent: int, buckets: int) -> Callable:
 
     def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
         nodes, values, ends = _of_classes(docs, notes, n)
-        known, _, which = _distinct(values)
-        bucket = _buckets_of(known, buckets)
-        marks = np.zeros(len(known), np.uint8)
-        for b, kind, body in zip(notes["b"].to_pylist(), notes["kind"].to_pylist(), notes["body"].to_pylist()):
-            if kind == MARKS:
-                low, size = int(np.searchsorted(bucket, b)), int.from_bytes(body[:8], "little")
-                marks[low : low + size] = _large(body[8:], np.uint8, size)
-        mark = marks[which]
+        (known,), _, which = distinct(values)
+        mark = marks(notes, MARKS, known, buckets, TEXT_BITS)[which]
         owner, sizes = np.repeat(np.arange(len(nodes)), np.diff(ends)), np.diff(ends)
         held = np.bincount(owner[mark > 0], minlength=len(nodes))
         need = required(sizes, percent)
@@ -243,10 +179,8 @@ def survivors(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> Data
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(count)).alias("p")
     dealt = rows.select("row", "text", part("row")).groupBy("p")
     packed = classes.select("node", part("node")).groupBy("p").applyInArrow(_pack_nodes, NOTE)
-    sent = dealt.cogroup(packed.groupBy("p")).applyInArrow(
-        _send_counts(n, buckets), "b int, p long, first long, low binary, high binary, times binary"
-    )
-    notes = packed.union(sent.groupBy("b").applyInArrow(_mark_counts, NOTE))
+    counted = dealt.cogroup(packed.groupBy("p")).applyInArrow(_send_counts(n, buckets), SENT)
+    notes = packed.union(counted.groupBy("b").applyInArrow(answer(MARKS), NOTE))
     return dealt.cogroup(notes.groupBy("p")).applyInArrow(_survivors(n, percent, buckets), SURVIVORS)
 
 

@@ -6,160 +6,127 @@ Hashing every window of every text would move each word; instead only windows of
 are hashed.  For any two places some shift below the period brings both to cover
 places, so two equal windows share an aligned anchor (PERIOD - 1 + ANCHOR = WINDOW).
 
-1. Anchors are hashed and grouped; those found once drop out.
-2. Around the others the text is extended: only windows that hold a repeated anchor
-   are hashed whole, with 96 bits, and grouped again.
+1. Texts are dealt into slices of bounded size.  A slice sends the anchors it holds,
+   each once and packed, and learns which occur twice or more in all.
+2. Around these the text is extended: only windows that hold a repeated anchor are
+   hashed whole, with 96 bits, and sent in the same way.
 3. Words covered by windows found twice or more go.
 
-Each task sends a hash once, with a list of its places in the task's slice, so a
-passage shared by a third of all rows gives a key no more rows than there are slices.
-Texts are dealt by row once and that exchange is used for steps 2 and 3.
+The exchange of the texts is made once and used by all three steps.  A slice sends a
+hash once, so a passage shared by a third of all rows gives a key no more entries than
+there are slices, and places do not travel.
 
 Missing and empty texts have no words; texts below ``WINDOW`` words lose none;
-repeated rows and equal ids count as separate texts; an empty table gives an
-empty one; other columns are ignored.
+repeated rows and equal ids count as separate texts; very long texts make a slice of
+their own; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listloom.llm.tables import stored
-from listloom.llm.words import covered, slices, split_words, starts_window, texts_of, windows
+from listloom.llm.packed import NOTE, SENT, answer, distinct, marks, sent
+from listloom.llm.words import covered, split_words, starts_window, texts_of, windows
 
 #: A perfect difference cover: every remainder is a difference of two of these.
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
 WINDOW = 35
 ANCHOR = WINDOW - PERIOD + 1
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SECOND = 0xC2B2AE3D27D4EB4F
+#: Bits of an anchor's hash that do not travel; who shares the others is only a candidate.
+SHIFT = 12
+#: Slices that share a bucket of hashes, and buckets of small inputs.
+SHARE, BUCKETS = 16, 32
+ANCHORS, WINDOWS = 0, 1
+
+
+class _Slice:
+    """Words of the texts of a slice, with their anchors."""
+
+    def __init__(self, table: pa.Table):
+        self.texts = texts_of(table["text"])
+        self.words = split_words(self.texts)
+        self.at = np.arange(len(self.words)) - np.repeat(self.words.first[:-1], self.words.counts)
+        in_cover = np.isin(np.arange(PERIOD), COVER)[self.at % PERIOD][: max(0, len(self.words) - ANCHOR + 1)]
+        self.anchors = np.flatnonzero(starts_window(self.words, ANCHOR) & in_cover)
+        hashes = windows(self.words.hashes, ANCHOR)[self.anchors] >> np.uint64(SHIFT)
+        (self.known,), self.times, self.which = distinct(hashes)
+
+    def candidates(self, marked: np.ndarray) -> None:
+        """Windows that hold a marked anchor; they start up to PERIOD - 1 places before it, in its text."""
+        near = self.anchors[marked[self.which] > 0]
+        starts = np.maximum(near - PERIOD + 1, near - self.at[near])
+        valid = starts_window(self.words, WINDOW)
+        self.starts = np.flatnonzero(valid & covered(starts, near + 1 - starts, len(self.words))[: len(valid)])
+        one = windows(self.words.hashes, WINDOW)[self.starts]
+        two = (windows(self.words.hashes, WINDOW, SECOND)[self.starts] >> np.uint64(32)).astype(np.uint32)
+        (self.known, self.check), self.times, self.which = distinct(one, two)
+
+
+def _send_anchors(buckets: int) -> Callable:
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        part = _Slice(docs)
+        return sent(key[0].as_py(), part.known, part.times, buckets, SHIFT)
 
-PLACES = "row long, at int, more array<struct<row:long,at:int>>"
-_PLACE = pa.struct([("row", pa.int64()), ("at", pa.int32())])
-
-
-def _grouped(keys: list[np.ndarray], rows: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One row for each distinct key, with its first place and a list of the others."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    rows, at = rows[order], at[order].astype(np.int32)
-    head = np.ones(len(order), bool)
-    if len(order):
-        head[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    heads = np.flatnonzero(head)
-    others = np.diff(np.append(heads, len(order))) - 1
-    rest = pa.StructArray.from_arrays([pa.array(rows[~head]), pa.array(at[~head])], fields=list(_PLACE))
-    # Most keys stand alone: a null list takes less room than an empty one.
-    ends = pa.array(np.concatenate(([0], np.cumsum(others))), pa.int32())
-    more = pa.ListArray.from_arrays(ends, rest, mask=pa.array(others == 0))
-    names = [f"h{i}" for i in range(len(keys))] + ["row", "at", "more"]
-    return pa.record_batch([*(pa.array(k[head]) for k in keys), pa.array(rows[head]), pa.array(at[head]), more], names)
-
-
-def _places(batch: pa.RecordBatch, low: int, high: int):
-    """Words of rows low to high, with the row and place of each."""
-    words = split_words(texts_of(batch.column(1).slice(low, high - low)))
-    rows = np.repeat(batch.column(0).to_numpy()[low:high], words.counts)
-    return words, rows, np.arange(len(words)) - np.repeat(words.first[:-1], words.counts)
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    in_cover = np.isin(np.arange(PERIOD), COVER)
-    for batch in batches:
-        for low, high in slices(batch.column(1), SLICE_BYTES):
-            words, rows, at = _places(batch, low, high)
-            chosen = np.flatnonzero(starts_window(words, ANCHOR) & in_cover[at % PERIOD][: max(0, len(words) - ANCHOR + 1)])
-            yield _grouped([windows(words.hashes, ANCHOR)[chosen].view(np.int64)], rows[chosen], at[chosen])
-
-
-def _flat(lists: pa.ListArray, words, texts: int) -> np.ndarray:
-    """Places within the texts as places within the run of words."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    counts = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()]) if lists.null_count else np.diff(lists.offsets.to_numpy())
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[:texts], counts)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high in slices(batch.column(1), SLICE_BYTES):
-            words, rows, at = _places(batch, low, high)
-            valid = starts_window(words, WINDOW)
-            anchors = _flat(batch.column(2).slice(low, high - low), words, high - low)
-            # A window that holds the anchor starts up to PERIOD - 1 places before it, in its text.
-            starts = np.maximum(anchors - PERIOD + 1, anchors - at[anchors])
-            near = covered(starts, anchors + 1 - starts, len(words))[: len(valid)]
-            chosen = np.flatnonzero(valid & near)
-            one = windows(words.hashes, WINDOW)[chosen].view(np.int64)
-            two = (windows(words.hashes, WINDOW, SECOND)[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield _grouped([one, two], rows[chosen], at[chosen])
-
-
-def _removed(id_kind: str, with_text: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in slices(batch.column(1), SLICE_BYTES):
-                texts = texts_of(batch.column(1).slice(low, high - low))
-                words = split_words(texts)
-                starts = _flat(batch.column(2).slice(low, high - low), words, high - low)
-                gone = covered(starts, WINDOW, len(words))
-                n_gone = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
-                data, digests, kept = texts.data.tobytes(), [], []
-                for i in range(high - low):
-                    a, b = words.first[i], words.first[i + 1]
-                    if n_gone[i]:
-                        stay = a + np.flatnonzero(~gone[a:b])
-                        parts = [data[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())]
-                    else:
-                        parts = data[texts.offsets[i] : texts.offsets[i + 1]].split()
-                    text = b" ".join(parts)
-                    digests.append(hashlib.sha256(text).hexdigest())
-                    if with_text:
-                        kept.append(text.decode())
-                columns = [batch.column(3).slice(low, high - low), pa.array(words.counts), pa.array(n_gone), pa.array(digests, pa.string())]
-                names = ["id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept_text"]
-                yield pa.record_batch(columns, names)
+    return run
+
+
+def _send_windows(buckets: int) -> Callable:
+    def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
+        part = _Slice(docs)
+        part.candidates(marks(notes, ANCHORS, part.known, buckets, SHIFT))
+        return sent(key[0].as_py(), part.known, part.times, buckets, check=part.check)
 
     return run
 
 
-def _repeated(hashed: DataFrame, *keys: str) -> DataFrame:
-    """Per row, the places whose key is found twice or more."""
-    found = hashed.withColumn("slices", F.count("*").over(Window.partitionBy(*keys)))
-    found = found.where((F.col("slices") > 1) | F.col("more").isNotNull())
-    none = F.array().cast("array<struct<row:long,at:int>>")
-    each = found.select(F.explode(F.concat(F.array(F.struct("row", "at")), F.coalesce("more", none))).alias("p"))
-    return each.groupBy("p.row").agg(F.collect_list("p.at").alias("places"))
+def _removed(buckets: int, with_text: bool) -> Callable:
+    def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
+        part = _Slice(docs)
+        words, texts = part.words, part.texts
+        part.candidates(marks(notes, ANCHORS, part.known, buckets, SHIFT))
+        found = marks(notes, WINDOWS, part.known, buckets)
+        gone = covered(part.starts[found[part.which] > 0], WINDOW, len(words))
+        n_gone = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
+        data, digests, kept = texts.data.tobytes(), [], []
+        for i in range(len(texts)):
+            a, b = words.first[i], words.first[i + 1]
+            if n_gone[i]:
+                stay = a + np.flatnonzero(~gone[a:b])
+                parts = [data[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())]
+            else:
+                parts = data[texts.offsets[i] : texts.offsets[i + 1]].split()
+            text = b" ".join(parts)
+            digests.append(hashlib.sha256(text).hexdigest())
+            if with_text:
+                kept.append(text.decode())
+        out = {"id": docs["id"], "n_words": words.counts, "n_removed": n_gone, "kept_sha256": pa.array(digests, pa.string())}
+        return pa.table(out | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
+
+    return run
 
 
 def remove_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, scan: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """Per document: words, words removed, and digest (and text, if asked) of those that stay.
-
-    Rows get ids where they are read, and are read more than once.  ``scan`` says that
-    ``docs`` is read straight from files, so the ids stay the same; else it is stored first.
-    """
-    if not scan:
-        docs = stored(docs.select(*{id_col, text_col}), "texts")
+    """Per document: words, words removed, and digest (and text, if asked) of those that stay."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, -(-total // slice_bytes))
+    buckets = max(min(slices, BUCKETS), slices // SHARE)
+    # Dealt by content, so that no later step depends on how the rows were read.
+    dealt = rows.withColumn("p", F.pmod(F.xxhash64("id", "text"), F.lit(slices))).groupBy("p")
+    anchors = dealt.applyInArrow(_send_anchors(buckets), SENT).groupBy("b").applyInArrow(answer(ANCHORS), NOTE)
+    hashed = dealt.cogroup(anchors.groupBy("p")).applyInArrow(_send_windows(buckets), SENT)
+    notes = anchors.union(hashed.groupBy("b").applyInArrow(answer(WINDOWS), NOTE))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")
-    )
-    anchors = rows.select("row", "text").mapInArrow(_anchors, f"h0 long, {PLACES}")
-    dealt = rows.repartition("row")
-    found = dealt.join(_repeated(anchors, "h0").hint("shuffle_hash"), "row", "left")
-    whole = found.select("row", "text", "places", "id").where(F.col("places").isNotNull())
-    hashed = whole.mapInArrow(_candidates, f"h0 long, h1 int, {PLACES}")
-    hits = _repeated(hashed, "h0", "h1")
-    final = dealt.join(hits.hint("shuffle_hash"), "row", "left").select("row", "text", "places", "id")
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return final.mapInArrow(_removed(kind, with_text), schema).withColumnRenamed("id", id_col)
+    out = dealt.cogroup(notes.groupBy("p")).applyInArrow(_removed(buckets, with_text), schema)
+    return out.withColumnRenamed("id", id_col)

@@ -100,7 +100,7 @@ def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_passages(table(spark, sf_dir, "documents"), scan=True)
+    return remove_passages(table(spark, sf_dir, "documents"))
 
 
 @query()

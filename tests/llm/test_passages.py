@@ -52,6 +52,7 @@ def test_planted_passages(spark):
             parts.insert(rng.randrange(len(parts)), passages[0] if rng.random() < 0.4 else rng.choice(passages))
         rows.append((i, "\n".join(parts)))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    _check(remove_passages(frame), rows)
+    for slice_bytes in (1 << 22, 3000, 200):
+        _check(remove_passages(frame, slice_bytes=slice_bytes), rows)
     texts = {r["doc_id"]: r["kept_text"] for r in remove_passages(frame, with_text=True).collect()}
     assert len(texts) == 150
