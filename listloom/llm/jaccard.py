@@ -50,6 +50,8 @@ SLICE_BYTES, SLICE_TEXTS = 4 << 20, 1 << TEXT_BITS
 COUNT_SHARE, BUCKETS = 16, 32
 #: Shingles in a block.
 BLOCK = 2_000_000
+#: Entries of short lists above which a set first tries a few of the last ones.
+FEW = 64
 
 
 class Sets:
@@ -203,35 +205,59 @@ def search(nodes: np.ndarray, values: np.ndarray, counts: np.ndarray, sizes: np.
     begin[order] = starts[np.cumsum(head) - 1]
     before = np.empty(len(order), np.int64)
     before[order] = np.arange(len(order)) - starts[np.cumsum(head) - 1]
+    # Of each list a member, and whether all entries so far were of its component when they came.
+    member, alike = np.full(len(order), -1), np.ones(len(order), bool)
+
+    def overlap(c: int, lists_at: np.ndarray, lengths: np.ndarray) -> int:
+        """In how many of some lists a set stands, by binary search."""
+        low, high = lists_at.copy(), lists_at + lengths
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            less = open_ & (holders[np.minimum(middle, len(holders) - 1)] < c)
+            low = np.where(less, middle + 1, low)
+            high = np.where(open_ & ~less, middle, high)
+        return int(((low < lists_at + lengths) & (holders[np.minimum(low, len(holders) - 1)] == c)).sum())
+
+    def link(q: int, c: int) -> None:
+        if label[q] == q:
+            label[q] = label[c]
+        else:
+            label[label == max(label[q], label[c])] = min(label[q], label[c])
+
     for q in range(m):
         size, need = int(sizes[q]), int(required(sizes[q], percent))
-        own, length = begin[ends[q] : ends[q + 1]], before[ends[q] : ends[q + 1]]
+        all_own = begin[ends[q] : ends[q + 1]]
+        length = before[ends[q] : ends[q + 1]]
         used = np.flatnonzero(length)
-        if len(used) < need or not need:
-            continue
-        used = used[np.argsort(length[used], kind="stable")]
-        own, length = own[used], length[used]
-        cut = len(used) - (need - 1)
-        merged = np.sort(np.concatenate([holders[a : a + k] for a, k in zip(own[:cut].tolist(), length[:cut].tolist())]), kind="stable")
-        turn = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
-        found, times = merged[turn], np.diff(np.append(turn, len(merged)))
-        keep = (100 * sizes[found] >= percent * size) & (label[found] != label[q])
-        found, times = found[keep], times[keep]
-        # The most frequent first: one link spares all others of its component.
-        for k in np.argsort(-times, kind="stable"):
-            c = int(found[k])
-            if label[c] == label[q]:
-                continue
-            low, high = own[cut:].copy(), own[cut:] + length[cut:]
-            while len(low) and (open_ := low < high).any():
-                middle = (low + high) >> 1
-                less = open_ & (holders[np.minimum(middle, len(holders) - 1)] < c)
-                low = np.where(less, middle + 1, low)
-                high = np.where(open_ & ~less, middle, high)
-            in_long = (low < own[cut:] + length[cut:]) & (holders[np.minimum(low, len(holders) - 1)] == c)
-            overlap = int(times[k]) + int(in_long.sum())
-            if 100 * overlap >= percent * (size + int(sizes[c]) - overlap):
-                label[label == max(label[q], label[c])] = min(label[q], label[c])
+        if len(used) >= need > 0:
+            used = used[np.argsort(length[used], kind="stable")]
+            own, length = all_own[used], length[used]
+            cut = len(used) - (need - 1)
+            similar = lambda c, both: 100 * both >= percent * (size + int(sizes[c]) - both)  # noqa: B023, E731
+            if length[:cut].sum() > FEW:
+                # Very many may be alike: a few of them usually link, and their component is then left out.
+                some = [holders[a + max(0, k - FEW) : a + k] for a, k in zip(own[:8].tolist(), length[:8].tolist())]
+                near, often = np.unique(np.concatenate(some), return_counts=True)
+                for c in near[np.argsort(-often, kind="stable")][:4].tolist():
+                    if label[c] != label[q] and similar(c, overlap(c, own, length)):
+                        link(q, c)
+            # Lists of nothing but the own component hold no one to link.
+            open_ = np.flatnonzero(~alike[own[:cut]] | (label[member[own[:cut]]] != label[q]))
+            parts = [holders[a : a + k] for a, k in zip(own[open_].tolist(), length[open_].tolist())]
+            merged = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            merged = np.sort(merged[label[merged] != label[q]], kind="stable")
+            turn = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1]))[: len(merged)])
+            found, times = merged[turn], np.diff(np.append(turn, len(merged)))
+            keep = 100 * sizes[found] >= percent * size
+            found, times = found[keep], times[keep]
+            # The most frequent first: one link spares all others of its component.
+            for k in np.argsort(-times, kind="stable"):
+                c = int(found[k])
+                if label[c] != label[q] and similar(c, int(times[k]) + overlap(c, own[cut:], length[cut:])):
+                    link(q, c)
+        first = member[all_own] < 0
+        alike[all_own] &= first | (label[member[all_own]] == label[q])
+        member[all_own[first]] = q
     return label
 
 

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from listloom.llm import jaccard, leaks
@@ -74,6 +76,33 @@ def test_near_copies_and_cut_components(spark, monkeypatch, block):
     assert _rows(similar_classes(frame)) == brute(rows)
 
 
+def test_search_in_one_large_group():
+    """Thousands of near copies, some of them of two texts at once, are searched in little time."""
+    rng = random.Random(4)
+    base = [rng.sample(range(10**9), 100) for _ in range(3)]
+    sets = []
+    for i in range(4000):
+        words = set(base[0] if i % 10 else base[rng.randrange(1, 3)])
+        for _ in range(rng.randrange(9)):
+            words.discard(rng.choice(sorted(words)))
+            words.add(rng.randrange(10**9))
+        sets.append(sorted(words))
+    sets.sort(key=len)
+    sizes = np.array([len(s) for s in sets])
+    began = time.perf_counter()
+    label = jaccard.search(np.arange(len(sets)), np.concatenate(sets).astype(np.uint64), sizes, sizes, 85)
+    assert time.perf_counter() - began < 20
+    of = [max(range(3), key=lambda k: len(set(base[k]) & set(s))) for s in sets]
+    groups = [set(label[[i for i, o in enumerate(of) if o == k]].tolist()) for k in range(3)]
+    assert not groups[0] & groups[1] and not groups[0] & groups[2] and not groups[1] & groups[2]
+    linked = [len(s & set(t)) * 100 >= 85 * len(s | set(t)) for k in range(3) for s in [set(sets[of.index(k)])] for t in sets[:400]]
+    assert sum(linked) > 100
+    for k in range(3):
+        s = set(sets[of.index(k)])
+        near = [i for i, t in enumerate(sets) if len(s & set(t)) * 100 >= 85 * len(s | set(t))]
+        assert {label[i] for i in near} == {label[of.index(k)]}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(200)]
