@@ -6,8 +6,9 @@ stand, which a merge of lower rank across c's right end can prevent, and so on.
 longest such chain, found by one pass over the merges in order of rank, bounds the
 bytes that can matter: the merge list's sufficient lookahead.  Tokens that end at
 least that far before what has been read are final and leave the buffer, so a run of
-any length is encoded in constant memory.  Text is likewise cut into runs by the
-split pattern as it arrives, holding back only what a later character may change.
+any length is encoded with a buffer of constant size, fed as the split pattern gives its
+place in the text; a piece is merged by a heap of ranks, in time of its length times the
+logarithm.  The text itself and its ids, four bytes a token, are held for the row.
 
 Decoding runs tokens through a byte-to-text state machine that keeps at most an
 unfinished character.
@@ -25,6 +26,7 @@ import json
 import re
 from codecs import getincrementaldecoder
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters read at a time, and above which a run is fed to the transducer in pieces.
+#: Characters of a text, and runs of it, handled at a time; above LONG_RUN a run is fed to the transducer.
 CHUNK, LONG_RUN = 1 << 16, 64
+#: Lookaheads fed at a time: what is merged again because it was not final is a small part.
+FEED = 16
 NONE = np.int64(2**62)
 #: Runs remembered by a worker.
 MEMO = 300_000
@@ -111,30 +115,30 @@ class Vocabulary:
         return longest
 
     def merge(self, run: bytes) -> list[int]:
-        """Tokens of a whole run: the pair of lowest rank merges first, leftmost of equals."""
-        tokens = [self.byte_id[b] for b in run]
-        get = self.merges.get
-        while len(tokens) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(tokens, tokens[1:])):
-                found = get(pair)
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            a, b = tokens[at], tokens[at + 1]
-            # All places of this pair, from the left.
-            out, i, n = tokens[:at], at, len(tokens)
-            while i < n:
-                if tokens[i] == a and i + 1 < n and tokens[i + 1] == b:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(tokens[i])
-                    i += 1
-            tokens = out
-        return tokens
-
+        """Tokens of a whole run: the pair of lowest rank merges first, leftmost of equals.
+
+        Pairs wait in a heap; neighbours are linked, so a merge costs no more than the heap.
+        """
+        byte_id, get = self.byte_id, self.merges.get
+        tokens, n = [byte_id[b] for b in run], len(run)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*found, i, pair) for i, pair in enumerate(zip(tokens, tokens[1:])) if (found := get(pair)) is not None]
+        heapify(heap)
+        while heap:
+            _, merged, i, (a, b) = heappop(heap)
+            j = after[i]
+            if tokens[i] != a or j >= n or tokens[j] != b:
+                continue
+            tokens[i], tokens[j] = merged, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (found := get((merged, tokens[k]))) is not None:
+                    heappush(heap, (*found, i, (merged, tokens[k])))
+            h = before[i]
+            if h >= 0 and (found := get((tokens[h], merged))) is not None:
+                heappush(heap, (*found, h, (tokens[h], merged)))
+        return [t for t in tokens if t >= 0]
 
     def _table(self) -> None:
         """Merges as arrays sorted by pair, for :meth:`merge_many`."""
@@ -223,26 +227,29 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.any, self.fast = regex.compile(PATTERN).findall, split_pattern().findall
+        self.any, self.fast = regex.compile(PATTERN), split_pattern()
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.memo: dict[str, bytes] = {}
 
+    def _pattern(self, text: str):
+        return self.any if self.beyond(text) else self.fast
+
     def split(self, text: str) -> list[str]:
-        return self.any(text) if self.beyond(text) else self.fast(text)
-
-    def run(self, run: str) -> bytes:
-        data = run.encode()
-        if len(data) <= LONG_RUN:
-            tokens = self.vocabulary.merge(data)
-        else:
-            transducer, tokens = RunTransducer(self.vocabulary), []
-            step = 4 * self.vocabulary.lookahead
-            for i in range(0, len(data), step):
-                tokens += transducer.feed(data[i : i + step])
-            tokens += transducer.finish()
-        return np.array(tokens, "<u4").tobytes()
+        return self._pattern(text).findall(text)
+
+    def run(self, text: str, low: int = 0, high: int | None = None) -> bytes:
+        """Ids of the run at a place of a text, which is never cut out or held as a whole."""
+        high = len(text) if high is None else high
+        if high - low <= LONG_RUN:
+            return np.array(self.vocabulary.merge(text[low:high].encode()), "<u4").tobytes()
+        transducer, out = RunTransducer(self.vocabulary), []
+        step = FEED * self.vocabulary.lookahead
+        for i in range(low, high, step):
+            out.append(np.array(transducer.feed(text[i : min(i + step, high)].encode()), "<u4").tobytes())
+        out.append(np.array(transducer.finish(), "<u4").tobytes())
+        return b"".join(out)
 
     def _ids(self, lists: list[list[str]]) -> list[bytes]:
         """Ids of several lists of runs; runs not met before are merged together."""
@@ -261,22 +268,18 @@ class Encoder:
             found[i] = [new[r] if ids is None else ids for r, ids in zip(lists[i], found[i])]
         return [b"".join(ids) for ids in found]
 
-    def _pieces(self, text: str) -> Iterator[list[str]]:
-        """Runs of a text without special tokens, final ones as the text is read."""
-        rest = ""
-        for i in range(0, len(text), CHUNK):
-            rest += text[i : i + CHUNK]
-            if i + CHUNK >= len(text):
-                break
-            runs = self.split(rest)
-            # A run is final if three characters follow it.
-            held = 0
-            while runs and held < 3:
-                held += len(runs.pop())
-            if runs:
-                yield runs
-                rest = rest[len(rest) - held :]
-        yield self.split(rest)
+    def _stream(self, text: str) -> Iterator[bytes]:
+        """Ids of a text without special tokens, run by run as the pattern meets them."""
+        runs: list[str] = []
+        for found in self._pattern(text).finditer(text):
+            low, high = found.span()
+            if high - low <= LONG_RUN and len(runs) < CHUNK:
+                runs.append(text[low:high])
+                continue
+            yield self._ids([runs])[0]
+            runs = []
+            yield self.run(text, low, high)
+        yield self._ids([runs])[0]
 
     def _long(self, text: str) -> bytes:
         parts = self.special.split(text) if self.special else [text]
@@ -285,7 +288,7 @@ class Encoder:
             if i % 2:
                 out.append(np.array([self.vocabulary.special[part]], "<u4").tobytes())
             else:
-                out.extend(self._ids([runs])[0] for runs in self._pieces(part))
+                out.extend(self._stream(part))
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:

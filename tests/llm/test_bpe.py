@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,25 @@ def test_lookahead_is_sufficient(own):
         assert held < 3 * own.vocabulary.lookahead
 
 
+def test_long_runs(library, own, monkeypatch):
+    """Runs of a million letters take seconds, the buffer stays small, and ids are the library's."""
+    rng = random.Random(9)
+    held, feed = [], RunTransducer.feed
+
+    def watched(self, piece):
+        out = feed(self, piece)
+        held.append(len(self.buffer))
+        return out
+
+    monkeypatch.setattr(RunTransducer, "feed", watched)
+    began = time.perf_counter()
+    for letters, n in (("ACGT", 600_000), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 400_000), ("=-", 100_000)):
+        text = "a word " + "".join(rng.choices(letters, k=n)) + " 12"
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(held) < 3 * own.vocabulary.lookahead
+    assert time.perf_counter() - began < 60
+
+
 def test_decoding_of_broken_bytes(library, own):
     rng = random.Random(5)
     for _ in range(200):
