@@ -50,6 +50,7 @@ _HEX_ONLY = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: What may enclose or follow a value without being part of it.
 ENCLOSING = " \t\n\x0b\x0c\r\"'`()[]{}<>,;:."
+LETTER = re.compile(r"[^\W_]")
 SHAPES, LENGTHS = 16, 5
 CLASSES = SHAPES * LENGTHS * 2 + 1  # the last stands beyond the ends of a text
 O, B, I = range(3)  # noqa: E741
@@ -283,7 +284,8 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Fiel
 def uncovered(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """What the fixed patterns leave of a span of the field; the whole span where they touch it nowhere.
 
-    A value in quotes ends with the word of its closing quote.
+    A value in quotes ends with the word of its closing quote; of that, what holds no
+    letter or digit is no part of a secret.
     """
     inside = sorted((s, e) for s, e, k in spans if k < 3 and s < end and start < e)
     if not inside:
@@ -293,7 +295,7 @@ def uncovered(text: str, start: int, end: int, spans: list[tuple[int, int, int]]
         piece = text[at:s]
         if closed:
             piece = re.match(r"\S*", piece)[0]
-        if piece.strip(ENCLOSING):
+        if piece.strip(ENCLOSING) and (LETTER.search(piece) or piece[0] not in "\"'"):
             out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip()), 3))
         if e >= at:
             value = m.start(2) if (m := ASSIGN.match(text, s)) else s
@@ -322,6 +324,8 @@ def scan(texts: Texts, field: Field) -> list[list[tuple[int, int, int]]]:
         begins[1:] = (tags[tagged[1:]] == B) | (np.diff(tagged) > 1) | (np.diff(text[tagged]) > 0)
         heads = np.flatnonzero(begins)
         for a, b in zip(tagged[heads].tolist(), tagged[np.append(heads[1:], len(tagged)) - 1].tolist()):
+            if not LETTER.search(data[words.starts[a] : words.ends[b]].decode()):
+                continue
             i = int(text[a])
             base = int(offsets[i])
             chars = lambda end: int((~CONTINUATION[texts.data[base:end]]).sum())  # noqa: B023, E731

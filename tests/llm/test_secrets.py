@@ -116,6 +116,9 @@ def test_field_spans_that_touch_patterns():
     assert found[4] == [(0, 1, 3), (1, 41, 2), (41, 42, 3)]
     assert found[5] == [(0, 49, 0), (9, 49, 2), (49, 52, 3)]
     assert found[6] == [(0, 13, 0), (13, 18, 3)]
+    odd = [f'token = "{VALUE}"###', f"token = '{VALUE}'!! x", "### !!"]
+    found = scan(texts_of(pa.array(odd)), _tagging_all())
+    assert found[0] == [(0, 49, 0), (9, 49, 2)] and (49, 52, 3) not in found[1] and not found[2]
 
 
 def _empty():
