@@ -1,17 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a token are vectors of its word (if known), and of its first and last
-characters.  Two gated recurrent units read every window of ``WINDOW`` words, forth
-and back; attention pools their states; a logistic unit scores the window.  Windows
-overlap by a quarter and cover the whole text, and a text scores as its highest window.
+Inputs of a token are vectors of its word (if known), and of its characters: of all
+runs of ``GRAM`` bytes of the whole word with its ends marked, hashed and averaged.  Two
+gated recurrent units read every window of ``WINDOW`` words, forth and back; attention
+pools their states; a logistic unit scores the window.  Windows begin at every quarter
+of a window and cover the whole text, and a text scores as its highest window.
 
 Training, in numpy with gradients written out, uses at most ``SAMPLE`` labelled texts
 of each label, of at most ``SAMPLE_CHARS`` characters, chosen by hash of the id.  Only
 texts are labelled, so a toxic text stands by its most suspicious window: first by
 the words' log odds, then, in later rounds, by these and the network.
 
-Products of word vectors and input weights are tables, so scoring a token costs three
-look-ups and one small product.  One row stays one row: no shuffle but for the sample,
+Products of vectors and input weights are tables, and characters are summed up once for
+each distinct word of a slice, so scoring a token costs two look-ups and one small
+product.  One row stays one row: no shuffle but for the sample,
 whose ids are copied to the executors.
 
 Missing and empty texts have no window and get the network's score without evidence;
@@ -31,38 +33,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listloom.llm.classlm import Lookup, held_out
-from listloom.llm.words import ALNUM, slices, split_words, texts_of
+from listloom.llm.packed import ramp
+from listloom.llm.words import ALNUM, mix, slices, split_words, texts_of
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE, GRAM, LONG = 32, 8, 3, 32
 WIDTH, STATE, CHARS = 8, 8, 4096
 SAMPLE, SAMPLE_CHARS, MIN_TEXTS = 1500, 6000, 3
 SLICE_BYTES, WINDOWS = 2 << 20, 2048
 F32 = np.float32
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 
 
 class Tokens:
-    """Known-word number (0: unknown) and hashes of both ends of every token."""
+    """Known-word number (0: unknown) and form of every token; a form is a distinct word with its runs of characters."""
 
     def __init__(self, column: pa.Array, vocabulary: Lookup | None = None):
         texts = texts_of(column)
         words = split_words(texts, ALNUM, lower=True)
         self.first, self.hashes = words.first, words.hashes
-        data = np.concatenate((_LOWER[texts.data], np.zeros(4, np.uint32)))
-        size = words.ends - words.starts
-        begin, end = np.zeros(len(words), np.uint32), np.zeros(len(words), np.uint32)
-        for k in range(4):
-            use = size > k
-            begin = begin * np.uint32(257) + np.where(use, data[words.starts + k], 0).astype(np.uint32)
-            end = end * np.uint32(257) + np.where(use, data[np.maximum(words.ends - 1 - k, 0)], 0).astype(np.uint32)
-        spread = lambda h, salt: ((h * np.uint32(2654435761) + np.uint32(salt)) >> np.uint32(20)).astype(np.int64)
-        self.begin, self.end = spread(begin, 1), spread(end, 77777)
+        _, at, self.form = np.unique(words.hashes, return_index=True, return_inverse=True)
+        # Of every form its bytes with a mark before and behind, and the runs that begin in it.
+        size = (words.ends - words.starts)[at] + 2
+        begin = np.cumsum(size) - size
+        bytes_ = np.ones(int(size.sum()) + GRAM, np.uint64)
+        inside = np.repeat(begin + 1, size - 2) + ramp(size - 2)
+        bytes_[inside] = _LOWER[texts.data[np.repeat(words.starts[at], size - 2) + ramp(size - 2)]] + np.uint64(2)
+        runs = np.zeros(int(size.sum()), np.uint64)
+        for k in range(GRAM):
+            runs = runs * np.uint64(0x100000001B3) + bytes_[k : k + len(runs)]
+        self.many = np.maximum(size - GRAM + 1, 1)
+        chosen = np.repeat(begin, self.many) + ramp(self.many)
+        self.runs = (mix(runs[chosen]) % np.uint64(CHARS)).astype(np.int64)
         self.word = np.zeros(len(words), np.int64)
         if vocabulary is not None:
             number, known = vocabulary.find(words.hashes)
             self.word = np.where(known, number, 0)
 
+    def spelled(self, table: np.ndarray, forms: np.ndarray | None = None) -> np.ndarray:
+        """Of each form, or of some, the mean of the rows of its runs."""
+        many = self.many if forms is None else self.many[forms]
+        begin = np.cumsum(self.many) - self.many
+        begin = begin if forms is None else begin[forms]
+        out = np.zeros((len(many), table.shape[1]), table.dtype)
+        # Run by run of all words that have as many; what long words have beyond is summed up at once.
+        left = np.arange(len(many))
+        for k in range(LONG):
+            left = left[many[left] > k]
+            out[left] += np.take(table, self.runs[begin[left] + k], 0)
+        for form in left[many[left] > LONG].tolist():
+            low = begin[form]
+            out[form] += table[self.runs[low + LONG : low + many[form]]].sum(0)
+        return out / many[:, None].astype(table.dtype)
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and text of all windows."""
         n = np.diff(self.first)
@@ -84,7 +107,7 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 0.3, shape).astype(F32)
         self.vocabulary = vocabulary
-        self.w = {"word": draw(len(odds), WIDTH) * F32(0.3), "begin": draw(CHARS, WIDTH) * F32(0.1), "end": draw(CHARS, WIDTH) * F32(0.1)}
+        self.w = {"word": draw(len(odds), WIDTH) * F32(0.3), "chars": draw(CHARS, WIDTH) * F32(0.3)}
         self.w["word"][:, 0] = odds
         for side in "fb":
             self.w |= {f"in_{side}": draw(WIDTH, 3 * STATE), f"state_{side}": draw(STATE, 3 * STATE), f"bias_{side}": np.zeros(3 * STATE, F32)}
@@ -97,10 +120,9 @@ class Network:
         self.tables: dict = {}
 
     def prepare(self) -> Network:
-        """Products of input vectors and input weights, for scoring."""
+        """Products of word vectors and input weights, for scoring."""
         for side in "fb":
-            self.tables[side] = [self.w[k] @ self.w[f"in_{side}"] for k in ("word", "begin", "end")]
-            self.tables[side][0] = self.tables[side][0] + self.w[f"bias_{side}"]
+            self.tables[side] = self.w["word"] @ self.w[f"in_{side}"] + self.w[f"bias_{side}"]
         return self
 
     def _run(self, inputs: np.ndarray, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
@@ -147,8 +169,9 @@ class Network:
     def logits(self, tokens: Tokens, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Logit of each window."""
         out = np.zeros(len(start), F32)
-        ids = tokens.word, tokens.begin, tokens.end
-        inputs = {side: sum(np.take(table, i, 0) for table, i in zip(self.tables[side], ids)) for side in "fb"}
+        chars, inputs = tokens.spelled(self.w["chars"]), {}
+        for side, table in self.tables.items():
+            inputs[side] = np.take(table, tokens.word, 0) + np.take(chars @ self.w[f"in_{side}"], tokens.form, 0)
         attend = np.ascontiguousarray(self.w["attend"].T)
         for low in range(0, len(start), WINDOWS):
             s, n = start[low : low + WINDOWS], length[low : low + WINDOWS]
@@ -184,8 +207,10 @@ class Network:
         step = np.arange(WINDOW)[:, None]
         at = np.minimum(start + step, len(tokens.word) - 1)
         mask = (step < length).astype(F32)
-        ids = {"word": tokens.word[at], "begin": tokens.begin[at], "end": tokens.end[at]}
-        x = sum(w[k][i] for k, i in ids.items())
+        word = tokens.word[at]
+        met, form = np.unique(tokens.form[at], return_inverse=True)
+        form = form.reshape(at.shape)
+        x = w["word"][word] + tokens.spelled(w["chars"], met)[form]
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self._run(x @ w[f"in_{s}"] + w[f"bias_{s}"], mask, s, kept[s]) for s in "fb"], 2)
         inner, share, pooled, logit = self._pool(states, mask)
@@ -218,13 +243,18 @@ class Network:
             g[f"in_{side}"] = np.tensordot(x, d_in, ((0, 1), (0, 1)))
             d_x += d_in @ w[f"in_{side}"].T
         d_x *= mask[:, :, None]
-        for key, index in ids.items():
-            g[key] = np.zeros_like(w[key])
-            np.add.at(g[key], index.ravel(), d_x.reshape(-1, WIDTH))
+        g["word"], g["chars"] = np.zeros_like(w["word"]), np.zeros_like(w["chars"])
+        d_x = d_x.reshape(-1, WIDTH)
+        np.add.at(g["word"], word.ravel(), d_x)
+        d_form = np.zeros((len(met), WIDTH), d_x.dtype)
+        np.add.at(d_form, form.ravel(), d_x)
+        begin, many = (np.cumsum(tokens.many) - tokens.many)[met], tokens.many[met]
+        runs = tokens.runs[np.repeat(begin, many) + ramp(many)]
+        np.add.at(g["chars"], runs, np.repeat(d_form / many[:, None].astype(d_x.dtype), many, axis=0))
         return g
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 3, steps: int = 60, batch: int = 256, rate: float = 0.02) -> Network:
+def fit(texts: list[str], labels: list[int], rounds: int = 4, steps: int = 80, batch: int = 256, rate: float = 0.02) -> Network:
     """Train on labelled texts; see the module's text for how windows are chosen."""
     column, label = pa.array(texts, pa.string()), np.array(labels, bool)
     tokens = Tokens(column)

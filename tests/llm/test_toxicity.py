@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,17 @@ def test_held_out_accuracy(spark):
     rows = QUERIES["op6_attention_network"](spark, sf_dir).collect()
     assert len(rows) == pq.read_table(f"{sf_dir}/documents.parquet").num_rows
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
-    # In three of the four languages toxic texts are few here and hold no word of their own.
-    english = {r["doc_id"] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist() if r["lang"] == "en"}
-    pairs = [(labels[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in labels.keys() & english]
-    hit = sum(a and b for a, b in pairs)
-    assert hit >= 0.8 * sum(a for a, _ in pairs) and hit >= 0.9 * sum(b for _, b in pairs)
-    low, high = ([r["score"] for r in rows if r["held_out"] and labels.get(r["doc_id"]) == k] for k in (0, 1))
-    assert np.mean(np.array(high)[:, None] > np.array(low)) > 0.75
+    lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    hits, toxic = Counter(), Counter()
+    for r in held:
+        toxic[lang[r["doc_id"]]] += labels[r["doc_id"]]
+        hits[lang[r["doc_id"]]] += labels[r["doc_id"]] and r["predicted"]
+    found = sum(hits.values())
+    assert found >= 0.85 * sum(toxic.values()) and found >= 0.9 * sum(r["predicted"] for r in held), (hits, toxic)
+    assert all(hits[k] >= 0.8 * n for k, n in toxic.items() if n >= 10), (hits, toxic)
+    low, high = ([r["score"] for r in held if labels[r["doc_id"]] == k] for k in (0, 1))
+    assert np.mean(np.array(high)[:, None] > np.array(low)) > 0.85
 
 
 def test_gradient_equals_difference():
