@@ -37,8 +37,7 @@ def _typed(dialect: int) -> str:
 NUMBERED = values([(i, ko, official) for i, (ko, official) in enumerate(EXPECTED_ALIASES)])
 
 
-@query(
-    f"""
+NAMES_SQL = f"""
     WITH {ALIASES}, numbered(i, ko, official) AS ({NUMBERED}), typed AS (
         SELECT p_partkey, {_typed(1)} AS typed FROM part JOIN numbered ON i = p_partkey % {N}
     ), clean AS (
@@ -56,7 +55,9 @@ NUMBERED = values([(i, ko, official) for i, (ko, official) in enumerate(EXPECTED
         count(site_official) AS match_count
     FROM matched GROUP BY p_partkey, typed
     """
-)
+
+
+@query(NAMES_SQL)
 def site_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliased = table(spark, sf_dir, "part").selectExpr(
         "p_partkey", "p_name", "p_brand", f"get({alias_array()}, cast(p_partkey % {N} AS int)) AS a"
@@ -123,14 +124,13 @@ def site_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH numbered(i, ko, official) AS ({NUMBERED})
-    SELECT DISTINCT official AS site_official, replace(official, ' ', '') AS pascal, replace(official, ' ', '_') AS snake
-    FROM part JOIN numbered ON i = p_partkey % {N}
+    SELECT DISTINCT site_official, replace(site_official, ' ', '') AS pascal, replace(site_official, ' ', '_') AS snake
+    FROM ({NAMES_SQL}) WHERE site_official <> ''
     """
 )
 def distinct_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    official = f"get({alias_array()}, cast(p_partkey % {N} AS int)).site_official"
-    sites = table(spark, sf_dir, "part").selectExpr(f"{official} AS site_official").distinct()
+    """Shops that the typed names of all parts stand for, each with the forms its name takes in files and classes."""
+    sites = site_names(spark, sf_dir).where("site_official <> ''").select("site_official").distinct()
     return sites.selectExpr(
         "site_official", f"replace(site_official, ' ', {q('')}) AS pascal", "replace(site_official, ' ', '_') AS snake"
     )
