@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Inputs of a token are vectors of its word (if known), and of its characters: of all
-runs of ``GRAM`` bytes of the whole word with its ends marked, hashed and averaged.  Two
+runs of ``GRAM`` bytes of the whole word with its ends marked, hashed and averaged, and
+of the ``EDGE`` bytes at either end.  Two
 gated recurrent units read every window of ``WINDOW`` words, forth and back; attention
 pools their states; a logistic unit scores the window.  Windows begin at every quarter
 of a window and cover the whole text, and a text scores as its highest window.
@@ -36,7 +37,7 @@ from listloom.llm.classlm import Lookup, held_out
 from listloom.llm.packed import ramp
 from listloom.llm.words import ALNUM, mix, slices, split_words, texts_of
 
-WINDOW, STRIDE, GRAM, LONG = 32, 8, 3, 32
+WINDOW, STRIDE, GRAM, EDGE, LONG = 32, 8, 3, 5, 32
 WIDTH, STATE, CHARS = 8, 8, 4096
 SAMPLE, SAMPLE_CHARS, MIN_TEXTS = 1500, 6000, 3
 SLICE_BYTES, WINDOWS = 2 << 20, 2048
@@ -56,12 +57,15 @@ class Tokens:
         # Of every form its bytes with a mark before and behind, and the runs that begin in it.
         size = (words.ends - words.starts)[at] + 2
         begin = np.cumsum(size) - size
-        bytes_ = np.ones(int(size.sum()) + GRAM, np.uint64)
+        bytes_ = np.ones(int(size.sum()) + EDGE, np.uint64)
         inside = np.repeat(begin + 1, size - 2) + ramp(size - 2)
         bytes_[inside] = _LOWER[texts.data[np.repeat(words.starts[at], size - 2) + ramp(size - 2)]] + np.uint64(2)
         runs = np.zeros(int(size.sum()), np.uint64)
         for k in range(GRAM):
             runs = runs * np.uint64(0x100000001B3) + bytes_[k : k + len(runs)]
+        # A longer run at either end, too: of words of one stem or one ending.
+        hashed = lambda at, salt: (mix(sum(bytes_[at + k] << np.uint64(9 * k) for k in range(EDGE)) + np.uint64(salt)) % np.uint64(CHARS)).astype(np.int64)
+        self.edges = hashed(begin, 1 << 60), hashed(np.maximum(begin + size - EDGE, 0), 1 << 61)
         self.many = np.maximum(size - GRAM + 1, 1)
         chosen = np.repeat(begin, self.many) + ramp(self.many)
         self.runs = (mix(runs[chosen]) % np.uint64(CHARS)).astype(np.int64)
@@ -108,6 +112,7 @@ class Network:
         draw = lambda *shape: rng.normal(0, 0.3, shape).astype(F32)
         self.vocabulary = vocabulary
         self.w = {"word": draw(len(odds), WIDTH) * F32(0.3), "chars": draw(CHARS, WIDTH) * F32(0.3)}
+        self.w |= {k: draw(CHARS, WIDTH) * F32(0.1) for k in ("begin", "end")}
         self.w["word"][:, 0] = odds
         for side in "fb":
             self.w |= {f"in_{side}": draw(WIDTH, 3 * STATE), f"state_{side}": draw(STATE, 3 * STATE), f"bias_{side}": np.zeros(3 * STATE, F32)}
@@ -166,10 +171,15 @@ class Network:
             h = h + mask[t] * gates[:STATE] * (new - h)
             out[t] = h
 
+    def _spelled(self, tokens: Tokens, forms: np.ndarray | None = None) -> np.ndarray:
+        """Vectors of the characters of each form, or of some."""
+        begin, end = tokens.edges if forms is None else (e[forms] for e in tokens.edges)
+        return tokens.spelled(self.w["chars"], forms) + self.w["begin"][begin] + self.w["end"][end]
+
     def logits(self, tokens: Tokens, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Logit of each window."""
         out = np.zeros(len(start), F32)
-        chars, inputs = tokens.spelled(self.w["chars"]), {}
+        chars, inputs = self._spelled(tokens), {}
         for side, table in self.tables.items():
             inputs[side] = np.take(table, tokens.word, 0) + np.take(chars @ self.w[f"in_{side}"], tokens.form, 0)
         attend = np.ascontiguousarray(self.w["attend"].T)
@@ -210,7 +220,7 @@ class Network:
         word = tokens.word[at]
         met, form = np.unique(tokens.form[at], return_inverse=True)
         form = form.reshape(at.shape)
-        x = w["word"][word] + tokens.spelled(w["chars"], met)[form]
+        x = w["word"][word] + self._spelled(tokens, met)[form]
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self._run(x @ w[f"in_{s}"] + w[f"bias_{s}"], mask, s, kept[s]) for s in "fb"], 2)
         inner, share, pooled, logit = self._pool(states, mask)
@@ -248,13 +258,16 @@ class Network:
         np.add.at(g["word"], word.ravel(), d_x)
         d_form = np.zeros((len(met), WIDTH), d_x.dtype)
         np.add.at(d_form, form.ravel(), d_x)
+        for key, edge in zip(("begin", "end"), tokens.edges):
+            g[key] = np.zeros_like(w[key])
+            np.add.at(g[key], edge[met], d_form)
         begin, many = (np.cumsum(tokens.many) - tokens.many)[met], tokens.many[met]
         runs = tokens.runs[np.repeat(begin, many) + ramp(many)]
         np.add.at(g["chars"], runs, np.repeat(d_form / many[:, None].astype(d_x.dtype), many, axis=0))
         return g
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 4, steps: int = 80, batch: int = 256, rate: float = 0.02) -> Network:
+def fit(texts: list[str], labels: list[int], rounds: int = 3, steps: int = 60, batch: int = 256, rate: float = 0.02) -> Network:
     """Train on labelled texts; see the module's text for how windows are chosen."""
     column, label = pa.array(texts, pa.string()), np.array(labels, bool)
     tokens = Tokens(column)

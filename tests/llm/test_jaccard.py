@@ -76,6 +76,21 @@ def test_near_copies_and_cut_components(spark, monkeypatch, block):
     assert _rows(similar_classes(frame)) == brute(rows)
 
 
+def test_candidates_do_not_percolate(spark, monkeypatch):
+    """Passages that many documents share join no candidates: their largest group is near the largest linked one."""
+    tables, inner = {}, jaccard.stored
+
+    def stored(df, name):
+        tables.setdefault(name, inner(df, name))
+        return tables[name]
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    similar_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).count()
+    largest = [tables[t].groupBy("component").count().agg({"count": "max"}).first()[0] or 0 for t in ("candidates", "linked")]
+    # The linked table leaves out the first of each group.
+    assert 0 < largest[0] <= 2 * (largest[1] + 1)
+
+
 def test_search_in_one_large_group():
     """Thousands of near copies, some of them of two texts at once, are searched in little time."""
     rng = random.Random(4)
