@@ -52,6 +52,8 @@ COUNT_SHARE, BUCKETS = 16, 32
 BLOCK = 2_000_000
 #: Entries of short lists above which a set first tries a few of the last ones.
 FEW = 64
+#: Look-ups made at a time.
+PROBES = 1 << 20
 
 
 class Sets:
@@ -208,15 +210,17 @@ def search(nodes: np.ndarray, values: np.ndarray, counts: np.ndarray, sizes: np.
     # Of each list a member, and whether all entries so far were of its component when they came.
     member, alike = np.full(len(order), -1), np.ones(len(order), bool)
 
-    def overlap(c: int, lists_at: np.ndarray, lengths: np.ndarray) -> int:
-        """In how many of some lists a set stands, by binary search."""
-        low, high = lists_at.copy(), lists_at + lengths
-        while (open_ := low < high).any():
-            middle = (low + high) >> 1
-            less = open_ & (holders[np.minimum(middle, len(holders) - 1)] < c)
-            low = np.where(less, middle + 1, low)
-            high = np.where(open_ & ~less, middle, high)
-        return int(((low < lists_at + lengths) & (holders[np.minimum(low, len(holders) - 1)] == c)).sum())
+    # Entries in order of list and holder, for looking up many at once by binary search.
+    entries = starts[np.cumsum(head) - 1] * m + holders
+
+    def overlap(some: np.ndarray, lists_at: np.ndarray) -> np.ndarray:
+        """In how many of some lists each of some sets stands, by binary search."""
+        out, step = np.zeros(len(some), np.int64), max(1, PROBES // max(1, len(lists_at)))
+        for low in range(0, len(some), step):
+            asked = lists_at[:, None] * m + some[low : low + step]
+            at = np.minimum(np.searchsorted(entries, asked), len(entries) - 1)
+            out[low : low + step] = (entries[at] == asked).sum(0)
+        return out
 
     def link(q: int, c: int) -> None:
         if label[q] == q:
@@ -233,13 +237,14 @@ def search(nodes: np.ndarray, values: np.ndarray, counts: np.ndarray, sizes: np.
             used = used[np.argsort(length[used], kind="stable")]
             own, length = all_own[used], length[used]
             cut = len(used) - (need - 1)
-            similar = lambda c, both: 100 * both >= percent * (size + int(sizes[c]) - both)  # noqa: B023, E731
+            similar = lambda c, both: 100 * both >= percent * (size + sizes[c] - both)  # noqa: B023, E731
             if length[:cut].sum() > FEW:
                 # Very many may be alike: a few of them usually link, and their component is then left out.
                 some = [holders[a + max(0, k - FEW) : a + k] for a, k in zip(own[:8].tolist(), length[:8].tolist())]
                 near, often = np.unique(np.concatenate(some), return_counts=True)
-                for c in near[np.argsort(-often, kind="stable")][:4].tolist():
-                    if label[c] != label[q] and similar(c, overlap(c, own, length)):
+                near = near[np.argsort(-often, kind="stable")][:4]
+                for c in near[similar(near, overlap(near, own))].tolist():
+                    if label[c] != label[q]:
                         link(q, c)
             # Lists of nothing but the own component hold no one to link.
             open_ = np.flatnonzero(~alike[own[:cut]] | (label[member[own[:cut]]] != label[q]))
@@ -248,13 +253,19 @@ def search(nodes: np.ndarray, values: np.ndarray, counts: np.ndarray, sizes: np.
             merged = np.sort(merged[label[merged] != label[q]], kind="stable")
             turn = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1]))[: len(merged)])
             found, times = merged[turn], np.diff(np.append(turn, len(merged)))
-            keep = 100 * sizes[found] >= percent * size
+            # Even if it stood in all long lists, a set must reach what a link of these two sizes needs.
+            keep = (100 * sizes[found] >= percent * size) & ((100 + percent) * (times + need - 1) >= percent * (size + sizes[found]))
             found, times = found[keep], times[keep]
             # The most frequent first: one link spares all others of its component.
-            for k in np.argsort(-times, kind="stable"):
-                c = int(found[k])
-                if label[c] != label[q] and similar(c, int(times[k]) + overlap(c, own[cut:], length[cut:])):
-                    link(q, c)
+            order_ = np.argsort(-times, kind="stable")
+            found, times, take = found[order_], times[order_], 1
+            while len(found):
+                now, held = found[:take], times[:take]
+                for c in now[similar(now, held + overlap(now, own[cut:]))].tolist():
+                    if label[c] != label[q]:
+                        link(q, c)
+                left = label[found[take:]] != label[q]
+                found, times, take = found[take:][left], times[take:][left], 16 * take
         first = member[all_own] < 0
         alike[all_own] &= first | (label[member[all_own]] == label[q])
         member[all_own[first]] = q
@@ -307,7 +318,7 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     grouped = stored(grouped.join(sets.select("node", F.size("shingles").cast("long").alias("weight")), "node"), "candidates")
     weights = grouped.groupBy("component").agg(F.sum("weight").alias("total"))
     total = grouped.agg(F.sum("weight")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK))
+    blocks = max(BUCKETS, -(-total // BLOCK))
     small = weights.where(F.col("total") <= BLOCK)
     whole = grouped.join(small, "component").select(
         "node", F.concat_ws(":", F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(blocks))).alias("block")
