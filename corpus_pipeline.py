@@ -1,6 +1,12 @@
 """From raw documents to tokens: quality, near copies, benchmark leaks, secrets, BPE.
 
-Every stage works on all rows its predecessor kept and takes effect on them.
+Every stage works on all rows its predecessor kept and takes effect on them.  All but
+the last return the columns they were given, other columns included.
+
+Missing, empty and short texts fail the quality rules and go there; a text of any length
+is judged whole.  Of similar documents the one of the least id stays, a missing id last,
+and of equal ids the row written first; repeated rows count as copies.  Rows with missing
+ids are masked and encoded like others.  An empty table goes through as one.
 """
 
 from __future__ import annotations
