@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listloom.functions.sql import NO_TEXTS, case, keep, let, q
+from listloom.functions.sql import case, keep, let, q
 from listloom.operators.joins import small_side
 from listloom.session import work_dir
 from listloom.sources.dims import alias_array, host_map
@@ -49,7 +49,7 @@ def with_site_name(df: DataFrame, name: str, aliases: DataFrame | None = None) -
     see :func:`resolved_names`.
     """
     if aliases is not None:
-        found = resolved_names(df.select(F.col(name).alias("_typed")), aliases)
+        found = _stored(resolved_names(df.select(F.col(name).alias("_typed")), aliases), "named")
         joined = df.join(small_side(found), df[name] == found["_typed"], "left")
         return joined.select(
             *[df[c] for c in df.columns],
@@ -66,66 +66,103 @@ def with_site_name(df: DataFrame, name: str, aliases: DataFrame | None = None) -
     )
 
 
-#: Length of the pieces names are indexed by; shorter names are looked up whole.
+#: Names are indexed by pieces of this length and of its doubles; shorter names are looked up whole.
 GRAM = 3
 
 
-def _grams(text: str, lengths: str) -> str:
-    """Distinct pieces of a text with one of the lengths (an array expression)."""
-    of_length = f"transform(sequence(1, length({text}) - _size + 1), _at -> substring({text}, _at, _size))"
-    return f"array_distinct(flatten(transform({lengths}, _size -> if(length({text}) < _size, {NO_TEXTS}, {of_length}))))"
+def _piece_size(text: str) -> str:
+    """Length of the pieces a text is looked up by: the largest indexed one that fits it."""
+    return f"if(length({text}) < {GRAM}, length({text}), {GRAM} * shiftleft(1, length(bin(length({text}) div {GRAM})) - 1))"
 
 
-LETTERS = "array_distinct(filter(split({text}, ''), ch -> ch <> ''))"
+def _pieces(text: str, sizes: str) -> str:
+    """Hashes of the distinct pieces of a text with one of the lengths (an array expression)."""
+    of_size = f"transform(sequence(1, length({text}) - _size + 1), _at -> xxhash64(substring({text}, _at, _size)))"
+    none = "cast(array() AS array<bigint>)"
+    return f"array_distinct(flatten(transform({sizes}, _size -> if(length({text}) < _size, {none}, {of_size}))))"
 
 
-def _by_rarest(typed: DataFrame, keys: str, postings: DataFrame) -> DataFrame:
-    """(_typed, id) of aliases that hold the rarest of the keys a name must have; none if one occurs nowhere."""
+LETTERS = "array_sort(array_distinct(filter(split({text}, ''), ch -> ch <> '')))"
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _by_rarest(asked: DataFrame, name: str, keys: str, postings: DataFrame) -> DataFrame:
+    """(name, id) of what holds the rarest of the keys a name must have; none if one occurs nowhere."""
     often = postings.groupBy("key").agg(F.count("*").alias("often"))
-    asked = typed.select("_typed", F.explode(F.expr(keys)).alias("key")).join(often, "key", "left")
-    rarest = asked.groupBy("_typed").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key")).alias("least"))
-    return rarest.select("_typed", "least.key").join(postings, "key").select("_typed", "id")
+    each = asked.select(name, F.explode(F.expr(keys)).alias("key")).join(often, "key", "left")
+    rarest = each.groupBy(name).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key")).alias("least"))
+    return rarest.select(name, "least.key").join(postings, "key").select(name, "id")
 
 
-def resolved_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(_typed, site_official, match_count) of the distinct ``names(_typed)``, over aliases of any number.
+def _summed(matches: DataFrame, key: str) -> DataFrame:
+    return matches.groupBy(key).agg(F.sum("hits").alias("hits"), F.min("site_official").alias("site_official"))
+
+
+def _korean_matches(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """(_typed, hits, site_official) of names all whose characters occur in a Korean name.
 
-    Aliases are indexed once: by Korean name, by its characters, by words, and by pieces
-    of up to ``GRAM`` letters of the squashed official name.  Where all of several keys
-    must occur, a name takes the postings of its rarest one; where it must occur as a
-    part, those of its rarest piece.  Only these candidates are checked, so no name meets
-    all aliases.  Names that match nothing are left out.
+    Only the set of characters counts, so equal sets are compared once, however many
+    names and aliases share them.
     """
-    numbered = aliases.where("ko_name IS NOT NULL AND site_official IS NOT NULL").select("ko_name", "site_official")
-    path = work_dir(names.sparkSession, "aliases")
-    numbered.withColumn("id", F.monotonically_increasing_id()).selectExpr(
-        "*", "replace(lower(site_official), ' ', '') AS squashed", "split(lower(site_official), ' ', -1) AS own_words"
-    ).write.parquet(path)
-    known = names.sparkSession.read.parquet(path)
-    typed = names.where("_typed IS NOT NULL").distinct().selectExpr(
-        "_typed", "replace(lower(_typed), ' ', '') AS n", "split(lower(_typed), ' ', -1) AS words"
+    held = known.groupBy(F.expr(LETTERS.format(text="ko_name")).alias("held")).agg(
+        F.count("*").alias("hits"), F.min("site_official").alias("site_official")
     )
-    exact = typed.join(known, F.col("ko_name") == F.col("_typed")).select("_typed", "id", "site_official")
-    rest = typed.join(exact.select("_typed").distinct(), "_typed", "left_anti").withColumn(
-        "latin", F.expr(f"n RLIKE {q(r'\p{IsLowercase}')}")
-    )
-    letters = known.select(F.explode(F.expr(LETTERS.format(text="ko_name"))).alias("key"), "id")
-    korean = _by_rarest(rest.where("NOT latin AND length(n) >= 2"), LETTERS.format(text="n"), letters)
-    pieces = known.select(F.explode(F.expr(_grams("squashed", f"sequence(1, {GRAM})"))).alias("key"), "id")
-    parts = _by_rarest(rest.where("latin"), _grams("n", f"array(least({GRAM}, length(n)))"), pieces)
+    sets = _stored(held.withColumn("id", F.monotonically_increasing_id()), "letters")
+    needing = rest.where("NOT latin AND length(n) >= 2").select("_typed", F.expr(LETTERS.format(text="n")).alias("needed"))
+    wanted = needing.select("needed").distinct()
+    candidates = _by_rarest(wanted, "needed", "needed", sets.select(F.explode("held").alias("key"), "id"))
+    fitting = candidates.join(sets, "id").where("forall(needed, ch -> array_contains(held, ch))")
+    return needing.join(_summed(fitting, "needed"), "needed").select("_typed", "hits", "site_official")
+
+
+def _latin_matches(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """(_typed, hits, site_official) of names that are part of an official name or share a word with it."""
+    latin = rest.where("latin")
+    # At most one length for each doubling.
+    sizes = sorted(r["size"] for r in latin.select(F.expr(_piece_size("n")).alias("size")).distinct().collect())
+    listed = f"cast(array({', '.join(map(str, sizes))}) AS array<int>)"
+    pieces = known.select(F.explode(F.expr(_pieces("squashed", listed))).alias("key"), "id")
+    parts = _by_rarest(latin, "_typed", _pieces("n", f"array({_piece_size('n')})"), pieces)
     words = known.select(F.explode(F.array_distinct("own_words")).alias("word"), "id")
-    asked = rest.where("latin").select("_typed", F.explode(F.array_distinct("words")).alias("word"))
+    # A single word that is a word of an official name is also part of it.
+    asked = latin.where("size(words) > 1").select("_typed", F.explode(F.array_distinct("words")).alias("word"))
     overlap = asked.join(words, "word").select("_typed", "id")
-    candidates = korean.union(parts).union(overlap).distinct().join(known, "id").join(rest, "_typed")
-    fits = (
-        "if(latin, contains(squashed, n) OR arrays_overlap(words, own_words), "
-        f"forall({LETTERS.format(text='n')}, ch -> contains(ko_name, ch)))"
-    )
-    matches = exact.unionByName(candidates.where(fits).select("_typed", "id", "site_official"))
-    return matches.groupBy("_typed").agg(
-        F.expr("if(count(*) = 1, min(site_official), '')").alias("site_official"),
-        F.count("*").cast("int").alias("match_count"),
+    candidates = parts.union(overlap).distinct().join(known.drop("ko_name"), "id").join(latin, "_typed")
+    fitting = candidates.where("contains(squashed, n) OR arrays_overlap(words, own_words)")
+    return _summed(fitting.select("_typed", F.lit(1).alias("hits"), "site_official"), "_typed")
+
+
+def resolved_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(_typed, site_official, match_count) of the distinct ``names(_typed)``, over aliases of any number.
+
+    Aliases are indexed once: by Korean name, by its set of characters, by words, and by
+    pieces of the squashed official name, ``GRAM`` letters long, twice that, and so on.
+    Where all of several keys must occur, a name takes the postings of its rarest one;
+    where it must occur as a part, those of its rarest piece, which is longer than half
+    the name.  Only these candidates are checked, so no name meets all aliases, and long
+    names meet few others.  Names that match nothing are left out.
+    """
+    numbered = aliases.where("ko_name IS NOT NULL AND site_official IS NOT NULL").select("ko_name", "site_official")
+    known = _stored(
+        numbered.withColumn("id", F.monotonically_increasing_id()).selectExpr(
+            "*", "replace(lower(site_official), ' ', '') AS squashed", "split(lower(site_official), ' ', -1) AS own_words"
+        ),
+        "aliases",
     )
+    typed = names.where("_typed IS NOT NULL").distinct().selectExpr(
+        "_typed", "replace(lower(_typed), ' ', '') AS n", "split(lower(_typed), ' ', -1) AS words",
+        f"replace(lower(_typed), ' ', '') RLIKE {q(r'\p{IsLowercase}')} AS latin",
+    )
+    exact = typed.join(known, F.col("ko_name") == F.col("_typed")).select("_typed", F.lit(1).alias("hits"), "site_official")
+    exact = _stored(_summed(exact, "_typed"), "exact")
+    rest = _stored(typed.join(exact.select("_typed"), "_typed", "left_anti"), "typed")
+    matches = exact.unionByName(_korean_matches(rest, known)).unionByName(_latin_matches(rest, known))
+    return matches.selectExpr("_typed", "if(hits = 1, site_official, '') AS site_official", "cast(hits AS int) AS match_count")
 
 
 def with_site_host(df: DataFrame, site: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from listloom.operators import attempts, bloom, closure, fetchlog, filenames, glossary, joins, variants
+from listloom.operators import attempts, bloom, closure, fetchlog, filenames, glossary, joins, names, variants
 from listloom.operators.names import with_site_host, with_site_name
 from listloom.operators.ranking import in_ranges, with_rank, with_running_total
 from listloom.session import enable_checkpoints, work_dir
@@ -90,6 +90,41 @@ def test_site_names_among_many_aliases(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_candidates_grow_with_names_and_aliases(spark, monkeypatch):
+    """Codes of few digits: names share their characters and short pieces with very many aliases, yet few are looked at."""
+    n = 2000
+    aliases = [(f"상품{i}", f"{'red blue'.split()[i % 2]} ring {i}") for i in range(n)]
+    typed = [f"{i}품{i % 7}" for i in range(0, n, 4)] + [f"BLUERING{i}" for i in range(1, n, 4)] + [f"blue x {i}" for i in range(0, n, 500)]
+    sought, by_rarest = [], names._by_rarest
+
+    def counting(*args):
+        found = by_rarest(*args)
+        sought.append(found.count())
+        return found
+
+    monkeypatch.setattr(names, "_by_rarest", counting)
+    found = with_site_name(
+        spark.createDataFrame([(t,) for t in typed], "typed string"),
+        "typed",
+        spark.createDataFrame([*aliases, *aliases[:3]], "ko_name string, site_official string"),
+    ).collect()
+    # Digits make 1023 sets at most, and pieces of six letters hold most of a code.
+    assert len(sought) == 2 and max(sought) < 60 * n
+
+    def hits(name):
+        words, joined = name.lower().split(" "), name.lower().replace(" ", "")
+        latin = joined.islower()
+        return [
+            official for korean, official in [*aliases, *aliases[:3]]
+            if (joined in official.replace(" ", "") or set(words) & set(official.split(" ")) if latin else set(joined) <= set(korean))
+        ]
+
+    assert len(found) == len(typed)
+    for row in found:
+        expected = hits(row["typed"])
+        assert (row["site_official"], row["match_count"]) == (expected[0] if len(expected) == 1 else "", len(expected))
+
+
 def test_dimensions(spark):
     assert dims.site_alias(spark).count() == 44 and dims.site_host(spark).count() == 44
     assert dims.size_map(spark).count() == 154
