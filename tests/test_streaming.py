@@ -83,3 +83,16 @@ def test_batches_do_not_read_the_sink(spark, monkeypatch):
     S.stream_skip_listed(rows, "code", "url", sink, offsets)
     out = spark.read.parquet(sink)
     assert len(reads) == 1 and out.count() == 4 and out.select("batch_id").distinct().count() == 4
+
+
+def test_listed_codes_are_state_of_spark_itself(spark):
+    """Many codes over many Arrow batches and tasks: no Python call for each code, the first row of a code still wins."""
+    folder, sink, offsets = (work_dir(spark, n) for n in ("in", "out", "offsets"))
+    rows = spark.range(6000).selectExpr("id % 2000 AS code", "6000 - id AS at", "id AS note")
+    rows.repartition(4).write.parquet(folder)
+    stream = S.page_stream(spark, folder, rows.schema)
+    S.stream_skip_listed(stream, "code", "at", sink, offsets)
+    got = sorted((r["code"], r["at"], r["note"]) for r in spark.read.parquet(sink).collect())
+    assert got == [(c, 2000 - c, 4000 + c) for c in range(2000)]
+    operators = spark.read.format("state-metadata").load(offsets).select("operatorName").distinct().collect()
+    assert [r["operatorName"] for r in operators] == ["dedupe"]
