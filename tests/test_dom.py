@@ -341,3 +341,26 @@ def test_random_selectors(spark):
             assert got[number][f"s{i}"] == expected, text
             hits += len(expected)
     assert hits > 500
+
+
+def test_reading_pages_pauses_the_collector_and_skips_unread_text():
+    """Page lists hold no cycles, text no rule reads is not put together, quotes in attributes are one replacement."""
+    import gc
+    import random
+    from html import unescape
+
+    import pyarrow as pa
+
+    from listloom.sources import pages
+
+    run = pages._dom_stage("html", pages.Wanted(elements=frozenset([("b", None, ())]), texts=frozenset()), "site")
+    out = run(iter([pa.record_batch([pa.array(["<p>x &amp; y<b>z</b></p>"])], ["html"])]))
+    assert gc.isenabled()
+    got = next(out).to_pylist()[0]
+    assert not gc.isenabled() and [n["tag"] for n in got["nodes"]] == ["b"] and got["pieces"] == []
+    assert list(out) == [] and gc.isenabled()
+    rng = random.Random(4)
+    parts = ["&quot;", "&quot", "&amp", "&amp;", "&", "#38", ";", "quot", "a", '"', "&#x22;", "&lt"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 8)))
+        assert pages._unescaped(text) == unescape(text)
