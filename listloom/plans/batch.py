@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from listloom.functions.sizes import AUTO
 from listloom.operators.listing import listing_row, with_html, with_static_images
+from listloom.operators.ranking import range_count
 from listloom.operators.rules import Rule
 from listloom.operators.variants import (
     batch_counts,
@@ -89,9 +90,13 @@ def lay_out(
     """
     rules, sites = tuple(rules), tuple(sites)
 
+    # A work list is narrow and may be one split; its pages are read by all cores, also if they come by broadcast.
+    spark = urls.sparkSession
+    tasks = max(range_count(spark), spark.sparkContext.defaultParallelism)
+
     def products_of(work: DataFrame) -> DataFrame:
         documents = choose_document(
-            work, sources.capabilities, sources.json_pages, sources.rendered_pages, sources.raw_pages
+            work.repartition(tasks), sources.capabilities, sources.json_pages, sources.rendered_pages, sources.raw_pages
         )
         return make_products(documents, size_type, rules, translator, sites)
 

@@ -104,3 +104,21 @@ def test_attempts_that_failed_leave_nothing(spark):
     assert sorted(tuple(r) for r in pushed.collect()) == sorted(tuple(r) for r in sheet.rows().collect())
     blank = Sheet.create(old.limit(0), work_dir(spark, "sheet"))
     assert blank.rows().count() == 0 and blank.insert(block, 4, "b") and blank.rows().count() == 2
+
+
+def test_a_work_list_of_one_split_is_read_by_all_cores(spark, tables, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from listloom.plans import batch
+
+    urls, sheet, sources = tables
+    more = spark.range(1, 401).selectExpr("id AS pos", "'mini' AS site", "concat('http://', id % 9) AS url").coalesce(1)
+    seen, make = [], batch.make_products
+
+    def counting(documents, *args):
+        seen.append(documents.select(F.spark_partition_id().alias("p")).distinct().count())
+        return make(documents, *args)
+
+    monkeypatch.setattr(batch, "make_products", counting)
+    run_batch(more, sheet, sources, 1, 400, 3, rules=RULES, sites=())
+    assert len(seen) == 2 and min(seen) >= 4
